@@ -1,9 +1,11 @@
 """All registered queries and their oracles, by name."""
 
-from . import oracles, orders
+from . import oracles, orders, timeseries, ts_oracles
 
 QUERIES = {}
 QUERIES.update(orders.QUERIES)
+QUERIES.update(timeseries.QUERIES)
 
 ORACLES = {}
 ORACLES.update(oracles.ORACLES)
+ORACLES.update(ts_oracles.ORACLES)

@@ -120,6 +120,11 @@ def corrupted_raw_orders(events: DataFrame) -> DataFrame:
     )
 
 
+def ops_samples(events: DataFrame) -> DataFrame:
+    """Gauges and counters in one SAMPLES table."""
+    return samples_from_events(events).unionByName(counter_samples_from_events(events))
+
+
 def _sample_rows(events: DataFrame) -> DataFrame:
     et, eid, uid = F.col("event_type"), F.col("event_id"), F.col("user_id")
     metric = F.create_map(*[x for kv in SAMPLE_METRICS.items() for x in map(F.lit, kv)])[et]
@@ -151,14 +156,16 @@ def samples_from_events(events: DataFrame) -> DataFrame:
 
 
 def counter_samples_from_events(events: DataFrame, block: int = 1000) -> DataFrame:
-    """Counter series: running sum of the gauge value in integer cents per
-    series, restarting every ``block`` event ids (counter resets).  The
+    """Counter series ``<metric>_total``: running sum of the gauge value in
+    integer cents per series, restarting every ``block`` event ids (counter
+    resets).  The
     running sum is partitioned by series x block, so no series is ever a
     single window partition."""
     s = _sample_rows(events).withColumn("_blk", F.floor(F.col("event_id") / block))
     w = (Window.partitionBy("metric", "pod", "_blk").orderBy("event_id")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    s = s.withColumn("value", F.sum(F.round(F.col("value") * 100)).over(w))
+    s = (s.withColumn("value", F.sum(F.round(F.col("value") * 100)).over(w))
+         .withColumn("metric", F.concat("metric", F.lit("_total"))))
     last = (s.groupBy("metric", "pod", "phase", "ts_ms")
             .agg(F.max_by("value", "event_id").alias("value")))
     return _as_samples(last)
