@@ -1,6 +1,6 @@
 """All registered queries and their oracles, by name."""
 
-from . import oracles, orders, timeseries, ts_oracles
+from . import oracles, orders, report_oracles, timeseries, ts_oracles
 
 QUERIES = {}
 QUERIES.update(orders.QUERIES)
@@ -9,3 +9,4 @@ QUERIES.update(timeseries.QUERIES)
 ORACLES = {}
 ORACLES.update(oracles.ORACLES)
 ORACLES.update(ts_oracles.ORACLES)
+ORACLES.update(report_oracles.ORACLES)

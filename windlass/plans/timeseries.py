@@ -18,6 +18,7 @@ from ..operators.timeseries import (across, binary_op, counter_rate, instant, mi
                                     resample, select_series, series_labels, step_grid,
                                     value_filter, with_series)
 from ..session import configure
+from .report import dashboard_panels, scenario_report
 from ..sources.fixtures import broker_beans_from_events, ops_samples, read_table
 
 RANGE_MS = 45 * 60_000
@@ -149,6 +150,17 @@ def q_normalise_broker(spark, sf_dir):
                       F.unix_millis("ts").alias("ts_ms"), "value")
 
 
+def q_scenario_report(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    return scenario_report(s, latest_ms(s), RANGE_MS // 60_000, label="events-derived")
+
+
+def q_dashboard_panels(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    d = dashboard_panels(s, latest_ms(s), RANGE_MS)
+    return d.withColumn("value", F.round("value", 6))
+
+
 QUERIES = {
     "select_series_regex": q_select_series_regex,
     "instant_value": q_instant_value,
@@ -164,4 +176,6 @@ QUERIES = {
     "panel_last_mean": q_panel_last_mean,
     "progress_rate": q_progress_rate,
     "normalise_broker": q_normalise_broker,
+    "scenario_report": q_scenario_report,
+    "dashboard_panels": q_dashboard_panels,
 }

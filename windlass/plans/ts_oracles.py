@@ -47,11 +47,11 @@ def _in(metrics) -> str:
     return "(" + ", ".join(f"'{m}'" for m in metrics) + ")"
 
 
-def resample_cte(name: str, metrics) -> str:
+def resample_cte(name: str, metrics=None, pred: str | None = None) -> str:
     """``name`` = (metric, pod, phase, step, value, ts_ms) on the grid."""
-    m = _in(metrics)
+    where = pred if pred is not None else f"metric IN {_in(metrics)}"
     return f""",
-{name}_X AS (SELECT S.* FROM S, P WHERE metric IN {m} AND ts_ms > first - {LOOKBACK} AND ts_ms <= last),
+{name}_X AS (SELECT S.* FROM S, P WHERE {where} AND ts_ms > first - {LOOKBACK} AND ts_ms <= last),
 {name}_L AS (SELECT DISTINCT metric, pod, phase FROM {name}_X),
 {name}_G AS (SELECT {name}_L.*, GRID.step FROM {name}_L, GRID),
 {name} AS (
@@ -66,47 +66,57 @@ def with_samples(*resamples: tuple[str, object]) -> str:
     return "WITH " + SAMPLES_CTE + "".join(resample_cte(n, m) for n, m in resamples)
 
 
-def rate_sql(metrics, window_ms: int) -> str:
-    m = _in(metrics)
-    return with_samples() + f""",
-CS AS (
+def rate_cte(name: str, pred: str, window_ms: int) -> str:
+    """``name`` = (metric, pod, phase, step, value): counter rate per step."""
+    n = name
+    return f""",
+{n}_CS AS (
   SELECT S.metric, S.pod, S.phase, S.ts_ms, S.value,
          lag(S.value) OVER (PARTITION BY S.metric, S.pod, S.phase ORDER BY S.ts_ms) AS pv
-  FROM S, P WHERE S.metric IN {m} AND S.ts_ms > P.first - {window_ms} AND S.ts_ms <= P.last
+  FROM S, P WHERE {pred} AND S.ts_ms > P.first - {window_ms} AND S.ts_ms <= P.last
 ),
-CI AS (
+{n}_CI AS (
   SELECT *, CASE WHEN pv IS NULL THEN 0.0 WHEN value < pv THEN value ELSE value - pv END AS inc,
          greatest(((ts_ms + {STEP - 1}) // {STEP}) * {STEP}, (SELECT first FROM P)) AS lo,
          least(((ts_ms + {window_ms - 1}) // {STEP}) * {STEP}, (SELECT last FROM P)) AS hi
-  FROM CS
+  FROM {n}_CS
 ),
-X AS (SELECT *, unnest(range(lo, hi + 1, {STEP})) AS step FROM CI WHERE lo <= hi),
-AG AS (
+{n}_X AS (SELECT *, unnest(range(lo, hi + 1, {STEP})) AS step FROM {n}_CI WHERE lo <= hi),
+{n}_AG AS (
   SELECT metric, pod, phase, step, count(*) AS n,
          min(ts_ms) AS fts, arg_min(value, ts_ms) AS fv, arg_min(inc, ts_ms) AS finc,
          max(ts_ms) AS lts, sum(inc) AS sinc
-  FROM X GROUP BY metric, pod, phase, step HAVING count(*) >= 2
+  FROM {n}_X GROUP BY metric, pod, phase, step HAVING count(*) >= 2
 ),
-F1 AS (
+{n}_F1 AS (
   SELECT *, sinc - finc AS res,
          CAST(lts - fts AS DOUBLE) / 1000.0::DOUBLE AS sampled,
          CAST(fts - (step - {window_ms}) AS DOUBLE) / 1000.0::DOUBLE AS ts0,
          CAST(step - lts AS DOUBLE) / 1000.0::DOUBLE AS te0
-  FROM AG
+  FROM {n}_AG
 ),
-F2 AS (SELECT *, sampled / CAST(n - 1 AS DOUBLE) AS gap FROM F1),
-F3 AS (
+{n}_F2 AS (SELECT *, sampled / CAST(n - 1 AS DOUBLE) AS gap FROM {n}_F1),
+{n}_F3 AS (
   SELECT *, CASE WHEN ts0 >= gap * 1.1::DOUBLE THEN gap / 2.0::DOUBLE ELSE ts0 END AS ts1,
             CASE WHEN te0 >= gap * 1.1::DOUBLE THEN gap / 2.0::DOUBLE ELSE te0 END AS te1
-  FROM F2
+  FROM {n}_F2
 ),
-F4 AS (
+{n}_F4 AS (
   SELECT *, CASE WHEN res > 0 AND fv >= 0 AND sampled * (fv / res) < ts1
                  THEN sampled * (fv / res) ELSE ts1 END AS ts2
-  FROM F3
+  FROM {n}_F3
+),
+{n} AS (
+  SELECT metric, pod, phase, step,
+         res * (((sampled + ts2) + te1) / sampled / {window_ms / 1000.0}::DOUBLE) AS value
+  FROM {n}_F4
 )"""
 
 
+def rate_sql(metrics, window_ms: int) -> str:
+    return with_samples() + rate_cte("RT", f"S.metric IN {_in(metrics)}", window_ms)
+
+
 ORACLES = {}
 
 ORACLES["select_series_regex"] = with_samples() + """
@@ -129,9 +139,7 @@ SELECT metric, pod, phase, max(value) AS max_v, min(value) AS min_v,
 FROM R GROUP BY metric, pod, phase"""
 
 ORACLES["counter_rate"] = rate_sql(["records_per_second_total", "checkpoint_ms_total"], 60_000) + """
-SELECT metric, pod, phase, step,
-       res * (((sampled + ts2) + te1) / sampled / 60.0::DOUBLE) AS value
-FROM F4"""
+SELECT metric, pod, phase, step, value FROM RT"""
 
 ORACLES["sum_by_pod"] = with_samples(("R", ["checkpoint_ms", "consumer_lag"])) + """
 SELECT step, pod, round(sum(value), 2) AS value FROM R GROUP BY step, pod"""
