@@ -100,59 +100,151 @@ def _named(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.lit(name).alias("name"), F.col("value"))
 
 
+# How each report column is computed -- (column, source key,
+# stage, function).  Stages: per-series over time then result[0]
+# ("series"), instant then result[0] / sum / count of ready ("instant_*"),
+# per-step sum / avg / ready-count then over time ("step_*"), per-step sum
+# of counter rates then over time ("rate").
+FIGURES = [
+    ("base_throughput", "base_throughput", "series", "max"),
+    ("peak_target", "current_throughput", "series", "max"),
+    ("send_rate_peak", "send_rate", "series", "max"),
+    ("send_rate_avg", "send_rate", "series", "avg"),
+    ("messages_produced", "messages_produced", "instant_first", None),
+    ("errors", "errors", "instant_first", None),
+    ("error_rate_peak", "error_rate", "series", "max"),
+    ("latency_avg_ms", "latency", "series", "avg"),
+    ("latency_peak_ms", "latency", "series", "max"),
+    ("broker_inbound_peak", "broker_inbound", "rate", ("max", 60_000)),
+    ("consumer_lag_peak", "consumer_lag", "step_sum", "max"),
+    ("consumer_lag_now", "consumer_lag", "instant_sum", None),
+    ("records_peak", "records_in", "rate", ("max", 30_000)),
+    ("records_avg", "records_in", "rate", ("avg", 30_000)),
+    ("backpressure_max_pct", "backpressure", "step_avg", "max"),
+    ("backpressure_avg_pct", "backpressure", "step_avg", "avg"),
+    ("checkpoint_max_ms", "checkpoint", "series", "max"),
+    ("checkpoint_avg_ms", "checkpoint", "series", "avg"),
+    ("workers_min", "ready", "step_ready", "min"),
+    ("workers_max", "ready", "step_ready", "max"),
+    ("workers_now", "ready", "instant_ready", None),
+]
+
+
+def _source_pred(src: Source) -> Column:
+    """The selector of a Source as one boolean column (for tagging)."""
+    from ..operators.timeseries import label
+    cond = F.col("metric") == F.lit(src.metric)
+    for k, v in src.eq.items():
+        cond = cond & (label(k) == F.lit(v))
+    for k, v in src.ne.items():
+        cond = cond & (label(k) != F.lit(v))
+    for k, v in src.regex.items():
+        cond = cond & label(k).rlike(f"^(?:{v})$")
+    return cond
+
+
+def _tagged(df: DataFrame, sources: dict[str, Source], keys) -> DataFrame:
+    """Rows of the selected sources, one copy per source key they match."""
+    tags = F.array(*[F.when(_source_pred(sources[k]), F.lit(k)) for k in keys])
+    return df.withColumn("src", F.explode(tags)).where(F.col("src").isNotNull())
+
+
+def _union_pred(sources: dict[str, Source], keys) -> DataFrame:
+    cond = F.lit(False)
+    for k in keys:
+        cond = cond | _source_pred(sources[k])
+    return cond
+
+
+def _with_labels(df: DataFrame) -> DataFrame:
+    return df.withColumn("labels", series_labels("_sk"))
+
+
+def _figure_rows(per_src: DataFrame, figures) -> DataFrame:
+    """(name, value) rows from a one-row-per-source frame: each figure picks
+    its source's row; one generator, so the frame is computed once."""
+    picks = F.array(*[F.when(F.col("src") == F.lit(k),
+                             F.struct(F.lit(name).alias("name"), v.cast("double").alias("value")))
+                      for name, k, v in figures])
+    return per_src.select(F.explode(picks).alias("_f")).where(F.col("_f").isNotNull()).select("_f.*")
+
+
 def report_figures(samples: DataFrame, at_ms: int, minutes: int,
                    sources: dict[str, Source] = TEST_SOURCES) -> DataFrame:
-    """All numeric report figures as (name, value) rows (missing = no row)."""
+    """All numeric report figures as (name, value) rows (missing = no row).
+
+    One resample over every gauge source (rows tagged by source), one
+    instant pass, one counter-rate pass per rate window; each figure is then
+    a conditional aggregate over those small per-series / per-step frames.
+    """
     s = with_series(samples)
     rng = int(minutes) * 60_000
-    src = sources
-    figs = []
-
-    def gauge_over(key, func, name):
-        r = resample(_sel(s, src[key]), at_ms, rng)
-        figs.append(_first_series(_over(r, func, True), name))
-
-    def inst(key, name):
-        figs.append(_first_series(instant(_sel(s, src[key]), at_ms), name))
-
-    gauge_over("base_throughput", "max", "base_throughput")
-    gauge_over("current_throughput", "max", "peak_target")
-    gauge_over("send_rate", "max", "send_rate_peak")
-    gauge_over("send_rate", "avg", "send_rate_avg")
-    inst("messages_produced", "messages_produced")
-    inst("errors", "errors")
-    gauge_over("error_rate", "max", "error_rate_peak")
-    gauge_over("latency", "avg", "latency_avg_ms")
-    gauge_over("latency", "max", "latency_peak_ms")
-
-    inbound = across(counter_rate(_sel(s, src["broker_inbound"]), at_ms, rng, 60_000), "sum")
-    figs.append(_named(_over(inbound, "max", False), "broker_inbound_peak"))
-    lag = across(resample(_sel(s, src["consumer_lag"]), at_ms, rng), "sum")
-    figs.append(_named(_over(lag, "max", False), "consumer_lag_peak"))
-    lag_now = instant(_sel(s, src["consumer_lag"]), at_ms).agg(F.sum("value").alias("value"))
-    figs.append(_named(lag_now, "consumer_lag_now"))
-
-    rec = across(counter_rate(_sel(s, src["records_in"]), at_ms, rng, 30_000), "sum")
-    figs.append(_named(_over(rec, "max", False), "records_peak"))
-    figs.append(_named(_over(rec, "avg", False), "records_avg"))
-
-    bp = across(resample(_sel(s, src["backpressure"]), at_ms, rng), "avg")
-    for func, name in (("max", "backpressure_max_pct"), ("avg", "backpressure_avg_pct")):
-        figs.append(_named(_over(bp, func, False).withColumn("value", F.col("value") * 100.0), name))
-
-    gauge_over("checkpoint", "max", "checkpoint_max_ms")
-    gauge_over("checkpoint", "avg", "checkpoint_avg_ms")
-
-    grid = step_grid(s, at_ms, rng)
-    ready = or_zero(across(value_filter(resample(_sel(s, src["ready"]), at_ms, rng), "==", 1.0),
-                           "count"), grid)
-    figs.append(_named(_over(ready, "min", False), "workers_min"))
-    figs.append(_named(_over(ready, "max", False), "workers_max"))
-    now = value_filter(instant(_sel(s, src["ready"]), at_ms), "==", 1.0)
-    figs.append(_named(now.agg(F.count(F.lit(1)).cast("double").alias("value")), "workers_now"))
-
-    out = figs[0]
-    for f in figs[1:]:
+    key = F.to_json(series_labels("_sk"))
+    by_stage: dict[str, set] = {}
+    for _, k, stage, _ in FIGURES:
+        by_stage.setdefault(stage.split("_")[0], set()).add(k)
+    rows = []
+
+    # per-series and per-step figures over the resampled grid
+    res_keys = sorted(by_stage.get("series", set()) | by_stage.get("step", set()))
+    if res_keys:
+        r = resample(s.where(_union_pred(sources, res_keys)), at_ms, rng)
+        t = _tagged(_with_labels(r), sources, res_keys)
+        per_series = t.groupBy("src", "_sk").agg(
+            F.max("value").alias("mx"), F.avg("value").alias("av"), F.min("value").alias("mn"))
+        first = per_series.groupBy("src").agg(
+            F.min_by(F.struct("mx", "av", "mn"), key).alias("f"))
+        ready_keys = sorted({k for _, k, st, _ in FIGURES if st == "step_ready"})
+        grid = step_grid(s, at_ms, rng)
+        zeros = None
+        for k in ready_keys:
+            z = grid.select(F.lit(k).alias("src"), "step", F.lit(None).cast("double").alias("value"))
+            zeros = z if zeros is None else zeros.unionByName(z)
+        steps_in = t.select("src", "step", "value")
+        if zeros is not None:
+            steps_in = steps_in.unionByName(zeros)
+        per_step = steps_in.groupBy("src", "step").agg(
+            F.sum("value").alias("sm"), F.avg("value").alias("av"),
+            F.count_if(F.col("value") == 1.0).cast("double").alias("rd"))
+        over_steps = per_step.groupBy("src").agg(
+            F.max("sm").alias("sm_max"), F.avg("sm").alias("sm_avg"),
+            F.max("av").alias("av_max"), F.avg("av").alias("av_avg"),
+            F.min("rd").alias("rd_min"), F.max("rd").alias("rd_max"))
+        rows.append(_figure_rows(first, [
+            (name, k, F.col({"max": "f.mx", "avg": "f.av", "min": "f.mn"}[func]))
+            for name, k, stage, func in FIGURES if stage == "series"]))
+        rows.append(_figure_rows(over_steps, [
+            (name, k, F.col({"step_sum": "sm", "step_avg": "av", "step_ready": "rd"}[stage]
+                            + "_" + func) * (100.0 if stage == "step_avg" else 1.0))
+            for name, k, stage, func in FIGURES if stage.startswith("step_")]))
+
+    # instant figures
+    inst_keys = sorted(by_stage.get("instant", set()))
+    if inst_keys:
+        i = _tagged(_with_labels(instant(s.where(_union_pred(sources, inst_keys)), at_ms)),
+                    sources, inst_keys)
+        per_src = i.groupBy("src").agg(
+            F.min_by("value", key).alias("first"), F.sum("value").alias("total"),
+            F.count_if(F.col("value") == 1.0).cast("double").alias("ready"))
+        rows.append(_figure_rows(per_src, [
+            (name, k, F.col({"instant_first": "first", "instant_sum": "total",
+                             "instant_ready": "ready"}[stage]))
+            for name, k, stage, _ in FIGURES if stage.startswith("instant")]))
+
+    # counter-rate figures, one pass per rate window
+    windows = sorted({f[1] for _, _, st, f in FIGURES if st == "rate"})
+    for w in windows:
+        keys = sorted({k for _, k, st, f in FIGURES if st == "rate" and f[1] == w})
+        rt = counter_rate(s.where(_union_pred(sources, keys)), at_ms, rng, w)
+        t = _tagged(_with_labels(rt), sources, keys)
+        summed = t.groupBy("src", "step").agg(F.sum("value").alias("v"))
+        over = summed.groupBy("src").agg(F.max("v").alias("mx"), F.avg("v").alias("av"))
+        rows.append(_figure_rows(over, [
+            (name, k, F.col({"max": "mx", "avg": "av"}[f[0]]))
+            for name, k, stage, f in FIGURES if stage == "rate" and f[1] == w]))
+
+    out = rows[0]
+    for f in rows[1:]:
         out = out.unionByName(f)
     return out.where(F.col("value").isNotNull())
 
@@ -168,6 +260,8 @@ def scenario_report(samples: DataFrame, at_ms: int, minutes: int, label: str = "
     cols = []
     for c in numeric:
         v = F.col(c).cast("double")
+        if c == "workers_now":  # count(...) or vector(0)
+            v = F.coalesce(v, F.lit(0.0))
         if rounded:
             v = F.bround(v, DECIMALS.get(c, 0))
         cols.append(v.alias(c))
