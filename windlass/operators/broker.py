@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .parse import keep_rows
+
 # The exporter allow-list, as (domain, type) pairs.
 ALLOWLIST = [
     ("kafka.server", "BrokerTopicMetrics"),
@@ -56,21 +58,28 @@ def normalise_broker_samples(raw: DataFrame, rules=RULES, allowlist=ALLOWLIST,
     for domain, typ in allowlist:
         allowed = allowed | name.startswith(f"{domain}<type={typ},") | \
             name.startswith(f"{domain}<type={typ}>")
-    metric = F.lit(None).cast("string")
-    for pattern, mname, _ in reversed(rules):
-        metric = F.when(name.rlike(_anchored(pattern)), F.lit(mname)).otherwise(metric)
+    # index of the first matching rule (each pattern evaluated at most once)
+    idx = F.lit(None).cast("int")
+    for i in reversed(range(len(rules))):
+        idx = F.when(name.rlike(_anchored(rules[i][0])), F.lit(i)).otherwise(idx)
+    df = raw.withColumn("_rule", F.when(allowed, idx))
+    rule = F.col("_rule")
+    metric = F.element_at(F.array(*[F.lit(r[1]) for r in rules]), rule + 1)
     labels = {}
     for lname in LABEL_NAMES:
         expr = F.lit(None).cast("string")
-        for pattern, _, groups in reversed(rules):
-            val = (F.regexp_extract(name, _anchored(pattern), groups[lname])
-                   if lname in groups else F.lit(None).cast("string"))
-            expr = F.when(name.rlike(_anchored(pattern)), val).otherwise(expr)
+        for i, (pattern, _, groups) in enumerate(rules):
+            if lname in groups:
+                expr = F.when(rule == i, F.regexp_extract(name, _anchored(pattern),
+                                                          groups[lname])).otherwise(expr)
         labels[lname] = expr
-    df = (raw.where(allowed).withColumn("metric", metric).where(F.col("metric").isNotNull()))
+    ok = rule.isNotNull()
     if flat:
-        return df.select("metric", *[labels[k].alias(k) for k in LABEL_NAMES], "ts", "value")
+        return keep_rows(df, ok, [metric.alias("metric"),
+                                  *[labels[k].alias(k) for k in LABEL_NAMES],
+                                  F.col("ts"), F.col("value")])
     entries = F.array(*[F.struct(F.lit(k).alias("key"), labels[k].alias("value"))
                         for k in LABEL_NAMES])
     lab = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    return df.select("metric", lab.alias("labels"), "ts", "value")
+    return keep_rows(df, ok, [metric.alias("metric"), lab.alias("labels"), F.col("ts"),
+                              F.col("value")])

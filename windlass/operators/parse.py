@@ -60,6 +60,13 @@ def _decode(raw: DataFrame, schema: T.StructType, lenient: bool) -> DataFrame:
     return df.withColumn("_bad", bad)
 
 
+def keep_rows(df: DataFrame, ok: Column, cols: list[Column]) -> DataFrame:
+    """``df.where(ok).select(cols)`` evaluated as one generator: a filter on
+    an expensive derived column (a parsed JSON struct) would otherwise be
+    pushed below the projection and the expression computed twice."""
+    return df.select(F.inline(F.when(ok, F.array(F.struct(*cols)))))
+
+
 def _order_fields(lenient: bool) -> list[Column]:
     out = []
     for f in ORDER.fields:
@@ -81,8 +88,10 @@ def parse_orders(raw: DataFrame, lenient: bool = False) -> DataFrame:
     fields (truncated), as Jackson does by default.
     """
     df = _decode(raw, ORDER, lenient)
-    df = df.where(F.col("value").isNotNull() & ~F.col("_bad"))
-    return valid_orders(df.select(*_order_fields(lenient)))
+    fields = _order_fields(lenient)
+    ts = fields[ORDER_COLUMNS.index("orderTimestamp")]
+    ok = F.col("value").isNotNull() & ~F.col("_bad") & (ts > 0)
+    return keep_rows(df, ok, fields)
 
 
 def rejected_orders(raw: DataFrame, lenient: bool = False) -> DataFrame:
@@ -97,9 +106,10 @@ def rejected_orders(raw: DataFrame, lenient: bool = False) -> DataFrame:
     reason = (F.when(F.col("value").isNull(), F.lit("null_value"))
               .when(F.col("_bad"), F.lit("malformed"))
               .when(ts <= 0, F.lit("bad_timestamp")))
-    meta = [c for c in ("topic", "partition", "offset") if c in raw.columns]
-    return (df.withColumn("reason", reason).where(F.col("reason").isNotNull())
-            .select(*meta, "reason", F.col("value").cast("string").alias("value")))
+    meta = [F.col(c) for c in ("topic", "partition", "offset") if c in raw.columns]
+    df = df.withColumn("reason", reason)
+    return keep_rows(df, F.col("reason").isNotNull(),
+                     [*meta, F.col("reason"), F.col("value").cast("string").alias("value")])
 
 
 def valid_orders(df: DataFrame) -> DataFrame:
@@ -135,7 +145,7 @@ def parse_metrics(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ignored, unreadable records are skipped.  ``keep`` names raw columns to
     carry along (e.g. key, offset)."""
     df = _decode(raw, METRICS, lenient=False)
-    df = df.where(F.col("value").isNotNull() & F.col("_p").isNotNull() & ~F.col("_bad"))
+    ok = F.col("value").isNotNull() & F.col("_p").isNotNull() & ~F.col("_bad")
     prim = {"windowStart", "windowEnd", "orderCount", "totalRevenue", "avgOrderValue",
             "maxOrderValue", "minOrderValue", "uniqueCustomers"}
     cols = []
@@ -144,4 +154,4 @@ def parse_metrics(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         if f.name in prim:
             c = F.coalesce(c, F.lit(0).cast(f.dataType))
         cols.append(c.alias(f.name))
-    return df.select(*keep, *cols)
+    return keep_rows(df, ok, [*[F.col(k) for k in keep], *cols])
