@@ -41,8 +41,8 @@ def _lenient(schema: T.StructType) -> T.StructType:
 
 def _coerce(c: Column, target: T.DataType) -> Column:
     if isinstance(target, (T.IntegerType, T.LongType)):
-        return F.try_cast(F.try_cast(c, "double"), target)
-    return F.try_cast(c, target)
+        return c.try_cast("double").try_cast(target)
+    return c.try_cast(target)
 
 
 def _decode(raw: DataFrame, schema: T.StructType, lenient: bool) -> DataFrame:

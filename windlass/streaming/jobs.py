@@ -8,6 +8,7 @@ use the same streaming plan.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,7 +95,7 @@ def stream_metrics_summary(spark: SparkSession, metrics_source: str,
     periodic summary; use ``trigger(processingTime='60 seconds')`` when run
     continuously)."""
     checkpoint = checkpoint or shared_dir(spark, "summary-ckpt")
-    name = "metrics_summary_" + checkpoint.rsplit("-", 1)[-1]
+    name = "metrics_summary_" + uuid.uuid4().hex[:12]
     raw = spark.readStream.format("text").load(metrics_source)
     summary = metrics_summary(parse_metrics(raw))
     run = run_available_now(summary, "", checkpoint, fmt="memory", mode="complete", name=name)
