@@ -45,7 +45,8 @@ def reported_min(raw_min: Column | str) -> Column:
 
 def fixed(x: Column | str, decimals: int = 2, missing: str | None = None) -> Column:
     """``%.Nf`` text (Java formatter, HALF_UP); ``missing`` replaces null."""
-    out = F.format_string(f"%.{int(decimals)}f", col(x))
+    v = col(x)
+    out = F.when(v.isNotNull(), F.format_string(f"%.{int(decimals)}f", v))
     return F.coalesce(out, F.lit(missing)) if missing is not None else out
 
 

@@ -274,8 +274,8 @@ def report_csv_row(report: DataFrame) -> DataFrame:
     """SNK-5 text form: every figure with its CSV decimals, ``N/A`` when missing."""
     cols = [F.col("timestamp"), F.col("label"), F.col("duration_min").cast("string")]
     for c in REPORT_COLUMNS[3:]:
-        cols.append(F.coalesce(F.format_string(f"%.{DECIMALS.get(c, 0)}f", F.col(c)),
-                               F.lit("N/A")).alias(c))
+        text = F.format_string(f"%.{DECIMALS.get(c, 0)}f", F.col(c))
+        cols.append(F.when(F.col(c).isNull(), F.lit("N/A")).otherwise(text).alias(c))
     return report.select(*cols)
 
 
