@@ -109,3 +109,11 @@ def test_summary_and_dedupe(spark):
     assert dedupe_metrics(m.unionByName(m)).count() == 2
     empty = m.where(F.lit(False))
     assert tuple(metrics_summary(empty).collect()[0]) == (0, 0)
+
+
+def test_observe_counters(spark):
+    """AGG-11: produced / error counters collected while the data flows."""
+    from windlass.operators.observe import observe_orders
+    df, obs = observe_orders(raw(spark, [json.dumps(GOOD), "{bad", None, _with(orderTimestamp=0)]))
+    assert parse_orders(df).count() == 1
+    assert obs.get == {"messages": 4, "errors": 3}
