@@ -75,20 +75,18 @@ def series_lag(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
     bucket, joined back on series x bucket).
     """
     order = [ts] + ([tiebreak] if tiebreak else [])
-    b = F.floor(F.col(ts) / F.lit(bucket_ms)).cast("long")
-    d = df.withColumn("_bkt", b)
+    base = list(df.columns)
+    d = df.select("*", F.floor(F.col(ts) / F.lit(bucket_ms)).cast("long").alias("_bkt"))
     w = Window.partitionBy(*keys, "_bkt").orderBy(*order)
     carried = [ts, *cols]
-    d = d.withColumn("_first", F.row_number().over(w) == 1)
-    for c in carried:
-        d = d.withColumn(prefix + c, F.lag(c).over(w))
+    d = d.select("*", (F.row_number().over(w) == 1).alias("_first"),
+                 *[F.lag(c).over(w).alias("_l_" + c) for c in carried])
     tail = F.max_by(F.struct(*[F.col(c) for c in carried]),
                     F.struct(*[F.col(c) for c in order]))
-    tails = d.groupBy(*keys, "_bkt").agg(tail.alias("_tail"))
     wt = Window.partitionBy(*keys).orderBy("_bkt")
-    tails = tails.select(*keys, "_bkt", F.lag("_tail").over(wt).alias("_ptail"))
+    tails = (d.groupBy(*keys, "_bkt").agg(tail.alias("_tail"))
+             .select(*keys, "_bkt", F.lag("_tail").over(wt).alias("_ptail")))
     d = d.join(tails, [*keys, "_bkt"], "left")
-    for c in carried:
-        d = d.withColumn(prefix + c, F.when(F.col("_first"), F.col(f"_ptail.{c}"))
-                         .otherwise(F.col(prefix + c)))
-    return d.drop("_bkt", "_first", "_ptail")
+    return d.select(*base, *[
+        F.when(F.col("_first"), F.col(f"_ptail.{c}")).otherwise(F.col("_l_" + c)).alias(prefix + c)
+        for c in carried])

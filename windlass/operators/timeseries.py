@@ -36,12 +36,13 @@ LOOKBACK_MS = 300_000
 
 def with_series(samples: DataFrame) -> DataFrame:
     """Add ``ts_ms`` (epoch ms) and ``_sk`` (key-sorted label entries)."""
-    df = samples
-    if "ts_ms" not in df.columns:
-        df = df.withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    if "_sk" not in df.columns:
-        df = df.withColumn("_sk", F.array_sort(F.map_entries(F.col("labels"))))
-    return df
+    cols = samples.columns
+    add = []
+    if "ts_ms" not in cols:
+        add.append(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    if "_sk" not in cols:
+        add.append(F.array_sort(F.map_entries(F.col("labels"))).alias("_sk"))
+    return samples.select("*", *add) if add else samples
 
 
 def series_labels(sk: Column | str = "_sk") -> Column:
@@ -120,19 +121,18 @@ def resample(samples: DataFrame, at_ms: int, range_ms: int, step_ms: int = STEP_
     """
     first, last = grid_bounds(at_ms, range_ms, step_ms)
     s = with_series(samples)
-    s = s.where((F.col("ts_ms") > first - lookback_ms) & (F.col("ts_ms") <= last))
     bucket = (F.ceil(F.col("ts_ms") / F.lit(step_ms)) * step_ms).cast("long")
-    b = (s.withColumn("_b", bucket).groupBy("metric", "_sk", "_b")
+    b = (s.where((F.col("ts_ms") > first - lookback_ms) & (F.col("ts_ms") <= last))
+         .groupBy("metric", "_sk", bucket.alias("_b"))
          .agg(F.max_by(F.struct("ts_ms", "value"), "ts_ms").alias("_l")))
     w = Window.partitionBy("metric", "_sk").orderBy("_b")
-    nxt = F.lead("_b").over(w)
+    b = b.select("*", F.lead("_b").over(w).alias("_nb"))
     stale = (F.floor((F.col("_l.ts_ms") + F.lit(lookback_ms - 1)) / F.lit(step_ms)) * step_ms)
-    upto = F.least(F.coalesce(nxt - step_ms, F.lit(last)), stale.cast("long"), F.lit(last))
+    upto = F.least(F.coalesce(F.col("_nb") - step_ms, F.lit(last)), stale.cast("long"), F.lit(last))
     frm = F.greatest(F.col("_b"), F.lit(first))
-    b = b.withColumn("_from", frm).withColumn("_to", upto).where(F.col("_from") <= F.col("_to"))
-    steps = F.explode(F.sequence("_from", "_to", F.lit(step_ms).cast("long")))
-    return b.select("metric", "_sk", steps.alias("step"), F.col("_l.value").alias("value"),
-                    F.col("_l.ts_ms").alias("sample_ts"))
+    steps = F.when(frm <= upto, F.sequence(frm, upto, F.lit(step_ms).cast("long")))
+    return b.select("metric", "_sk", F.explode(steps).alias("step"),
+                    F.col("_l.value").alias("value"), F.col("_l.ts_ms").alias("sample_ts"))
 
 
 def over_time(resampled: DataFrame, func: str) -> DataFrame:
@@ -164,35 +164,34 @@ def counter_rate(samples: DataFrame, at_ms: int, range_ms: int, window_ms: int,
     gap, else half a gap; counters never extrapolate below zero).
     """
     first, last = grid_bounds(at_ms, range_ms, step_ms)
-    s = with_series(samples)
-    s = s.where((F.col("ts_ms") > first - window_ms) & (F.col("ts_ms") <= last))
-    s = series_lag(s, ["metric", "_sk"], "ts_ms", ["value"], bucket_ms=lag_bucket_ms)
+    s = with_series(samples).where((F.col("ts_ms") > first - window_ms) & (F.col("ts_ms") <= last))
+    s = series_lag(s.select("metric", "_sk", "ts_ms", "value"), ["metric", "_sk"], "ts_ms",
+                   ["value"], bucket_ms=lag_bucket_ms)
     v, pv = F.col("value"), F.col("prev_value")
     if is_counter:
         inc = F.when(pv.isNull(), F.lit(0.0)).when(v < pv, v).otherwise(v - pv)
     else:
         inc = F.when(pv.isNull(), F.lit(0.0)).otherwise(v - pv)
-    s = s.withColumn("_inc", inc)
     frm = F.greatest((F.ceil(F.col("ts_ms") / F.lit(step_ms)) * step_ms).cast("long"), F.lit(first))
     to = F.least((F.floor((F.col("ts_ms") + F.lit(window_ms - 1)) / F.lit(step_ms))
                   * step_ms).cast("long"), F.lit(last))
-    s = s.withColumn("_from", frm).withColumn("_to", to).where(F.col("_from") <= F.col("_to"))
-    s = s.withColumn("step", F.explode(F.sequence("_from", "_to", F.lit(step_ms).cast("long"))))
+    steps = F.when(frm <= to, F.sequence(frm, to, F.lit(step_ms).cast("long")))
+    s = s.select("metric", "_sk", "ts_ms", "value", inc.alias("_inc"),
+                 F.explode(steps).alias("step"))
     g = s.groupBy("metric", "_sk", "step").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min_by(F.struct("ts_ms", "value", "_inc"), "ts_ms").alias("_f"),
         F.max_by(F.struct("ts_ms", "value"), "ts_ms").alias("_l"),
         F.sum("_inc").alias("_sinc"),
-    ).where(F.col("_n") >= 2)
+    )
     if is_counter:
         result = F.col("_sinc") - F.col("_f._inc")
     else:
         result = F.col("_l.value") - F.col("_f.value")
-    g = g.withColumn("_res", result)
-    return g.select("metric", "_sk", "step",
-                    extrapolate(F.col("_res"), F.col("_f.ts_ms"), F.col("_l.ts_ms"),
-                                F.col("_f.value"), F.col("_n"), F.col("step"), window_ms,
-                                is_counter, is_rate).alias("value"))
+    return g.where(F.col("_n") >= 2).select(
+        "metric", "_sk", "step",
+        extrapolate(result, F.col("_f.ts_ms"), F.col("_l.ts_ms"), F.col("_f.value"),
+                    F.col("_n"), F.col("step"), window_ms, is_counter, is_rate).alias("value"))
 
 
 def extrapolate(result: Column, first_ts: Column, last_ts: Column, first_v: Column,

@@ -362,12 +362,112 @@ def panel(p: Panel, s: DataFrame, at_ms: int, range_ms: int) -> DataFrame:
     raise ValueError(f"unknown panel kind {p.kind}")
 
 
+_RESAMPLED_KINDS = ("gauge", "minus_time", "diff", "sum", "avg_pct", "sum_by_pod",
+                    "count_by_phase", "ready")
+_GROUPED_KINDS = ("sum", "avg_pct", "sum_by_pod", "count_by_phase", "ready")
+
+
+def _tag_panels(df: DataFrame, tags: list[tuple[str, str, Source]]) -> DataFrame:
+    """Copy each row once per (panel, role) whose selector it matches."""
+    cols = list(df.columns)
+    if "labels" not in cols:
+        df = df.withColumn("labels", series_labels("_sk"))
+    arr = F.array(*[F.when(_source_pred(src), F.struct(F.lit(p).alias("panel"),
+                                                       F.lit(role).alias("role")))
+                    for p, role, src in tags])
+    return (df.withColumn("_t", F.explode(arr)).where(F.col("_t").isNotNull())
+            .select("_t.panel", "_t.role", *cols))
+
+
+def _lookup(mapping: dict, key: Column, default=None) -> Column:
+    expr = F.lit(default)
+    for k, v in mapping.items():
+        expr = F.when(key == F.lit(k), F.lit(v)).otherwise(expr)
+    return expr
+
+
 def dashboard_panels(samples: DataFrame, at_ms: int, range_ms: int,
                      panels: list[Panel] = TEST_PANELS) -> DataFrame:
-    """TS-22: every panel expression over ``(at - range, at]``, unioned."""
+    """TS-22: every panel expression over ``(at - range, at]``, as
+    ``(panel, step, series, value)``.
+
+    Shared passes instead of one plan per panel: one resample over all
+    gauge selectors (rows tagged with the panels that read them), one
+    grouped aggregate for every per-step reduction, a self-join for
+    difference panels, one counter-rate pass per rate window.
+    """
     s = with_series(samples)
-    frames = [panel(p, s, at_ms, range_ms) for p in panels]
-    out = frames[0]
-    for f in frames[1:]:
+    kinds = {p.name: p.kind for p in panels}
+    scales = {p.name: float(p.scale) for p in panels}
+    kind = _lookup(kinds, F.col("panel"))
+    series = _series_name()
+    parts = []
+
+    tags = []
+    for p in panels:
+        if p.kind in _RESAMPLED_KINDS:
+            tags.append((p.name, "L", p.source))
+            if p.kind == "diff":
+                tags.append((p.name, "R", p.other))
+    if tags:
+        sel = F.lit(False)
+        for _, _, src in tags:
+            sel = sel | _source_pred(src)
+        r = resample(s.where(sel), at_ms, range_ms).drop("sample_ts")
+        t = _tag_panels(r, tags)
+        # per-series panels
+        ident = t.where(kind.isin("gauge", "minus_time") & (F.col("role") == "L"))
+        parts.append(ident.select(
+            "panel", "step", series.alias("series"),
+            F.when(kind == "minus_time", F.col("value") - F.col("step").cast("double") * 1.0)
+            .otherwise(F.col("value")).alias("value")))
+        # difference panels: matched on identical label sets per step
+        if any(p.kind == "diff" for p in panels):
+            lft = t.where((kind == "diff") & (F.col("role") == "L")).select(
+                "panel", "_sk", "step", F.col("value").alias("_lv"))
+            rgt = t.where((kind == "diff") & (F.col("role") == "R")).select(
+                "panel", "_sk", "step", F.col("value").alias("_rv"))
+            j = lft.join(rgt, ["panel", "_sk", "step"])
+            parts.append(j.select("panel", "step", series.alias("series"),
+                                  (F.col("_lv") - F.col("_rv")).alias("value")))
+        # per-step reductions (sum, avg x100, sum by pod, count by phase, ready or 0)
+        grouped = t.where(kind.isin(*_GROUPED_KINDS))
+        lab = series_labels("_sk")
+        gkey = (F.when(kind == "sum_by_pod", F.coalesce(lab["pod"], F.lit("")))
+                .when(kind == "count_by_phase", F.coalesce(lab["phase"], F.lit("")))
+                .otherwise(F.lit("")))
+        g_in = grouped.select("panel", "step", gkey.alias("series"), "value")
+        ready = [p.name for p in panels if p.kind == "ready"]
+        if ready:
+            grid = step_grid(s, at_ms, range_ms)
+            names = F.array(*[F.lit(n) for n in ready])
+            g_in = g_in.unionByName(grid.select(
+                F.explode(names).alias("panel"), "step", F.lit("").alias("series"),
+                F.lit(None).cast("double").alias("value")))
+        agg = g_in.groupBy("panel", "step", "series").agg(
+            F.sum("value").alias("_sum"), F.avg("value").alias("_avg"),
+            F.count("value").cast("double").alias("_cnt"),
+            F.count_if(F.col("value") == 1.0).cast("double").alias("_rdy"))
+        parts.append(agg.select(
+            "panel", "step", "series",
+            F.when(kind.isin("sum", "sum_by_pod"), F.col("_sum"))
+            .when(kind == "avg_pct", F.col("_avg") * F.lit(100.0))
+            .when(kind == "count_by_phase", F.col("_cnt"))
+            .when(kind == "ready", F.col("_rdy")).alias("value")))
+
+    for w in sorted({p.window_ms for p in panels if p.kind in ("sum_rate", "rate_by_pod")}):
+        rp = [p for p in panels if p.kind in ("sum_rate", "rate_by_pod") and p.window_ms == w]
+        sel = F.lit(False)
+        for p in rp:
+            sel = sel | _source_pred(p.source)
+        rt = _tag_panels(counter_rate(s.where(sel), at_ms, range_ms, w),
+                         [(p.name, "L", p.source) for p in rp])
+        gkey = F.when(kind == "rate_by_pod", F.coalesce(series_labels("_sk")["pod"], F.lit(""))
+                      ).otherwise(F.lit(""))
+        parts.append(rt.groupBy("panel", "step", gkey.alias("series"))
+                     .agg(F.sum("value").alias("value")))
+
+    out = parts[0]
+    for f in parts[1:]:
         out = out.unionByName(f)
-    return out
+    return out.withColumn("value", F.col("value") * _lookup(scales, F.col("panel"), 1.0))

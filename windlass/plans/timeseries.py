@@ -41,6 +41,14 @@ def staged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_series(read_samples(spark, path))
 
 
+def checkpointed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived samples computed once and reliably checkpointed into the
+    shared checkpoint folder, for plans that read them in several branches."""
+    s = samples(spark, sf_dir)
+    shared_dir(spark, "samples")  # ensures a checkpoint folder is configured
+    return s.checkpoint(eager=True)
+
+
 def latest_ms(s: DataFrame) -> int:
     """Evaluation instant: the newest sample (one-row aggregate)."""
     return int(s.agg(F.max("ts_ms")).first()[0])
@@ -162,12 +170,12 @@ def q_normalise_broker(spark, sf_dir):
 
 
 def q_scenario_report(spark, sf_dir):
-    s = samples(spark, sf_dir)
+    s = checkpointed_samples(spark, sf_dir)
     return scenario_report(s, latest_ms(s), RANGE_MS // 60_000, label="events-derived")
 
 
 def q_dashboard_panels(spark, sf_dir):
-    s = samples(spark, sf_dir)
+    s = checkpointed_samples(spark, sf_dir)
     d = dashboard_panels(s, latest_ms(s), RANGE_MS)
     return d.withColumn("value", F.round("value", 6))
 

@@ -161,11 +161,12 @@ def counter_samples_from_events(events: DataFrame, block: int = 1000) -> DataFra
     resets).  The
     running sum is partitioned by series x block, so no series is ever a
     single window partition."""
-    s = _sample_rows(events).withColumn("_blk", F.floor(F.col("event_id") / block))
-    w = (Window.partitionBy("metric", "pod", "_blk").orderBy("event_id")
+    s = _sample_rows(events)
+    blk = F.floor(F.col("event_id") / block)
+    w = (Window.partitionBy("metric", "pod", blk).orderBy("event_id")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    s = (s.withColumn("value", F.sum(F.round(F.col("value") * 100)).over(w))
-         .withColumn("metric", F.concat("metric", F.lit("_total"))))
+    s = s.select(F.concat("metric", F.lit("_total")).alias("metric"), "pod", "phase", "ts_ms",
+                 F.sum(F.round(F.col("value") * 100)).over(w).alias("value"), "event_id")
     last = (s.groupBy("metric", "pod", "phase", "ts_ms")
             .agg(F.max_by("value", "event_id").alias("value")))
     return _as_samples(last)
