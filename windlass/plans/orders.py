@@ -82,7 +82,7 @@ def q_late_data_drop(spark, sf_dir, batches: int = 10):
     for b in range(1, batches + 1):
         write_json_lines(staged.where(F.col("batch") == b), src)
         raw = spark.readStream.format("text").load(src)
-        run_available_now(order_metrics(parse_orders(raw)), out, ckpt)
+        run_available_now(order_metrics(parse_orders(raw)), out, ckpt, flush=(b == batches))
     return for_compare(spark.read.parquet(out))
 
 

@@ -41,8 +41,24 @@ class StreamRun:
 
 def run_available_now(df: DataFrame, output: str, checkpoint: str, fmt: str = "parquet",
                       mode: str = "append", timeout_s: float = 1800,
-                      name: str | None = None) -> StreamRun:
-    """Run a streaming frame once over all available input, then stop."""
+                      name: str | None = None, flush: bool = True) -> StreamRun:
+    """Run a streaming frame once over all available input, then stop.
+
+    ``flush=False`` skips the trailing no-data batch: windows the new
+    watermark closes are then emitted by the next run's first batch instead
+    (useful when replaying many increments; the watermark itself is kept in
+    the checkpoint either way)."""
+    spark = df.sparkSession
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "true" if flush else "false")
+    try:
+        return _run(df, output, checkpoint, fmt, mode, timeout_s, name)
+    finally:
+        spark.conf.set(key, before)
+
+
+def _run(df, output, checkpoint, fmt, mode, timeout_s, name) -> StreamRun:
     w = (df.writeStream.format(fmt).outputMode(mode)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True))
     if fmt not in ("memory", "console"):
