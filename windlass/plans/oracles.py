@@ -106,6 +106,9 @@ SELECT min("orderTimestamp") AS "windowStart", max("orderTimestamp") + 10000 AS
        count(DISTINCT "customerId") + max(CASE WHEN "customerId" IS NULL THEN 1 ELSE 0 END) AS "uniqueCustomers"
 FROM G GROUP BY category, region, sid"""
 
+_SESSIONS_STREAM = _SESSIONS + """
+HAVING max("orderTimestamp") + 10000 <= (SELECT max("orderTimestamp") FROM O) - 5000"""
+
 _VALID_W = 'W WHERE reason IS NULL AND "orderTimestamp" > 0'
 
 _PARSE = "WITH " + W_CTE + """
@@ -156,6 +159,8 @@ ORACLES = {
     "late_data_drop": _LATE,
     "order_sessions": _SESSIONS,
     "merge_partials_5m": metrics_sql(300000),
+    "rollup_partials_10m": metrics_sql(600000),
+    "order_sessions_stream": _SESSIONS_STREAM,
     "parse_orders_json": _PARSE,
     "rejected_orders": _REJECTED,
     "order_total_mismatch": _MISMATCH,

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..operators.ordering import global_rank, ntile
 from ..operators.parse import encode_metrics, parse_metrics, parse_orders, rejected_orders
 from ..operators.reader import dedupe_metrics, format_metrics, metrics_summary
-from ..operators.windows import (merge_metrics, order_metrics, order_metrics_session,
-                                 order_partials, order_total_mismatch)
+from ..operators.windows import (merge_metrics, merge_partials, order_metrics,
+                                 order_metrics_session, order_partials, order_total_mismatch)
 from ..functions.scalar import safe_div
 from ..schemas import ORDER_COLUMNS
 from ..session import configure, shared_dir
@@ -95,6 +95,24 @@ def q_merge_partials_5m(spark, sf_dir):
     return for_compare(merge_metrics(parts, size="5 minutes"))
 
 
+def q_rollup_partials_10m(spark, sf_dir):
+    """AGG-9 twice: 30 s partials -> 5 min partials -> 10 min metrics."""
+    parts = order_partials(_orders(spark, sf_dir), size="30 seconds")
+    return for_compare(merge_metrics(merge_partials(parts, size="5 minutes"), size="10 minutes"))
+
+
+def q_order_sessions_stream(spark, sf_dir):
+    """WIN-5 on a stream: session windows closed by the watermark."""
+    events = read_table(spark, sf_dir, "events")
+    configure(spark)
+    src = shared_dir(spark, "orders-json")
+    write_json_lines(raw_orders_from_events(events).select("value"), src)
+    out, ckpt = shared_dir(spark, "sessions-out"), shared_dir(spark, "sessions-ckpt")
+    raw = spark.readStream.format("text").load(src)
+    run_available_now(order_metrics_session(parse_orders(raw), gap="10 seconds"), out, ckpt)
+    return for_compare(spark.read.parquet(out))
+
+
 def q_approx_customers(spark, sf_dir):
     return for_compare(order_metrics(_orders(spark, sf_dir), size="30 seconds", exact=False))
 
@@ -155,6 +173,8 @@ QUERIES = {
     "late_data_drop": q_late_data_drop,
     "order_sessions": q_order_sessions,
     "merge_partials_5m": q_merge_partials_5m,
+    "rollup_partials_10m": q_rollup_partials_10m,
+    "order_sessions_stream": q_order_sessions_stream,
     "approx_customers": q_approx_customers,
     "parse_orders_json": q_parse_orders_json,
     "rejected_orders": q_rejected_orders,
