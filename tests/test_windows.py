@@ -114,3 +114,30 @@ def test_batch_plan_is_two_phase(spark):
     plan = order_metrics(orders_df(spark, f1_orders()))._jdf.queryExecution() \
         .executedPlan().toString()
     assert "partial_count" in plan and "Exchange" in plan
+
+
+def test_batch_sessions_across_buckets_match_brute_force(spark):
+    """Sessions spanning many time buckets (bucket = 2 x gap here) and equal
+    timestamps: the bucketed sessionization equals a sequential scan."""
+    rnd = random.Random(11)
+    orders, t = [], 1000
+    for i in range(400):
+        t += rnd.choice([0, 1000, 4000, 9000, 10000, 10001, 25000])
+        orders.append(make_order("C%d" % rnd.randint(1, 9), rnd.choice(["A", "B"]), "R",
+                                 float(rnd.randint(1, 50)), t))
+    got = sorted((r.category, r.windowStart, r.windowEnd, r.orderCount, r.uniqueCustomers)
+                 for r in order_metrics_session(orders_df(spark, orders), gap="10 seconds",
+                                                bucket="20 seconds").collect())
+    want = []
+    for cat in ("A", "B"):
+        rows = sorted((o["orderTimestamp"], o["customerId"]) for o in orders if o["category"] == cat)
+        cur = [rows[0]]
+        for r in rows[1:]:
+            if r[0] - cur[-1][0] <= 10000:
+                cur.append(r)
+            else:
+                want.append((cat, cur[0][0], cur[-1][0] + 10000, len(cur), len({c for _, c in cur})))
+                cur = [r]
+        want.append((cat, cur[0][0], cur[-1][0] + 10000, len(cur), len({c for _, c in cur})))
+    assert got == sorted(want)
+    assert max(w[2] - w[1] for w in want) > 60_000  # some sessions cross several buckets

@@ -10,7 +10,7 @@ one task).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import reported_max, reported_min, safe_div
@@ -82,13 +82,78 @@ def order_metrics(orders: DataFrame, size: str = "30 seconds", delay: str | None
 
 
 def order_metrics_session(orders: DataFrame, gap: str = "10 seconds",
-                          delay: str | None = "5 seconds", exact: bool = True) -> DataFrame:
+                          delay: str | None = "5 seconds", exact: bool = True,
+                          bucket: str = "1 hour") -> DataFrame:
     """WIN-5: session windows per category x region.  A session starts at
     its first order and ends ``gap`` after its last; an order no later than
-    the current end joins the session.  Same aggregates as order_metrics."""
-    df = _prepare(orders, delay)
-    g = df.groupBy(F.session_window("eventTime", gap).alias("window"), *KEYS)
-    return _finish(g.agg(*_raw_aggs(df.isStreaming, exact)))
+    the current end joins the session.  Same aggregates as order_metrics.
+
+    Streams use ``session_window`` (state per key; micro-batches are
+    bounded).  Batch frames use :func:`_batch_sessions`, which never puts a
+    whole key into one task.
+    """
+    if orders.isStreaming:
+        df = _prepare(orders, delay)
+        g = df.groupBy(F.session_window("eventTime", gap).alias("window"), *KEYS)
+        return _finish(g.agg(*_raw_aggs(True, exact)))
+    return _batch_sessions(valid_orders(orders), _interval_ms(gap),
+                           max(_interval_ms(bucket), 2 * _interval_ms(gap)), exact)
+
+
+def _batch_sessions(orders: DataFrame, gap_ms: int, bucket_ms: int, exact: bool) -> DataFrame:
+    """Exact gap sessions without a per-key partition.
+
+    1. distinct (key, ts) instants, windowed per key x time bucket: a new
+       local session starts where the gap to the previous instant exceeds
+       ``gap_ms`` (instants are unique, so the order is total);
+    2. only the first and last local session of a bucket can continue
+       across a bucket edge; those boundary sessions (<= 2 per key x
+       bucket) are chained with a small gaps-and-islands pass;
+    3. every instant gets its final session id (the session's first
+       instant) and the orders are aggregated by (key, session id) with the
+       usual partial / two-phase distinct plan.
+    """
+    ts = F.col("orderTimestamp")
+    keys = list(KEYS)
+    unbounded = Window.unboundedPreceding
+    inst = (orders.select(*keys, ts.alias("ts")).distinct()
+            .withColumn("_b", F.floor(F.col("ts") / F.lit(bucket_ms)).cast("long")))
+    w = Window.partitionBy(*keys, "_b").orderBy("ts")
+    inst = inst.select("*", F.when(F.col("ts") - F.lag("ts").over(w) <= gap_ms, F.lit(0))
+                       .otherwise(F.lit(1)).alias("_brk"))
+    inst = inst.select(*keys, "ts", "_b",
+                       F.sum("_brk").over(w.rowsBetween(unbounded, 0)).alias("_ls"))
+    local = (inst.groupBy(*keys, "_b", "_ls")
+             .agg(F.min("ts").alias("_first"), F.max("ts").alias("_last")))
+    wl = Window.partitionBy(*keys, "_b")
+    local = local.select("*", (F.max("_ls").over(wl) == F.col("_ls")).alias("_is_last"))
+    edge = local.where((F.col("_ls") == 1) | F.col("_is_last"))
+    we = Window.partitionBy(*keys).orderBy("_first")
+    edge = edge.select("*", F.when(F.col("_first") - F.lag("_last").over(we) <= gap_ms,
+                                   F.lit(None)).otherwise(F.col("_first")).alias("_start"))
+    edge = edge.select(*keys, "_b", "_ls",
+                       F.max("_start").over(we.rowsBetween(unbounded, 0)).alias("_island"))
+    sid = (local.join(edge, [*keys, "_b", "_ls"], "left")
+           .select(*keys, "_b", "_ls", F.coalesce("_island", "_first").alias("_sid")))
+    ts_sid = inst.join(sid, [*keys, "_b", "_ls"]).select(*keys, "ts", "_sid")
+    o = orders.join(ts_sid.withColumnRenamed("ts", "orderTimestamp"),
+                    [*keys, "orderTimestamp"])
+    amount = F.col("totalAmount")
+    agg = o.groupBy(*keys, "_sid").agg(
+        F.max("orderTimestamp").alias("_lastTs"),
+        F.count(F.lit(1)).alias("orderCount"),
+        F.sum(amount).alias("totalRevenue"),
+        F.max(amount).alias("_max"),
+        F.min(amount).alias("_min"),
+        _distinct_customers(False, exact).alias("uniqueCustomers"))
+    return agg.select(
+        F.col("_sid").alias("windowStart"),
+        (F.col("_lastTs") + F.lit(gap_ms)).alias("windowEnd"),
+        *keys, "orderCount", "totalRevenue",
+        safe_div("totalRevenue", "orderCount").alias("avgOrderValue"),
+        reported_max("_max").alias("maxOrderValue"),
+        reported_min("_min").alias("minOrderValue"),
+        "uniqueCustomers")
 
 
 def order_partials(orders: DataFrame, size: str = "30 seconds",
