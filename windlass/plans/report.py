@@ -43,7 +43,8 @@ class Source:
     regex: dict = field(default_factory=dict)
 
 
-# The metric names and selectors the reference's report reads.
+# The metric names and selectors the reference's report reads
+# (the deployment namespace is left to the caller: add it to ``eq``).
 REFERENCE_SOURCES = {
     "send_rate": Source("kafka_producer_record_send_rate", {"application": "kafka-producer"}),
     "base_throughput": Source("producer_throughput_base", {"application": "kafka-producer"}),
@@ -58,7 +59,7 @@ REFERENCE_SOURCES = {
     "records_in": Source("flink_taskmanager_job_task_numRecordsInPerSecond"),
     "backpressure": Source("flink_taskmanager_job_task_isBackPressured"),
     "checkpoint": Source("flink_jobmanager_job_lastCheckpointDuration"),
-    "ready": Source("kube_pod_status_ready", {"namespace": "vvp", "condition": "true"}),
+    "ready": Source("kube_pod_status_ready", {"condition": "true"}),
 }
 
 # The same figures mapped onto the samples derived from the test tables.
