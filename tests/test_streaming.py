@@ -68,3 +68,19 @@ def test_reader_streams(spark, tmp):
     assert len(got) == 2 and got[0].startswith("[window=0-30000] category=ELECTRONICS")
     summary, _ = stream_metrics_summary(spark, msrc, os.path.join(tmp, "sck"))
     assert tuple(summary.collect()[0]) == (2, 60000)
+
+
+def test_stream_dedupe(spark, tmp):
+    """At-least-once duplicates of window rows removed on a stream."""
+    from conftest import orders_df
+    from windlass.operators.parse import parse_metrics
+    from windlass.operators.reader import dedupe_metrics
+    m = order_metrics(orders_df(spark, f1_orders()))
+    lines = [r.value.decode() for r in encode_metrics(m).collect()]
+    src = os.path.join(tmp, "m")
+    write_lines(src, "a.json", lines + lines)
+    write_lines(src, "b.json", lines[:1])
+    raw = spark.readStream.format("text").load(src)
+    out, ck = os.path.join(tmp, "o"), os.path.join(tmp, "c")
+    run_available_now(dedupe_metrics(parse_metrics(raw)), out, ck)
+    assert spark.read.parquet(out).count() == 2

@@ -29,10 +29,14 @@ def metrics_summary(metrics: DataFrame) -> DataFrame:
         F.coalesce(F.max("windowEnd"), F.lit(0).cast("long")).alias("lastWindowEnd"))
 
 
-def dedupe_metrics(metrics: DataFrame) -> DataFrame:
+def dedupe_metrics(metrics: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """At-least-once delivery can repeat a window row; keep one per
-    window x category x region (streams: within the watermark)."""
+    window x category x region.  On a stream the duplicates are tracked only
+    within ``delay`` of the newest window end (bounded state)."""
     keys = ["windowStart", "category", "region"]
     if metrics.isStreaming:
-        return metrics.dropDuplicatesWithinWatermark(keys)
+        cols = metrics.columns
+        return (metrics.withColumn("_ws", F.timestamp_millis("windowEnd"))
+                .withWatermark("_ws", delay)
+                .dropDuplicatesWithinWatermark(keys).select(*cols))
     return metrics.dropDuplicates(keys)

@@ -60,13 +60,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     none (a bare local test session) is a private temporary folder set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a session without a local SparkContext handle
+        sc = None
+    if not base and sc is not None:
+        base = sc.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="windlass-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "windlass", f"{name}-{uuid.uuid4().hex[:12]}")
