@@ -163,3 +163,22 @@ def test_global_rank_and_ntile(spark):
     for r in out:
         sizes[r.tile] = sizes.get(r.tile, 0) + 1
     assert [sizes[t] for t in range(1, 11)] == [11, 11, 11] + [10] * 7
+
+
+def test_stored_samples_prune_by_metric_and_time(spark, tmp):
+    """On a samples table partitioned by date and metric, a selector plus a
+    time range reach the scan: partition filters and pushed ts filters."""
+    from windlass.sources.samples import read_samples, write_samples
+    rows = _fixture()
+    path = tmp + "/samples"
+    write_samples(_samples(spark, rows), path)
+    s = read_samples(spark, path)
+    at = max(r[2] for r in rows)
+    plan = (resample(select_series(s, "g"), at, 600_000)._jdf.queryExecution()
+            .executedPlan().toString())
+    assert "PartitionFilters: [isnotnull(metric" in plan and "(metric#" in plan
+    assert "date" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+    got = {(r.pod, r.step): r.value for r in resample(select_series(s, "g"), at, 600_000)
+           .select(series_labels("_sk")["pod"].alias("pod"), "step", "value").collect()}
+    assert got == _brute_resample(rows, at, 600_000)

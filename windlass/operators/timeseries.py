@@ -45,6 +45,23 @@ def with_series(samples: DataFrame) -> DataFrame:
     return samples.select("*", *add) if add else samples
 
 
+def in_time_range(df: DataFrame, lo_ms: int, hi_ms: int) -> DataFrame:
+    """Rows with ``lo_ms < ts_ms <= hi_ms``.  Besides the exact millisecond
+    test, an equivalent predicate on the raw ``ts`` column (and on ``date``
+    when the table is partitioned by it) is added so a parquet scan can
+    prune partitions and skip row groups."""
+    cond = (F.col("ts_ms") > F.lit(lo_ms)) & (F.col("ts_ms") <= F.lit(hi_ms))
+    cols = df.columns
+    if "ts" in cols:
+        ts = F.col("ts").cast("timestamp")
+        cond = (cond & (ts >= F.timestamp_millis(F.lit(lo_ms + 1)))
+                & (ts < F.timestamp_millis(F.lit(hi_ms + 1))))
+    if "date" in cols:
+        cond = (cond & (F.col("date") >= F.to_date(F.timestamp_millis(F.lit(lo_ms + 1))))
+                & (F.col("date") <= F.to_date(F.timestamp_millis(F.lit(hi_ms)))))
+    return df.where(cond)
+
+
 def series_labels(sk: Column | str = "_sk") -> Column:
     """Label map back from the sorted entry array."""
     c = F.col(sk) if isinstance(sk, str) else sk
@@ -102,8 +119,7 @@ def step_grid(df_for_session: DataFrame, at_ms: int, range_ms: int,
 
 def instant(samples: DataFrame, at_ms: int, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
     """TS-3: per series, the latest sample in ``(at - lookback, at]``."""
-    s = with_series(samples)
-    s = s.where((F.col("ts_ms") > at_ms - lookback_ms) & (F.col("ts_ms") <= at_ms))
+    s = in_time_range(with_series(samples), at_ms - lookback_ms, at_ms)
     last = F.max_by(F.struct("ts_ms", "value"), "ts_ms")
     out = s.groupBy("metric", "_sk").agg(last.alias("_l"))
     return out.select("metric", "_sk", F.lit(at_ms).cast("long").alias("step"),
@@ -122,7 +138,7 @@ def resample(samples: DataFrame, at_ms: int, range_ms: int, step_ms: int = STEP_
     first, last = grid_bounds(at_ms, range_ms, step_ms)
     s = with_series(samples)
     bucket = (F.ceil(F.col("ts_ms") / F.lit(step_ms)) * step_ms).cast("long")
-    b = (s.where((F.col("ts_ms") > first - lookback_ms) & (F.col("ts_ms") <= last))
+    b = (in_time_range(s, first - lookback_ms, last)
          .groupBy("metric", "_sk", bucket.alias("_b"))
          .agg(F.max_by(F.struct("ts_ms", "value"), "ts_ms").alias("_l")))
     w = Window.partitionBy("metric", "_sk").orderBy("_b")
@@ -164,7 +180,7 @@ def counter_rate(samples: DataFrame, at_ms: int, range_ms: int, window_ms: int,
     gap, else half a gap; counters never extrapolate below zero).
     """
     first, last = grid_bounds(at_ms, range_ms, step_ms)
-    s = with_series(samples).where((F.col("ts_ms") > first - window_ms) & (F.col("ts_ms") <= last))
+    s = in_time_range(with_series(samples), first - window_ms, last)
     s = series_lag(s.select("metric", "_sk", "ts_ms", "value"), ["metric", "_sk"], "ts_ms",
                    ["value"], bucket_ms=lag_bucket_ms)
     v, pv = F.col("value"), F.col("prev_value")
