@@ -22,7 +22,7 @@ from ..session import configure, shared_dir
 from ..sources.files import write_json_lines
 from ..sources.fixtures import (arrival_order, corrupted_raw_orders, orders_from_events,
                                 raw_orders_from_events, read_table)
-from ..streaming.jobs import run_available_now, stream_order_metrics
+from ..streaming.jobs import default_state_partitions, run_available_now, stream_order_metrics
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,8 @@ def q_late_data_drop(spark, sf_dir, batches: int = 10):
     for b in range(1, batches + 1):
         write_json_lines(staged.where(F.col("batch") == b), src)
         raw = spark.readStream.format("text").load(src)
-        run_available_now(order_metrics(parse_orders(raw)), out, ckpt, flush=(b == batches))
+        run_available_now(order_metrics(parse_orders(raw)), out, ckpt, flush=(b == batches),
+                          state_partitions=default_state_partitions(spark))
     return for_compare(spark.read.parquet(out))
 
 
@@ -109,7 +110,8 @@ def q_order_sessions_stream(spark, sf_dir):
     write_json_lines(raw_orders_from_events(events).select("value"), src)
     out, ckpt = shared_dir(spark, "sessions-out"), shared_dir(spark, "sessions-ckpt")
     raw = spark.readStream.format("text").load(src)
-    run_available_now(order_metrics_session(parse_orders(raw), gap="10 seconds"), out, ckpt)
+    run_available_now(order_metrics_session(parse_orders(raw), gap="10 seconds"), out, ckpt,
+                      state_partitions=default_state_partitions(spark))
     return for_compare(spark.read.parquet(out))
 
 

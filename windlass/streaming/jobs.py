@@ -41,21 +41,40 @@ class StreamRun:
 
 def run_available_now(df: DataFrame, output: str, checkpoint: str, fmt: str = "parquet",
                       mode: str = "append", timeout_s: float = 1800,
-                      name: str | None = None, flush: bool = True) -> StreamRun:
+                      name: str | None = None, flush: bool = True,
+                      state_partitions: int | None = None) -> StreamRun:
     """Run a streaming frame once over all available input, then stop.
 
     ``flush=False`` skips the trailing no-data batch: windows the new
     watermark closes are then emitted by the next run's first batch instead
     (useful when replaying many increments; the watermark itself is kept in
-    the checkpoint either way)."""
+    the checkpoint either way).  ``state_partitions`` sizes the stateful
+    shuffle on a new checkpoint (it is fixed at the first start; later runs
+    keep the recorded value)."""
     spark = df.sparkSession
-    key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "true" if flush else "false")
+    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "true" if flush else "false"}
+    if state_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(int(state_partitions))
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         return _run(df, output, checkpoint, fmt, mode, timeout_s, name)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def default_state_partitions(spark: SparkSession) -> int:
+    """Stateful partitions for a new stream: the cluster's default
+    parallelism (one state partition per core)."""
+    try:
+        return max(1, int(spark.sparkContext.defaultParallelism))
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _run(df, output, checkpoint, fmt, mode, timeout_s, name) -> StreamRun:
@@ -81,7 +100,8 @@ def _run(df, output, checkpoint, fmt, mode, timeout_s, name) -> StreamRun:
 def stream_order_metrics(spark: SparkSession, source: str, output: str | None = None,
                          checkpoint: str | None = None, size: str = "30 seconds",
                          delay: str = "5 seconds", max_files: int | None = None,
-                         exact: bool = True) -> tuple[DataFrame, StreamRun]:
+                         exact: bool = True,
+                         state_partitions: int | None = None) -> tuple[DataFrame, StreamRun]:
     """SRC-3 -> PRJ-1 -> WM-1 -> WIN-1..4 -> SNK-3: JSON order files in,
     closed windows out (append: each window once, when the watermark passes
     its end).  Returns the sink read back as a batch frame."""
@@ -90,7 +110,8 @@ def stream_order_metrics(spark: SparkSession, source: str, output: str | None =
     checkpoint = checkpoint or shared_dir(spark, "metrics-ckpt")
     raw = read_orders_files(spark, source, streaming=True, max_files=max_files)
     metrics = order_metrics(parse_orders(raw), size=size, delay=delay, exact=exact)
-    run = run_available_now(metrics, output, checkpoint)
+    run = run_available_now(metrics, output, checkpoint,
+                            state_partitions=state_partitions or default_state_partitions(spark))
     return spark.read.parquet(output), run
 
 
