@@ -134,3 +134,21 @@ def test_batch_sinks(spark, tmp):
     got = collect_stream(order_metrics(parse_orders(raw)), os.path.join(tmp, "o"),
                          os.path.join(tmp, "c"))
     assert got.count() == 1
+
+
+def test_continuous_reader(spark, tmp):
+    from conftest import orders_df
+    from windlass.streaming.jobs import start_metrics_reader
+    m = order_metrics(orders_df(spark, f1_orders()))
+    src = os.path.join(tmp, "m")
+    write_lines(src, "a.json", [r.value.decode() for r in encode_metrics(m).collect()])
+    raw = spark.readStream.format("text").load(src)
+    logs, summary = start_metrics_reader(raw, os.path.join(tmp, "log"), os.path.join(tmp, "lc"),
+                                         os.path.join(tmp, "sc"), summary_interval="1 second")
+    try:
+        logs.processAllAvailable()
+        summary.processAllAvailable()
+    finally:
+        logs.stop()
+        summary.stop()
+    assert spark.read.text(os.path.join(tmp, "log")).count() == 2

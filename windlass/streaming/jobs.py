@@ -137,3 +137,37 @@ def stream_metrics_summary(spark: SparkSession, metrics_source: str,
     summary = metrics_summary(parse_metrics(raw))
     run = run_available_now(summary, "", checkpoint, fmt="memory", mode="complete", name=name)
     return spark.table(name), run
+
+
+def start_stream(df: DataFrame, checkpoint: str, fmt: str = "parquet", path: str | None = None,
+                 mode: str = "append", trigger: str = "10 seconds",
+                 state_partitions: int | None = None, name: str | None = None, **options):
+    """Start a continuously running query (processing-time trigger) and
+    return the StreamingQuery; the checkpoint makes it restartable."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(int(state_partitions)))
+    try:
+        w = (df.writeStream.format(fmt).outputMode(mode).options(**options)
+             .option("checkpointLocation", checkpoint).trigger(processingTime=trigger))
+        if path:
+            w = w.option("path", path)
+        if name:
+            w = w.queryName(name)
+        return w.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def start_metrics_reader(raw_metrics: DataFrame, log_path: str, log_checkpoint: str,
+                         summary_checkpoint: str, summary_interval: str = "60 seconds"):
+    """The metrics reader as two queries over one source: log lines
+    (append, SNK-4) and the running summary (complete mode, every
+    ``summary_interval``, console sink).  Returns both queries."""
+    metrics = parse_metrics(raw_metrics)
+    lines = format_metrics(metrics).select(F.col("line").alias("value"))
+    logs = start_stream(lines, log_checkpoint, fmt="text", path=log_path, trigger="1 second")
+    summary = start_stream(metrics_summary(metrics), summary_checkpoint, fmt="console",
+                           mode="complete", trigger=summary_interval)
+    return logs, summary
