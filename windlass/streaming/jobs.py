@@ -171,3 +171,20 @@ def start_metrics_reader(raw_metrics: DataFrame, log_path: str, log_checkpoint:
     summary = start_stream(metrics_summary(metrics), summary_checkpoint, fmt="console",
                            mode="complete", trigger=summary_interval)
     return logs, summary
+
+
+def start_orders_job(spark: SparkSession, servers: str, checkpoint: str,
+                     input_topic: str = "orders", output_topic: str = "order-metrics",
+                     size: str = "30 seconds", delay: str = "5 seconds",
+                     trigger: str = "10 seconds", state_partitions: int | None = None):
+    """The windowed-metrics job end to end: Kafka orders -> parse/validate ->
+    event-time windows per category x region -> JSON metrics on Kafka
+    (at-least-once).  Needs the spark-sql-kafka connector on the classpath."""
+    from ..sources.kafka import read_orders_kafka, sink_options
+    from ..operators.parse import encode_metrics
+    configure(spark)
+    raw = read_orders_kafka(spark, servers, topic=input_topic)
+    metrics = order_metrics(parse_orders(raw), size=size, delay=delay)
+    return start_stream(encode_metrics(metrics), checkpoint, fmt="kafka", trigger=trigger,
+                        state_partitions=state_partitions or default_state_partitions(spark),
+                        name="order-metrics", **sink_options(servers, output_topic))
