@@ -141,3 +141,22 @@ def test_batch_sessions_across_buckets_match_brute_force(spark):
         want.append((cat, cur[0][0], cur[-1][0] + 10000, len(cur), len({c for _, c in cur})))
     assert got == sorted(want)
     assert max(w[2] - w[1] for w in want) > 60_000  # some sessions cross several buckets
+
+
+def test_sketch_partials_merge(spark):
+    """Approximate mergeable partials (HLL sketches) roll up like the exact
+    ones; counts/sums are exact, distinct customers within sketch error."""
+    rnd = random.Random(5)
+    orders = [make_order("C%d" % rnd.randint(1, 300), "A", "R", 1.0, rnd.randint(1, 600_000))
+              for _ in range(3000)] + [make_order(None, "A", "R", 1.0, 1000)]
+    df = orders_df(spark, orders)
+    exact = {r.windowStart: (r.orderCount, r.uniqueCustomers)
+             for r in order_metrics(df, size="5 minutes").collect()}
+    parts = order_partials(df, size="30 seconds", exact=False)
+    rolled = merge_partials(parts, size="1 minute")
+    approx = {r.windowStart: (r.orderCount, r.uniqueCustomers)
+              for r in merge_metrics(rolled, size="5 minutes").collect()}
+    assert approx.keys() == exact.keys()
+    for k, (n, u) in exact.items():
+        assert approx[k][0] == n
+        assert abs(approx[k][1] - u) <= max(2, 0.05 * u)

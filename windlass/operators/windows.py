@@ -157,26 +157,35 @@ def _batch_sessions(orders: DataFrame, gap_ms: int, bucket_ms: int, exact: bool)
 
 
 def order_partials(orders: DataFrame, size: str = "30 seconds",
-                   delay: str | None = "5 seconds") -> DataFrame:
+                   delay: str | None = "5 seconds", exact: bool = True) -> DataFrame:
     """AGG-9 input: mergeable per-window accumulators (PARTIALS schema).
 
     Extremes stay raw so merging follows the accumulator rule; the
     customer set is exact and keeps a null element for a null customer.
+    With ``exact=False`` the set is replaced by a fixed-size HLL sketch
+    (``customerSketch``, binary) plus a null-seen flag, so a very hot window
+    never carries an unbounded array; sketches merge with ``hll_union_agg``.
     """
     df = _prepare(orders, delay)
     g = df.groupBy(F.window("eventTime", size).alias("window"), *KEYS)
-    ids = F.transform(F.collect_set(F.struct(F.col("customerId").alias("c"))), lambda s: s["c"])
+    if exact:
+        ids = [F.transform(F.collect_set(F.struct(F.col("customerId").alias("c"))),
+                           lambda s: s["c"]).alias("customerIds")]
+    else:
+        ids = [F.hll_sketch_agg("customerId").alias("customerSketch"),
+               F.max(F.col("customerId").isNull()).alias("nullCustomer")]
     agg = g.agg(
         F.count(F.lit(1)).alias("orderCount"),
         F.sum("totalAmount").alias("totalRevenue"),
         F.max("totalAmount").alias("maxOrderValue"),
         F.min("totalAmount").alias("minOrderValue"),
-        ids.alias("customerIds"),
+        *ids,
     )
     return agg.select(
         F.unix_millis(F.col("window.start")).alias("windowStart"),
         F.unix_millis(F.col("window.end")).alias("windowEnd"),
-        *KEYS, "orderCount", "totalRevenue", "maxOrderValue", "minOrderValue", "customerIds")
+        *KEYS, "orderCount", "totalRevenue", "maxOrderValue", "minOrderValue",
+        *[c for c in ("customerIds", "customerSketch", "nullCustomer") if c in agg.columns])
 
 
 def _interval_ms(size: str) -> int:
@@ -206,6 +215,8 @@ def merge_metrics(partials: DataFrame, size: str | None = None) -> DataFrame:
     distinct plan instead of being concatenated into one array per group.
     """
     p = _rewindow(partials, size)
+    if "customerSketch" in partials.columns:
+        return _merge_sketches(p)
     p = p.select("*", F.posexplode_outer("customerIds").alias("_pos", "_cid"))
     once = F.col("_pos").isNull() | (F.col("_pos") == 0)
     agg = p.groupBy("windowStart", "windowEnd", *KEYS).agg(
@@ -225,11 +236,37 @@ def merge_metrics(partials: DataFrame, size: str | None = None) -> DataFrame:
         "uniqueCustomers")
 
 
+def _merge_sketches(p: DataFrame) -> DataFrame:
+    """Merge sketch partials: every aggregate combines map-side."""
+    agg = p.groupBy("windowStart", "windowEnd", *KEYS).agg(
+        F.sum("orderCount").alias("orderCount"),
+        F.sum("totalRevenue").alias("totalRevenue"),
+        F.max("maxOrderValue").alias("_max"),
+        F.min("minOrderValue").alias("_min"),
+        F.hll_union_agg("customerSketch").alias("customerSketch"),
+        F.max("nullCustomer").alias("nullCustomer"))
+    return agg.select(
+        "windowStart", "windowEnd", *KEYS, "orderCount", "totalRevenue",
+        safe_div("totalRevenue", "orderCount").alias("avgOrderValue"),
+        reported_max("_max").alias("maxOrderValue"),
+        reported_min("_min").alias("minOrderValue"),
+        (F.hll_sketch_estimate("customerSketch")
+         + F.col("nullCustomer").cast("long")).alias("uniqueCustomers"))
+
+
 def merge_partials(partials: DataFrame, size: str | None = None) -> DataFrame:
     """AGG-9, partial -> partial: roll accumulators up and keep them
     mergeable (e.g. 30 s panes -> 5 min -> 1 h).  Set elements are exploded
     and re-collected as a set, so duplicates collapse map-side."""
     p = _rewindow(partials, size)
+    if "customerSketch" in partials.columns:
+        return p.groupBy("windowStart", "windowEnd", *KEYS).agg(
+            F.sum("orderCount").alias("orderCount"),
+            F.sum("totalRevenue").alias("totalRevenue"),
+            F.max("maxOrderValue").alias("maxOrderValue"),
+            F.min("minOrderValue").alias("minOrderValue"),
+            F.hll_union_agg("customerSketch").alias("customerSketch"),
+            F.max("nullCustomer").alias("nullCustomer"))
     p = p.select("*", F.posexplode_outer("customerIds").alias("_pos", "_cid"))
     once = F.col("_pos").isNull() | (F.col("_pos") == 0)
     ids = F.filter(F.collect_set(F.struct(F.col("_pos").isNotNull().alias("real"),
