@@ -151,13 +151,17 @@ def resample(samples: DataFrame, at_ms: int, range_ms: int, step_ms: int = STEP_
                     F.col("_l.value").alias("value"), F.col("_l.ts_ms").alias("sample_ts"))
 
 
-def over_time(resampled: DataFrame, func: str) -> DataFrame:
-    """TS-5/6/7 (and count/last/sum): reduce each series over its steps."""
+def over_time(resampled: DataFrame, *funcs: str) -> DataFrame:
+    """TS-5/6/7 (and count/last/sum): reduce each series over its steps.
+    One function gives a ``value`` column; several give one column per
+    function name, all from a single aggregation."""
     v = F.col("value")
-    agg = {"max": F.max(v), "min": F.min(v), "avg": F.avg(v), "sum": F.sum(v),
-           "count": F.count(v), "last": F.max_by(v, "step")}[func]
+    known = {"max": F.max(v), "min": F.min(v), "avg": F.avg(v), "sum": F.sum(v),
+             "count": F.count(v), "last": F.max_by(v, "step")}
     keys = [c for c in ("metric", "_sk") if c in resampled.columns]
-    return resampled.groupBy(*keys).agg(agg.alias("value"))
+    if len(funcs) == 1:
+        return resampled.groupBy(*keys).agg(known[funcs[0]].alias("value"))
+    return resampled.groupBy(*keys).agg(*[known[f].alias(f) for f in funcs])
 
 
 # --------------------------------------------------------------------------
@@ -277,14 +281,17 @@ def or_zero(per_step: DataFrame, grid: DataFrame) -> DataFrame:
 
 def binary_op(left: DataFrame, right: DataFrame, op: str = "-") -> DataFrame:
     """TS-15: one-to-one vector arithmetic on identical label sets (metric
-    name dropped), per step.  An equi-join on (step, sorted labels): each
-    side has at most one row per key, so the join is 1:1 and skew-free."""
-    l = left.select("_sk", "step", F.col("value").alias("_lv"))
-    r = right.select("_sk", "step", F.col("value").alias("_rv"))
-    j = l.join(r, ["_sk", "step"], "inner")
+    name dropped), per step.  Written as a union and one aggregation on
+    (labels, step) instead of a join: each side contributes at most one
+    value per key, and keys present on both sides produce a result."""
+    null = F.lit(None).cast("double")
+    u = (left.select("_sk", "step", F.col("value").alias("_lv"), null.alias("_rv"))
+         .unionByName(right.select("_sk", "step", null.alias("_lv"), F.col("value").alias("_rv"))))
+    g = u.groupBy("_sk", "step").agg(F.max("_lv").alias("_lv"), F.max("_rv").alias("_rv"),
+                                     F.count("_lv").alias("_nl"), F.count("_rv").alias("_nr"))
     lv, rv = F.col("_lv"), F.col("_rv")
     val = {"-": lv - rv, "+": lv + rv, "*": lv * rv, "/": lv / rv}[op]
-    return j.select("_sk", "step", val.alias("value"))
+    return g.where((F.col("_nl") > 0) & (F.col("_nr") > 0)).select("_sk", "step", val.alias("value"))
 
 
 def minus_time(df: DataFrame, scale_ms: float = 1.0) -> DataFrame:

@@ -85,13 +85,9 @@ def q_over_time(spark, sf_dir):
     s = samples(spark, sf_dir)
     r = resample(select_series(s, ["records_per_second", "consumer_lag"]),
                  latest_ms(s), RANGE_MS, STEP_MS)
-    mx = over_time(r, "max").withColumnRenamed("value", "max_v")
-    mn = over_time(r, "min").withColumnRenamed("value", "min_v")
-    sm = over_time(r, "sum").withColumnRenamed("value", "sum_v")
-    n = over_time(r, "count").withColumnRenamed("value", "n")
-    out = mx.join(mn, ["metric", "_sk"]).join(sm, ["metric", "_sk"]).join(n, ["metric", "_sk"])
-    out = out.withColumn("avg_v", F.round("sum_v", 2) / F.col("n"))
-    return flat(out, "max_v", "min_v", "avg_v", "n")
+    out = over_time(r, "max", "min", "sum", "count")
+    return flat(out, F.col("max").alias("max_v"), F.col("min").alias("min_v"),
+                (F.round("sum", 2) / F.col("count")).alias("avg_v"), F.col("count").alias("n"))
 
 
 def q_counter_rate(spark, sf_dir):
