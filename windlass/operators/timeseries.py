@@ -168,9 +168,10 @@ def over_time(resampled: DataFrame, *funcs: str) -> DataFrame:
 # counter rate
 # --------------------------------------------------------------------------
 
-def counter_rate(samples: DataFrame, at_ms: int, range_ms: int, window_ms: int,
+def counter_rate(samples: DataFrame, at_ms: int, range_ms: int, window_ms: int | Column,
                  step_ms: int = STEP_MS, is_counter: bool = True, is_rate: bool = True,
-                 lag_bucket_ms: int = 3_600_000) -> DataFrame:
+                 lag_bucket_ms: int = 3_600_000, by: Sequence[str] = (),
+                 max_window_ms: int | None = None) -> DataFrame:
     """TS-8: ``rate(x[window])`` at every aligned step of ``(at - range, at]``
     (``increase`` with ``is_rate=False``, ``delta`` with ``is_counter=False``).
 
@@ -182,23 +183,33 @@ def counter_rate(samples: DataFrame, at_ms: int, range_ms: int, window_ms: int,
     with fewer than two samples give no row.  Extrapolation follows the
     Prometheus rule (to the range edge when within 1.1 x the mean sample
     gap, else half a gap; counters never extrapolate below zero).
+
+    ``window_ms`` may be a column (one window per row, constant within a
+    series of ``by`` keys) so several rates share one scan and one delta
+    pass; ``max_window_ms`` then bounds the time range read.
     """
     first, last = grid_bounds(at_ms, range_ms, step_ms)
-    s = in_time_range(with_series(samples), first - window_ms, last)
-    s = series_lag(s.select("metric", "_sk", "ts_ms", "value"), ["metric", "_sk"], "ts_ms",
-                   ["value"], bucket_ms=lag_bucket_ms)
+    if isinstance(window_ms, Column):
+        w, wmax = window_ms, int(max_window_ms)
+    else:
+        w, wmax = F.lit(int(window_ms)), int(window_ms)
+    keys = ["metric", "_sk", *by]
+    s = in_time_range(with_series(samples), first - wmax, last)
+    s = s.select(*keys, "ts_ms", "value", w.cast("long").alias("_w"))
+    s = series_lag(s, keys, "ts_ms", ["value"], bucket_ms=lag_bucket_ms)
     v, pv = F.col("value"), F.col("prev_value")
     if is_counter:
         inc = F.when(pv.isNull(), F.lit(0.0)).when(v < pv, v).otherwise(v - pv)
     else:
         inc = F.when(pv.isNull(), F.lit(0.0)).otherwise(v - pv)
     frm = F.greatest((F.ceil(F.col("ts_ms") / F.lit(step_ms)) * step_ms).cast("long"), F.lit(first))
-    to = F.least((F.floor((F.col("ts_ms") + F.lit(window_ms - 1)) / F.lit(step_ms))
+    to = F.least((F.floor((F.col("ts_ms") + F.col("_w") - F.lit(1)) / F.lit(step_ms))
                   * step_ms).cast("long"), F.lit(last))
     steps = F.when(frm <= to, F.sequence(frm, to, F.lit(step_ms).cast("long")))
-    s = s.select("metric", "_sk", "ts_ms", "value", inc.alias("_inc"),
-                 F.explode(steps).alias("step"))
-    g = s.groupBy("metric", "_sk", "step").agg(
+    # in-range test per row, since rows of one series may carry other windows
+    s = s.select(*keys, "_w", "ts_ms", "value", inc.alias("_inc"),
+                 F.explode(steps).alias("step")).where(F.col("ts_ms") > F.col("step") - F.col("_w"))
+    g = s.groupBy(*keys, "_w", "step").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min_by(F.struct("ts_ms", "value", "_inc"), "ts_ms").alias("_f"),
         F.max_by(F.struct("ts_ms", "value"), "ts_ms").alias("_l"),
@@ -209,19 +220,20 @@ def counter_rate(samples: DataFrame, at_ms: int, range_ms: int, window_ms: int,
     else:
         result = F.col("_l.value") - F.col("_f.value")
     return g.where(F.col("_n") >= 2).select(
-        "metric", "_sk", "step",
+        *keys, "step",
         extrapolate(result, F.col("_f.ts_ms"), F.col("_l.ts_ms"), F.col("_f.value"),
-                    F.col("_n"), F.col("step"), window_ms, is_counter, is_rate).alias("value"))
+                    F.col("_n"), F.col("step"), F.col("_w"), is_counter, is_rate).alias("value"))
 
 
 def extrapolate(result: Column, first_ts: Column, last_ts: Column, first_v: Column,
-                n: Column, at: Column, window_ms: int, is_counter: bool,
+                n: Column, at: Column, window_ms: int | Column, is_counter: bool,
                 is_rate: bool) -> Column:
     """The extrapolated-rate factor applied to ``result`` (sample times in
     ms, durations in seconds; operation order kept for bitwise results)."""
+    w = window_ms if isinstance(window_ms, Column) else F.lit(int(window_ms))
     sampled = (last_ts - first_ts) / F.lit(1000.0)
     avg_gap = sampled / (n - 1).cast("double")
-    to_start = (first_ts - (at - F.lit(window_ms))) / F.lit(1000.0)
+    to_start = (first_ts - (at - w)) / F.lit(1000.0)
     to_end = (at - last_ts) / F.lit(1000.0)
     threshold = avg_gap * F.lit(1.1)
     to_start = F.when(to_start >= threshold, avg_gap / F.lit(2.0)).otherwise(to_start)
@@ -235,7 +247,7 @@ def extrapolate(result: Column, first_ts: Column, last_ts: Column, first_v: Colu
     interval = sampled + to_start + to_end
     factor = F.when(sampled > 0, interval / sampled)
     if is_rate:
-        factor = factor / F.lit(window_ms / 1000.0)
+        factor = factor / (w.cast("double") / F.lit(1000.0))
     return result * factor
 
 

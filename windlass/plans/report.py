@@ -232,17 +232,22 @@ def report_figures(samples: DataFrame, at_ms: int, minutes: int,
                              "instant_ready": "ready"}[stage]))
             for name, k, stage, _ in FIGURES if stage.startswith("instant")]))
 
-    # counter-rate figures, one pass per rate window
-    windows = sorted({f[1] for _, _, st, f in FIGURES if st == "rate"})
-    for w in windows:
-        keys = sorted({k for _, k, st, f in FIGURES if st == "rate" and f[1] == w})
-        rt = counter_rate(s.where(_union_pred(sources, keys)), at_ms, rng, w)
-        t = _tagged(_with_labels(rt), sources, keys)
-        summed = t.groupBy("src", "step").agg(F.sum("value").alias("v"))
+    # counter-rate figures: one scan and one delta pass for every rate
+    # source, each row carrying its own window
+    rate_tags = sorted({(k, f[1]) for _, k, st, f in FIGURES if st == "rate"})
+    if rate_tags:
+        tag_src = {f"{k}@{w}": sources[k] for k, w in rate_tags}
+        tagged = _tagged(s.where(_union_pred(tag_src, tag_src)), tag_src, sorted(tag_src))
+        window = F.lit(None).cast("long")
+        for k, w in rate_tags:
+            window = F.when(F.col("src") == F.lit(f"{k}@{w}"), F.lit(w)).otherwise(window)
+        rt = counter_rate(tagged, at_ms, rng, window, by=["src"],
+                          max_window_ms=max(w for _, w in rate_tags))
+        summed = rt.groupBy("src", "step").agg(F.sum("value").alias("v"))
         over = summed.groupBy("src").agg(F.max("v").alias("mx"), F.avg("v").alias("av"))
         rows.append(_figure_rows(over, [
-            (name, k, F.col({"max": "mx", "avg": "av"}[f[0]]))
-            for name, k, stage, f in FIGURES if stage == "rate" and f[1] == w]))
+            (name, f"{k}@{f[1]}", F.col({"max": "mx", "avg": "av"}[f[0]]))
+            for name, k, stage, f in FIGURES if stage == "rate"]))
 
     out = rows[0]
     for f in rows[1:]:
@@ -456,13 +461,16 @@ def dashboard_panels(samples: DataFrame, at_ms: int, range_ms: int,
             .when(kind == "count_by_phase", F.col("_cnt"))
             .when(kind == "ready", F.col("_rdy")).alias("value")))
 
-    for w in sorted({p.window_ms for p in panels if p.kind in ("sum_rate", "rate_by_pod")}):
-        rp = [p for p in panels if p.kind in ("sum_rate", "rate_by_pod") and p.window_ms == w]
+    rp = [p for p in panels if p.kind in ("sum_rate", "rate_by_pod")]
+    if rp:
+        # one scan and one delta pass for every rate panel (per-row window)
         sel = F.lit(False)
         for p in rp:
             sel = sel | _source_pred(p.source)
-        rt = _tag_panels(counter_rate(s.where(sel), at_ms, range_ms, w),
-                         [(p.name, "L", p.source) for p in rp])
+        tagged = _tag_panels(s.where(sel), [(p.name, "L", p.source) for p in rp])
+        window = _lookup({p.name: p.window_ms for p in rp}, F.col("panel"))
+        rt = counter_rate(tagged.drop("role"), at_ms, range_ms, window, by=["panel"],
+                          max_window_ms=max(p.window_ms for p in rp))
         gkey = F.when(kind == "rate_by_pod", F.coalesce(series_labels("_sk")["pod"], F.lit(""))
                       ).otherwise(F.lit(""))
         parts.append(rt.groupBy("panel", "step", gkey.alias("series"))
