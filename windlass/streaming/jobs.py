@@ -173,6 +173,14 @@ def start_metrics_reader(raw_metrics: DataFrame, log_path: str, log_checkpoint:
     return logs, summary
 
 
+def orders_job_frame(raw: DataFrame, size: str = "30 seconds",
+                     delay: str = "5 seconds") -> DataFrame:
+    """The job's transformation, source- and sink-agnostic: raw records with
+    a JSON ``value`` -> (key, value) metrics records ready for a Kafka sink."""
+    from ..operators.parse import encode_metrics
+    return encode_metrics(order_metrics(parse_orders(raw), size=size, delay=delay))
+
+
 def start_orders_job(spark: SparkSession, servers: str, checkpoint: str,
                      input_topic: str = "orders", output_topic: str = "order-metrics",
                      size: str = "30 seconds", delay: str = "5 seconds",
@@ -181,10 +189,9 @@ def start_orders_job(spark: SparkSession, servers: str, checkpoint: str,
     event-time windows per category x region -> JSON metrics on Kafka
     (at-least-once).  Needs the spark-sql-kafka connector on the classpath."""
     from ..sources.kafka import read_orders_kafka, sink_options
-    from ..operators.parse import encode_metrics
     configure(spark)
     raw = read_orders_kafka(spark, servers, topic=input_topic)
-    metrics = order_metrics(parse_orders(raw), size=size, delay=delay)
-    return start_stream(encode_metrics(metrics), checkpoint, fmt="kafka", trigger=trigger,
+    return start_stream(orders_job_frame(raw, size, delay), checkpoint, fmt="kafka",
+                        trigger=trigger,
                         state_partitions=state_partitions or default_state_partitions(spark),
                         name="order-metrics", **sink_options(servers, output_topic))
