@@ -80,3 +80,21 @@ def test_oracle_small(spark, name):
     idx = [rel.columns.index(c) for c in cols]
     duck_rows = sorted(tuple(r[i] for i in idx) for r in rel.fetchall())
     assert spark_rows == duck_rows
+
+
+def test_reference_dashboard_and_report_definitions(spark):
+    """The reference's own metric names plan and run on a samples table
+    (here: the broker-normalised beans, which carry two of them)."""
+    from windlass.operators.timeseries import with_series
+    from windlass.plans.report import (REFERENCE_PANELS, REFERENCE_SOURCES, dashboard_panels,
+                                       scenario_report)
+    from windlass.sources.fixtures import broker_beans_from_events, read_table
+    s = with_series(normalise_broker_samples(
+        broker_beans_from_events(read_table(spark, SF_SMALL, "events"))))
+    at = s.agg(F.max("ts_ms")).first()[0]
+    d = dashboard_panels(s, at, 45 * 60_000, REFERENCE_PANELS)
+    got = {r.panel for r in d.select("panel").distinct().collect()}
+    assert {"orders_inbound", "consumer_lag", "bytes_in", "active_workers"} <= got
+    rep = scenario_report(s, at, 45, sources=REFERENCE_SOURCES).collect()[0]
+    assert rep.consumer_lag_peak is not None and rep.send_rate_peak is None
+    assert rep.workers_now == 0.0

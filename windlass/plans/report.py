@@ -300,6 +300,51 @@ class Panel:
     other: Source | None = None
 
 
+# The reference dashboard's 20 expressions (metric names,
+# label matchers, rate windows, unit scaling); the deployment namespace is
+# left to the caller.
+_TM = {"pod": ".*taskmanager.*"}
+REFERENCE_PANELS = [
+    Panel("send_rate", "gauge", Source("kafka_producer_record_send_rate",
+                                       {"application": "kafka-producer"})),
+    Panel("throughput_current", "gauge", Source("producer_throughput_current",
+                                                {"application": "kafka-producer"})),
+    Panel("throughput_base", "gauge", Source("producer_throughput_base",
+                                             {"application": "kafka-producer"})),
+    Panel("peak_active", "gauge", Source("producer_peak_active",
+                                         {"application": "kafka-producer"})),
+    Panel("messages_produced", "gauge", Source("producer_messages_produced",
+                                               {"application": "kafka-producer"})),
+    Panel("error_rate", "gauge", Source("kafka_producer_record_error_rate",
+                                        {"application": "kafka-producer"})),
+    Panel("request_latency", "gauge", Source("kafka_producer_request_latency_avg",
+                                             {"application": "kafka-producer"})),
+    Panel("orders_inbound", "sum_rate",
+          Source("kafka_server_brokertopicmetrics_messagesin_oneminuterate", {"topic": "orders"}),
+          window_ms=60_000),
+    Panel("consumer_lag", "sum", Source("kafka_server_fetcherlagmetrics_consumerlag",
+                                        {"topic": "orders"})),
+    Panel("records_per_second", "sum_rate",
+          Source("flink_taskmanager_job_task_numRecordsInPerSecond"), window_ms=30_000),
+    Panel("backpressure", "avg_pct", Source("flink_taskmanager_job_task_isBackPressured")),
+    Panel("checkpoint_duration", "gauge", Source("flink_jobmanager_job_lastCheckpointDuration")),
+    Panel("active_workers", "ready", Source("kube_pod_status_ready", {"condition": "true"},
+                                            regex=_TM)),
+    Panel("heap_by_pod", "sum_by_pod", Source("flink_taskmanager_Status_JVM_Memory_Heap_Used")),
+    Panel("cpu_by_pod", "rate_by_pod", Source("container_cpu_usage_seconds_total",
+                                              ne={"container": ""}, regex=_TM),
+          window_ms=60_000, scale=1000.0),
+    Panel("memory_by_pod", "sum_by_pod", Source("container_memory_working_set_bytes",
+                                                ne={"container": ""}, regex=_TM),
+          scale=1.0 / 1024.0 / 1024.0),
+    Panel("pods_by_phase", "count_by_phase", Source("kube_pod_status_phase", regex=_TM)),
+    Panel("startup_latency", "diff", Source("kube_pod_status_ready_time", regex=_TM),
+          other=Source("kube_pod_created", regex=_TM)),
+    Panel("watermark_lag", "minus_time", Source("flink_taskmanager_job_task_currentInputWatermark")),
+    Panel("bytes_in", "sum", Source("kafka_server_brokertopicmetrics_bytesin_oneminuterate",
+                                    {"topic": "orders"})),
+]
+
 # The 20 dashboard expressions mapped onto the test samples.
 TEST_PANELS = [
     Panel("send_rate", "gauge", Source("records_per_second")),
