@@ -28,6 +28,7 @@ def test_stream_f1_emits_closed_window_only(spark, tmp):
     assert sorted(tuple(r) for r in out.collect()) == [
         (0, 30000, "ELECTRONICS", "NORTH", 10, 1000.0, 100.0, 100.0, 100.0, 5)]
     assert run.input_rows() == 11
+    assert run.observed() == {"messages": 11, "errors": 0}
 
 
 def test_window_closes_exactly_at_end_plus_delay(spark, tmp):

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.observe import observe_orders
 from ..operators.parse import parse_orders, parse_metrics
 from ..operators.windows import order_metrics
 from ..operators.reader import format_metrics, metrics_summary
@@ -35,6 +36,18 @@ class StreamRun:
                 n += int(op.get("numRowsDroppedByWatermark", 0) or 0)
         return n
 
+    def observed(self, name: str = "orders") -> dict:
+        """Counters from ``DataFrame.observe`` summed over the run's batches."""
+        out: dict = {}
+        for p in self.progress:
+            row = (p.get("observedMetrics", {}) or {}).get(name)
+            if row is None:
+                continue
+            vals = row.asDict() if hasattr(row, "asDict") else dict(row)
+            for k, v in vals.items():
+                out[k] = out.get(k, 0) + int(v or 0)
+        return out
+
     def input_rows(self) -> int:
         return sum(int(p.get("numInputRows", 0) or 0) for p in self.progress)
 
@@ -109,6 +122,7 @@ def stream_order_metrics(spark: SparkSession, source: str, output: str | None =
     output = output or shared_dir(spark, "metrics-out")
     checkpoint = checkpoint or shared_dir(spark, "metrics-ckpt")
     raw = read_orders_files(spark, source, streaming=True, max_files=max_files)
+    raw, _ = observe_orders(raw, name="orders")   # per-batch messages / errors in progress
     metrics = order_metrics(parse_orders(raw), size=size, delay=delay, exact=exact)
     run = run_available_now(metrics, output, checkpoint,
                             state_partitions=state_partitions or default_state_partitions(spark))
