@@ -98,3 +98,8 @@ def test_reference_dashboard_and_report_definitions(spark):
     rep = scenario_report(s, at, 45, sources=REFERENCE_SOURCES).collect()[0]
     assert rep.consumer_lag_peak is not None and rep.send_rate_peak is None
     assert rep.workers_now == 0.0
+    # the inbound figure reads the per-second gauge itself by default; the
+    # reference's rate() of that gauge is available as compat_rate=True
+    compat = scenario_report(s, at, 45, sources=REFERENCE_SOURCES, compat_rate=True).collect()[0]
+    assert rep.broker_inbound_peak is not None and compat.broker_inbound_peak is not None
+    assert rep.broker_inbound_peak != compat.broker_inbound_peak

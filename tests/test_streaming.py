@@ -169,3 +169,12 @@ def test_orders_job_frame_end_to_end(spark, tmp):
     assert [r.key.decode() for r in rows] == ["ELECTRONICS#NORTH"]
     doc = json.loads(rows[0].value.decode())
     assert (doc["windowStart"], doc["orderCount"], doc["uniqueCustomers"]) == (0, 10, 5)
+
+
+def test_source_lag_from_progress():
+    from windlass.streaming.jobs import source_lag
+    prog = {"sources": [{"description": "KafkaV2[Subscribe[orders]]",
+                         "endOffset": '{"orders":{"0":100,"1":50}}',
+                         "latestOffset": '{"orders":{"0":130,"1":50}}'}]}
+    assert source_lag(prog) == 30
+    assert source_lag({"sources": [{"endOffset": {"logOffset": 3}, "latestOffset": None}]}) is None

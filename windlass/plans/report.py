@@ -36,11 +36,14 @@ DECIMALS = {"error_rate_peak": 4, "latency_avg_ms": 2, "latency_peak_ms": 2,
 
 @dataclass(frozen=True)
 class Source:
-    """A metric selector: name plus label matchers."""
+    """A metric selector: name plus label matchers.  ``counter`` marks a
+    monotonic counter (rates are taken of it); otherwise the series is a
+    gauge."""
     metric: str
     eq: dict = field(default_factory=dict)
     ne: dict = field(default_factory=dict)
     regex: dict = field(default_factory=dict)
+    counter: bool = False
 
 
 # The metric names and selectors the reference's report reads
@@ -71,9 +74,9 @@ TEST_SOURCES = {
     "errors": Source("consumer_lag_total"),
     "error_rate": Source("consumer_lag"),
     "latency": Source("checkpoint_ms"),
-    "broker_inbound": Source("records_per_second_total", {"topic": "orders"}),
+    "broker_inbound": Source("records_per_second_total", {"topic": "orders"}, counter=True),
     "consumer_lag": Source("consumer_lag", {"topic": "orders"}),
-    "records_in": Source("checkpoint_ms_total"),
+    "records_in": Source("checkpoint_ms_total", counter=True),
     "backpressure": Source("backpressured"),
     "checkpoint": Source("checkpoint_ms"),
     "ready": Source("pod_ready", {"topic": "orders"}),
@@ -171,18 +174,24 @@ def _figure_rows(per_src: DataFrame, figures) -> DataFrame:
 
 
 def report_figures(samples: DataFrame, at_ms: int, minutes: int,
-                   sources: dict[str, Source] = TEST_SOURCES) -> DataFrame:
+                   sources: dict[str, Source] = TEST_SOURCES,
+                   compat_rate: bool = False) -> DataFrame:
     """All numeric report figures as (name, value) rows (missing = no row).
 
     One resample over every gauge source (rows tagged by source), one
-    instant pass, one counter-rate pass per rate window; each figure is then
-    a conditional aggregate over those small per-series / per-step frames.
+    instant pass, one counter-rate pass for all rate figures; each figure is
+    then a conditional aggregate over those small per-series / per-step
+    frames.  The reference takes ``rate()`` of two series that are already
+    per-second gauges; here a rate figure over a gauge reads the gauge
+    itself (sum per step) unless ``compat_rate=True`` reproduces that.
     """
     s = with_series(samples)
     rng = int(minutes) * 60_000
     key = F.to_json(series_labels("_sk"))
+    figures = [(n, k, st, f) if st != "rate" or sources[k].counter or compat_rate
+               else (n, k, "step_sum", f[0]) for n, k, st, f in FIGURES]
     by_stage: dict[str, set] = {}
-    for _, k, stage, _ in FIGURES:
+    for _, k, stage, _ in figures:
         by_stage.setdefault(stage.split("_")[0], set()).add(k)
     rows = []
 
@@ -195,7 +204,7 @@ def report_figures(samples: DataFrame, at_ms: int, minutes: int,
             F.max("value").alias("mx"), F.avg("value").alias("av"), F.min("value").alias("mn"))
         first = per_series.groupBy("src").agg(
             F.min_by(F.struct("mx", "av", "mn"), key).alias("f"))
-        ready_keys = sorted({k for _, k, st, _ in FIGURES if st == "step_ready"})
+        ready_keys = sorted({k for _, k, st, _ in figures if st == "step_ready"})
         grid = step_grid(s, at_ms, rng)
         zeros = None
         for k in ready_keys:
@@ -213,11 +222,11 @@ def report_figures(samples: DataFrame, at_ms: int, minutes: int,
             F.min("rd").alias("rd_min"), F.max("rd").alias("rd_max"))
         rows.append(_figure_rows(first, [
             (name, k, F.col({"max": "f.mx", "avg": "f.av", "min": "f.mn"}[func]))
-            for name, k, stage, func in FIGURES if stage == "series"]))
+            for name, k, stage, func in figures if stage == "series"]))
         rows.append(_figure_rows(over_steps, [
             (name, k, F.col({"step_sum": "sm", "step_avg": "av", "step_ready": "rd"}[stage]
                             + "_" + func) * (100.0 if stage == "step_avg" else 1.0))
-            for name, k, stage, func in FIGURES if stage.startswith("step_")]))
+            for name, k, stage, func in figures if stage.startswith("step_")]))
 
     # instant figures
     inst_keys = sorted(by_stage.get("instant", set()))
@@ -230,11 +239,11 @@ def report_figures(samples: DataFrame, at_ms: int, minutes: int,
         rows.append(_figure_rows(per_src, [
             (name, k, F.col({"instant_first": "first", "instant_sum": "total",
                              "instant_ready": "ready"}[stage]))
-            for name, k, stage, _ in FIGURES if stage.startswith("instant")]))
+            for name, k, stage, _ in figures if stage.startswith("instant")]))
 
     # counter-rate figures: one scan and one delta pass for every rate
     # source, each row carrying its own window
-    rate_tags = sorted({(k, f[1]) for _, k, st, f in FIGURES if st == "rate"})
+    rate_tags = sorted({(k, f[1]) for _, k, st, f in figures if st == "rate"})
     if rate_tags:
         tag_src = {f"{k}@{w}": sources[k] for k, w in rate_tags}
         tagged = _tagged(s.where(_union_pred(tag_src, tag_src)), tag_src, sorted(tag_src))
@@ -247,7 +256,7 @@ def report_figures(samples: DataFrame, at_ms: int, minutes: int,
         over = summed.groupBy("src").agg(F.max("v").alias("mx"), F.avg("v").alias("av"))
         rows.append(_figure_rows(over, [
             (name, f"{k}@{f[1]}", F.col({"max": "mx", "avg": "av"}[f[0]]))
-            for name, k, stage, f in FIGURES if stage == "rate"]))
+            for name, k, stage, f in figures if stage == "rate"]))
 
     out = rows[0]
     for f in rows[1:]:
@@ -256,11 +265,12 @@ def report_figures(samples: DataFrame, at_ms: int, minutes: int,
 
 
 def scenario_report(samples: DataFrame, at_ms: int, minutes: int, label: str = "",
-                    sources: dict[str, Source] = TEST_SOURCES, rounded: bool = True) -> DataFrame:
+                    sources: dict[str, Source] = TEST_SOURCES, rounded: bool = True,
+                    compat_rate: bool = False) -> DataFrame:
     """TS-21: the scenario report as one row in CSV column order; a figure
     with no data is null (written as ``N/A``).  ``rounded`` applies the
     CSV decimals (half-even, like C ``printf``)."""
-    figs = report_figures(samples, at_ms, minutes, sources)
+    figs = report_figures(samples, at_ms, minutes, sources, compat_rate)
     numeric = [c for c in REPORT_COLUMNS[3:]]
     row = figs.groupBy().pivot("name", numeric).agg(F.first("value"))
     cols = []

@@ -52,6 +52,30 @@ class StreamRun:
         return sum(int(p.get("numInputRows", 0) or 0) for p in self.progress)
 
 
+def source_lag(progress) -> int | None:
+    """Records published but not yet read, from one progress report: the sum
+    over sources and partitions of ``latestOffset - endOffset`` (the Kafka
+    source reports both as ``{topic: {partition: offset}}``).  This is the
+    consumer lag of the job itself, not a broker's replica-fetcher lag.
+    None when no source reports offsets that way."""
+    import json
+    total = None
+    for src in (progress.get("sources") or []):
+        latest, end = src.get("latestOffset"), src.get("endOffset")
+        latest = json.loads(latest) if isinstance(latest, str) else latest
+        end = json.loads(end) if isinstance(end, str) else end
+        if not isinstance(latest, dict) or not isinstance(end, dict):
+            continue
+        for topic, parts in latest.items():
+            if not isinstance(parts, dict):
+                continue
+            for part, off in parts.items():
+                done = (end.get(topic) or {}).get(part)
+                if done is not None:
+                    total = (total or 0) + max(0, int(off) - int(done))
+    return total
+
+
 def run_available_now(df: DataFrame, output: str, checkpoint: str, fmt: str = "parquet",
                       mode: str = "append", timeout_s: float = 1800,
                       name: str | None = None, flush: bool = True,
