@@ -155,6 +155,7 @@ _DEDUPE = _M + " SELECT * FROM M"
 ORACLES = {
     "order_metrics_30s": metrics_sql(30000),
     "order_metrics_1m": metrics_sql(60000),
+    "order_metrics_1h": metrics_sql(3600000),
     "order_metrics_stream": _STREAM,
     "late_data_drop": _LATE,
     "order_sessions": _SESSIONS,

@@ -47,6 +47,10 @@ def q_order_metrics_1m(spark, sf_dir):
     return for_compare(order_metrics(_orders(spark, sf_dir), size="1 minute"))
 
 
+def q_order_metrics_1h(spark, sf_dir):
+    return for_compare(order_metrics(_orders(spark, sf_dir), size="1 hour"))
+
+
 def q_order_metrics_stream(spark, sf_dir):
     """All orders as JSON files -> streaming job (availableNow) -> closed windows."""
     events = read_table(spark, sf_dir, "events")
@@ -171,6 +175,7 @@ def q_dedupe_metrics(spark, sf_dir):
 QUERIES = {
     "order_metrics_30s": q_order_metrics_30s,
     "order_metrics_1m": q_order_metrics_1m,
+    "order_metrics_1h": q_order_metrics_1h,
     "order_metrics_stream": q_order_metrics_stream,
     "late_data_drop": q_late_data_drop,
     "order_sessions": q_order_sessions,
