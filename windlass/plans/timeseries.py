@@ -18,7 +18,6 @@ from ..operators.timeseries import (across, binary_op, counter_rate, instant, mi
                                     resample, select_series, series_labels, step_grid,
                                     value_filter, with_series)
 from ..session import configure, shared_dir
-from ..sources.samples import read_samples, write_samples
 from .report import dashboard_panels, scenario_report
 from ..sources.fixtures import broker_beans_from_events, ops_samples, read_table
 
@@ -31,16 +30,6 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_series(ops_samples(read_table(spark, sf_dir, "events")))
 
 
-def staged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived samples written once as a metric-partitioned table in the
-    shared folder (SRC-4) and read back: multi-figure plans then prune each
-    figure's scan to its metric instead of re-deriving samples per figure."""
-    configure(spark)
-    path = shared_dir(spark, "samples")
-    write_samples(ops_samples(read_table(spark, sf_dir, "events")), path, mode="overwrite")
-    return with_series(read_samples(spark, path))
-
-
 def checkpointed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived samples computed once and reliably checkpointed into the
     shared checkpoint folder, for plans that read them in several branches."""
