@@ -117,3 +117,27 @@ def test_observe_counters(spark):
     df, obs = observe_orders(raw(spark, [json.dumps(GOOD), "{bad", None, _with(orderTimestamp=0)]))
     assert parse_orders(df).count() == 1
     assert obs.get == {"messages": 4, "errors": 3}
+
+
+def test_every_record_parsed_or_rejected_once(spark):
+    """Property: over arbitrary inputs (valid orders with random fields,
+    fragments, garbage, nulls), accepted + rejected == all records."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    scalar = st.one_of(st.none(), st.integers(-10**12, 10**13), st.floats(allow_nan=False,
+                       allow_infinity=False), st.text(max_size=5), st.booleans())
+    order = st.fixed_dictionaries({}, optional={f: scalar for f in GOOD})
+    value = st.one_of(order.map(json.dumps), st.text(max_size=30), st.none(),
+                      order.map(lambda d: json.dumps(d)[: max(1, len(json.dumps(d)) // 2)]))
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(value, min_size=1, max_size=40))
+    def check(values):
+        df = raw(spark, values)
+        ok = parse_orders(df).count()
+        bad = rejected_orders(df).groupBy("offset").count()
+        assert bad.where("count > 1").count() == 0
+        assert ok + bad.count() == len(values)
+
+    check()
