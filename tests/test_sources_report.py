@@ -67,7 +67,8 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.parametrize("name", ["order_metrics_30s", "merge_partials_5m", "rejected_orders",
-                                  "resample_15s", "counter_rate", "normalise_broker"])
+                                  "resample_15s", "counter_rate", "normalise_broker",
+                                  "broker_consumer_lag"])
 def test_oracle_small(spark, name):
     import __spark_entry__ as E
     df = E.queries()[name](spark, SF_SMALL)

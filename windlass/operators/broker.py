@@ -49,10 +49,11 @@ def _anchored(p: str) -> str:
 
 
 def normalise_broker_samples(raw: DataFrame, rules=RULES, allowlist=ALLOWLIST,
-                             flat: bool = False) -> DataFrame:
+                             flat: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw beans -> SAMPLES (``metric, labels, ts, value``).  With
     ``flat=True`` the labels come out as ``topic, partition, request``
-    columns (null when the rule sets none) instead of a map."""
+    columns (null when the rule sets none) instead of a map; ``keep`` names
+    raw columns to carry along."""
     name = F.col("name")
     allowed = F.lit(False)
     for domain, typ in allowlist:
@@ -77,9 +78,9 @@ def normalise_broker_samples(raw: DataFrame, rules=RULES, allowlist=ALLOWLIST,
     if flat:
         return keep_rows(df, ok, [metric.alias("metric"),
                                   *[labels[k].alias(k) for k in LABEL_NAMES],
-                                  F.col("ts"), F.col("value")])
+                                  F.col("ts"), F.col("value"), *[F.col(c) for c in keep]])
     entries = F.array(*[F.struct(F.lit(k).alias("key"), labels[k].alias("value"))
                         for k in LABEL_NAMES])
     lab = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
     return keep_rows(df, ok, [metric.alias("metric"), lab.alias("labels"), F.col("ts"),
-                              F.col("value")])
+                              F.col("value"), *[F.col(c) for c in keep]])

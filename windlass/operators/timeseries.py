@@ -74,6 +74,15 @@ def label(name: str, labels: Column | str = "labels") -> Column:
     return F.coalesce(c[name], F.lit(""))
 
 
+def latest_per_instant(samples: DataFrame, order: str) -> DataFrame:
+    """One sample per series and instant: on equal timestamps the row with
+    the largest ``order`` value wins (a grouped aggregate, map-side
+    combined).  Returns SAMPLES columns."""
+    s = with_series(samples)
+    g = s.groupBy("metric", "_sk", "ts").agg(F.max_by("value", order).alias("value"))
+    return g.select("metric", series_labels("_sk").alias("labels"), "ts", "value")
+
+
 def select_series(samples: DataFrame, metric: str | Sequence[str] | None = None,
                   eq: Mapping[str, str] | None = None, ne: Mapping[str, str] | None = None,
                   regex: Mapping[str, str] | None = None,

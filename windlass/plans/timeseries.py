@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import threshold_status, value_text
 from ..operators.broker import normalise_broker_samples
-from ..operators.timeseries import (across, binary_op, counter_rate, instant, minus_time,
+from ..operators.timeseries import (across, binary_op, counter_rate, instant, latest_per_instant,
+                                    minus_time,
                                     or_zero, over_time, progress_rate, reduce_panel,
                                     resample, select_series, series_labels, step_grid,
                                     value_filter, with_series)
@@ -165,6 +166,20 @@ def q_dashboard_panels(spark, sf_dir):
     return d.withColumn("value", F.round("value", 6))
 
 
+def q_broker_consumer_lag(spark, sf_dir):
+    """The reference's consumer-lag panel on its own metric names: broker
+    beans -> normaliser -> one sample per series and instant ->
+    ``sum(kafka_server_fetcherlagmetrics_consumerlag{topic="orders"})`` per step."""
+    configure(spark)
+    raw = broker_beans_from_events(read_table(spark, sf_dir, "events"))
+    s = with_series(latest_per_instant(normalise_broker_samples(raw, keep=("event_id",)),
+                                       "event_id"))
+    at = latest_ms(s)
+    lag = select_series(s, "kafka_server_fetcherlagmetrics_consumerlag", eq={"topic": "orders"})
+    out = across(resample(lag, at, RANGE_MS, STEP_MS), "sum")
+    return out.withColumn("value", F.round("value", 2))
+
+
 QUERIES = {
     "select_series_regex": q_select_series_regex,
     "instant_value": q_instant_value,
@@ -180,6 +195,7 @@ QUERIES = {
     "panel_last_mean": q_panel_last_mean,
     "progress_rate": q_progress_rate,
     "normalise_broker": q_normalise_broker,
+    "broker_consumer_lag": q_broker_consumer_lag,
     "scenario_report": q_scenario_report,
     "dashboard_panels": q_dashboard_panels,
 }

@@ -202,7 +202,7 @@ _ALLOW = [("kafka.server", "BrokerTopicMetrics"), ("kafka.server", "FetcherLagMe
           ("kafka.network", "RequestMetrics")]
 
 
-def _broker_sql() -> str:
+def _broker_sql(keep_event_id: bool = False) -> str:
     def anch(p):
         return "^(?:" + p + ")$"
     metric = "CASE " + " ".join(
@@ -233,11 +233,29 @@ B AS (
     WHEN user_id % 3 = 0 THEN 'kafka.controller<type=KafkaController, name=ActiveControllerCount><>Value'
     WHEN user_id % 3 = 1 THEN 'kafka.network<type=RequestMetrics, name=TotalTimeMs, request=' || CASE WHEN user_id % 2 = 0 THEN 'Produce' ELSE 'FetchConsumer' END || '><>Mean'
     ELSE 'kafka.server<type=BrokerTopicMetrics, name=TotalFetchRequestsPerSec><>Count' END AS name,
-    ts_ms, value
+    ts_ms, value, event_id
   FROM EV
 ),
-N AS (SELECT {metric} AS metric, {", ".join(labels)}, ts_ms, value FROM B WHERE {allow})
+N AS (SELECT {metric} AS metric, {", ".join(labels)}, ts_ms, value{", event_id" if keep_event_id else ""}
+      FROM B WHERE {allow})
 SELECT * FROM N WHERE metric IS NOT NULL"""
 
 
 ORACLES["normalise_broker"] = _broker_sql()
+
+ORACLES["broker_consumer_lag"] = "WITH BN AS (" + _broker_sql(keep_event_id=True) + f"""),
+D AS (SELECT metric, topic, "partition", request, ts_ms, arg_max(value, event_id) AS value
+      FROM BN GROUP BY metric, topic, "partition", request, ts_ms),
+P AS (SELECT max(ts_ms) AS at_ms,
+             ((max(ts_ms) - {RANGE_MS}) // {STEP} + 1) * {STEP} AS first,
+             (max(ts_ms) // {STEP}) * {STEP} AS last FROM D),
+GRID AS (SELECT unnest(range(first, last + 1, {STEP})) AS step FROM P),
+X AS (SELECT D.* FROM D, P WHERE metric = 'kafka_server_fetcherlagmetrics_consumerlag'
+        AND topic = 'orders' AND ts_ms > first - {LOOKBACK} AND ts_ms <= last),
+L AS (SELECT DISTINCT metric, topic, "partition" FROM X),
+G AS (SELECT L.*, GRID.step FROM L, GRID),
+R AS (SELECT g.step, x.value FROM G g ASOF JOIN X x
+        ON g.metric = x.metric AND g.topic = x.topic AND g."partition" = x."partition"
+        AND x.ts_ms <= g.step
+      WHERE x.ts_ms > g.step - {LOOKBACK})
+SELECT step, round(sum(value), 2) AS value FROM R GROUP BY step"""
