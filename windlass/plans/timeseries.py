@@ -20,7 +20,7 @@ from ..operators.timeseries import (across, binary_op, counter_rate, instant, la
                                     value_filter, with_series)
 from ..session import configure, shared_dir
 from .report import dashboard_panels, scenario_report
-from ..sources.fixtures import broker_beans_from_events, ops_samples, read_table
+from ..sources.fixtures import broker_beans_from_events, compressed_ms, ops_samples, read_table
 
 RANGE_MS = 45 * 60_000
 STEP_MS = 15_000
@@ -44,6 +44,17 @@ def latest_ms(s: DataFrame) -> int:
     return int(s.agg(F.max("ts_ms")).first()[0])
 
 
+def latest_event_ms(spark: SparkSession, sf_dir: str) -> int:
+    """The newest sample instant read straight from ``events`` (every event
+    yields a sample at its compressed time): one scan, no derivation."""
+    ev = read_table(spark, sf_dir, "events")
+    return int(ev.agg(F.max(compressed_ms("ts"))).first()[0])
+
+
+def _ctx(spark: SparkSession, sf_dir: str):
+    return samples(spark, sf_dir), latest_event_ms(spark, sf_dir)
+
+
 def flat(df: DataFrame, *keep: str) -> DataFrame:
     lab = series_labels("_sk")
     cols = [c for c in ("metric",) if c in df.columns]
@@ -59,36 +70,34 @@ def q_select_series_regex(spark, sf_dir):
 
 
 def q_instant_value(spark, sf_dir):
-    s = samples(spark, sf_dir)
-    return flat(instant(s, latest_ms(s)), "value")
+    s, at = _ctx(spark, sf_dir)
+    return flat(instant(s, at), "value")
 
 
 def q_resample_15s(spark, sf_dir):
-    s = samples(spark, sf_dir)
+    s, at = _ctx(spark, sf_dir)
     g = select_series(s, ["records_per_second", "consumer_lag", "checkpoint_ms"])
-    return flat(resample(g, latest_ms(s), RANGE_MS, STEP_MS), "step", "value")
+    return flat(resample(g, at, RANGE_MS, STEP_MS), "step", "value")
 
 
 def q_over_time(spark, sf_dir):
     """max / min / avg over the grid; the average is reported as the sum
     rounded to cents over the step count, identical in any summation order."""
-    s = samples(spark, sf_dir)
-    r = resample(select_series(s, ["records_per_second", "consumer_lag"]),
-                 latest_ms(s), RANGE_MS, STEP_MS)
+    s, at = _ctx(spark, sf_dir)
+    r = resample(select_series(s, ["records_per_second", "consumer_lag"]), at, RANGE_MS, STEP_MS)
     out = over_time(r, "max", "min", "sum", "count")
     return flat(out, F.col("max").alias("max_v"), F.col("min").alias("min_v"),
                 (F.round("sum", 2) / F.col("count")).alias("avg_v"), F.col("count").alias("n"))
 
 
 def q_counter_rate(spark, sf_dir):
-    s = samples(spark, sf_dir)
+    s, at = _ctx(spark, sf_dir)
     c = select_series(s, ["records_per_second_total", "checkpoint_ms_total"])
-    return flat(counter_rate(c, latest_ms(s), RANGE_MS, 60_000, STEP_MS), "step", "value")
+    return flat(counter_rate(c, at, RANGE_MS, 60_000, STEP_MS), "step", "value")
 
 
 def _gauges(spark, sf_dir, metric):
-    s = samples(spark, sf_dir)
-    at = latest_ms(s)
+    s, at = _ctx(spark, sf_dir)
     return s, at, resample(select_series(s, metric), at, RANGE_MS, STEP_MS)
 
 
@@ -114,8 +123,7 @@ def q_ready_pods(spark, sf_dir):
 
 
 def q_startup_latency(spark, sf_dir):
-    s = samples(spark, sf_dir)
-    at = latest_ms(s)
+    s, at = _ctx(spark, sf_dir)
     a = resample(select_series(s, "records_per_second"), at, RANGE_MS, STEP_MS)
     b = resample(select_series(s, "checkpoint_ms"), at, RANGE_MS, STEP_MS)
     return flat(binary_op(a, b, "-"), "step", "value")
