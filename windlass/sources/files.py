@@ -10,7 +10,9 @@ def read_orders_files(spark: SparkSession, path: str, streaming: bool = True,
                       max_files: int | None = None) -> DataFrame:
     """SRC-3: newline-delimited JSON orders (one record per line), as a
     ``value`` column shaped like the Kafka source so the same parser runs.
-    Streaming reads pick files up in modification-time order."""
+    Streaming reads pick files up in modification-time order; ``max_files``
+    bounds a micro-batch (also under availableNow) when catching up on a
+    large backlog."""
     if streaming:
         r = spark.readStream.format("text")
         if max_files:

@@ -59,14 +59,21 @@ def sink_options(servers: str, topic: str, producer: dict[str, str] | None = Non
     return opts
 
 
+# Records per micro-batch when a stream catches up on a backlog: a first
+# start at "earliest" then proceeds in bounded batches (state, shuffle and
+# sink sizes stay predictable) instead of one batch holding the whole topic.
+ORDERS_MAX_PER_TRIGGER = 5_000_000
+
+
 def read_orders_kafka(spark: SparkSession, servers: str, topic: str = ORDERS_TOPIC,
-                      streaming: bool = True, **opts: str) -> DataFrame:
+                      streaming: bool = True,
+                      max_per_trigger: int | None = ORDERS_MAX_PER_TRIGGER,
+                      **opts: str) -> DataFrame:
     """SRC-1: raw order records (key, value, topic, partition, offset,
     timestamp).  Feed to :func:`windlass.operators.parse.parse_orders`."""
-    o = source_options(servers, topic, ORDERS_GROUP, **opts)
+    o = source_options(servers, topic, ORDERS_GROUP,
+                       max_per_trigger=max_per_trigger if streaming else None, **opts)
     reader = spark.readStream if streaming else spark.read
-    if not streaming:
-        o.pop("maxOffsetsPerTrigger", None)
     return reader.format("kafka").options(**o).load()
 
 
