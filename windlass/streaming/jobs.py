@@ -105,13 +105,20 @@ def run_available_now(df: DataFrame, output: str, checkpoint: str, fmt: str = "p
                 spark.conf.set(k, v)
 
 
-def default_state_partitions(spark: SparkSession) -> int:
-    """Stateful partitions for a new stream: the cluster's default
-    parallelism (one state partition per core)."""
+# The stateful stage of the window jobs receives map-side partial
+# aggregates (at most open windows x keys rows per input partition), so its
+# width follows the number of groups, not the input volume or cluster size.
+MAX_STATE_PARTITIONS = 64
+
+
+def default_state_partitions(spark: SparkSession, cap: int = MAX_STATE_PARTITIONS) -> int:
+    """Stateful partitions for a new stream: one per core, at most ``cap``
+    (more would mostly open empty state stores every micro-batch)."""
     try:
-        return max(1, int(spark.sparkContext.defaultParallelism))
+        n = int(spark.sparkContext.defaultParallelism)
     except Exception:
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(n, int(cap)))
 
 
 def _run(df, output, checkpoint, fmt, mode, timeout_s, name) -> StreamRun:
