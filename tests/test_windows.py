@@ -160,3 +160,40 @@ def test_sketch_partials_merge(spark):
     for k, (n, u) in exact.items():
         assert approx[k][0] == n
         assert abs(approx[k][1] - u) <= max(2, 0.05 * u)
+
+
+def test_results_independent_of_partitioning_and_skew(spark):
+    """Same answers with 3 or 17 shuffle partitions, with one key holding
+    ~90 % of the orders (windows, sessions, partial merge)."""
+    rnd = random.Random(21)
+    orders = []
+    for i in range(1500):
+        hot = rnd.random() < 0.9
+        orders.append(make_order("C%d" % rnd.randint(1, 40), "HOT" if hot else rnd.choice("ABC"),
+                                 "R" if hot else rnd.choice("XY"), float(rnd.randint(1, 500)) / 4,
+                                 1000 + i * rnd.choice([50, 400, 3000, 12000])))
+
+    def run():
+        df = orders_df(spark, orders)
+        a = sorted(tuple(r) for r in order_metrics(df, size="1 minute")
+                   .select("windowStart", "category", "region", "orderCount",
+                           F.round("totalRevenue", 4), "uniqueCustomers").collect())
+        b = sorted(tuple(r) for r in order_metrics_session(df, gap="10 seconds", bucket="1 minute")
+                   .select("windowStart", "windowEnd", "category", "orderCount",
+                           "uniqueCustomers").collect())
+        c = sorted(tuple(r) for r in merge_metrics(order_partials(df), size="5 minutes")
+                   .select("windowStart", "category", "region", "orderCount",
+                           "uniqueCustomers").collect())
+        return a, b, c
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        first = run()
+        spark.conf.set("spark.sql.shuffle.partitions", "17")
+        second = run()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert first == second
+    hot = [r for r in first[0] if r[1] == "HOT"]
+    assert sum(r[3] for r in hot) > 1200
