@@ -1,9 +1,10 @@
 """Registered order-stream queries over the driver's tables.
 
 Each query takes ``(spark, sf_dir)`` and returns a DataFrame whose column
-names match its oracle in :mod:`windlass.plans.oracles`.  Money sums are
-rounded to 2 decimals and averages to 6 on both sides, because double sums
-depend on summation order.
+names match its oracle in :mod:`windlass.plans.oracles`.  Double sums
+depend on summation order, so compared outputs round the money sum to 2
+decimals (an exact sum of cents) and take the average from that rounded
+sum, identically on both sides (:func:`for_compare`).
 """
 
 from __future__ import annotations
