@@ -104,3 +104,19 @@ def test_reference_dashboard_and_report_definitions(spark):
     compat = scenario_report(s, at, 45, sources=REFERENCE_SOURCES, compat_rate=True).collect()[0]
     assert rep.broker_inbound_peak is not None and compat.broker_inbound_peak is not None
     assert rep.broker_inbound_peak != compat.broker_inbound_peak
+
+
+def test_cli_report(spark, tmp, capsys):
+    """The report from the command line over a stored samples table."""
+    from windlass.cli import main
+    from windlass.sources.fixtures import broker_beans_from_events, read_table
+    from windlass.sources.samples import write_samples
+    path = tmp + "/samples"
+    write_samples(normalise_broker_samples(broker_beans_from_events(
+        read_table(spark, SF_SMALL, "events"))), path)
+    row = main(["report", "--samples", path, "--duration", "45", "--label", "cli",
+                "--csv", tmp + "/csv"], spark=spark)
+    assert row["label"] == "cli" and row["send_rate_peak"] == "N/A"
+    assert row["consumer_lag_peak"] != "N/A"
+    assert "consumer_lag_peak:" in capsys.readouterr().out
+    assert spark.read.option("header", True).csv(tmp + "/csv").count() == 1
