@@ -182,3 +182,17 @@ def test_stored_samples_prune_by_metric_and_time(spark, tmp):
     got = {(r.pod, r.step): r.value for r in resample(select_series(s, "g"), at, 600_000)
            .select(series_labels("_sk")["pod"].alias("pod"), "step", "value").collect()}
     assert got == _brute_resample(rows, at, 600_000)
+
+
+def test_vector_op_equals_binary_op(spark):
+    from windlass.operators.timeseries import vector_op
+    rows = _fixture()
+    rows2 = rows + [("h", p, ts, v * 2 + 1) for _, p, ts, v in rows[::2]]
+    s = _samples(spark, rows2)
+    at = max(r[2] for r in rows)
+    r = resample(s, at, 3_600_000)
+    m = F.col("metric")
+    one = vector_op(r, m == "h", m == "g", "-")
+    two = binary_op(r.where(m == "h"), r.where(m == "g"), "-")
+    key = lambda df: sorted((tuple(x._sk), x.step, x.value) for x in df.collect())
+    assert key(one) == key(two) and len(key(one)) > 0

@@ -315,6 +315,19 @@ def binary_op(left: DataFrame, right: DataFrame, op: str = "-") -> DataFrame:
     return g.where((F.col("_nl") > 0) & (F.col("_nr") > 0)).select("_sk", "step", val.alias("value"))
 
 
+def vector_op(df: DataFrame, left: Column, right: Column, op: str = "-") -> DataFrame:
+    """TS-15 on one frame: the two operand vectors are the rows matching
+    ``left`` and ``right`` (e.g. two metric names of one resample), matched
+    on identical label sets per step in a single aggregation."""
+    null = F.lit(None).cast("double")
+    g = df.groupBy("_sk", "step").agg(
+        F.max(F.when(left, F.col("value")).otherwise(null)).alias("_lv"),
+        F.max(F.when(right, F.col("value")).otherwise(null)).alias("_rv"))
+    lv, rv = F.col("_lv"), F.col("_rv")
+    val = {"-": lv - rv, "+": lv + rv, "*": lv * rv, "/": lv / rv}[op]
+    return g.where(lv.isNotNull() & rv.isNotNull()).select("_sk", "step", val.alias("value"))
+
+
 def minus_time(df: DataFrame, scale_ms: float = 1.0) -> DataFrame:
     """TS-16: ``x - time() * 1000`` -- value minus the step instant (ms)."""
     return df.withColumn("value", F.col("value") - F.col("step").cast("double") * F.lit(scale_ms))

@@ -482,15 +482,14 @@ def dashboard_panels(samples: DataFrame, at_ms: int, range_ms: int,
             "panel", "step", series.alias("series"),
             F.when(kind == "minus_time", F.col("value") - F.col("step").cast("double") * 1.0)
             .otherwise(F.col("value")).alias("value")))
-        # difference panels: matched on identical label sets per step
+        # difference panels: one aggregation per (panel, labels, step)
         if any(p.kind == "diff" for p in panels):
-            lft = t.where((kind == "diff") & (F.col("role") == "L")).select(
-                "panel", "_sk", "step", F.col("value").alias("_lv"))
-            rgt = t.where((kind == "diff") & (F.col("role") == "R")).select(
-                "panel", "_sk", "step", F.col("value").alias("_rv"))
-            j = lft.join(rgt, ["panel", "_sk", "step"])
-            parts.append(j.select("panel", "step", series.alias("series"),
-                                  (F.col("_lv") - F.col("_rv")).alias("value")))
+            d = t.where(kind == "diff").groupBy("panel", "_sk", "step").agg(
+                F.max(F.when(F.col("role") == "L", F.col("value"))).alias("_lv"),
+                F.max(F.when(F.col("role") == "R", F.col("value"))).alias("_rv"))
+            parts.append(d.where(F.col("_lv").isNotNull() & F.col("_rv").isNotNull()).select(
+                "panel", "step", series.alias("series"),
+                (F.col("_lv") - F.col("_rv")).alias("value")))
         # per-step reductions (sum, avg x100, sum by pod, count by phase, ready or 0)
         grouped = t.where(kind.isin(*_GROUPED_KINDS))
         lab = series_labels("_sk")

@@ -17,7 +17,7 @@ from ..operators.timeseries import (across, binary_op, counter_rate, instant, la
                                     minus_time,
                                     or_zero, over_time, progress_rate, reduce_panel,
                                     resample, select_series, series_labels, step_grid,
-                                    value_filter, with_series)
+                                    value_filter, vector_op, with_series)
 from ..session import configure, shared_dir
 from .report import dashboard_panels, scenario_report
 from ..sources.fixtures import broker_beans_from_events, compressed_ms, ops_samples, read_table
@@ -123,10 +123,13 @@ def q_ready_pods(spark, sf_dir):
 
 
 def q_startup_latency(spark, sf_dir):
+    """``a - b`` on identical label sets: one resample of both metrics, one
+    aggregation per (labels, step)."""
     s, at = _ctx(spark, sf_dir)
-    a = resample(select_series(s, "records_per_second"), at, RANGE_MS, STEP_MS)
-    b = resample(select_series(s, "checkpoint_ms"), at, RANGE_MS, STEP_MS)
-    return flat(binary_op(a, b, "-"), "step", "value")
+    r = resample(select_series(s, ["records_per_second", "checkpoint_ms"]), at, RANGE_MS, STEP_MS)
+    m = F.col("metric")
+    return flat(vector_op(r, m == "records_per_second", m == "checkpoint_ms", "-"),
+                "step", "value")
 
 
 def q_watermark_lag(spark, sf_dir):
