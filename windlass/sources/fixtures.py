@@ -120,9 +120,24 @@ def corrupted_raw_orders(events: DataFrame) -> DataFrame:
     )
 
 
-def ops_samples(events: DataFrame) -> DataFrame:
-    """Gauges and counters in one SAMPLES table."""
-    return samples_from_events(events).unionByName(counter_samples_from_events(events))
+def ops_samples(events: DataFrame, block: int = 1000) -> DataFrame:
+    """Gauges and counters in one SAMPLES table, from one scan: the counter's
+    running sum is a window over the same rows (partitioned by series x
+    block of event ids), and both series keep the highest event_id per
+    (series, instant) in one grouped aggregate."""
+    s = _sample_rows(events)
+    w = (Window.partitionBy("metric", "pod", F.floor(F.col("event_id") / block))
+         .orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    s = s.select("*", F.sum(F.round(F.col("value") * 100)).over(w).alias("_cum"))
+    g = s.groupBy("metric", "pod", "phase", "ts_ms").agg(
+        F.max_by("value", "event_id").alias("_gauge"),
+        F.max_by("_cum", "event_id").alias("_counter"))
+    both = F.array(
+        F.struct(F.col("metric").alias("m"), F.col("_gauge").alias("v")),
+        F.struct(F.concat("metric", F.lit("_total")).alias("m"), F.col("_counter").alias("v")))
+    out = g.select("pod", "phase", "ts_ms", F.inline(both)).withColumnRenamed("m", "metric") \
+        .withColumnRenamed("v", "value")
+    return _as_samples(out)
 
 
 def _sample_rows(events: DataFrame) -> DataFrame:
