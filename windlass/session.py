@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -25,13 +24,19 @@ ENGINE_CONF = {
 }
 
 
+# Without these the results change, not just the speed.
+REQUIRED = ("spark.sql.streaming.statefulOperator.allowMultiple", "spark.sql.session.timeZone")
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply ENGINE_CONF to an existing session (runtime-settable keys only)."""
+    """Apply ENGINE_CONF to an existing session.  A key the session refuses is
+    skipped, except those of REQUIRED, which must then hold the value already."""
     for k, v in ENGINE_CONF.items():
         try:
             spark.conf.set(k, v)
-        except Exception:  # static conf already fixed by the cluster
-            pass
+        except Exception:
+            if k in REQUIRED and spark.conf.get(k, None) != v:
+                raise
     return spark
 
 
@@ -51,26 +56,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return configure(spark)
 
 
+def _shared_base(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, as a URI.  Only a ``local``
+    master may go without one (a private folder is made then): on a cluster
+    a machine-local folder would hide files from the other executors."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base:
+        return base
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all "
+                           f"executors share (master {sc.master})")
+    base = "file://" + tempfile.mkdtemp(prefix="windlass-")
+    sc.setCheckpointDir(base)
+    return base
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory.
 
     Streaming checkpoints, stream outputs and materialised intermediates go
     here so that any executor (and a restarted driver) can reach them.  The
-    location comes from ``spark.checkpoint.dir``; only when the session has
-    none (a bare local test session) is a private temporary folder set.
+    location comes from ``spark.checkpoint.dir``, scheme included.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # a session without a local SparkContext handle
-        sc = None
-    if not base and sc is not None:
-        base = sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="windlass-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if sc is not None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "windlass", f"{name}-{uuid.uuid4().hex[:12]}")
+    base = _shared_base(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/windlass/{name}-{uuid.uuid4().hex[:12]}"
