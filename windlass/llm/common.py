@@ -11,6 +11,8 @@ from ..session import shared_dir
 
 # Words: runs of anything but space and the five ASCII white-space controls.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Rows of an Arrow batch: batches hold whole texts, some of them very long.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -20,7 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_workers(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package when the driver found it by
-    ``sys.path`` only (on a cluster ship it with ``--py-files``)."""
+    ``sys.path`` only (on a cluster ship it with ``--py-files``), and hand
+    them texts in batches of at most BATCH_ROWS rows."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
     if _ROOT not in path.split(os.pathsep):
