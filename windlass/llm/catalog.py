@@ -1,6 +1,7 @@
 """Queries of the training-data operators, and their SQL where SQL can say it."""
 
-from . import simhash
+from ..session import shared_dir
+from . import decontaminate, html_extract, langid, packing, secret_scan, simhash, url_filter, warc
 from .common import table
 
 
@@ -8,5 +9,36 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES = {}
+def op2_langid(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_urlfilter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_secrets(spark, sf_dir):
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_html(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark, sf_dir):
+    path = shared_dir(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.describe(warc.read_archive(spark, path))
+
+
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {q.__name__: q for q in (op1_simhash, op2_langid, op3_urlfilter, op5_secrets, op6_packing, op7_html,
+                                   op9_warc, op10_decontaminate)}
+ORACLES = {"op3_urlfilter": url_filter.ORACLE}
