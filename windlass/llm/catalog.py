@@ -1,7 +1,8 @@
 """Queries of the training-data operators, and their SQL where SQL can say it."""
 
 from ..session import shared_dir
-from . import decontaminate, html_extract, langid, packing, secret_scan, simhash, url_filter, warc
+from . import (decontaminate, html_extract, langid, packing, quality, secret_scan, simhash, toxicity, url_filter,
+               warc)
 from .common import table
 
 
@@ -17,6 +18,10 @@ def op3_urlfilter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark, sf_dir):
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,11 @@ def op7_html(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_warc(spark, sf_dir):
     path = shared_dir(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -39,6 +49,6 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {q.__name__: q for q in (op1_simhash, op2_langid, op3_urlfilter, op5_secrets, op6_packing, op7_html,
-                                   op9_warc, op10_decontaminate)}
+QUERIES = {q.__name__: q for q in (op1_simhash, op2_langid, op3_urlfilter, op4_quality, op5_secrets,
+                                   op6_packing, op7_html, op8_toxicity, op9_warc, op10_decontaminate)}
 ORACLES = {"op3_urlfilter": url_filter.ORACLE}
