@@ -33,18 +33,19 @@ UNITS = ("km m cm mm mi mile miles ft feet foot inch inches yard yards kg g mg l
 def tokens(text: Column) -> Column:
     """Template words of a text: lower-cased words, and placeholders that
     start with their type's control character."""
+    # Every pattern begins with the rare character it needs; what must stand
+    # before it is looked at last.
     t = F.regexp_replace(text, "[\\x01-\\x04]", " ")
-    t = F.regexp_replace(t, "(?<=[0-9])[,](?=[0-9]{3}(?![0-9]))", "")
-    t = F.regexp_replace(t, "(?<=[0-9])[.](?=[0-9])", _IN)
+    t = F.regexp_replace(t, "[,](?=[0-9]{3}(?![0-9]))(?<=[0-9],)", "")
+    t = F.regexp_replace(t, "[.](?=[0-9])(?<=[0-9][.])", _IN)
     # Names: capitalised words inside a sentence, neighbours as one.
-    t = F.regexp_replace(t, "(?<=[\\p{Ll}\\p{N},;:]\\s)(?=\\p{Lu})", _NAME)
-    t = F.regexp_replace(t, "(?<=\\x03[\\p{L}'-]{1,40})\\s+\\x03?(?=\\p{Lu})", _IN)
+    t = F.regexp_replace(t, "(\\s)(?=\\p{Lu})(?<=[\\p{Ll}\\p{N},;:]\\s)", f"$1{_NAME}")
+    t = F.regexp_replace(t, "\\s+\\x03?(?=\\p{Lu})(?<=\\x03[\\p{L}'-]{1,40}\\s{1,3}\\x03?)", _IN)
     t = F.regexp_replace(t, f"([0-9][0-9{_IN}]*)", f" {_NUM}$1 ")
     t = F.regexp_replace(t, "[$€£¥]\\s*(?=\\x01)", f" {_UNIT}currency ")
-    t = F.regexp_replace(t, "(?<=\\x01[0-9\\x04]{1,40}) \\s*%", f" {_UNIT}percent ")
+    t = F.regexp_replace(t, f"({_NUM}[0-9{_IN}]+)\\s*%", f"$1 {_UNIT}percent ")
     t = F.lower(t)
-    t = F.regexp_replace(t, f"(?<=\\x01[0-9\\x04]{{1,40}}) \\s*({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])",
-                         f" {_UNIT}$1 ")
+    t = F.regexp_replace(t, f"({_NUM}[0-9{_IN}]+)\\s+({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"$1 {_UNIT}$2 ")
     words = F.split(t, "[^\\p{L}\\p{M}\\p{N}\\x01-\\x04]+")
     return F.filter(words, lambda w: ~w.isin("", _NUM, _UNIT, _NAME, _IN))
 
