@@ -1,22 +1,14 @@
+"""Shared by the tests of the training-data operators (the session comes from
+tests/conftest.py)."""
+
 import os
-import sys
 
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-if ROOT not in sys.path:
-    sys.path.insert(0, ROOT)
-
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from windlass.llm.common import with_workers
-    from windlass.session import local_session
-    return with_workers(local_session(cores=4, shuffle_partitions=4, app="windlass-tests"))
-
-
 @pytest.fixture()
 def docs(spark):
     """Frame of documents from (doc_id, text) pairs, the other columns filled."""

@@ -8,6 +8,7 @@ import public_tokenizers
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from llm_helpers import docs  # noqa: F401
 from windlass.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -37,7 +38,7 @@ def test_ids_of_any_text(text):
 
 
 def test_ids_of_documents(spark):
-    from conftest import SF
+    from llm_helpers import SF
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         assert ours(r.text) == ids(r.text)
 
@@ -66,7 +67,7 @@ def test_steps_hold_equal_tokens():
 
 
 def test_pieces_of_a_table(spark, docs):
-    from conftest import SF
+    from llm_helpers import SF
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows += [(900001, None), (900002, ""), (900003, "word " * 60_000), (900004, "漢字 and İ mixed")]
     got = packing.pack(docs(rows).repartition(3), group_tokens=50_000).collect()

@@ -2,7 +2,7 @@
 
 import sys
 
-from conftest import ROOT, SF
+from llm_helpers import ROOT, SF
 from test_decontaminate import plain_words
 from test_simhash import brute_roots, plain_fingerprint
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 from hypothesis import given, settings, strategies as st
 
+from llm_helpers import docs  # noqa: F401
 from windlass.llm import quality as q
 
 
@@ -48,7 +49,7 @@ def test_bands():
 
 
 def test_table_and_edge_rows(spark, docs):
-    from conftest import SF
+    from llm_helpers import SF
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in q.quality(d).collect()}
     for r in d.collect():

@@ -72,7 +72,7 @@ def test_redaction_merges_overlaps():
 
 
 def test_table(spark):
-    from conftest import SF
+    from llm_helpers import SF
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in s.secrets(d).collect()}
     rows = d.collect()

@@ -84,7 +84,7 @@ def test_links_equal_brute_force(spark, block):
 
 
 def test_documents_of_the_table(spark):
-    from conftest import SF
+    from llm_helpers import SF
     d = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r.text for r in d.collect()}
     fp = {i: plain_fingerprint(t) for i, t in rows.items()}
