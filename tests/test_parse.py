@@ -46,8 +46,8 @@ def test_tolerated_records(spark):
 def test_malformed_rejected(spark, value):
     """E6: strict mode rejects these as malformed."""
     df = raw(spark, [value])
-    assert parse_orders(df).count() == 0
-    reasons = [r.reason for r in rejected_orders(df).collect()]
+    assert parse_orders(df, lenient=False).count() == 0
+    reasons = [r.reason for r in rejected_orders(df, lenient=False).collect()]
     assert reasons == ["malformed"]
 
 
@@ -63,9 +63,12 @@ def test_rejected_reasons(spark, value, reason):
 
 
 def test_lenient_mode_coerces_numbers(spark):
-    df = raw(spark, [_with(quantity="3"), _with(quantity=3.7)])
-    out = parse_orders(df, lenient=True).collect()
-    assert sorted(r.quantity for r in out) == [3, 3]
+    """The default; whole numbers beyond 53 bits keep every digit."""
+    df = raw(spark, [_with(quantity="3"), _with(quantity=3.7), _with(orderTimestamp="9007199254740993")])
+    out = parse_orders(df).collect()
+    assert sorted(r.quantity for r in out)[-2:] == [3, 3]
+    assert max(r.orderTimestamp for r in out) == 9007199254740993
+    assert rejected_orders(df).count() == 0
 
 
 def test_order_round_trip(spark):

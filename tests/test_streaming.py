@@ -1,7 +1,10 @@
 """Structured Streaming semantics: watermark close, late drop, restart."""
 
+import json
 import os
 
+import pytest
+
 from conftest import f1_orders, make_order, write_lines
 from windlass.operators.parse import encode_metrics, parse_orders
 from windlass.operators.windows import order_metrics
@@ -83,7 +86,9 @@ def test_stream_dedupe(spark, tmp):
     write_lines(src, "b.json", lines[:1])
     raw = spark.readStream.format("text").load(src)
     out, ck = os.path.join(tmp, "o"), os.path.join(tmp, "c")
-    run_available_now(dedupe_metrics(parse_metrics(raw)), out, ck)
+    with pytest.raises(ValueError, match="delay"):
+        dedupe_metrics(parse_metrics(raw))
+    run_available_now(dedupe_metrics(parse_metrics(raw), delay="10 minutes"), out, ck)
     assert spark.read.parquet(out).count() == 2
 
 
@@ -178,3 +183,32 @@ def test_source_lag_from_progress():
                          "latestOffset": '{"orders":{"0":130,"1":50}}'}]}
     assert source_lag(prog) == 30
     assert source_lag({"sources": [{"endOffset": {"logOffset": 3}, "latestOffset": None}]}) is None
+
+
+def test_counters_of_every_batch(spark, tmp):
+    """130 micro-batches, more than a query keeps reports of: no counter is
+    lost, and every record is decoded once."""
+    src = os.path.join(tmp, "src")
+    for i in range(130):
+        write_lines(src, f"{i:03d}.json", [json.dumps(make_order("C", "FOOD", "EAST", 1.0, 1000 + i))]
+                    + ["{bad"] * (i % 2))
+    _, run = stream_order_metrics(spark, src, os.path.join(tmp, "o"), os.path.join(tmp, "c"),
+                                  max_files=1, state_partitions=1, customer_buckets=2)
+    assert run.observed() == {"messages": 195, "errors": 65} and run.input_rows() == 195
+
+
+def test_one_decode_in_the_stream_plan(spark, tmp):
+    from windlass.operators.parse import parse_orders
+    src = os.path.join(tmp, "src")
+    write_lines(src, "a.json", [json.dumps(make_order("C", "FOOD", "EAST", 1.0, 1000))])
+    df = order_metrics(parse_orders(spark.read.text(src), counters="orders"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_customer_buckets_add_up(spark, tmp):
+    from windlass.operators.windows import merge_buckets, order_metrics_buckets
+    from conftest import orders_df
+    orders = orders_df(spark, f1_orders() + [make_order(None, "ELECTRONICS", "NORTH", 5.0, 2500)] * 2)
+    want = sorted(map(tuple, order_metrics(orders).collect()))
+    assert sorted(map(tuple, merge_buckets(order_metrics_buckets(orders, 3)).collect())) == want

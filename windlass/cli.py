@@ -30,9 +30,11 @@ def run_report(spark: SparkSession, args) -> dict:
     s = read_samples(spark, args.samples)
     at = args.at
     if at is None:
-        at = int(s.agg(F.max(F.unix_millis("ts"))).first()[0])
+        # The newest day's partitions only.
+        day = s.agg(F.max("date")).first()[0]
+        at = int(s.where(F.col("date") == F.lit(day)).agg(F.max(F.unix_millis("ts"))).first()[0])
     rep = scenario_report(s, at, args.duration, label=args.label or "",
-                          sources=REFERENCE_SOURCES, compat_rate=args.compat_rate)
+                          sources=REFERENCE_SOURCES, compat_rate=not args.plain_gauges)
     text = report_csv_row(rep)
     row = text.first().asDict()
     for k, v in row.items():
@@ -44,9 +46,12 @@ def run_report(spark: SparkSession, args) -> dict:
 
 def run_orders_job(spark: SparkSession, args) -> None:
     from .streaming.jobs import start_orders_job
-    q = start_orders_job(spark, args.servers, args.checkpoint, input_topic=args.input_topic,
-                         output_topic=args.output_topic, trigger=args.trigger)
-    q.awaitTermination()
+    start_orders_job(spark, args.servers, args.checkpoint, input_topic=args.input_topic,
+                     output_topic=args.output_topic, trigger=args.trigger, exact=not args.approx,
+                     lenient=not args.strict, starting=args.starting, max_per_trigger=args.max_per_trigger,
+                     fail_on_data_loss=not args.allow_data_loss, state_partitions=args.state_partitions,
+                     customer_buckets=args.customer_buckets, rejects_path=args.rejects)
+    spark.streams.awaitAnyTermination()
 
 
 def main(argv=None, spark: SparkSession | None = None):
@@ -58,14 +63,24 @@ def main(argv=None, spark: SparkSession | None = None):
     r.add_argument("--label", default="")
     r.add_argument("--at", type=int, default=None, help="evaluation instant, epoch ms")
     r.add_argument("--csv", default=None, help="append the CSV row under this path")
-    r.add_argument("--compat-rate", action="store_true",
-                   help="take rate() of per-second gauges, as the reference does")
+    r.add_argument("--plain-gauges", action="store_true",
+                   help="read per-second gauges as they are instead of taking rate() of them")
     j = sub.add_parser("orders-job", help="Kafka -> window metrics -> Kafka")
     j.add_argument("--servers", required=True)
     j.add_argument("--checkpoint", required=True)
     j.add_argument("--input-topic", default="orders")
     j.add_argument("--output-topic", default="order-metrics")
     j.add_argument("--trigger", default="10 seconds")
+    j.add_argument("--approx", action="store_true", help="count customers with a sketch")
+    j.add_argument("--strict", action="store_true", help="reject numbers written as text")
+    j.add_argument("--starting", default="earliest", help="offsets of the first start")
+    j.add_argument("--max-per-trigger", type=int, default=None, help="records per micro-batch")
+    j.add_argument("--allow-data-loss", action="store_true",
+                   help="go on when retention removed unread records")
+    j.add_argument("--state-partitions", type=int, default=None,
+                   help="width of the state (default: spark.sql.shuffle.partitions)")
+    j.add_argument("--customer-buckets", type=int, default=1, help="parts of the exact customer sets")
+    j.add_argument("--rejects", default=None, help="write rejected records there")
     args = p.parse_args(argv)
     spark = spark or _session()
     if args.cmd == "report":

@@ -14,12 +14,14 @@ from .parse import _decode
 from ..schemas import ORDER
 
 
-def observe_orders(raw: DataFrame, name: str = "orders"):
+def observe_orders(raw: DataFrame, name: str = "orders", lenient: bool = True):
     """Count records and rejects (null value, malformed JSON, bad
     timestamp) of a raw order frame.  Returns ``(frame, observation)``; the
-    observation is ``None`` for streams (read it from query progress)."""
-    d = _decode(raw, ORDER, lenient=False)
-    ts = F.coalesce(F.col("_p.orderTimestamp"), F.lit(0).cast("long"))
+    observation is ``None`` for streams (read it from query progress).  When
+    the orders are parsed as well, ``parse_orders(counters=...)`` counts in
+    the same decoding pass."""
+    d = _decode(raw, ORDER, lenient)
+    ts = F.coalesce(F.col("_p.orderTimestamp").try_cast("long"), F.lit(0).cast("long"))
     rejected = F.col("value").isNull() | F.col("_bad") | (ts <= 0)
     d = d.withColumn("_rejected", rejected)
     metrics = [F.count(F.lit(1)).alias("messages"),

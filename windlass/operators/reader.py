@@ -29,12 +29,16 @@ def metrics_summary(metrics: DataFrame) -> DataFrame:
         F.coalesce(F.max("windowEnd"), F.lit(0).cast("long")).alias("lastWindowEnd"))
 
 
-def dedupe_metrics(metrics: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def dedupe_metrics(metrics: DataFrame, delay: str | None = None) -> DataFrame:
     """At-least-once delivery can repeat a window row; keep one per
-    window x category x region.  On a stream the duplicates are tracked only
-    within ``delay`` of the newest window end (bounded state)."""
+    window x category x region.  A stream needs ``delay``: duplicates are
+    tracked within it, and rows whose window ended longer before the newest
+    one are dropped, duplicates or not (``StreamRun.rows_dropped_by_watermark``
+    counts them), so it must cover the longest catch-up."""
     keys = ["windowStart", "category", "region"]
     if metrics.isStreaming:
+        if delay is None:
+            raise ValueError("dedupe_metrics on a stream needs a delay")
         cols = metrics.columns
         return (metrics.withColumn("_ws", F.timestamp_millis("windowEnd"))
                 .withWatermark("_ws", delay)

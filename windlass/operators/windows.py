@@ -66,6 +66,33 @@ def _finish(df: DataFrame, win: str = "window") -> DataFrame:
     )
 
 
+def order_metrics_buckets(orders: DataFrame, buckets: int, size: str = "30 seconds",
+                          delay: str | None = "5 seconds") -> DataFrame:
+    """The window rows of :func:`order_metrics` in up to ``buckets`` parts,
+    one per hash bucket of the customer: on a stream no state row then holds
+    the whole customer set of a hot window.  All parts of a window close in
+    the same micro-batch; :func:`merge_buckets` adds them up."""
+    df = _prepare(orders, delay)
+    bucket = F.pmod(F.xxhash64("customerId"), F.lit(buckets)).cast("int").alias("bucket")
+    g = df.groupBy(F.window("eventTime", size).alias("window"), *KEYS, bucket)
+    return g.agg(*_raw_aggs(df.isStreaming, True)).select(
+        F.unix_millis("window.start").alias("windowStart"), F.unix_millis("window.end").alias("windowEnd"),
+        *KEYS, "bucket", "orderCount", "totalRevenue", "_max", "_min", "uniqueCustomers")
+
+
+def merge_buckets(parts: DataFrame) -> DataFrame:
+    """Window rows (METRICS) from the disjoint parts of
+    :func:`order_metrics_buckets`; a customer lies in one part only."""
+    agg = parts.groupBy("windowStart", "windowEnd", *KEYS).agg(
+        F.sum("orderCount").alias("orderCount"), F.sum("totalRevenue").alias("totalRevenue"),
+        F.max("_max").alias("_max"), F.min("_min").alias("_min"),
+        F.sum("uniqueCustomers").alias("uniqueCustomers"))
+    return agg.select("windowStart", "windowEnd", *KEYS, "orderCount", "totalRevenue",
+                      safe_div("totalRevenue", "orderCount").alias("avgOrderValue"),
+                      reported_max("_max").alias("maxOrderValue"), reported_min("_min").alias("minOrderValue"),
+                      "uniqueCustomers")
+
+
 def order_metrics(orders: DataFrame, size: str = "30 seconds", delay: str | None = "5 seconds",
                   exact: bool = True) -> DataFrame:
     """WIN-1/2 + AGG-1..8: tumbling event-time windows ``[start, end)``
@@ -103,44 +130,50 @@ def order_metrics_session(orders: DataFrame, gap: str = "10 seconds",
 def _batch_sessions(orders: DataFrame, gap_ms: int, bucket_ms: int, exact: bool) -> DataFrame:
     """Exact gap sessions without a per-key partition.
 
-    1. distinct (key, ts) instants, windowed per key x time bucket: a new
-       local session starts where the gap to the previous instant exceeds
-       ``gap_ms`` (instants are unique, so the order is total);
-    2. only the first and last local session of a bucket can continue
-       across a bucket edge; those boundary sessions (<= 2 per key x
-       bucket) are chained with a small gaps-and-islands pass;
-    3. every instant gets its final session id (the session's first
-       instant) and the orders are aggregated by (key, session id) with the
-       usual partial / two-phase distinct plan.
+    1. orders are numbered into local sessions per key x time bucket: a new
+       one starts where the gap to the previous order exceeds ``gap_ms``
+       (orders of one instant have gap 0, so ties do not matter);
+    2. only the first and last local session of a bucket can continue across
+       a bucket edge; those (<= 2 per key x bucket) are chained by a small
+       gaps-and-islands pass;
+    3. the chained starts come back to the orders by key x bucket, the
+       partitioning they already have, and the orders are aggregated by
+       (key, session start) with the partial / two-phase distinct plan.
+
+    The key is one struct column, so that null categories and regions are
+    ordinary values in the join.
     """
-    ts = F.col("orderTimestamp")
-    keys = list(KEYS)
-    unbounded = Window.unboundedPreceding
-    inst = (orders.select(*keys, ts.alias("ts")).distinct()
-            .withColumn("_b", F.floor(F.col("ts") / F.lit(bucket_ms)).cast("long")))
-    w = Window.partitionBy(*keys, "_b").orderBy("ts")
-    inst = inst.select("*", F.when(F.col("ts") - F.lag("ts").over(w) <= gap_ms, F.lit(0))
-                       .otherwise(F.lit(1)).alias("_brk"))
-    inst = inst.select(*keys, "ts", "_b",
-                       F.sum("_brk").over(w.rowsBetween(unbounded, 0)).alias("_ls"))
-    local = (inst.groupBy(*keys, "_b", "_ls")
-             .agg(F.min("ts").alias("_first"), F.max("ts").alias("_last")))
-    wl = Window.partitionBy(*keys, "_b")
-    local = local.select("*", (F.max("_ls").over(wl) == F.col("_ls")).alias("_is_last"))
-    edge = local.where((F.col("_ls") == 1) | F.col("_is_last"))
-    we = Window.partitionBy(*keys).orderBy("_first")
-    edge = edge.select("*", F.when(F.col("_first") - F.lag("_last").over(we) <= gap_ms,
-                                   F.lit(None)).otherwise(F.col("_first")).alias("_start"))
-    edge = edge.select(*keys, "_b", "_ls",
-                       F.max("_start").over(we.rowsBetween(unbounded, 0)).alias("_island"))
-    sid = (local.join(edge, [*keys, "_b", "_ls"], "left")
-           .select(*keys, "_b", "_ls", F.coalesce("_island", "_first").alias("_sid")))
-    ts_sid = inst.join(sid, [*keys, "_b", "_ls"]).select(*keys, "ts", "_sid")
-    o = orders.join(ts_sid.withColumnRenamed("ts", "orderTimestamp"),
-                    [*keys, "orderTimestamp"])
+    ts, unbounded = F.col("orderTimestamp"), Window.unboundedPreceding
+    o = orders.select(F.struct(*KEYS).alias("_k"),
+                      F.floor(ts / F.lit(bucket_ms)).cast("long").alias("_b"),
+                      ts.alias("ts"), "totalAmount", "customerId")
+    w = Window.partitionBy("_k", "_b").orderBy("ts")
+    o = o.select("*", F.when(F.col("ts") - F.lag("ts").over(w) <= gap_ms, None)
+                 .otherwise(F.col("ts")).alias("_brk"))
+    # Start of the local session: the last break so far.
+    o = o.select("*", F.max("_brk").over(w.rangeBetween(unbounded, 0)).alias("_first"),
+                 F.min("ts").over(w.rowsBetween(unbounded, 0)).alias("_low")).drop("_brk")
+    ends = o.groupBy("_k", "_b").agg(F.min("ts").alias("f"), F.max("ts").alias("l"),
+                                     F.max("_first").alias("lf"),
+                                     F.max(F.when(F.col("_first") == F.col("_low"), F.col("ts"))).alias("fl"))
+    edge = ends.select("_k", "_b", F.explode(F.when(
+        F.col("f") == F.col("lf"), F.array(F.struct(F.col("f").alias("start"), F.col("l").alias("last")))).otherwise(
+        F.array(F.struct(F.col("f").alias("start"), F.col("fl").alias("last")),
+                F.struct(F.col("lf").alias("start"), F.col("l").alias("last"))))).alias("e"))
+    edge = edge.select("_k", "_b", "e.*")
+    we = Window.partitionBy("_k").orderBy("start")
+    edge = edge.select("*", F.when(F.col("start") - F.lag("last").over(we) <= gap_ms, None)
+                       .otherwise(F.col("start")).alias("_new"))
+    edge = edge.select("_k", "_b", "start", F.max("_new").over(we.rowsBetween(unbounded, 0)).alias("_island"))
+    chained = edge.groupBy("_k", "_b").agg(
+        F.min_by("_island", "start").alias("_i1"), F.min("start").alias("_s1"),
+        F.max_by("_island", "start").alias("_i2"), F.max("start").alias("_s2"))
+    sid = (F.when(F.col("_first") == F.col("_s1"), F.col("_i1"))
+           .when(F.col("_first") == F.col("_s2"), F.col("_i2")).otherwise(F.col("_first")))
+    o = o.join(chained, ["_k", "_b"]).select("_k", sid.alias("_sid"), "ts", "totalAmount", "customerId")
     amount = F.col("totalAmount")
-    agg = o.groupBy(*keys, "_sid").agg(
-        F.max("orderTimestamp").alias("_lastTs"),
+    agg = o.groupBy("_k", "_sid").agg(
+        F.max("ts").alias("_lastTs"),
         F.count(F.lit(1)).alias("orderCount"),
         F.sum(amount).alias("totalRevenue"),
         F.max(amount).alias("_max"),
@@ -149,7 +182,7 @@ def _batch_sessions(orders: DataFrame, gap_ms: int, bucket_ms: int, exact: bool)
     return agg.select(
         F.col("_sid").alias("windowStart"),
         (F.col("_lastTs") + F.lit(gap_ms)).alias("windowEnd"),
-        *keys, "orderCount", "totalRevenue",
+        *[F.col(f"_k.{k}").alias(k) for k in KEYS], "orderCount", "totalRevenue",
         safe_div("totalRevenue", "orderCount").alias("avgOrderValue"),
         reported_max("_max").alias("maxOrderValue"),
         reported_min("_min").alias("minOrderValue"),
@@ -157,17 +190,22 @@ def _batch_sessions(orders: DataFrame, gap_ms: int, bucket_ms: int, exact: bool)
 
 
 def order_partials(orders: DataFrame, size: str = "30 seconds",
-                   delay: str | None = "5 seconds", exact: bool = True) -> DataFrame:
+                   delay: str | None = "5 seconds", exact: bool = True,
+                   buckets: int = 16) -> DataFrame:
     """AGG-9 input: mergeable per-window accumulators (PARTIALS schema).
 
     Extremes stay raw so merging follows the accumulator rule; the
-    customer set is exact and keeps a null element for a null customer.
+    customer set is exact and keeps a null element for a null customer.  A
+    window has a row for each of up to ``buckets`` hash buckets of its
+    customers, so no row holds a hot window's whole set; every merge takes
+    the rows as the disjoint parts they are.
     With ``exact=False`` the set is replaced by a fixed-size HLL sketch
     (``customerSketch``, binary) plus a null-seen flag, so a very hot window
     never carries an unbounded array; sketches merge with ``hll_union_agg``.
     """
     df = _prepare(orders, delay)
-    g = df.groupBy(F.window("eventTime", size).alias("window"), *KEYS)
+    part = [F.pmod(F.xxhash64("customerId"), F.lit(buckets)).cast("int").alias("bucket")] if exact else []
+    g = df.groupBy(F.window("eventTime", size).alias("window"), *KEYS, *part)
     if exact:
         ids = [F.transform(F.collect_set(F.struct(F.col("customerId").alias("c"))),
                            lambda s: s["c"]).alias("customerIds")]
@@ -185,7 +223,7 @@ def order_partials(orders: DataFrame, size: str = "30 seconds",
         F.unix_millis(F.col("window.start")).alias("windowStart"),
         F.unix_millis(F.col("window.end")).alias("windowEnd"),
         *KEYS, "orderCount", "totalRevenue", "maxOrderValue", "minOrderValue",
-        *[c for c in ("customerIds", "customerSketch", "nullCustomer") if c in agg.columns])
+        *[c for c in ("customerIds", "bucket", "customerSketch", "nullCustomer") if c in agg.columns])
 
 
 def _interval_ms(size: str) -> int:
@@ -272,14 +310,15 @@ def merge_partials(partials: DataFrame, size: str | None = None) -> DataFrame:
     ids = F.filter(F.collect_set(F.struct(F.col("_pos").isNotNull().alias("real"),
                                           F.col("_cid").alias("c"))),
                    lambda s: s["real"])
-    return p.groupBy("windowStart", "windowEnd", *KEYS).agg(
+    part = ["bucket"] if "bucket" in partials.columns else []
+    return p.groupBy("windowStart", "windowEnd", *KEYS, *part).agg(
         F.sum(F.when(once, F.col("orderCount"))).alias("orderCount"),
         F.sum(F.when(once, F.col("totalRevenue"))).alias("totalRevenue"),
         F.max("maxOrderValue").alias("maxOrderValue"),
         F.min("minOrderValue").alias("minOrderValue"),
         F.transform(ids, lambda s: s["c"]).alias("customerIds"),
     ).select("windowStart", "windowEnd", *KEYS, "orderCount", "totalRevenue",
-             "maxOrderValue", "minOrderValue", "customerIds")
+             "maxOrderValue", "minOrderValue", "customerIds", *part)
 
 
 def order_total_mismatch(orders: DataFrame, tolerance: float = 0.005) -> DataFrame:

@@ -163,10 +163,16 @@ ORACLES = {
     "rollup_partials_10m": metrics_sql(600000),
     "order_sessions_stream": _SESSIONS_STREAM,
     "parse_orders_json": _PARSE,
+    "parse_orders_lenient": "WITH " + O_CTE + """
+SELECT "orderId", "customerId", "productId", "productName", category, region, quantity,
+       "unitPrice", "totalAmount", "orderTimestamp", "ingestionTimestamp" + 9007199254740993 AS "ingestionTimestamp"
+FROM O""",
+    "approx_customers": "SELECT *, TRUE AS within_bound FROM (" + metrics_sql(30000) + ")",
     "rejected_orders": _REJECTED,
     "order_total_mismatch": _MISMATCH,
     "encode_metrics": _ENCODE,
     "format_metrics": _FORMAT,
     "metrics_summary": _SUMMARY,
     "dedupe_metrics": _DEDUPE,
+    "dedupe_metrics_stream": _DEDUPE,
 }

@@ -17,6 +17,8 @@ ENGINE_CONF = {
     # Drop late rows against the watermark of the batch that just ended,
     # not the one before it (reference drops late orders at arrival).
     "spark.sql.streaming.statefulOperator.allowMultiple": "false",
+    # A session shuffle carries merged sessions, not raw rows.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Window state (incl. per-window customer sets) lives off-heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.parse import encode_orders
+
 
 # Fixed values of the test mapping (FIXTURES.md, adapter section): the
 # category and region vocabularies, indexed by event_id % 6 and user_id % 5.
@@ -77,17 +79,28 @@ def raw_orders_from_events(events: DataFrame) -> DataFrame:
     carrying every order as JSON, partitioned by key hash into 12 partitions
     like the reference's input topic."""
     o = orders_from_events(events, keep_event_id=True)
-    return o.select(
-        F.col("orderId").cast("binary").alias("key"),
-        F.to_json(F.struct(*[F.col(c) for c in o.columns[:11]]),
-                  {"ignoreNullFields": "false"}).cast("binary").alias("value"),
+    return encode_orders(o, keep=("event_id", "ingestionTimestamp")).select(
+        "key", "value",
         F.lit("orders").alias("topic"),
-        F.pmod(F.xxhash64("orderId"), F.lit(12)).cast("int").alias("partition"),
+        F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(12)).cast("int").alias("partition"),
         F.col("event_id").alias("offset"),
         F.timestamp_millis("ingestionTimestamp").alias("timestamp"),
     )
 
 
+def loose_raw_orders(events: DataFrame) -> DataFrame:
+    """Raw order records with numbers as a lenient mapper accepts them: the
+    quantity as text (``event_id % 3`` = 1) or as a float to be truncated
+    (2), the timestamp as text, and an ingestion time beyond 53 bits."""
+    o = orders_from_events(events, keep_event_id=True)
+    o = o.withColumn("ingestionTimestamp", F.col("ingestionTimestamp") + F.lit(9007199254740993))
+    kind, text = F.col("event_id") % 3, F.col("value").cast("string")
+    text = (F.when(kind == 1, F.regexp_replace(text, '"quantity":([0-9]+)', '"quantity":"$1"'))
+            .when(kind == 2, F.regexp_replace(text, '"quantity":([0-9]+)', '"quantity":$1.75')).otherwise(text))
+    text = F.regexp_replace(text, '"(orderTimestamp|ingestionTimestamp)":([0-9]+)', '"$1":"$2"')
+    return encode_orders(o, keep=("event_id",)).select("key", text.cast("binary").alias("value"))
+
+
 def corrupted_raw_orders(events: DataFrame) -> DataFrame:
     """The raw order records with data-driven faults, as a producer bug or
     a poison message would create them:
@@ -161,40 +174,23 @@ def _as_samples(df: DataFrame) -> DataFrame:
                      F.timestamp_millis("ts_ms").alias("ts"), "value")
 
 
-def samples_from_events(events: DataFrame) -> DataFrame:
-    """20 gauge series (5 metrics x 4 pods), one sample per series and
-    instant; on equal instants the highest event_id wins.  SAMPLES schema."""
-    s = _sample_rows(events)
-    last = (s.groupBy("metric", "pod", "phase", "ts_ms")
-            .agg(F.max_by("value", "event_id").alias("value")))
-    return _as_samples(last)
-
-
-def counter_samples_from_events(events: DataFrame, block: int = 1000) -> DataFrame:
-    """Counter series ``<metric>_total``: running sum of the gauge value in
-    integer cents per series, restarting every ``block`` event ids (counter
-    resets).  The
-    running sum is partitioned by series x block, so no series is ever a
-    single window partition."""
-    s = _sample_rows(events)
-    blk = F.floor(F.col("event_id") / block)
-    w = (Window.partitionBy("metric", "pod", blk).orderBy("event_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    s = s.select(F.concat("metric", F.lit("_total")).alias("metric"), "pod", "phase", "ts_ms",
-                 F.sum(F.round(F.col("value") * 100)).over(w).alias("value"), "event_id")
-    last = (s.groupBy("metric", "pod", "phase", "ts_ms")
-            .agg(F.max_by("value", "event_id").alias("value")))
-    return _as_samples(last)
-
-
 # Raw broker bean names per event_type, in the JMX
 # "domain<key=value, ...><>attribute" form the exporter rules read.
 def broker_beans_from_events(events: DataFrame) -> DataFrame:
     """Raw broker metric beans ``(name, ts, value)`` for the normaliser."""
     et, uid = F.col("event_type"), F.col("user_id")
     topic = F.when(uid % 2 == 0, F.lit("orders")).otherwise(F.lit("order-metrics"))
+    eid = F.col("event_id")
+    rate = F.lit("><>OneMinuteRate")
     name = (
-        F.when(et == "view", F.concat(
+        F.when((et == "view") & (eid % 3 == 0), F.concat(
+            F.lit("kafka.server<name=MessagesInPerSec, topic="), topic,
+            F.lit(", type=BrokerTopicMetrics"), rate))
+        .when((et == "view") & (eid % 3 == 1), F.concat(
+            F.lit("kafka.server<name=MessagesInPerSec, type=BrokerTopicMetrics, topic="), topic, rate))
+        .when((et == "view") & (uid % 7 == 0), F.concat(
+            F.lit("kafka.server<type=BrokerTopicMetricsX, name=MessagesInPerSec, topic="), topic, rate))
+        .when(et == "view", F.concat(
             F.lit("kafka.server<type=BrokerTopicMetrics, name=MessagesInPerSec, topic="),
             topic, F.lit("><>OneMinuteRate")))
         .when(et == "click", F.concat(

@@ -31,20 +31,22 @@ PRODUCER_SETTINGS = {
 
 def source_options(servers: str, topic: str, group: str | None = None,
                    starting: str = "earliest", max_per_trigger: int | None = None,
-                   **extra: str) -> dict[str, str]:
+                   fail_on_data_loss: bool = True, **extra: str) -> dict[str, str]:
     """Options for ``readStream.format("kafka")``: subscribe to one topic,
     start at the earliest retained offset on first run (later runs resume
-    from the checkpoint), keep running when retention has already removed
-    data (the topics keep one hour)."""
+    from the checkpoint).  Records that retention removed before they were
+    read stop the query; ``fail_on_data_loss=False`` goes on without them.
+    ``max_per_trigger`` bounds a micro-batch (default: none)."""
     opts = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": starting,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
     if group:
-        # Only used for broker-side quotas / monitoring; offsets are in the checkpoint.
-        opts["kafka.group.id"] = group
+        # A prefix: every query gets a group of its own, so that two queries
+        # over one topic never share its partitions.
+        opts["groupIdPrefix"] = group
     if max_per_trigger:
         opts["maxOffsetsPerTrigger"] = str(int(max_per_trigger))
     opts.update({k: str(v) for k, v in extra.items()})
@@ -59,15 +61,9 @@ def sink_options(servers: str, topic: str, producer: dict[str, str] | None = Non
     return opts
 
 
-# Records per micro-batch when a stream catches up on a backlog: a first
-# start at "earliest" then proceeds in bounded batches (state, shuffle and
-# sink sizes stay predictable) instead of one batch holding the whole topic.
-ORDERS_MAX_PER_TRIGGER = 5_000_000
-
-
 def read_orders_kafka(spark: SparkSession, servers: str, topic: str = ORDERS_TOPIC,
                       streaming: bool = True,
-                      max_per_trigger: int | None = ORDERS_MAX_PER_TRIGGER,
+                      max_per_trigger: int | None = None,
                       **opts: str) -> DataFrame:
     """SRC-1: raw order records (key, value, topic, partition, offset,
     timestamp).  Feed to :func:`windlass.operators.parse.parse_orders`."""
@@ -78,10 +74,9 @@ def read_orders_kafka(spark: SparkSession, servers: str, topic: str = ORDERS_TOP
 
 
 def read_metrics_kafka(spark: SparkSession, servers: str, topic: str = METRICS_TOPIC,
-                       streaming: bool = True, max_per_trigger: int = 500,
+                       streaming: bool = True, max_per_trigger: int | None = None,
                        **opts: str) -> DataFrame:
-    """SRC-2: raw metrics records; ``max_per_trigger`` mirrors the reader's
-    500-record poll cap.  Feed to ``parse_metrics``."""
+    """SRC-2: raw metrics records.  Feed to ``parse_metrics``."""
     o = source_options(servers, topic, METRICS_GROUP,
                        max_per_trigger=max_per_trigger if streaming else None, **opts)
     reader = spark.readStream if streaming else spark.read

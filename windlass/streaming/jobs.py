@@ -8,20 +8,24 @@ use the same streaming plan.
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.observe import observe_orders
 from ..operators.parse import parse_orders, parse_metrics
-from ..operators.windows import order_metrics
+from ..operators.windows import merge_buckets, order_metrics, order_metrics_buckets
 from ..operators.reader import format_metrics, metrics_summary
 from ..session import configure, shared_dir
 from ..sources.files import read_orders_files
 
 
+# Parts in which a stream keeps the customer set of a window.
+CUSTOMER_BUCKETS = 16
+
+
 @dataclass
 class StreamRun:
     output: str
@@ -77,7 +81,7 @@ def source_lag(progress) -> int | None:
 
 
 def run_available_now(df: DataFrame, output: str, checkpoint: str, fmt: str = "parquet",
-                      mode: str = "append", timeout_s: float = 1800,
+                      mode: str = "append", timeout_s: float | None = None,
                       name: str | None = None, flush: bool = True,
                       state_partitions: int | None = None) -> StreamRun:
     """Run a streaming frame once over all available input, then stop.
@@ -86,8 +90,10 @@ def run_available_now(df: DataFrame, output: str, checkpoint: str, fmt: str = "p
     watermark closes are then emitted by the next run's first batch instead
     (useful when replaying many increments; the watermark itself is kept in
     the checkpoint either way).  ``state_partitions`` sizes the stateful
-    shuffle on a new checkpoint (it is fixed at the first start; later runs
-    keep the recorded value)."""
+    shuffle on a new checkpoint (default: the session's
+    ``spark.sql.shuffle.partitions``; it is fixed at the first start, later
+    runs keep the recorded value).  ``timeout_s`` stops a run that takes
+    longer; by default a backlog may take as long as it needs."""
     spark = df.sparkSession
     settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "true" if flush else "false"}
     if state_partitions:
@@ -105,20 +111,8 @@ def run_available_now(df: DataFrame, output: str, checkpoint: str, fmt: str = "p
                 spark.conf.set(k, v)
 
 
-# The stateful stage of the window jobs receives map-side partial
-# aggregates (at most open windows x keys rows per input partition), so its
-# width follows the number of groups, not the input volume or cluster size.
-MAX_STATE_PARTITIONS = 64
-
-
-def default_state_partitions(spark: SparkSession, cap: int = MAX_STATE_PARTITIONS) -> int:
-    """Stateful partitions for a new stream: one per core, at most ``cap``
-    (more would mostly open empty state stores every micro-batch)."""
-    try:
-        n = int(spark.sparkContext.defaultParallelism)
-    except Exception:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(n, int(cap)))
+# The query keeps its newest reports only; they are copied this often.
+POLL_S = 0.25
 
 
 def _run(df, output, checkpoint, fmt, mode, timeout_s, name) -> StreamRun:
@@ -129,8 +123,13 @@ def _run(df, output, checkpoint, fmt, mode, timeout_s, name) -> StreamRun:
     if name:
         w = w.queryName(name)
     q = w.start()
+    seen: dict[int, dict] = {}
+    began, finished = time.monotonic(), False
     try:
-        finished = q.awaitTermination(timeout_s)
+        while not finished and (timeout_s is None or time.monotonic() - began < timeout_s):
+            finished = q.awaitTermination(POLL_S)
+            if not seen or (q.lastProgress or {}).get("batchId") not in seen or finished:
+                seen.update((p["batchId"], p) for p in q.recentProgress)
     finally:
         if q.isActive:
             q.stop()
@@ -138,41 +137,51 @@ def _run(df, output, checkpoint, fmt, mode, timeout_s, name) -> StreamRun:
         raise RuntimeError(f"stream failed: {q.exception()}")
     if not finished:
         raise TimeoutError(f"stream did not finish within {timeout_s}s")
-    return StreamRun(output, checkpoint, [p for p in q.recentProgress])
+    # Batch ids of a run are consecutive: a gap would mean lost counters.
+    if seen and len(seen) != max(seen) - min(seen) + 1:
+        raise RuntimeError("progress reports were lost; counters would be incomplete")
+    return StreamRun(output, checkpoint, [seen[k] for k in sorted(seen)])
 
 
 def stream_order_metrics(spark: SparkSession, source: str, output: str | None = None,
                          checkpoint: str | None = None, size: str = "30 seconds",
                          delay: str = "5 seconds", max_files: int | None = None,
-                         exact: bool = True,
-                         state_partitions: int | None = None) -> tuple[DataFrame, StreamRun]:
+                         exact: bool = True, state_partitions: int | None = None,
+                         timeout_s: float | None = None,
+                         customer_buckets: int = CUSTOMER_BUCKETS) -> tuple[DataFrame, StreamRun]:
     """SRC-3 -> PRJ-1 -> WM-1 -> WIN-1..4 -> SNK-3: JSON order files in,
     closed windows out (append: each window once, when the watermark passes
-    its end).  Returns the sink read back as a batch frame."""
+    its end).  Returns the sink read back as a batch frame.  With exact
+    customers the sink holds a window in ``customer_buckets`` parts, which
+    the read adds up."""
     configure(spark)
     output = output or shared_dir(spark, "metrics-out")
     checkpoint = checkpoint or shared_dir(spark, "metrics-ckpt")
     raw = read_orders_files(spark, source, streaming=True, max_files=max_files)
-    raw, _ = observe_orders(raw, name="orders")   # per-batch messages / errors in progress
-    metrics = order_metrics(parse_orders(raw), size=size, delay=delay, exact=exact)
+    orders = parse_orders(raw, counters="orders")
+    metrics = (order_metrics_buckets(orders, customer_buckets, size, delay) if exact
+               else order_metrics(orders, size=size, delay=delay, exact=False))
     run = run_available_now(metrics, output, checkpoint,
-                            state_partitions=state_partitions or default_state_partitions(spark))
-    return spark.read.parquet(output), run
+                            state_partitions=state_partitions, timeout_s=timeout_s)
+    out = spark.read.schema(metrics.schema).parquet(output)
+    return merge_buckets(out) if exact else out, run
 
 
 def stream_log_lines(spark: SparkSession, metrics_source: str, output: str | None = None,
-                     checkpoint: str | None = None) -> tuple[DataFrame, StreamRun]:
+                     checkpoint: str | None = None,
+                     timeout_s: float | None = None) -> tuple[DataFrame, StreamRun]:
     """SRC-2 -> PRJ-6 -> FMT-1 -> SNK-4: metrics JSON in, log lines out."""
     output = output or shared_dir(spark, "log-out")
     checkpoint = checkpoint or shared_dir(spark, "log-ckpt")
     raw = spark.readStream.format("text").load(metrics_source)
     lines = format_metrics(parse_metrics(raw)).select(F.col("line").alias("value"))
-    run = run_available_now(lines, output, checkpoint, fmt="text")
+    run = run_available_now(lines, output, checkpoint, fmt="text", timeout_s=timeout_s)
     return spark.read.text(output), run
 
 
 def stream_metrics_summary(spark: SparkSession, metrics_source: str,
-                           checkpoint: str | None = None) -> tuple[DataFrame, StreamRun]:
+                           checkpoint: str | None = None,
+                           timeout_s: float | None = None) -> tuple[DataFrame, StreamRun]:
     """AGG-10 on a stream: running totals in complete mode (the reader's
     periodic summary; use ``trigger(processingTime='60 seconds')`` when run
     continuously)."""
@@ -180,13 +189,14 @@ def stream_metrics_summary(spark: SparkSession, metrics_source: str,
     name = "metrics_summary_" + uuid.uuid4().hex[:12]
     raw = spark.readStream.format("text").load(metrics_source)
     summary = metrics_summary(parse_metrics(raw))
-    run = run_available_now(summary, "", checkpoint, fmt="memory", mode="complete", name=name)
+    run = run_available_now(summary, "", checkpoint, fmt="memory", mode="complete", name=name,
+                            timeout_s=timeout_s)
     return spark.table(name), run
 
 
 def start_stream(df: DataFrame, checkpoint: str, fmt: str = "parquet", path: str | None = None,
                  mode: str = "append", trigger: str = "10 seconds",
-                 state_partitions: int | None = None, name: str | None = None, **options):
+                 state_partitions: int | None = None, name: str | None = None, each_batch=None, **options):
     """Start a continuously running query (processing-time trigger) and
     return the StreamingQuery; the checkpoint makes it restartable."""
     spark = df.sparkSession
@@ -194,8 +204,9 @@ def start_stream(df: DataFrame, checkpoint: str, fmt: str = "parquet", path: str
     if state_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(int(state_partitions)))
     try:
-        w = (df.writeStream.format(fmt).outputMode(mode).options(**options)
+        w = (df.writeStream.outputMode(mode).options(**options)
              .option("checkpointLocation", checkpoint).trigger(processingTime=trigger))
+        w = w.foreachBatch(each_batch) if each_batch else w.format(fmt)
         if path:
             w = w.option("path", path)
         if name:
@@ -218,25 +229,54 @@ def start_metrics_reader(raw_metrics: DataFrame, log_path: str, log_checkpoint:
     return logs, summary
 
 
-def orders_job_frame(raw: DataFrame, size: str = "30 seconds",
-                     delay: str = "5 seconds") -> DataFrame:
+def orders_job_frame(raw: DataFrame, size: str = "30 seconds", delay: str = "5 seconds",
+                     exact: bool = True, counters: str | None = None,
+                     lenient: bool = True) -> DataFrame:
     """The job's transformation, source- and sink-agnostic: raw records with
     a JSON ``value`` -> (key, value) metrics records ready for a Kafka sink."""
     from ..operators.parse import encode_metrics
-    return encode_metrics(order_metrics(parse_orders(raw), size=size, delay=delay))
+    orders = parse_orders(raw, lenient=lenient, counters=counters)
+    return encode_metrics(order_metrics(orders, size=size, delay=delay, exact=exact))
 
 
 def start_orders_job(spark: SparkSession, servers: str, checkpoint: str,
                      input_topic: str = "orders", output_topic: str = "order-metrics",
                      size: str = "30 seconds", delay: str = "5 seconds",
-                     trigger: str = "10 seconds", state_partitions: int | None = None):
+                     trigger: str = "10 seconds", state_partitions: int | None = None,
+                     exact: bool = True, lenient: bool = True, starting: str = "earliest",
+                     max_per_trigger: int | None = None, fail_on_data_loss: bool = True,
+                     producer: dict[str, str] | None = None, rejects_path: str | None = None,
+                     customer_buckets: int = 1):
     """The windowed-metrics job end to end: Kafka orders -> parse/validate ->
     event-time windows per category x region -> JSON metrics on Kafka
-    (at-least-once).  Needs the spark-sql-kafka connector on the classpath."""
+    (at-least-once).  Needs the spark-sql-kafka connector on the classpath.
+
+    Every progress report of the query carries the counters ``orders``
+    (messages, errors).  With ``rejects_path`` a second query writes the
+    rejected records with their reason there; both queries are returned
+    then.  ``state_partitions`` (default: the session's
+    ``spark.sql.shuffle.partitions``) is fixed by the first start.
+    ``customer_buckets`` over 1 keeps the exact customer sets in that many
+    parts, which every micro-batch adds up before it is published."""
+    from ..operators.parse import encode_metrics, rejected_orders
     from ..sources.kafka import read_orders_kafka, sink_options
     configure(spark)
-    raw = read_orders_kafka(spark, servers, topic=input_topic)
-    return start_stream(orders_job_frame(raw, size, delay), checkpoint, fmt="kafka",
-                        trigger=trigger,
-                        state_partitions=state_partitions or default_state_partitions(spark),
-                        name="order-metrics", **sink_options(servers, output_topic))
+    read = lambda: read_orders_kafka(spark, servers, topic=input_topic, starting=starting,
+                                     max_per_trigger=max_per_trigger, fail_on_data_loss=fail_on_data_loss)
+    sink = sink_options(servers, output_topic, producer)
+    if exact and customer_buckets > 1:
+        parts = order_metrics_buckets(parse_orders(read(), lenient=lenient, counters="orders"),
+                                      customer_buckets, size, delay)
+
+        def publish(batch: DataFrame, batch_id: int) -> None:
+            encode_metrics(merge_buckets(batch)).write.format("kafka").options(**sink).save()
+        job = start_stream(parts, checkpoint, trigger=trigger, state_partitions=state_partitions,
+                           name="order-metrics", each_batch=publish)
+    else:
+        frame = orders_job_frame(read(), size, delay, exact, counters="orders", lenient=lenient)
+        job = start_stream(frame, checkpoint, fmt="kafka", trigger=trigger, state_partitions=state_partitions,
+                           name="order-metrics", **sink)
+    if rejects_path is None:
+        return job
+    return job, start_stream(rejected_orders(read(), lenient=lenient), f"{checkpoint}-rejects", fmt="json",
+                             path=rejects_path, trigger=trigger, name="order-rejects")
