@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from windlass.operators.ordering import global_rank, ntile, series_lag
 from windlass.operators.timeseries import (across, binary_op, counter_rate, first_series,
                                            instant, or_zero, resample, select_series,
-                                           series_labels, step_grid, value_filter)
+                                           series_labels, step_grid, value_filter, with_series)
 from windlass.schemas import SAMPLES
 
 STEP, LOOK = 15_000, 300_000
@@ -196,3 +196,40 @@ def test_vector_op_equals_binary_op(spark):
     two = binary_op(r.where(m == "h"), r.where(m == "g"), "-")
     key = lambda df: sorted((tuple(x._sk), x.step, x.value) for x in df.collect())
     assert key(one) == key(two) and len(key(one)) > 0
+
+
+def test_null_labels_are_the_empty_label_set(spark):
+    from pyspark.sql import functions as F
+    rows = [("c", 1_000 * i, float(i)) for i in range(3500, 3800, 10)]
+    df = spark.createDataFrame(rows, "metric string, t long, value double")
+    base = df.select("metric", F.timestamp_millis("t").alias("ts"), "value")
+    empty = base.withColumn("labels", F.create_map().cast("map<string,string>"))
+    null = base.withColumn("labels", F.lit(None).cast("map<string,string>"))
+    rates = [sorted((r.step, r.value) for r in counter_rate(x, 3_790_000, 200_000, 60_000).collect())
+             for x in (empty, null)]
+    assert rates[0] == rates[1] and all(abs(v - 1.0) < 1e-9 for _, v in rates[0]) and rates[0]
+
+
+def test_several_series_on_one_side_are_an_error(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    from windlass.operators.timeseries import binary_op, vector_op
+    rows = [("a", {"pod": "x"}, 1.0), ("b", {"pod": "x"}, 5.0), ("c", {"pod": "x"}, 2.0)]
+    df = with_series(spark.createDataFrame([(m, l, 0, v) for m, l, v in rows],
+                                           "metric string, labels map<string,string>, ts_ms long, value double"))
+    df = df.withColumn("step", F.lit(0).cast("long"))
+    m = F.col("metric")
+    assert vector_op(df, m == "b", m == "c").collect()[0].value == 3.0
+    with pytest.raises(Exception, match="several series"):
+        binary_op(df.where("metric in ('a', 'b')"), df.where("metric = 'c'")).collect()
+
+
+def test_beans_with_properties_in_any_order(spark):
+    from windlass.operators.broker import normalise_broker_samples
+    names = ["kafka.server<name=MessagesInPerSec, topic=t, type=BrokerTopicMetrics><>OneMinuteRate",
+             "kafka.server<name=MessagesInPerSec,type=BrokerTopicMetrics,topic=t><>OneMinuteRate",
+             "kafka.server<type=BrokerTopicMetricsX, name=MessagesInPerSec, topic=t><>OneMinuteRate",
+             "kafka.server<xtype=BrokerTopicMetrics, name=MessagesInPerSec, topic=t><>OneMinuteRate"]
+    df = spark.createDataFrame([(n, 1.0) for n in names], "name string, value double").selectExpr(
+        "name", "timestamp_millis(0) ts", "value")
+    assert normalise_broker_samples(df).count() == 2

@@ -10,6 +10,8 @@ from capture groups; beans no rule matches are dropped.  All of it is one
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +57,10 @@ def normalise_broker_samples(raw: DataFrame, rules=RULES, allowlist=ALLOWLIST,
     columns (null when the rule sets none) instead of a map; ``keep`` names
     raw columns to carry along."""
     name = F.col("name")
+    # The type may stand anywhere among the bean's properties.
     allowed = F.lit(False)
     for domain, typ in allowlist:
-        allowed = allowed | name.startswith(f"{domain}<type={typ},") | \
-            name.startswith(f"{domain}<type={typ}>")
+        allowed = allowed | name.rlike(f"^{re.escape(domain)}<(?:[^>]*,)? *type={re.escape(typ)} *[,>]")
     # index of the first matching rule (each pattern evaluated at most once)
     idx = F.lit(None).cast("int")
     for i in reversed(range(len(rules))):

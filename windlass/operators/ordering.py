@@ -81,12 +81,13 @@ def series_lag(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
     carried = [ts, *cols]
     d = d.select("*", (F.row_number().over(w) == 1).alias("_first"),
                  *[F.lag(c).over(w).alias("_l_" + c) for c in carried])
-    tail = F.max_by(F.struct(*[F.col(c) for c in carried]),
-                    F.struct(*[F.col(c) for c in order]))
-    wt = Window.partitionBy(*keys).orderBy("_bkt")
-    tails = (d.groupBy(*keys, "_bkt").agg(tail.alias("_tail"))
-             .select(*keys, "_bkt", F.lag("_tail").over(wt).alias("_ptail")))
-    d = d.join(tails, [*keys, "_bkt"], "left")
+    # The last row of each bucket has no successor in it: already a summary,
+    # no aggregate over the rows.  One struct key makes null keys join.
+    d = d.select("*", F.struct(*keys).alias("_key"), (F.lead(ts).over(w).isNull()).alias("_last"))
+    wt = Window.partitionBy("_key").orderBy("_bkt")
+    tails = (d.where("_last").select("_key", "_bkt", F.struct(*carried).alias("_tail"))
+             .select("_key", "_bkt", F.lag("_tail").over(wt).alias("_ptail")))
+    d = d.join(tails, ["_key", "_bkt"], "left")
     return d.select(*base, *[
         F.when(F.col("_first"), F.col(f"_ptail.{c}")).otherwise(F.col("_l_" + c)).alias(prefix + c)
         for c in carried])

@@ -41,7 +41,8 @@ def with_series(samples: DataFrame) -> DataFrame:
     if "ts_ms" not in cols:
         add.append(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     if "_sk" not in cols:
-        add.append(F.array_sort(F.map_entries(F.col("labels"))).alias("_sk"))
+        # No labels is the empty label set, also as a join key.
+        add.append(F.coalesce(F.array_sort(F.map_entries(F.col("labels"))), F.array()).alias("_sk"))
     return samples.select("*", *add) if add else samples
 
 
@@ -129,10 +130,8 @@ def step_grid(df_for_session: DataFrame, at_ms: int, range_ms: int,
 def instant(samples: DataFrame, at_ms: int, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
     """TS-3: per series, the latest sample in ``(at - lookback, at]``."""
     s = in_time_range(with_series(samples), at_ms - lookback_ms, at_ms)
-    last = F.max_by(F.struct("ts_ms", "value"), "ts_ms")
-    out = s.groupBy("metric", "_sk").agg(last.alias("_l"))
-    return out.select("metric", "_sk", F.lit(at_ms).cast("long").alias("step"),
-                      F.col("_l.value").alias("value"))
+    return (s.groupBy("metric", "_sk").agg(F.max_by("value", "ts_ms").alias("value"))
+            .select("metric", "_sk", F.lit(at_ms).cast("long").alias("step"), "value"))
 
 
 def resample(samples: DataFrame, at_ms: int, range_ms: int, step_ms: int = STEP_MS,
@@ -149,15 +148,14 @@ def resample(samples: DataFrame, at_ms: int, range_ms: int, step_ms: int = STEP_
     bucket = (F.ceil(F.col("ts_ms") / F.lit(step_ms)) * step_ms).cast("long")
     b = (in_time_range(s, first - lookback_ms, last)
          .groupBy("metric", "_sk", bucket.alias("_b"))
-         .agg(F.max_by(F.struct("ts_ms", "value"), "ts_ms").alias("_l")))
+         .agg(F.max_by("value", "ts_ms").alias("value"), F.max("ts_ms").alias("sample_ts")))
     w = Window.partitionBy("metric", "_sk").orderBy("_b")
     b = b.select("*", F.lead("_b").over(w).alias("_nb"))
-    stale = (F.floor((F.col("_l.ts_ms") + F.lit(lookback_ms - 1)) / F.lit(step_ms)) * step_ms)
+    stale = (F.floor((F.col("sample_ts") + F.lit(lookback_ms - 1)) / F.lit(step_ms)) * step_ms)
     upto = F.least(F.coalesce(F.col("_nb") - step_ms, F.lit(last)), stale.cast("long"), F.lit(last))
     frm = F.greatest(F.col("_b"), F.lit(first))
     steps = F.when(frm <= upto, F.sequence(frm, upto, F.lit(step_ms).cast("long")))
-    return b.select("metric", "_sk", F.explode(steps).alias("step"),
-                    F.col("_l.value").alias("value"), F.col("_l.ts_ms").alias("sample_ts"))
+    return b.select("metric", "_sk", F.explode(steps).alias("step"), "value", "sample_ts")
 
 
 def over_time(resampled: DataFrame, *funcs: str) -> DataFrame:
@@ -185,8 +183,9 @@ def counter_rate(samples: DataFrame, at_ms: int, range_ms: int, window_ms: int |
     (``increase`` with ``is_rate=False``, ``delta`` with ``is_counter=False``).
 
     Per sample: the delta to its predecessor (reset-aware: a drop counts the
-    new value).  Each sample is copied to the ``window / step`` steps whose
-    range ``(s - window, s]`` contains it, then one grouped aggregate per
+    new value).  Samples are first aggregated per (series, step bucket); the
+    buckets are copied to the ``window / step`` steps whose range
+    ``(s - window, s]`` contains them, and one grouped aggregate per
     (series, step) gives count, first, last and the delta sum; the first
     sample's own delta is excluded (its predecessor lies outside).  Steps
     with fewer than two samples give no row.  Extrapolation follows the
@@ -211,26 +210,32 @@ def counter_rate(samples: DataFrame, at_ms: int, range_ms: int, window_ms: int |
         inc = F.when(pv.isNull(), F.lit(0.0)).when(v < pv, v).otherwise(v - pv)
     else:
         inc = F.when(pv.isNull(), F.lit(0.0)).otherwise(v - pv)
-    frm = F.greatest((F.ceil(F.col("ts_ms") / F.lit(step_ms)) * step_ms).cast("long"), F.lit(first))
-    to = F.least((F.floor((F.col("ts_ms") + F.col("_w") - F.lit(1)) / F.lit(step_ms))
-                  * step_ms).cast("long"), F.lit(last))
+    # One row per (series, step bucket, part) first.  A window ends on a step
+    # but may start inside a bucket: a bucket is cut where windows start, at
+    # the offset of -window modulo the step, so every part lies wholly in or
+    # out of each window.
+    bucket = (F.ceil(F.col("ts_ms") / F.lit(step_ms)) * step_ms).cast("long")
+    s = s.select(*keys, "_w", "ts_ms", "value", inc.alias("_inc"), bucket.alias("_b"))
+    s = s.withColumn("_late", F.col("ts_ms") > F.col("_b") - F.pmod(F.col("_w"), F.lit(step_ms)))
+    p = s.groupBy(*keys, "_w", "_b", "_late").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("ts_ms").alias("_ft"), F.max("ts_ms").alias("_lt"),
+        F.min_by("value", "ts_ms").alias("_fv"), F.max_by("value", "ts_ms").alias("_lv"),
+        F.min_by("_inc", "ts_ms").alias("_fi"), F.sum("_inc").alias("_si"))
+    frm = F.greatest(F.col("_b"), F.lit(first))
+    to = F.least((F.floor((F.col("_ft") + F.col("_w") - F.lit(1)) / F.lit(step_ms)) * step_ms).cast("long"),
+                 F.lit(last))
     steps = F.when(frm <= to, F.sequence(frm, to, F.lit(step_ms).cast("long")))
-    # in-range test per row, since rows of one series may carry other windows
-    s = s.select(*keys, "_w", "ts_ms", "value", inc.alias("_inc"),
-                 F.explode(steps).alias("step")).where(F.col("ts_ms") > F.col("step") - F.col("_w"))
-    g = s.groupBy(*keys, "_w", "step").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min_by(F.struct("ts_ms", "value", "_inc"), "ts_ms").alias("_f"),
-        F.max_by(F.struct("ts_ms", "value"), "ts_ms").alias("_l"),
-        F.sum("_inc").alias("_sinc"),
-    )
+    g = p.select("*", F.explode(steps).alias("step")).groupBy(*keys, "_w", "step").agg(
+        F.sum("_n").alias("_n"), F.min("_ft").alias("_ft"), F.max("_lt").alias("_lt"),
+        F.min_by("_fv", "_ft").alias("_fv"), F.max_by("_lv", "_lt").alias("_lv"),
+        F.min_by("_fi", "_ft").alias("_fi"), F.sum("_si").alias("_si"))
     if is_counter:
-        result = F.col("_sinc") - F.col("_f._inc")
+        result = F.col("_si") - F.col("_fi")
     else:
-        result = F.col("_l.value") - F.col("_f.value")
+        result = F.col("_lv") - F.col("_fv")
     return g.where(F.col("_n") >= 2).select(
         *keys, "step",
-        extrapolate(result, F.col("_f.ts_ms"), F.col("_l.ts_ms"), F.col("_f.value"),
+        extrapolate(result, F.col("_ft"), F.col("_lt"), F.col("_fv"),
                     F.col("_n"), F.col("step"), F.col("_w"), is_counter, is_rate).alias("value"))
 
 
@@ -300,32 +305,36 @@ def or_zero(per_step: DataFrame, grid: DataFrame) -> DataFrame:
         F.coalesce(F.max("value"), F.lit(0.0)).alias("value"))
 
 
+def _matched(g: DataFrame, op: str) -> DataFrame:
+    """Result of ``op`` per (labels, step) from ``_lv/_rv`` and the operand
+    counts ``_nl/_nr``; several operands on one label set are an error."""
+    lv, rv = F.col("_lv"), F.col("_rv")
+    val = {"-": lv - rv, "+": lv + rv, "*": lv * rv, "/": lv / rv}[op]
+    many = (F.col("_nl") > 1) | (F.col("_nr") > 1)
+    return (g.where((F.col("_nl") > 0) & (F.col("_nr") > 0))
+            .select("_sk", "step", F.when(many, F.raise_error(F.concat(
+                F.lit("several series match on one side for labels "), F.to_json(series_labels("_sk"))))
+                .cast("double")).otherwise(val).alias("value")))
+
+
 def binary_op(left: DataFrame, right: DataFrame, op: str = "-") -> DataFrame:
     """TS-15: one-to-one vector arithmetic on identical label sets (metric
     name dropped), per step.  Written as a union and one aggregation on
-    (labels, step) instead of a join: each side contributes at most one
-    value per key, and keys present on both sides produce a result."""
-    null = F.lit(None).cast("double")
-    u = (left.select("_sk", "step", F.col("value").alias("_lv"), null.alias("_rv"))
-         .unionByName(right.select("_sk", "step", null.alias("_lv"), F.col("value").alias("_rv"))))
-    g = u.groupBy("_sk", "step").agg(F.max("_lv").alias("_lv"), F.max("_rv").alias("_rv"),
-                                     F.count("_lv").alias("_nl"), F.count("_rv").alias("_nr"))
-    lv, rv = F.col("_lv"), F.col("_rv")
-    val = {"-": lv - rv, "+": lv + rv, "*": lv * rv, "/": lv / rv}[op]
-    return g.where((F.col("_nl") > 0) & (F.col("_nr") > 0)).select("_sk", "step", val.alias("value"))
+    (labels, step) instead of a join.  Two series of one side on the same
+    label set stop the query, as the reference's engine does."""
+    both = (left.select("_sk", "step", "value", F.lit(True).alias("_left"))
+            .unionByName(right.select("_sk", "step", "value", F.lit(False).alias("_left"))))
+    return vector_op(both, F.col("_left"), ~F.col("_left"), op)
 
 
 def vector_op(df: DataFrame, left: Column, right: Column, op: str = "-") -> DataFrame:
     """TS-15 on one frame: the two operand vectors are the rows matching
     ``left`` and ``right`` (e.g. two metric names of one resample), matched
     on identical label sets per step in a single aggregation."""
-    null = F.lit(None).cast("double")
-    g = df.groupBy("_sk", "step").agg(
-        F.max(F.when(left, F.col("value")).otherwise(null)).alias("_lv"),
-        F.max(F.when(right, F.col("value")).otherwise(null)).alias("_rv"))
-    lv, rv = F.col("_lv"), F.col("_rv")
-    val = {"-": lv - rv, "+": lv + rv, "*": lv * rv, "/": lv / rv}[op]
-    return g.where(lv.isNotNull() & rv.isNotNull()).select("_sk", "step", val.alias("value"))
+    v = F.col("value")
+    return _matched(df.groupBy("_sk", "step").agg(
+        F.max(F.when(left, v)).alias("_lv"), F.max(F.when(right, v)).alias("_rv"),
+        F.count(F.when(left, v)).alias("_nl"), F.count(F.when(right, v)).alias("_nr")), op)
 
 
 def minus_time(df: DataFrame, scale_ms: float = 1.0) -> DataFrame:

@@ -9,17 +9,16 @@ into the single report row -- no cross joins of one-row frames.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.timeseries import (across, binary_op, counter_rate, instant, minus_time,
-                                    or_zero, resample, select_series, series_labels,
-                                    step_grid, value_filter, with_series)
+from ..functions.scalar import threshold_status, value_text
+from ..operators.timeseries import (counter_rate, instant, reduce_panel, resample, series_labels,
+                                    step_grid, vector_op, with_series)
 
-# The report's CSV columns in order (the reference's header,
-# with its flink_records_* / tm_* columns named records_* / workers_*).
+# The report's columns in order.
 REPORT_COLUMNS = [
     "timestamp", "label", "duration_min", "base_throughput", "peak_target",
     "send_rate_peak", "send_rate_avg", "messages_produced", "errors", "error_rate_peak",
@@ -28,6 +27,9 @@ REPORT_COLUMNS = [
     "backpressure_avg_pct", "checkpoint_max_ms", "checkpoint_avg_ms", "workers_min",
     "workers_max", "workers_now",
 ]
+# The names these columns have in the CSV header.
+CSV_NAMES = {"records_peak": "flink_records_peak", "records_avg": "flink_records_avg",
+             "workers_min": "tm_min", "workers_max": "tm_max", "workers_now": "tm_now"}
 # Decimals per CSV column (rate 4, latencies 2, percentages 1,
 # everything else 0).
 DECIMALS = {"error_rate_peak": 4, "latency_avg_ms": 2, "latency_peak_ms": 2,
@@ -83,27 +85,6 @@ TEST_SOURCES = {
 }
 
 
-def _sel(s: DataFrame, src: Source) -> DataFrame:
-    return select_series(s, src.metric, eq=src.eq, ne=src.ne, regex=src.regex)
-
-
-def _first_series(per_series: DataFrame, name: str) -> DataFrame:
-    """``result[0]``: the value of the series with the smallest label set."""
-    key = F.to_json(series_labels("_sk"))
-    return per_series.agg(F.min_by("value", key).alias("value")).select(
-        F.lit(name).alias("name"), "value").where(F.col("value").isNotNull())
-
-
-def _over(frame: DataFrame, func: str, per_series: bool) -> DataFrame:
-    agg = {"max": F.max("value"), "avg": F.avg("value"), "min": F.min("value")}[func]
-    keys = ["metric", "_sk"] if per_series else []
-    return frame.groupBy(*keys).agg(agg.alias("value"))
-
-
-def _named(df: DataFrame, name: str) -> DataFrame:
-    return df.select(F.lit(name).alias("name"), F.col("value"))
-
-
 # How each report column is computed -- (column, source key,
 # stage, function).  Stages: per-series over time then result[0]
 # ("series"), instant then result[0] / sum / count of ready ("instant_*"),
@@ -175,15 +156,15 @@ def _figure_rows(per_src: DataFrame, figures) -> DataFrame:
 
 def report_figures(samples: DataFrame, at_ms: int, minutes: int,
                    sources: dict[str, Source] = TEST_SOURCES,
-                   compat_rate: bool = False) -> DataFrame:
+                   compat_rate: bool = True) -> DataFrame:
     """All numeric report figures as (name, value) rows (missing = no row).
 
     One resample over every gauge source (rows tagged by source), one
     instant pass, one counter-rate pass for all rate figures; each figure is
     then a conditional aggregate over those small per-series / per-step
     frames.  The reference takes ``rate()`` of two series that are already
-    per-second gauges; here a rate figure over a gauge reads the gauge
-    itself (sum per step) unless ``compat_rate=True`` reproduces that.
+    per-second gauges, and so does the default; ``compat_rate=False`` reads
+    a rate figure over a gauge from the gauge itself (sum per step).
     """
     s = with_series(samples)
     rng = int(minutes) * 60_000
@@ -266,7 +247,7 @@ def report_figures(samples: DataFrame, at_ms: int, minutes: int,
 
 def scenario_report(samples: DataFrame, at_ms: int, minutes: int, label: str = "",
                     sources: dict[str, Source] = TEST_SOURCES, rounded: bool = True,
-                    compat_rate: bool = False) -> DataFrame:
+                    compat_rate: bool = True) -> DataFrame:
     """TS-21: the scenario report as one row in CSV column order; a figure
     with no data is null (written as ``N/A``).  ``rounded`` applies the
     CSV decimals (half-even, like C ``printf``)."""
@@ -287,11 +268,12 @@ def scenario_report(samples: DataFrame, at_ms: int, minutes: int, label: str = "
 
 
 def report_csv_row(report: DataFrame) -> DataFrame:
-    """SNK-5 text form: every figure with its CSV decimals, ``N/A`` when missing."""
+    """SNK-5 text form, under the names of the CSV header: every figure with
+    its decimals, ``N/A`` when missing."""
     cols = [F.col("timestamp"), F.col("label"), F.col("duration_min").cast("string")]
     for c in REPORT_COLUMNS[3:]:
         text = F.format_string(f"%.{DECIMALS.get(c, 0)}f", F.col(c))
-        cols.append(F.when(F.col(c).isNull(), F.lit("N/A")).otherwise(text).alias(c))
+        cols.append(F.when(F.col(c).isNull(), F.lit("N/A")).otherwise(text).alias(CSV_NAMES.get(c, c)))
     return report.select(*cols)
 
 
@@ -308,7 +290,18 @@ class Panel:
     window_ms: int = 60_000
     scale: float = 1.0
     other: Source | None = None
+    calcs: tuple[str, ...] = ()          # reducers of the legend or the stat
+    bands: tuple = ()                    # (from value, colour), first from None
+    mapping: tuple = ()                  # (value, text)
+
 
+# The dashboard's colour bands and its value mapping.
+PEAK_BANDS = ((None, "green"), (1.0, "red"))
+ERROR_BANDS = ((None, "green"), (0.1, "red"))
+INBOUND_BANDS = ((None, "green"), (1000.0, "yellow"), (4000.0, "red"))
+LAG_BANDS = ((None, "green"), (5000.0, "yellow"), (50000.0, "red"))
+BACKPRESSURE_BANDS = ((None, "green"), (25.0, "yellow"), (75.0, "red"))
+PEAK_MAPPING = ((0.0, "INACTIVE"), (1.0, "PEAK"))
 
 # The reference dashboard's 20 expressions (metric names,
 # label matchers, rate windows, unit scaling); the deployment namespace is
@@ -322,34 +315,44 @@ REFERENCE_PANELS = [
     Panel("throughput_base", "gauge", Source("producer_throughput_base",
                                              {"application": "kafka-producer"})),
     Panel("peak_active", "gauge", Source("producer_peak_active",
-                                         {"application": "kafka-producer"})),
+                                         {"application": "kafka-producer"}),
+          calcs=("lastNotNull",), bands=PEAK_BANDS, mapping=PEAK_MAPPING),
     Panel("messages_produced", "gauge", Source("producer_messages_produced",
-                                               {"application": "kafka-producer"})),
+                                               {"application": "kafka-producer"}),
+          calcs=("lastNotNull",)),
     Panel("error_rate", "gauge", Source("kafka_producer_record_error_rate",
-                                        {"application": "kafka-producer"})),
+                                        {"application": "kafka-producer"}),
+          bands=ERROR_BANDS),
     Panel("request_latency", "gauge", Source("kafka_producer_request_latency_avg",
                                              {"application": "kafka-producer"})),
     Panel("orders_inbound", "sum_rate",
           Source("kafka_server_brokertopicmetrics_messagesin_oneminuterate", {"topic": "orders"}),
-          window_ms=60_000),
+          window_ms=60_000,
+          bands=INBOUND_BANDS),
     Panel("consumer_lag", "sum", Source("kafka_server_fetcherlagmetrics_consumerlag",
-                                        {"topic": "orders"})),
+                                        {"topic": "orders"}),
+          bands=LAG_BANDS),
     Panel("records_per_second", "sum_rate",
           Source("flink_taskmanager_job_task_numRecordsInPerSecond"), window_ms=30_000),
-    Panel("backpressure", "avg_pct", Source("flink_taskmanager_job_task_isBackPressured")),
+    Panel("backpressure", "avg_pct", Source("flink_taskmanager_job_task_isBackPressured"),
+          calcs=("lastNotNull",), bands=BACKPRESSURE_BANDS),
     Panel("checkpoint_duration", "gauge", Source("flink_jobmanager_job_lastCheckpointDuration")),
     Panel("active_workers", "ready", Source("kube_pod_status_ready", {"condition": "true"},
                                             regex=_TM)),
-    Panel("heap_by_pod", "sum_by_pod", Source("flink_taskmanager_Status_JVM_Memory_Heap_Used")),
+    Panel("heap_by_pod", "sum_by_pod", Source("flink_taskmanager_Status_JVM_Memory_Heap_Used"),
+          calcs=("lastNotNull",)),
     Panel("cpu_by_pod", "rate_by_pod", Source("container_cpu_usage_seconds_total",
                                               ne={"container": ""}, regex=_TM),
-          window_ms=60_000, scale=1000.0),
+          window_ms=60_000, scale=1000.0,
+          calcs=("lastNotNull", "mean")),
     Panel("memory_by_pod", "sum_by_pod", Source("container_memory_working_set_bytes",
                                                 ne={"container": ""}, regex=_TM),
-          scale=1.0 / 1024.0 / 1024.0),
+          scale=1.0 / 1024.0 / 1024.0,
+          calcs=("lastNotNull", "mean")),
     Panel("pods_by_phase", "count_by_phase", Source("kube_pod_status_phase", regex=_TM)),
     Panel("startup_latency", "diff", Source("kube_pod_status_ready_time", regex=_TM),
-          other=Source("kube_pod_created", regex=_TM)),
+          other=Source("kube_pod_created", regex=_TM),
+          calcs=("lastNotNull",)),
     Panel("watermark_lag", "minus_time", Source("flink_taskmanager_job_task_currentInputWatermark")),
     Panel("bytes_in", "sum", Source("kafka_server_brokertopicmetrics_bytesin_oneminuterate",
                                     {"topic": "orders"})),
@@ -360,67 +363,49 @@ TEST_PANELS = [
     Panel("send_rate", "gauge", Source("records_per_second")),
     Panel("throughput_current", "gauge", Source("checkpoint_ms")),
     Panel("throughput_base", "gauge", Source("consumer_lag")),
-    Panel("peak_active", "gauge", Source("backpressured")),
-    Panel("messages_produced", "gauge", Source("records_per_second_total")),
-    Panel("error_rate", "gauge", Source("consumer_lag")),
+    Panel("peak_active", "gauge", Source("backpressured"),
+          calcs=("lastNotNull",), bands=PEAK_BANDS, mapping=PEAK_MAPPING),
+    Panel("messages_produced", "gauge", Source("records_per_second_total"),
+          calcs=("lastNotNull",)),
+    Panel("error_rate", "gauge", Source("consumer_lag"),
+          bands=ERROR_BANDS),
     Panel("request_latency", "gauge", Source("checkpoint_ms")),
     Panel("orders_inbound", "sum_rate", Source("records_per_second_total", {"topic": "orders"}),
-          window_ms=60_000),
-    Panel("consumer_lag", "sum", Source("consumer_lag", {"topic": "orders"})),
+          window_ms=60_000,
+          bands=INBOUND_BANDS),
+    Panel("consumer_lag", "sum", Source("consumer_lag", {"topic": "orders"}),
+          bands=LAG_BANDS),
     Panel("records_per_second", "sum_rate", Source("checkpoint_ms_total"), window_ms=30_000),
-    Panel("backpressure", "avg_pct", Source("backpressured")),
+    Panel("backpressure", "avg_pct", Source("backpressured"),
+          calcs=("lastNotNull",), bands=BACKPRESSURE_BANDS),
     Panel("checkpoint_duration", "gauge", Source("checkpoint_ms")),
     Panel("active_workers", "ready", Source("pod_ready", regex={"pod": ".*worker.*"})),
-    Panel("heap_by_pod", "sum_by_pod", Source("consumer_lag")),
+    Panel("heap_by_pod", "sum_by_pod", Source("consumer_lag"),
+          calcs=("lastNotNull",)),
     Panel("cpu_by_pod", "rate_by_pod", Source("checkpoint_ms_total", ne={"topic": ""},
                                               regex={"pod": ".*worker.*"}),
-          window_ms=60_000, scale=1000.0),
+          window_ms=60_000, scale=1000.0,
+          calcs=("lastNotNull", "mean")),
     Panel("memory_by_pod", "sum_by_pod", Source("records_per_second"),
-          scale=1.0 / 1024.0 / 1024.0),
+          scale=1.0 / 1024.0 / 1024.0,
+          calcs=("lastNotNull", "mean")),
     Panel("pods_by_phase", "count_by_phase", Source("pod_ready", regex={"pod": ".*worker.*"})),
     Panel("startup_latency", "diff", Source("records_per_second"),
-          other=Source("checkpoint_ms")),
+          other=Source("checkpoint_ms"),
+          calcs=("lastNotNull",)),
     Panel("watermark_lag", "minus_time", Source("checkpoint_ms")),
     Panel("bytes_in", "sum", Source("records_per_second", {"topic": "orders"})),
 ]
 
 
-def _series_name() -> Column:
-    lab = series_labels("_sk")
-    return F.coalesce(lab["pod"], lab["phase"], F.lit(""))
-
-
-def panel(p: Panel, s: DataFrame, at_ms: int, range_ms: int) -> DataFrame:
-    """One dashboard expression -> (panel, step, series, value)."""
-    def out(df, series):
-        return df.select(F.lit(p.name).alias("panel"), "step", series.alias("series"),
-                         (F.col("value") * F.lit(p.scale)).alias("value"))
-
-    src = _sel(s, p.source)
-    if p.kind == "gauge":
-        return out(resample(src, at_ms, range_ms), _series_name())
-    if p.kind == "minus_time":
-        return out(minus_time(resample(src, at_ms, range_ms)), _series_name())
-    if p.kind == "diff":
-        b = resample(_sel(s, p.other), at_ms, range_ms)
-        return out(binary_op(resample(src, at_ms, range_ms), b, "-"), _series_name())
-    if p.kind == "sum_rate":
-        return out(across(counter_rate(src, at_ms, range_ms, p.window_ms), "sum"), F.lit(""))
-    if p.kind == "rate_by_pod":
-        r = across(counter_rate(src, at_ms, range_ms, p.window_ms), "sum", by=["pod"])
-        return out(r, F.col("pod"))
-    if p.kind == "sum":
-        return out(across(resample(src, at_ms, range_ms), "sum"), F.lit(""))
-    if p.kind == "avg_pct":
-        return out(across(resample(src, at_ms, range_ms), "avg", scale=100.0), F.lit(""))
-    if p.kind == "sum_by_pod":
-        return out(across(resample(src, at_ms, range_ms), "sum", by=["pod"]), F.col("pod"))
-    if p.kind == "count_by_phase":
-        return out(across(resample(src, at_ms, range_ms), "count", by=["phase"]), F.col("phase"))
-    if p.kind == "ready":
-        r = across(value_filter(resample(src, at_ms, range_ms), "==", 1.0), "count")
-        return out(or_zero(r, step_grid(s, at_ms, range_ms)), F.lit(""))
-    raise ValueError(f"unknown panel kind {p.kind}")
+def _identity(labels: Column) -> Column:
+    """A series' identity: its whole label set as JSON, names sorted."""
+    return F.to_json(labels)
+
+
+def _legend(series: str = "series") -> Column:
+    """What a legend shows for a series: its pod, else its phase."""
+    return F.coalesce(F.get_json_object(series, "$.pod"), F.get_json_object(series, "$.phase"), F.lit(""))
 
 
 _RESAMPLED_KINDS = ("gauge", "minus_time", "diff", "sum", "avg_pct", "sum_by_pod",
@@ -448,20 +433,27 @@ def _lookup(mapping: dict, key: Column, default=None) -> Column:
 
 
 def dashboard_panels(samples: DataFrame, at_ms: int, range_ms: int,
-                     panels: list[Panel] = TEST_PANELS) -> DataFrame:
+                     panels: list[Panel] = TEST_PANELS, compat_rate: bool = True) -> DataFrame:
     """TS-22: every panel expression over ``(at - range, at]``, as
-    ``(panel, step, series, value)``.
+    ``(panel, step, series, legend, value)``; ``series`` is the whole label
+    set of the result as JSON.
 
     Shared passes instead of one plan per panel: one resample over all
     gauge selectors (rows tagged with the panels that read them), one
-    grouped aggregate for every per-step reduction, a self-join for
-    difference panels, one counter-rate pass per rate window.
+    grouped aggregate for every per-step reduction, one :func:`vector_op`
+    for difference panels, one counter-rate pass over all rate panels with
+    a window per row.  ``compat_rate=False`` reads gauges of rate panels as
+    they are (the same switch as in :func:`scenario_report`).
     """
     s = with_series(samples)
+    if not compat_rate:
+        plain = {"sum_rate": "sum", "rate_by_pod": "sum_by_pod"}
+        panels = [p if p.source.counter else replace(p, kind=plain.get(p.kind, p.kind)) for p in panels]
     kinds = {p.name: p.kind for p in panels}
     scales = {p.name: float(p.scale) for p in panels}
     kind = _lookup(kinds, F.col("panel"))
-    series = _series_name()
+    series = _identity(series_labels("_sk"))
+    by = lambda k: _identity(F.create_map(F.lit(k), F.coalesce(series_labels("_sk")[k], F.lit(""))))
     parts = []
 
     tags = []
@@ -482,27 +474,21 @@ def dashboard_panels(samples: DataFrame, at_ms: int, range_ms: int,
             "panel", "step", series.alias("series"),
             F.when(kind == "minus_time", F.col("value") - F.col("step").cast("double") * 1.0)
             .otherwise(F.col("value")).alias("value")))
-        # difference panels: one aggregation per (panel, labels, step)
-        if any(p.kind == "diff" for p in panels):
-            d = t.where(kind == "diff").groupBy("panel", "_sk", "step").agg(
-                F.max(F.when(F.col("role") == "L", F.col("value"))).alias("_lv"),
-                F.max(F.when(F.col("role") == "R", F.col("value"))).alias("_rv"))
-            parts.append(d.where(F.col("_lv").isNotNull() & F.col("_rv").isNotNull()).select(
-                "panel", "step", series.alias("series"),
-                (F.col("_lv") - F.col("_rv")).alias("value")))
+        for p in panels:
+            if p.kind == "diff":
+                d = vector_op(t.where(F.col("panel") == p.name), F.col("role") == "L", F.col("role") == "R")
+                parts.append(d.select(F.lit(p.name).alias("panel"), "step", series.alias("series"), "value"))
         # per-step reductions (sum, avg x100, sum by pod, count by phase, ready or 0)
         grouped = t.where(kind.isin(*_GROUPED_KINDS))
-        lab = series_labels("_sk")
-        gkey = (F.when(kind == "sum_by_pod", F.coalesce(lab["pod"], F.lit("")))
-                .when(kind == "count_by_phase", F.coalesce(lab["phase"], F.lit("")))
-                .otherwise(F.lit("")))
+        gkey = (F.when(kind == "sum_by_pod", by("pod")).when(kind == "count_by_phase", by("phase"))
+                .otherwise(F.lit("{}")))
         g_in = grouped.select("panel", "step", gkey.alias("series"), "value")
         ready = [p.name for p in panels if p.kind == "ready"]
         if ready:
             grid = step_grid(s, at_ms, range_ms)
             names = F.array(*[F.lit(n) for n in ready])
             g_in = g_in.unionByName(grid.select(
-                F.explode(names).alias("panel"), "step", F.lit("").alias("series"),
+                F.explode(names).alias("panel"), "step", F.lit("{}").alias("series"),
                 F.lit(None).cast("double").alias("value")))
         agg = g_in.groupBy("panel", "step", "series").agg(
             F.sum("value").alias("_sum"), F.avg("value").alias("_avg"),
@@ -525,12 +511,29 @@ def dashboard_panels(samples: DataFrame, at_ms: int, range_ms: int,
         window = _lookup({p.name: p.window_ms for p in rp}, F.col("panel"))
         rt = counter_rate(tagged.drop("role"), at_ms, range_ms, window, by=["panel"],
                           max_window_ms=max(p.window_ms for p in rp))
-        gkey = F.when(kind == "rate_by_pod", F.coalesce(series_labels("_sk")["pod"], F.lit(""))
-                      ).otherwise(F.lit(""))
+        gkey = F.when(kind == "rate_by_pod", by("pod")).otherwise(F.lit("{}"))
         parts.append(rt.groupBy("panel", "step", gkey.alias("series"))
                      .agg(F.sum("value").alias("value")))
 
     out = parts[0]
     for f in parts[1:]:
         out = out.unionByName(f)
-    return out.withColumn("value", F.col("value") * _lookup(scales, F.col("panel"), 1.0))
+    return out.select("panel", "step", "series", _legend().alias("legend"),
+                      (F.col("value") * _lookup(scales, F.col("panel"), 1.0)).alias("value"))
+
+
+def panel_status(values: DataFrame, panels: list[Panel] = TEST_PANELS) -> DataFrame:
+    """TS-19, SC-8, SC-9: what the dashboard shows of each panel's series:
+    ``last_value`` (latest non-null), ``mean`` where the panel asks for it,
+    the colour band of the last value, and its mapped text."""
+    mean = F.col("panel").isin(*[p.name for p in panels if "mean" in p.calcs])
+    red = reduce_panel(values, ("lastNotNull", "mean"))
+    last, status, text = F.col("lastNotNull"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for p in panels:
+        mine = F.col("panel") == F.lit(p.name)
+        if p.bands:
+            status = F.when(mine, threshold_status("lastNotNull", list(p.bands))).otherwise(status)
+        if p.mapping:
+            text = F.when(mine, value_text(last, dict(p.mapping))).otherwise(text)
+    return red.select("panel", "series", "legend", last.alias("last_value"),
+                      F.when(mean, F.col("mean")).alias("mean"), status.alias("status"), text.alias("text"))

@@ -3,8 +3,8 @@ the same figure / panel parameters as the Spark plans."""
 
 from __future__ import annotations
 
-from .report import DECIMALS, REPORT_COLUMNS, TEST_PANELS, TEST_SOURCES, Source
-from .ts_oracles import LOOKBACK, RANGE_MS, SAMPLES_CTE, rate_cte, resample_cte
+from .report import CSV_NAMES, DECIMALS, REPORT_COLUMNS, TEST_PANELS, TEST_SOURCES, Source
+from .ts_oracles import LOOKBACK, SAMPLES_CTE, rate_cte, resample_cte
 
 _LABEL = {"pod": "pod", "phase": "phase", "topic": "'orders'"}
 
@@ -84,7 +84,16 @@ def report_sql(label: str = "events-derived") -> str:
         cols.append(f"round_even(CAST({figs[c]} AS DOUBLE), {DECIMALS.get(c, 0)}) AS {c}")
     return ("WITH " + SAMPLES_CTE + "".join(ctes) + "\nSELECT "
             "strftime(epoch_ms((SELECT at_ms FROM P)), '%Y-%m-%d %H:%M:%S') || ' UTC' AS timestamp, "
-            f"'{label}' AS label, {RANGE_MS // 60_000} AS duration_min,\n  " + ",\n  ".join(cols))
+            f"'{label}' AS label, CAST((SELECT range_ms FROM P) // 60000 AS INT) AS duration_min,\n  " + ",\n  ".join(cols))
+
+
+def _full(a: str = "") -> str:
+    """A test series' identity; the labels are pod, phase and topic."""
+    return f"""'{{"phase":"' || {a}phase || '","pod":"' || {a}pod || '","topic":"orders"}}'"""
+
+
+def _one(k: str) -> str:
+    return f"""'{{"{k}":"' || {k} || '"}}'"""
 
 
 def panels_sql() -> str:
@@ -97,35 +106,58 @@ def panels_sql() -> str:
         else:
             ctes.append(resample_cte(r, pred=pred(p.source)))
         if p.kind == "gauge":
-            body = f"SELECT step, pod AS series, value FROM {r}"
+            body = f"SELECT step, {_full()} AS series, pod AS legend, value FROM {r}"
         elif p.kind == "minus_time":
-            body = f"SELECT step, pod AS series, value - CAST(step AS DOUBLE) * 1.0::DOUBLE AS value FROM {r}"
+            body = f"SELECT step, {_full()} AS series, pod AS legend, value - CAST(step AS DOUBLE) * 1.0::DOUBLE AS value FROM {r}"
         elif p.kind == "diff":
             o = f"PO{i}"
             ctes.append(resample_cte(o, pred=pred(p.other)))
-            body = (f"SELECT a.step, a.pod AS series, a.value - b.value AS value FROM {r} a "
+            body = (f"SELECT a.step, {_full('a.')} AS series, a.pod AS legend, a.value - b.value AS value FROM {r} a "
                     f"JOIN {o} b ON a.pod = b.pod AND a.phase = b.phase AND a.step = b.step")
         elif p.kind in ("sum_rate", "sum"):
-            body = f"SELECT step, '' AS series, sum(value) AS value FROM {r} GROUP BY step"
+            body = f"SELECT step, '{{}}' AS series, '' AS legend, sum(value) AS value FROM {r} GROUP BY step"
         elif p.kind in ("rate_by_pod", "sum_by_pod"):
-            body = f"SELECT step, pod AS series, sum(value) AS value FROM {r} GROUP BY step, pod"
+            body = f"SELECT step, {_one('pod')} AS series, pod AS legend, sum(value) AS value FROM {r} GROUP BY step, pod"
         elif p.kind == "avg_pct":
-            body = f"SELECT step, '' AS series, avg(value) * 100.0::DOUBLE AS value FROM {r} GROUP BY step"
+            body = f"SELECT step, '{{}}' AS series, '' AS legend, avg(value) * 100.0::DOUBLE AS value FROM {r} GROUP BY step"
         elif p.kind == "count_by_phase":
-            body = (f"SELECT step, phase AS series, CAST(count(value) AS DOUBLE) AS value "
+            body = (f"SELECT step, {_one('phase')} AS series, phase AS legend, CAST(count(value) AS DOUBLE) AS value "
                     f"FROM {r} GROUP BY step, phase")
         elif p.kind == "ready":
-            body = (f"SELECT GRID.step, '' AS series, coalesce(c, 0.0) AS value FROM GRID LEFT JOIN "
+            body = (f"SELECT GRID.step, '{{}}' AS series, '' AS legend, coalesce(c, 0.0) AS value FROM GRID LEFT JOIN "
                     f"(SELECT step, CAST(count(value) AS DOUBLE) AS c FROM {r} WHERE value = 1 "
                     f"GROUP BY step) USING (step)")
         else:
             raise ValueError(p.kind)
-        parts.append(f"SELECT '{p.name}' AS panel, step, series, "
+        parts.append(f"SELECT '{p.name}' AS panel, step, series, legend, "
                      f"round(value * {scale}::DOUBLE, 6) AS value FROM ({body})")
     return "WITH " + SAMPLES_CTE + "".join(ctes) + "\n" + "\nUNION ALL\n".join(parts)
 
 
+def status_sql() -> str:
+    """Last value, mean, band and text of each series of the panels."""
+    def choose(column, pick):
+        cases = [f"WHEN panel = '{p.name}' THEN {pick(p)}" for p in TEST_PANELS if getattr(p, column)]
+        return "CASE " + " ".join(cases) + " END"
+    band = lambda p: "CASE " + " ".join(
+        f"WHEN last_value >= {lo}::DOUBLE THEN '{c}'" for lo, c in reversed(p.bands) if lo is not None) + \
+        f" ELSE '{p.bands[0][1]}' END"
+    text = lambda p: "CASE " + " ".join(
+        f"WHEN last_value = {v}::DOUBLE THEN '{t}'" for v, t in p.mapping) + " END"
+    means = ", ".join(f"'{p.name}'" for p in TEST_PANELS if "mean" in p.calcs)
+    return f"""WITH V AS ({panels_sql()}),
+L AS (SELECT panel, series, legend, arg_max(value, step) AS last_value, round(avg(value), 4) AS m
+      FROM V WHERE value IS NOT NULL GROUP BY panel, series, legend)
+SELECT panel, series, legend, last_value, CASE WHEN panel IN ({means}) THEN m END AS mean,
+       {choose("bands", band)} AS status, {choose("mapping", text)} AS text FROM L"""
+
+
 ORACLES = {
     "scenario_report": report_sql(),
+    "report_csv_row": "WITH R AS (" + report_sql() + ") SELECT timestamp, label, CAST(duration_min AS VARCHAR) AS "
+                      "duration_min, " + ", ".join(
+                          f"""coalesce(printf('%.{DECIMALS.get(c, 0)}f', {c}), 'N/A') AS {CSV_NAMES.get(c, c)}"""
+                          for c in REPORT_COLUMNS[3:]) + " FROM R",
     "dashboard_panels": panels_sql(),
+    "panel_status": status_sql(),
 }

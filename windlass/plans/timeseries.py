@@ -1,8 +1,7 @@
 """Registered time-series queries over samples derived from ``events``.
 
 Every query evaluates at the latest sample instant of the table and looks
-back :data:`RANGE_MS` (45 min, longer than the whole 43.2 min of compressed
-data), so the full table is processed.  Label maps are flattened to
+back over its whole span, so the full table is processed.  Label maps are flattened to
 ``pod``/``phase`` columns for comparison.
 """
 
@@ -19,10 +18,11 @@ from ..operators.timeseries import (across, binary_op, counter_rate, instant, la
                                     resample, select_series, series_labels, step_grid,
                                     value_filter, vector_op, with_series)
 from ..session import configure, shared_dir
-from .report import dashboard_panels, scenario_report
+from .report import (BACKPRESSURE_BANDS, PEAK_MAPPING, dashboard_panels, panel_status, report_csv_row,
+                     scenario_report)
 from ..sources.fixtures import broker_beans_from_events, compressed_ms, ops_samples, read_table
+from ..sources.samples import read_samples, write_samples
 
-RANGE_MS = 45 * 60_000
 STEP_MS = 15_000
 
 
@@ -31,28 +31,29 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_series(ops_samples(read_table(spark, sf_dir, "events")))
 
 
-def checkpointed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived samples computed once and reliably checkpointed into the
-    shared checkpoint folder, for plans that read them in several branches."""
-    s = samples(spark, sf_dir)
-    shared_dir(spark, "samples")  # ensures a checkpoint folder is configured
-    return s.checkpoint(eager=True)
+def stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples as a table partitioned by date and metric (SRC-4), so that
+    plans with several branches read only their metrics."""
+    path = shared_dir(spark, "samples")
+    write_samples(ops_samples(read_table(spark, sf_dir, "events")), path)
+    return with_series(read_samples(spark, path))
 
 
-def latest_ms(s: DataFrame) -> int:
-    """Evaluation instant: the newest sample (one-row aggregate)."""
-    return int(s.agg(F.max("ts_ms")).first()[0])
+def bounds(df: DataFrame, ms) -> tuple[int, int]:
+    """Evaluation instant (the newest one) and a look-back over the whole
+    table: its span in whole minutes and two more (one-row aggregate)."""
+    r = df.agg(F.min(ms).alias("lo"), F.max(ms).alias("hi")).first()
+    return int(r.hi), ((int(r.hi) - int(r.lo)) // 60_000 + 2) * 60_000
 
 
-def latest_event_ms(spark: SparkSession, sf_dir: str) -> int:
-    """The newest sample instant read straight from ``events`` (every event
-    yields a sample at its compressed time): one scan, no derivation."""
-    ev = read_table(spark, sf_dir, "events")
-    return int(ev.agg(F.max(compressed_ms("ts"))).first()[0])
+def event_bounds(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Bounds read straight from ``events`` (every event yields a sample at
+    its compressed time): one scan, no derivation."""
+    return bounds(read_table(spark, sf_dir, "events"), compressed_ms("ts"))
 
 
 def _ctx(spark: SparkSession, sf_dir: str):
-    return samples(spark, sf_dir), latest_event_ms(spark, sf_dir)
+    return samples(spark, sf_dir), *event_bounds(spark, sf_dir)
 
 
 def flat(df: DataFrame, *keep: str) -> DataFrame:
@@ -70,85 +71,86 @@ def q_select_series_regex(spark, sf_dir):
 
 
 def q_instant_value(spark, sf_dir):
-    s, at = _ctx(spark, sf_dir)
+    s, at, rng = _ctx(spark, sf_dir)
     return flat(instant(s, at), "value")
 
 
 def q_resample_15s(spark, sf_dir):
-    s, at = _ctx(spark, sf_dir)
+    s, at, rng = _ctx(spark, sf_dir)
     g = select_series(s, ["records_per_second", "consumer_lag", "checkpoint_ms"])
-    return flat(resample(g, at, RANGE_MS, STEP_MS), "step", "value")
+    return flat(resample(g, at, rng, STEP_MS), "step", "value")
 
 
 def q_over_time(spark, sf_dir):
     """max / min / avg over the grid; the average is reported as the sum
     rounded to cents over the step count, identical in any summation order."""
-    s, at = _ctx(spark, sf_dir)
-    r = resample(select_series(s, ["records_per_second", "consumer_lag"]), at, RANGE_MS, STEP_MS)
+    s, at, rng = _ctx(spark, sf_dir)
+    r = resample(select_series(s, ["records_per_second", "consumer_lag"]), at, rng, STEP_MS)
     out = over_time(r, "max", "min", "sum", "count")
     return flat(out, F.col("max").alias("max_v"), F.col("min").alias("min_v"),
                 (F.round("sum", 2) / F.col("count")).alias("avg_v"), F.col("count").alias("n"))
 
 
 def q_counter_rate(spark, sf_dir):
-    s, at = _ctx(spark, sf_dir)
+    s, at, rng = _ctx(spark, sf_dir)
     c = select_series(s, ["records_per_second_total", "checkpoint_ms_total"])
-    return flat(counter_rate(c, at, RANGE_MS, 60_000, STEP_MS), "step", "value")
+    return flat(counter_rate(c, at, rng, 60_000, STEP_MS), "step", "value")
+
+
+def q_counter_rate_1h(spark, sf_dir):
+    """A window of many steps: buckets are combined, not samples copied."""
+    s, at, rng = _ctx(spark, sf_dir)
+    c = select_series(s, ["records_per_second_total"])
+    return flat(counter_rate(c, at, rng, 3_600_000, STEP_MS), "step", F.round("value", 9).alias("value"))
 
 
 def _gauges(spark, sf_dir, metric):
-    s, at = _ctx(spark, sf_dir)
-    return s, at, resample(select_series(s, metric), at, RANGE_MS, STEP_MS)
+    s, at, rng = _ctx(spark, sf_dir)
+    return s, at, rng, resample(select_series(s, metric), at, rng, STEP_MS)
 
 
 def q_sum_by_pod(spark, sf_dir):
-    _, _, r = _gauges(spark, sf_dir, ["checkpoint_ms", "consumer_lag"])
+    *_, r = _gauges(spark, sf_dir, ["checkpoint_ms", "consumer_lag"])
     return across(r, "sum", by=["pod"]).withColumn("value", F.round("value", 2))
 
 
 def q_count_by_phase(spark, sf_dir):
-    _, _, r = _gauges(spark, sf_dir, "pod_ready")
+    *_, r = _gauges(spark, sf_dir, "pod_ready")
     return across(r, "count", by=["phase"])
 
 
 def q_avg_pct(spark, sf_dir):
-    _, _, r = _gauges(spark, sf_dir, "backpressured")
+    *_, r = _gauges(spark, sf_dir, "backpressured")
     return across(r, "avg", scale=100.0)
 
 
 def q_ready_pods(spark, sf_dir):
-    s, at, r = _gauges(spark, sf_dir, "pod_ready")
+    s, at, rng, r = _gauges(spark, sf_dir, "pod_ready")
     ready = across(value_filter(r, "==", 1.0), "count")
-    return or_zero(ready, step_grid(s, at, RANGE_MS, STEP_MS))
+    return or_zero(ready, step_grid(s, at, rng, STEP_MS))
 
 
 def q_startup_latency(spark, sf_dir):
     """``a - b`` on identical label sets: one resample of both metrics, one
     aggregation per (labels, step)."""
-    s, at = _ctx(spark, sf_dir)
-    r = resample(select_series(s, ["records_per_second", "checkpoint_ms"]), at, RANGE_MS, STEP_MS)
+    s, at, rng = _ctx(spark, sf_dir)
+    r = resample(select_series(s, ["records_per_second", "checkpoint_ms"]), at, rng, STEP_MS)
     m = F.col("metric")
     return flat(vector_op(r, m == "records_per_second", m == "checkpoint_ms", "-"),
                 "step", "value")
 
 
 def q_watermark_lag(spark, sf_dir):
-    _, _, r = _gauges(spark, sf_dir, "checkpoint_ms")
+    *_, r = _gauges(spark, sf_dir, "checkpoint_ms")
     return flat(minus_time(r), "step", "value")
 
 
-# The backpressure panel's colour bands (percent) and the
-# peak-flag value mapping of the dashboard.
-BACKPRESSURE_BANDS = [(None, "green"), (25.0, "yellow"), (75.0, "red")]
-PEAK_MAPPING = {0.0: "INACTIVE", 1.0: "PEAK"}
-
-
 def q_panel_last_mean(spark, sf_dir):
-    _, _, r = _gauges(spark, sf_dir, "backpressured")
+    *_, r = _gauges(spark, sf_dir, "backpressured")
     pct = r.withColumn("value", F.col("value") * 100.0)
     red = reduce_panel(pct.drop("sample_ts"), ("lastNotNull", "mean"))
-    red = (red.withColumn("status", threshold_status("lastNotNull", BACKPRESSURE_BANDS))
-              .withColumn("flag", value_text(F.col("lastNotNull") / 100.0, PEAK_MAPPING)))
+    red = (red.withColumn("status", threshold_status("lastNotNull", list(BACKPRESSURE_BANDS)))
+              .withColumn("flag", value_text(F.col("lastNotNull") / 100.0, dict(PEAK_MAPPING))))
     return flat(red, "lastNotNull", "mean", "status", "flag")
 
 
@@ -166,17 +168,32 @@ def q_normalise_broker(spark, sf_dir):
                       F.unix_millis("ts").alias("ts_ms"), "value")
 
 
+def _report(spark, sf_dir):
+    at, rng = event_bounds(spark, sf_dir)
+    return scenario_report(stored_samples(spark, sf_dir), at, rng // 60_000, label="events-derived")
+
+
 def q_scenario_report(spark, sf_dir):
-    s = checkpointed_samples(spark, sf_dir)
-    return scenario_report(s, latest_ms(s), RANGE_MS // 60_000, label="events-derived")
+    return _report(spark, sf_dir)
 
 
-def q_dashboard_panels(spark, sf_dir):
-    s = checkpointed_samples(spark, sf_dir)
-    d = dashboard_panels(s, latest_ms(s), RANGE_MS)
+def q_report_csv_row(spark, sf_dir):
+    return report_csv_row(_report(spark, sf_dir))
+
+
+def _panels(spark, sf_dir):
+    d = dashboard_panels(stored_samples(spark, sf_dir), *event_bounds(spark, sf_dir))
     return d.withColumn("value", F.round("value", 6))
 
 
+def q_dashboard_panels(spark, sf_dir):
+    return _panels(spark, sf_dir)
+
+
+def q_panel_status(spark, sf_dir):
+    return panel_status(_panels(spark, sf_dir)).withColumn("mean", F.round("mean", 4))
+
+
 def q_broker_consumer_lag(spark, sf_dir):
     """The reference's consumer-lag panel on its own metric names: broker
     beans -> normaliser -> one sample per series and instant ->
@@ -185,9 +202,9 @@ def q_broker_consumer_lag(spark, sf_dir):
     raw = broker_beans_from_events(read_table(spark, sf_dir, "events"))
     s = with_series(latest_per_instant(normalise_broker_samples(raw, keep=("event_id",)),
                                        "event_id"))
-    at = latest_ms(s)
+    at, rng = event_bounds(spark, sf_dir)   # every event yields a bean
     lag = select_series(s, "kafka_server_fetcherlagmetrics_consumerlag", eq={"topic": "orders"})
-    out = across(resample(lag, at, RANGE_MS, STEP_MS), "sum")
+    out = across(resample(lag, at, rng, STEP_MS), "sum")
     return out.withColumn("value", F.round("value", 2))
 
 
@@ -208,5 +225,8 @@ QUERIES = {
     "normalise_broker": q_normalise_broker,
     "broker_consumer_lag": q_broker_consumer_lag,
     "scenario_report": q_scenario_report,
+    "report_csv_row": q_report_csv_row,
     "dashboard_panels": q_dashboard_panels,
+    "panel_status": q_panel_status,
+    "counter_rate_1h": q_counter_rate_1h,
 }

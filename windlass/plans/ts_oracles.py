@@ -3,7 +3,10 @@
 
 from __future__ import annotations
 
-RANGE_MS = 45 * 60_000
+from ..operators.broker import ALLOWLIST, RULES
+
+# The look-back that covers the whole table: its span in whole minutes and two more.
+RANGE = "((max(ts_ms) - min(ts_ms)) // 60000 + 2) * 60000"
 STEP = 15_000
 LOOKBACK = 300_000
 
@@ -33,8 +36,8 @@ CT AS (
 ),
 S AS (SELECT * FROM GA UNION ALL SELECT * FROM CT),
 P AS (
-  SELECT max(ts_ms) AS at_ms,
-         ((max(ts_ms) - {RANGE_MS}) // {STEP} + 1) * {STEP} AS first,
+  SELECT max(ts_ms) AS at_ms, {RANGE} AS range_ms,
+         ((max(ts_ms) - {RANGE}) // {STEP} + 1) * {STEP} AS first,
          (max(ts_ms) // {STEP}) * {STEP} AS last
   FROM S
 ),
@@ -138,6 +141,9 @@ SELECT metric, pod, phase, max(value) AS max_v, min(value) AS min_v,
        round(sum(value), 2) / count(value) AS avg_v, count(value) AS n
 FROM R GROUP BY metric, pod, phase"""
 
+ORACLES["counter_rate_1h"] = rate_sql("records_per_second_total", 3_600_000) + """
+SELECT metric, pod, phase, step, round(value, 9) AS value FROM RT"""
+
 ORACLES["counter_rate"] = rate_sql(["records_per_second_total", "checkpoint_ms_total"], 60_000) + """
 SELECT metric, pod, phase, step, value FROM RT"""
 
@@ -183,41 +189,23 @@ SELECT metric, pod, phase, ts_ms, CAST(value - pv AS BIGINT) AS delta,
        (CAST(value - pv AS BIGINT) * 1000) // greatest(1, ts_ms - pts) AS rate
 FROM L WHERE pts IS NOT NULL"""
 
-_BROKER_RULES = [
-    ("kafka.server<.*name=MessagesInPerSec.*topic=([^,>]+).*><>OneMinuteRate",
-     "kafka_server_brokertopicmetrics_messagesin_oneminuterate", {"topic": 1}),
-    ("kafka.server<.*name=BytesInPerSec.*topic=([^,>]+).*><>OneMinuteRate",
-     "kafka_server_brokertopicmetrics_bytesin_oneminuterate", {"topic": 1}),
-    ("kafka.server<.*name=ConsumerLag.*topic=([^,>]+).*partition=([0-9]+).*><>Value",
-     "kafka_server_fetcherlagmetrics_consumerlag", {"topic": 1, "partition": 2}),
-    ("kafka.server<.*name=UnderReplicatedPartitions.*><>Value",
-     "kafka_server_replicamanager_underreplicatedpartitions", {}),
-    ("kafka.controller<.*name=ActiveControllerCount.*><>Value",
-     "kafka_controller_kafkacontroller_activecontrollercount", {}),
-    ("kafka.network<.*name=TotalTimeMs.*request=([^,>]+).*><>Mean",
-     "kafka_network_requestmetrics_totaltimems_mean", {"request": 1}),
-]
-_ALLOW = [("kafka.server", "BrokerTopicMetrics"), ("kafka.server", "FetcherLagMetrics"),
-          ("kafka.server", "ReplicaManager"), ("kafka.controller", "KafkaController"),
-          ("kafka.network", "RequestMetrics")]
-
-
 def _broker_sql(keep_event_id: bool = False) -> str:
     def anch(p):
         return "^(?:" + p + ")$"
     metric = "CASE " + " ".join(
-        f"WHEN regexp_matches(name, '{anch(p)}') THEN '{m}'" for p, m, _ in _BROKER_RULES) + " END"
+        f"WHEN regexp_matches(name, '{anch(p)}') THEN '{m}'" for p, m, _ in RULES) + " END"
     labels = []
     for lname in ("topic", "partition", "request"):
         parts = []
-        for p, _, groups in _BROKER_RULES:
+        for p, _, groups in RULES:
             val = (f"regexp_extract(name, '{anch(p)}', {groups[lname]})" if lname in groups
                    else "NULL")
             parts.append(f"WHEN regexp_matches(name, '{anch(p)}') THEN {val}")
         labels.append("CASE " + " ".join(parts) + f" END AS {lname}")
+    # The bean's properties as a list, whatever their order.
     allow = " OR ".join(
-        f"starts_with(name, '{d}<type={t},') OR starts_with(name, '{d}<type={t}>')"
-        for d, t in _ALLOW)
+        f"(starts_with(name, '{d}<') AND list_contains(string_split(regexp_extract(name, '<([^>]*)>', 1), ', '), "
+        f"'type={t}'))" for d, t in ALLOWLIST)
     return f"""
 WITH EV AS (
   SELECT *, CASE WHEN user_id % 2 = 0 THEN 'orders' ELSE 'order-metrics' END AS topic_v,
@@ -226,6 +214,9 @@ WITH EV AS (
 ),
 B AS (
   SELECT CASE
+    WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'kafka.server<name=MessagesInPerSec, topic=' || topic_v || ', type=BrokerTopicMetrics><>OneMinuteRate'
+    WHEN event_type = 'view' AND event_id % 3 = 1 THEN 'kafka.server<name=MessagesInPerSec, type=BrokerTopicMetrics, topic=' || topic_v || '><>OneMinuteRate'
+    WHEN event_type = 'view' AND user_id % 7 = 0 THEN 'kafka.server<type=BrokerTopicMetricsX, name=MessagesInPerSec, topic=' || topic_v || '><>OneMinuteRate'
     WHEN event_type = 'view' THEN 'kafka.server<type=BrokerTopicMetrics, name=MessagesInPerSec, topic=' || topic_v || '><>OneMinuteRate'
     WHEN event_type = 'click' THEN 'kafka.server<type=BrokerTopicMetrics, name=BytesInPerSec, topic=' || topic_v || '><>OneMinuteRate'
     WHEN event_type = 'error' THEN 'kafka.server<type=FetcherLagMetrics, name=ConsumerLag, clientId=ReplicaFetcherThread-0-1, topic=' || topic_v || ', partition=' || (user_id % 12) || '><>Value'
@@ -247,8 +238,8 @@ ORACLES["broker_consumer_lag"] = "WITH BN AS (" + _broker_sql(keep_event_id=True
 D AS (SELECT metric, topic, "partition", request, ts_ms, arg_max(value, event_id) AS value
       FROM BN GROUP BY metric, topic, "partition", request, ts_ms),
 P AS (SELECT max(ts_ms) AS at_ms,
-             ((max(ts_ms) - {RANGE_MS}) // {STEP} + 1) * {STEP} AS first,
-             (max(ts_ms) // {STEP}) * {STEP} AS last FROM D),
+             ((max(ts_ms) - {RANGE}) // {STEP} + 1) * {STEP} AS first,
+             (max(ts_ms) // {STEP}) * {STEP} AS last FROM (SELECT epoch_ms(ts) // 1000 AS ts_ms FROM events)),
 GRID AS (SELECT unnest(range(first, last + 1, {STEP})) AS step FROM P),
 X AS (SELECT D.* FROM D, P WHERE metric = 'kafka_server_fetcherlagmetrics_consumerlag'
         AND topic = 'orders' AND ts_ms > first - {LOOKBACK} AND ts_ms <= last),
