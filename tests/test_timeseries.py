@@ -233,3 +233,24 @@ def test_beans_with_properties_in_any_order(spark):
     df = spark.createDataFrame([(n, 1.0) for n in names], "name string, value double").selectExpr(
         "name", "timestamp_millis(0) ts", "value")
     assert normalise_broker_samples(df).count() == 2
+
+
+def test_spaced_points_follow_the_greedy_rule(spark):
+    from windlass.operators.timeseries import spaced
+    rng, rows = random.Random(9), []
+    for pod in ("a", "b", None):
+        t = 0
+        for _ in range(300):
+            t += rng.choice([1, 500, 3_000, 9_999, 10_000, 10_001, 45_000])
+            rows.append(("m", {"pod": pod} if pod else None, t, float(t)))
+    df = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts_ms long, value double")
+    want = set()
+    for pod in ("a", "b", None):
+        last = None
+        for _, labels, t, _ in rows:
+            if (labels or {}).get("pod") == pod and (last is None or t - last >= 10_000):
+                last = t
+                want.add((pod, t))
+    for bucket in (20_000, 3_600_000):
+        got = spaced(df, 10_000, bucket).withColumn("labels", series_labels("_sk")).collect()
+        assert len(got) == len(want) and {(r.labels.get("pod"), r.ts_ms) for r in got} == want

@@ -160,6 +160,13 @@ def q_progress_rate(spark, sf_dir):
                 "ts_ms", "delta", "delta_ms", "rate")
 
 
+def q_progress_rate_10s(spark, sf_dir):
+    """Progress points at least 10 s apart, as the producer logs them."""
+    s = samples(spark, sf_dir)
+    return flat(progress_rate(select_series(s, "records_per_second_total"), lag_bucket_ms=300_000,
+                              min_interval_ms=10_000), "ts_ms", "delta", "delta_ms", "rate")
+
+
 def q_normalise_broker(spark, sf_dir):
     configure(spark)
     raw = broker_beans_from_events(read_table(spark, sf_dir, "events"))
@@ -222,6 +229,7 @@ QUERIES = {
     "watermark_lag": q_watermark_lag,
     "panel_last_mean": q_panel_last_mean,
     "progress_rate": q_progress_rate,
+    "progress_rate_10s": q_progress_rate_10s,
     "normalise_broker": q_normalise_broker,
     "broker_consumer_lag": q_broker_consumer_lag,
     "scenario_report": q_scenario_report,

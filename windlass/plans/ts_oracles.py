@@ -177,18 +177,33 @@ SELECT metric, pod, phase, last_v AS "lastNotNull", mean,
             ELSE CAST(last_v / 100.0::DOUBLE AS VARCHAR) END AS flag
 FROM Q"""
 
-ORACLES["progress_rate"] = with_samples() + """,
+_RATES = """
 L AS (
   SELECT metric, pod, phase, ts_ms, value,
          lag(value) OVER (PARTITION BY metric, pod, phase ORDER BY ts_ms) AS pv,
          lag(ts_ms) OVER (PARTITION BY metric, pod, phase ORDER BY ts_ms) AS pts
-  FROM S WHERE metric = 'records_per_second_total'
+  FROM PTS
 )
 SELECT metric, pod, phase, ts_ms, CAST(value - pv AS BIGINT) AS delta,
        greatest(1, ts_ms - pts) AS delta_ms,
        (CAST(value - pv AS BIGINT) * 1000) // greatest(1, ts_ms - pts) AS rate
 FROM L WHERE pts IS NOT NULL"""
 
+ORACLES["progress_rate"] = with_samples() + """,
+PTS AS (SELECT * FROM S WHERE metric = 'records_per_second_total'),""" + _RATES
+
+# The greedy rule step by step: the next point is the first at least 10 s later.
+ORACLES["progress_rate_10s"] = "WITH RECURSIVE " + SAMPLES_CTE + """,
+C AS (SELECT * FROM S WHERE metric = 'records_per_second_total'),
+K AS (
+  SELECT metric, pod, phase, min(ts_ms) AS ts_ms FROM C GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT k.metric, k.pod, k.phase, min(c.ts_ms) FROM K k JOIN C c
+    ON c.metric = k.metric AND c.pod = k.pod AND c.phase = k.phase AND c.ts_ms >= k.ts_ms + 10000
+  GROUP BY 1, 2, 3
+),
+PTS AS (SELECT C.* FROM C JOIN K USING (metric, pod, phase, ts_ms)),""" + _RATES
+
 def _broker_sql(keep_event_id: bool = False) -> str:
     def anch(p):
         return "^(?:" + p + ")$"
