@@ -6,6 +6,12 @@ template words are hash-joined between documents and benchmark items; hits
 on one alignment (document position minus item position) must be consistent:
 every slot value of the item stands for exactly one value of the document,
 and the other way round.  Only DataFrame functions, no Python in tasks.
+
+Template words and windows are costly to make, so a first pass keeps the
+documents that can hold an item at all: every window of an item has two
+anchors, its literal words that are in the fewest items, and a document
+without both anchors of enough windows cannot hold enough windows.  Nothing
+is lost by it.
 """
 
 from __future__ import annotations
@@ -85,14 +91,60 @@ def windows(df: DataFrame, text: str, size: int, keep: list[str]) -> DataFrame:
     return d.select(*keep, "n", "pos", F.col("x.w").alias("w"), F.col("x.s").alias("slots"))
 
 
+# Separators of lower-cased words; ASCII digits stand apart in templates.
+_BETWEEN = "[\\x00-\\x60\\x7b-\\x7f[^\\x00-\\x7f\\p{L}\\p{M}\\p{N}]]+"
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_WINDOWS else df
+
+
+def anchors(items: DataFrame, size: int) -> DataFrame:
+    """(item_id, pair, word, words, weight, need): pair names the one or two
+    anchor words of ``weight`` windows of the item; a document must hold all
+    ``words`` of pairs whose weights add up to need.  need is not positive
+    for items whose windows lack literal words."""
+    t = (items.select("item_id", tokens(F.col("text")).alias("t"))
+         .select("item_id", (F.size("t") - F.lit(size - 1)).alias("n"), F.posexplode("t").alias("p", "word")))
+    word = t.where(~_kind(F.col("word")).isin(_NUM, _UNIT, _NAME))
+    shared = word.groupBy("word").agg(F.count_distinct("item_id").alias("shared"))
+    q = F.explode(F.sequence(F.greatest(F.col("p") - F.lit(size - 1), F.lit(0)),
+                             F.least("p", F.col("n") - 1))).alias("q")
+    rank = F.struct("shared", (-F.length("word")).alias("l"), "word")
+    best = (word.join(shared, "word").select("item_id", "n", "word", "shared", q).groupBy("item_id", "n", "q")
+            .agg(F.slice(F.array_sort(F.collect_set(rank)), 1, 2)["word"].alias("pick")))   # of ``size`` words
+    weights = best.groupBy("item_id", "pick").agg(F.count(F.lit(1)).alias("weight"))
+    held = weights.groupBy("item_id").agg(F.sum("weight").alias("held"))
+    have = (t.select("item_id", "n").distinct().join(weights, "item_id", "left").join(held, "item_id", "left"))
+    return have.select("item_id", F.xxhash64("item_id", "pick").alias("pair"),
+                       F.explode_outer("pick").alias("word"), F.size("pick").alias("words"), "weight",
+                       (F.ceil(F.lit(SHARE) * F.col("n")) - F.col("n") + F.coalesce("held", F.lit(0))).alias("need"))
+
+
+def _candidates(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """The rows of ``docs`` that hold the anchors of enough windows of an item."""
+    a = materialise(anchors(items, size), "anchors")
+    if not a.where("need <= 0").isEmpty():
+        return docs
+    words = F.array_distinct(F.split(F.lower("text"), _BETWEEN))
+    rows = (docs.select("row", F.explode(words).alias("word")).join(_small(a, a.count()), "word")
+            .groupBy("row", "item_id", "pair").agg(F.count(F.lit(1)).alias("seen"), F.max("words").alias("words"),
+                                                   F.max("weight").alias("weight"), F.max("need").alias("need"))
+            .where("seen >= words").groupBy("row", "item_id")
+            .agg(F.sum("weight").alias("got"), F.max("need").alias("need"))
+            .where("got >= need").select("row").distinct())
+    # Written first, so that Spark knows its size: a small one is sent to the
+    # documents, a large one is joined by row.
+    return docs.join(materialise(rows, "candidates"), "row", "left_semi")
+
+
 def _hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     bench = (windows(items, "text", size, ["item_id"])
              .select(F.col("item_id"), F.col("n").alias("item_windows"), F.col("pos").alias("q"), "w",
                      F.col("slots").alias("item_slots")))
     bench = materialise(bench, "benchmark-windows")
-    if bench.count() <= BROADCAST_WINDOWS:
-        bench = F.broadcast(bench)
-    hit = windows(docs, "text", size, ["row", "doc_id"]).drop("n").join(bench, "w")
+    hit = (windows(_candidates(docs, items, size), "text", size, ["row", "doc_id"]).drop("n")
+           .join(_small(bench, bench.count()), "w"))
     both = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     pairs = F.when(F.col("item_slots").isNull(), F.array().cast("array<struct<a:bigint,b:bigint>>")).otherwise(
         F.filter(both, lambda p: p["a"] != 0))
