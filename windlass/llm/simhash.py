@@ -169,7 +169,9 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
     patterns = chains(max_bits)
     if max_bits == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    rows = (fps.select("fp", F.posexplode(F.array(*[
+    # Few bytes come in and 64 times as many rows go out: spread them first.
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (fps.select("fp").repartition(width, "fp").select("fp", F.posexplode(F.array(*[
         F.col("fp").bitwiseAND(F.lit(_signed(mask))) for mask, _ in patterns])).alias("k", "v")))
     # Only buckets within a crowded first segment can be crowded: the counts
     # of first segments are (max_bits + 1) * 2^13 rows or so at any size.
