@@ -40,18 +40,21 @@ def tokens(text: Column) -> Column:
     """Template words of a text: lower-cased words, and placeholders that
     start with their type's control character."""
     # Every pattern begins with the rare character it needs; what must stand
-    # before it is looked at last.
+    # before it is looked at last.  Texts without digits, most of them, skip
+    # what is about numbers.
+    digits = text.rlike("[0-9\\x01-\\x04]")
     t = F.regexp_replace(text, "[\\x01-\\x04]", " ")
     t = F.regexp_replace(t, "[,](?=[0-9]{3}(?![0-9]))(?<=[0-9],)", "")
     t = F.regexp_replace(t, "[.](?=[0-9])(?<=[0-9][.])", _IN)
+    t = F.when(digits, t).otherwise(text)
     # Names: capitalised words inside a sentence, neighbours as one.
     t = F.regexp_replace(t, "(\\s)(?=\\p{Lu})(?<=[\\p{Ll}\\p{N},;:]\\s)", f"$1{_NAME}")
     t = F.regexp_replace(t, "\\s+\\x03?(?=\\p{Lu})(?<=\\x03[\\p{L}'-]{1,40}\\s{1,3}\\x03?)", _IN)
-    t = F.regexp_replace(t, f"([0-9][0-9{_IN}]*)", f" {_NUM}$1 ")
-    t = F.regexp_replace(t, "[$€£¥]\\s*(?=\\x01)", f" {_UNIT}currency ")
-    t = F.regexp_replace(t, f"({_NUM}[0-9{_IN}]+)\\s*%", f"$1 {_UNIT}percent ")
-    t = F.lower(t)
-    t = F.regexp_replace(t, f"({_NUM}[0-9{_IN}]+)\\s+({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"$1 {_UNIT}$2 ")
+    n = F.regexp_replace(t, f"([0-9][0-9{_IN}]*)", f" {_NUM}$1 ")
+    n = F.regexp_replace(n, "[$€£¥]\\s*(?=\\x01)", f" {_UNIT}currency ")
+    n = F.lower(F.regexp_replace(n, f"({_NUM}[0-9{_IN}]+)\\s*%", f"$1 {_UNIT}percent "))
+    n = F.regexp_replace(n, f"({_NUM}[0-9{_IN}]+)\\s+({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"$1 {_UNIT}$2 ")
+    t = F.when(digits, n).otherwise(F.lower(t))
     words = F.split(t, "[^\\p{L}\\p{M}\\p{N}\\x01-\\x04]+")
     return F.filter(words, lambda w: ~w.isin("", _NUM, _UNIT, _NAME, _IN))
 
@@ -67,8 +70,8 @@ def windows(df: DataFrame, text: str, size: int, keep: list[str]) -> DataFrame:
 
     A window of mostly slots says little, so its values are hashed too."""
     is_slot = lambda w: _kind(w).isin(_NUM, _UNIT, _NAME)
+    # No filter on t: it would go below the projection and make t twice.
     d = (df.select(*keep, tokens(F.col(text)).alias("t"))
-         .where(F.size("t") >= size)
          .select(*keep, F.size("t").alias("m"),
                  F.transform("t", lambda w: F.when(is_slot(w), F.xxhash64(_kind(w)))
                              .otherwise(F.xxhash64(w))).alias("h"),
@@ -82,7 +85,7 @@ def windows(df: DataFrame, text: str, size: int, keep: list[str]) -> DataFrame:
         s = F.slice("v", i + F.lit(1), F.lit(size))
         return F.struct(F.when(literal(s) * 2 < size, F.xxhash64(every(i), s)).otherwise(every(i)).alias("w"),
                         F.when(literal(s) < size, s).alias("s"))
-    at = F.sequence(F.lit(0), F.col("m") - F.lit(size))
+    at = F.when(F.col("m") >= size, F.sequence(F.lit(0), F.col("m") - F.lit(size)))
     plain = F.transform(at, lambda i: F.struct(every(i).alias("w"),
                                                F.lit(None).cast("array<bigint>").alias("s")))
     d = d.select(*keep, (F.col("m") - F.lit(size - 1)).alias("n"),
