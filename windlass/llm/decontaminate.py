@@ -202,7 +202,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; columns unchanged."""
-    bad = matches(docs, benchmark, id_col, text_col).select("row").distinct()
+    # Written first, like the candidates: few rows do not move the documents.
+    bad = materialise(matches(docs, benchmark, id_col, text_col).select("row").distinct(), "contaminated")
     names = docs.columns
     safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key = _row_key(F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}"))
