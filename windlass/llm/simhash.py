@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import WORD, materialise, with_workers
+from .common import WORD, batches_of, materialise, with_workers
 from .components import components
 
 BITS = 64
@@ -206,7 +206,8 @@ def _with_fingerprint(docs: DataFrame, text: str, shingle: int, out: str) -> Dat
 def _roots(fps: DataFrame, max_bits: int) -> DataFrame:
     """(fp, root) for every distinct fingerprint of ``fps``."""
     nodes = materialise(fps.select("fp").distinct(), "simhash-nodes")
-    found = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
+    with batches_of(fps.sparkSession, 50_000):
+        found = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
     return nodes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
