@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not both[0] or not both[1]:
         return Model({}, np.zeros(0), 1.0)
     n1, n0 = float(both[0]), float(both[1])
-    c = (sample.repartition(F.xxhash64("text")).mapInArrow(_word_rows, "words array<string>, toxic int")
+    c = (sample.mapInArrow(_word_rows, "words array<string>, toxic int")
          .select(F.explode("words").alias("w"), "toxic").groupBy("w")
          .agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("n1")))
     p = F.col("n") / (n1 + n0)
