@@ -85,6 +85,21 @@ def test_edge_rows(spark):
     assert d.drop_contaminated(docs, bench.limit(0)).count() == 5
 
 
+def test_prefilter_loses_no_possessive_or_hyphenated_names(spark, monkeypatch):
+    items = ["how many cakes does Mary's Bakery sell when Anne-Marie Smith comes",
+             "the party on New Year's Eve at James' House was for Mary O'Brien-Lee alone",
+             "we saw MARY'S-BAKERY and Mary'-Ba-Ca with Anne-\u00c9va Jos\u00e9-Mar\u00eda Old near Bob3 Zed"]
+    texts = [f"some plain words {t} and more of them" for t in items]
+    got = found(spark, texts, items)
+    assert got == [(0, 0), (1, 1), (2, 2)]
+    docs, _ = frames(spark, texts, items)
+    words = [w for r in docs.select(d.tokens(docs.text).alias("t")).collect() for w in r.t]
+    assert not [w for w in words if w[0] > "\x04" and re.search("[\x01-\x04]", w)]
+    assert "\x03anne\x04marie\x04smith" in words and "\x03mary\x04o\x04brien\x04lee" in words
+    monkeypatch.setattr(d, "_candidates", lambda docs, items, size: docs)
+    assert found(spark, texts, items) == got
+
+
 def test_no_python_in_the_plan(spark):
     docs, bench = frames(spark, ["a"], [ITEM])
     plan = d.contaminated(docs, bench)._jdf.queryExecution().executedPlan().toString()

@@ -49,7 +49,11 @@ def tokens(text: Column) -> Column:
     t = F.when(digits, t).otherwise(text)
     # Names: capitalised words inside a sentence, neighbours as one.
     t = F.regexp_replace(t, "(\\s)(?=\\p{Lu})(?<=[\\p{Ll}\\p{N},;:]\\s)", f"$1{_NAME}")
-    t = F.regexp_replace(t, "\\s+\\x03?(?=\\p{Lu})(?<=\\x03[\\p{L}'-]{1,40}\\s{1,3}\\x03?)", _IN)
+    # A name goes on from its start only (\G), so that each _IN is inside a
+    # word that starts with _NAME; no literal word holds a control character.
+    t = F.regexp_replace(
+        t, "(?:(\\x03\\p{L}+)(?:['’-]|\\s{1,3}\\x03?)|\\G(?!^)(\\p{L}+)(?:['’-]|\\s{1,3}\\x03))(?=\\p{Lu})",
+        f"$1$2{_IN}")
     n = F.regexp_replace(t, f"([0-9][0-9{_IN}]*)", f" {_NUM}$1 ")
     n = F.regexp_replace(n, "[$€£¥]\\s*(?=\\x01)", f" {_UNIT}currency ")
     n = F.lower(F.regexp_replace(n, f"({_NUM}[0-9{_IN}]+)\\s*%", f"$1 {_UNIT}percent "))
