@@ -85,6 +85,16 @@ def test_edge_rows(spark):
     assert d.drop_contaminated(docs, bench.limit(0)).count() == 5
 
 
+def test_values_that_meet_or_part_and_first_words(spark):
+    items = ["how many marbles has she if Tom gives her 2 red and 3 blue ones and 3 more to a friend",
+             "What is the capital of France?"]
+    texts = ["x " + items[0].replace("2 red", "4 red").replace("3", "4"),          # 2 and 3 become 4
+             "x " + items[0].replace("3 blue", "5 blue").replace("Tom", "Kim"),     # 3 becomes 5 and 3
+             "Question: What is the capital of France? And", "so What is the capital of Spain",
+             "they say Paris is the capital of France", "yes. What is the capital of France"]
+    assert found(spark, texts, items) == [(0, 0), (1, 0), (2, 1), (3, 1), (5, 1)]
+
+
 def test_prefilter_loses_no_possessive_or_hyphenated_names(spark, monkeypatch):
     items = ["how many cakes does Mary's Bakery sell when Anne-Marie Smith comes",
              "the party on New Year's Eve at James' House was for Mary O'Brien-Lee alone",

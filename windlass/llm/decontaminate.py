@@ -4,8 +4,13 @@ Numbers, units and names of a text become typed placeholders, so that a
 question keeps its template when its parameters are changed.  Windows of
 template words are hash-joined between documents and benchmark items; hits
 on one alignment (document position minus item position) must be consistent:
-every slot value of the item stands for exactly one value of the document,
-and the other way round.  Only DataFrame functions, no Python in tasks.
+every name and unit of the item stands for exactly one value of the document.
+Different values may become equal, and equal numbers different, as they may
+have different roles.  Only DataFrame functions, no Python in tasks.
+
+An item's first word may be a name inside a document's sentence, though it
+is a plain word at the start of the item.  So an item has a second form, as
+if it stood inside a sentence; there the first word must be the same.
 
 Template words and windows are costly to make, so a first pass keeps the
 documents that can hold an item at all: every window of an item has two
@@ -67,20 +72,22 @@ def _kind(w: Column) -> Column:
     return F.substring(w, 1, 1)
 
 
-def windows(df: DataFrame, text: str, size: int, keep: list[str]) -> DataFrame:
+def windows(df: DataFrame, words: Column, size: int, keep: list[str]) -> DataFrame:
     """(keep..., pos, w, slots, n) for every window of ``size`` template
-    words: w hashes the template, slots are hashes of the slot values (0: no
-    slot; null: no slot in the text), n counts the windows of the text.
+    ``words``: w hashes the template, slots are hashes of the slot values (0:
+    no slot; odd: a number; null: no slot in the text), n counts the windows.
 
     A window of mostly slots says little, so its values are hashed too."""
     is_slot = lambda w: _kind(w).isin(_NUM, _UNIT, _NAME)
     # No filter on t: it would go below the projection and make t twice.
-    d = (df.select(*keep, tokens(F.col(text)).alias("t"))
+    value = lambda w: F.when(_kind(w) == _NUM, F.xxhash64(w).bitwiseOR(F.lit(1))).otherwise(
+        F.xxhash64(w).bitwiseAND(F.lit(-2)))
+    d = (df.select(*keep, words.alias("t"))
          .select(*keep, F.size("t").alias("m"),
                  F.transform("t", lambda w: F.when(is_slot(w), F.xxhash64(_kind(w)))
                              .otherwise(F.xxhash64(w))).alias("h"),
                  F.when(F.exists("t", is_slot),
-                        F.transform("t", lambda w: F.when(is_slot(w), F.xxhash64(w)).otherwise(F.lit(0))))
+                        F.transform("t", lambda w: F.when(is_slot(w), value(w)).otherwise(F.lit(0))))
                  .alias("v")))
     every = lambda i: F.xxhash64(*[F.get("h", i + F.lit(j)) for j in range(size)])
     literal = lambda s: F.size(F.filter(s, lambda x: x == 0))
@@ -111,8 +118,7 @@ def anchors(items: DataFrame, size: int) -> DataFrame:
     anchor words of ``weight`` windows of the item; a document must hold all
     ``words`` of pairs whose weights add up to need.  need is not positive
     for items whose windows lack literal words."""
-    t = (items.select("item_id", tokens(F.col("text")).alias("t"))
-         .select("item_id", (F.size("t") - F.lit(size - 1)).alias("n"), F.posexplode("t").alias("p", "word")))
+    t = (items.select("item_id", (F.size("t") - F.lit(size - 1)).alias("n"), F.posexplode("t").alias("p", "word")))
     word = t.where(~_kind(F.col("word")).isin(_NUM, _UNIT, _NAME))
     shared = word.groupBy("word").agg(F.count_distinct("item_id").alias("shared"))
     q = F.explode(F.sequence(F.greatest(F.col("p") - F.lit(size - 1), F.lit(0)),
@@ -146,23 +152,24 @@ def _candidates(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
 
 
 def _hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    bench = (windows(items, "text", size, ["item_id"])
+    bench = (windows(items, F.col("t"), size, ["item_id"])
              .select(F.col("item_id"), F.col("n").alias("item_windows"), F.col("pos").alias("q"), "w",
                      F.col("slots").alias("item_slots")))
     bench = materialise(bench, "benchmark-windows")
-    hit = (windows(_candidates(docs, items, size), "text", size, ["row", "doc_id"]).drop("n")
-           .join(_small(bench, bench.count()), "w"))
+    hit = (windows(_candidates(docs, items, size), tokens(F.col("text")), size, ["row", "doc_id"]).drop("n")
+           .join(_small(bench, bench.count()), "w")
+           .where((F.col("item_id.form") == 0) | (F.col("q") > 0)
+                  | F.coalesce(F.col("item_slots")[0] == F.col("slots")[0], F.lit(True))))
     both = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     pairs = F.when(F.col("item_slots").isNull(), F.array().cast("array<struct<a:bigint,b:bigint>>")).otherwise(
-        F.filter(both, lambda p: p["a"] != 0))
+        F.filter(both, lambda p: (p["a"] != 0) & (p["a"].bitwiseAND(F.lit(1)) == 0)))
     # At most as many rows as the item has windows share one alignment.
     g = (hit.groupBy("row", "doc_id", "item_id", "item_windows", (F.col("pos") - F.col("q")).alias("shift"))
          .agg(F.count(F.lit(1)).alias("found"),
               F.array_distinct(F.flatten(F.collect_list(pairs))).alias("p")))
-    one_to_one = ((F.size("p") == F.size(F.array_distinct(F.col("p.a"))))
-                  & (F.size("p") == F.size(F.array_distinct(F.col("p.b")))))
-    return (g.where(one_to_one & (F.col("found") >= F.lit(SHARE) * F.col("item_windows")))
-            .groupBy("row", "doc_id", "item_id")
+    one_value = F.size("p") == F.size(F.array_distinct(F.col("p.a")))
+    return (g.where(one_value & (F.col("found") >= F.lit(SHARE) * F.col("item_windows")))
+            .groupBy("row", "doc_id", F.col("item_id.id").alias("item_id"))
             .agg(F.max("found").alias("found_windows"), F.max("item_windows").alias("item_windows")))
 
 
@@ -183,7 +190,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     empty tables give none, other columns are ignored."""
     items = (benchmark.select("item_id", "text").where("text is not null")
              .groupBy("text").agg(F.min("item_id").alias("item_id"))
-             .select("item_id", "text", F.least(F.size(tokens(F.col("text"))), F.lit(window)).alias("size"))
+             .select("item_id", tokens(F.col("text")).alias("t"),
+                     tokens(F.concat(F.lit("a "), F.regexp_replace("text", "^\\s+", ""))).alias("inside"))
+             .select("item_id", F.posexplode(F.array_distinct(F.array(
+                 "t", F.slice("inside", F.lit(2), F.size("inside"))))).alias("form", "t"))
+             .select(F.struct(F.col("item_id").alias("id"), "form").alias("item_id"), "t",
+                     F.least(F.size("t"), F.lit(window)).alias("size"))
              .where(F.col("size") >= MIN_WORDS))
     items = materialise(items, "benchmark")
     sizes = [r.size for r in items.select("size").distinct().orderBy("size").collect()]   # at most ``window``
@@ -191,7 +203,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     d = d.withColumn("row", _row_key(F.col("doc_id"), F.col("text")))
     out = None
     for size in sizes or [window]:
-        h = _hits(d, items.where(F.col("size") == size).select("item_id", "text"), size)
+        h = _hits(d, items.where(F.col("size") == size).select("item_id", "t"), size)
         out = h if out is None else out.unionByName(h)
     return out
 
