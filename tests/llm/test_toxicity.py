@@ -45,6 +45,16 @@ def test_finds_toxic_documents(spark):
     assert kept.count() == sum(not r.toxic for r in got)
 
 
+def test_rare_toxic_labels_are_all_learned(spark):
+    base = ["tree", "river", "stone", "cloud", "bread", "chair"]
+    rows = [(i, " ".join(base[(i + k) % 6] for k in range(3)) + (" zargwort" if i % 300 == 7 else ""),
+             int(i % 300 == 7)) for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = t.train(d, d.select("doc_id", "toxic"), max_sample=60)
+    got = {r.doc_id for r in t.score(d, m).where("toxic").collect()}
+    assert got == {i for i, _, x in rows if x}
+
+
 def test_edge_rows(spark):
     rows = [(None, None, 1), (1, "", 2), (1, "", 2), (2, "x " * 100_000, 3)]
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")

@@ -28,7 +28,8 @@ from pyspark.sql.functions import pandas_udf
 from .common import materialise, with_workers
 
 #: Bound of the training sample (labelled documents, drawn by a hash of the
-#: id), the fewest texts a word must be in, and grades 0..GRADES-1.
+#: id; toxic ones may take half of it, or more if there are few others), the
+#: fewest labelled texts a word must be in, and grades 0..GRADES-1.
 MAX_SAMPLE, MIN_TEXTS, MIN_Z, GRADES, ROUNDS = 12_000, 5, 4.0, 4, 400
 PREFIXES = (3, 4, 5, 6)
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -82,8 +83,10 @@ def grades(hits: np.ndarray, toxic: np.ndarray, top: int) -> np.ndarray:
 
 
 def fit(texts: list[list[str]], toxic: np.ndarray, z: dict[str, float], n_grades: int = GRADES,
-        rounds: int = ROUNDS, l1: float = 1.0, l2: float = 0.01) -> Model:
-    """Train on the features ``z`` (word -> standard errors) of the texts."""
+        rounds: int = ROUNDS, l1: float = 1.0, l2: float = 0.01, shares=(1.0, 1.0)) -> Model:
+    """Train on the features ``z`` (word -> standard errors) of the texts;
+    ``shares`` of the other and of the toxic texts were drawn, and the
+    thresholds and the cut are brought back to all of them."""
     kept = sorted(z)
     of = {w: i for i, w in enumerate(kept)}
     score = np.array([z[w] for w in kept])
@@ -118,17 +121,20 @@ def fit(texts: list[list[str]], toxic: np.ndarray, z: dict[str, float], n_grades
                 - np.bincount(np.minimum(grade, top - 1), weights=np.where(last, 0, dhi), minlength=top)[:top])
         theta = np.maximum.accumulate(theta - pull / n)
     s = np.bincount(rows, weights=w[cols], minlength=n)
+    theta = theta + np.log(shares[1] / shares[0])
     return Model({kept[used[i]]: float(w[i]) for i in np.flatnonzero(w)}, theta,
-                 best_cut(sigmoid(s - theta[0]), grade > 0))
+                 best_cut(sigmoid(s - theta[0]), grade > 0, shares))
 
 
-def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+def best_cut(p: np.ndarray, toxic: np.ndarray, shares=(1.0, 1.0)) -> float:
     """The probability of toxicity above which a text is called toxic: best
-    F1 on the sample, halfway (in log-odds) to the next lower text."""
+    F1 on the sample, each text counted 1 / the share drawn of its kind,
+    halfway (in log-odds) to the next lower text."""
     order = np.argsort(-p, kind="stable")
-    p, hit = p[order], np.cumsum(toxic[order])
+    p, toxic = p[order], toxic[order]
+    hit, called = np.cumsum(toxic / shares[1]), np.cumsum(np.where(toxic, 1 / shares[1], 1 / shares[0]))
     ends = np.append(np.flatnonzero(p[1:] < p[:-1]), len(p) - 1)       # a cut never parts ties
-    f1 = 2 * hit[ends] / (ends + 1 + hit[-1])
+    f1 = 2 * hit[ends] / (called[ends] + hit[-1])
     best = ends[int(f1.argmax())]
     odds = lambda x: np.log(max(x, 1e-9) / max(1 - x, 1e-9))
     below = p[best + 1] if best + 1 < len(p) else 0.0
@@ -163,24 +169,28 @@ def _trained(z, options):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           max_sample: int = MAX_SAMPLE, **options) -> Model:
-    """Fit on labelled documents, at most about ``max_sample`` of them.  A
+    """Fit on labelled documents, at most about ``max_sample`` of them, drawn
+    by kind of label; words are counted in all labelled documents.  A
     document labelled twice counts as toxic if one label says so; rows
     without id or label teach nothing; without both kinds of label the model
     finds nothing toxic."""
     spark = with_workers(docs.sparkSession)
-    marks = (labels.where("doc_id is not null and toxic is not null")
-             .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    n = marks.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
-    # About max_sample rows of two numbers: small enough to broadcast.
-    marks = F.broadcast(marks.where(draw < max_sample / max(1, n)))
+    # Written first, so that Spark knows its size, like the ids drawn below.
+    marks = materialise(labels.where("doc_id is not null and toxic is not null")
+                        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "toxicity-labels")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = materialise(d.join(marks, "doc_id").select("text", "toxic"), "toxicity-sample")
-    both = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+    labelled = d.join(marks, "doc_id")
+    both = labelled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not both[0] or not both[1]:
         return Model({}, np.zeros(0), 1.0)
     n1, n0 = float(both[0]), float(both[1])
-    c = (sample.mapInArrow(_word_rows, "words array<string>, toxic int")
+    want = min(n1, max(max_sample / 2, max_sample - n0))
+    shares = (min(1.0, (max_sample - want) / n0), want / n1)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
+    drawn = materialise(marks.where(draw < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])),
+                        "toxicity-drawn")
+    sample = materialise(d.join(drawn, "doc_id").select("text", "toxic"), "toxicity-sample")
+    c = (labelled.select("text", "toxic").mapInArrow(_word_rows, "words array<string>, toxic int")
          .select(F.explode("words").alias("w"), "toxic").groupBy("w")
          .agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("n1")))
     p = F.col("n") / (n1 + n0)
@@ -188,8 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     c = c.where(F.col("n") >= MIN_TEXTS).select("w", ((F.col("n1") / n1 - (F.col("n") - F.col("n1")) / n0) / se).alias("z"))
     z = spark.sparkContext.broadcast({r.w: r.z for r in c.where(F.abs("z") > MIN_Z).collect()})
     got = (sample.mapInArrow(_known_words(z), "words array<string>, toxic int")
-           .repartition(1).mapInArrow(_trained(z, options), "model binary").collect())
-    return Model.load(bytes(got[0].model))
+           .repartition(1).mapInArrow(_trained(z, {"shares": shares, **options}), "model binary")
+           .collect())
+    return Model.load(bytes(got[0].model)) if got else Model({}, np.zeros(0), 1.0)
 
 
 def _predicted(raw):
