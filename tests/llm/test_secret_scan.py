@@ -1,8 +1,11 @@
 """Secret scans: base findings against a plain form, nested layers, spans."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import os
 import re
 import urllib.parse
 import zlib
@@ -55,6 +58,18 @@ def test_nested_layers_map_to_the_run():
     assert only("ｐassword=hunter22") == [(0, 0, 17)]
 
 
+def test_every_member_of_a_payload_is_opened():
+    filler = b"plain words " * 900
+    zstd = zstandard.ZstdCompressor().compress
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstd, zlib.compress):
+        for parts in ((b"first ", b"password=hunter2secret"), (filler, os.urandom(9000).hex().upper().encode(),
+                                                              b"x", b"token=hunter2secret")):
+            run = base64.b64encode(b"".join(map(pack, parts))).decode()
+            assert only(f"- {run}.")[0][:2] == (2, 0), (pack, len(parts))
+    damaged = gzip.compress(b"password=hunter2secret") + b"\x1f\x8b junk"
+    assert only(base64.b64encode(damaged).decode())
+
+
 def test_ends_on_cycles_bombs_and_junk():
     bomb = base64.b64encode(gzip.compress(b"a" * 5_000_000)).decode()
     assert s.find(bomb, 1 << 20)[3] == 1

@@ -150,17 +150,26 @@ class _Budget:
         for magic, opener in _MAGIC:
             if not raw.startswith(magic):
                 continue
-            d, out, size, pos = opener(), [], 0, 0
-            try:
-                while pos < len(raw) and not getattr(d, "eof", False):
-                    part = d.decompress(raw[pos:pos + 4096])
-                    pos, size = pos + 4096, size + len(part)
-                    out.append(part)
-                    if size > self.left:
-                        self.unopened += 1
+            out, size, rest = [], 0, raw
+            # Members or frames one after the other are one payload; what
+            # cannot be opened after the first one is left.
+            while rest.startswith(magic):
+                d, pos, mine = opener(), 0, []
+                try:
+                    while pos < len(rest) and not getattr(d, "eof", False):
+                        part = d.decompress(rest[pos:pos + 4096])
+                        pos, size = pos + 4096, size + len(part)
+                        mine.append(part)
+                        if size > self.left:
+                            self.unopened += 1
+                            return None
+                except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+                    if not out:
                         return None
-            except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-                return None
+                    self.unopened += 1
+                    break
+                out += mine
+                rest = (d.unused_data + rest[pos:] if getattr(d, "eof", False) else b"").lstrip(b"\0")
             self.left -= size
             return b"".join(out) or None
         return None
