@@ -1,8 +1,8 @@
 """Queries of the training-data operators, and their SQL where SQL can say it."""
 
 from ..session import shared_dir
-from . import (decontaminate, html_extract, langid, merkle, packing, quality, secret_scan, simhash, toxicity, url_filter,
-               warc)
+from . import (decontaminate, fingerprints, html_extract, langid, merkle, packing, quality, secret_scan, simhash,
+               toxicity, url_filter, vector_codes, warc)
 from .common import table
 
 
@@ -49,10 +49,19 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vectorcodes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fingerprints(spark, sf_dir):
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark, sf_dir):
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {q.__name__: q for q in (op1_simhash, op2_langid, op3_urlfilter, op4_quality, op5_secrets,
-                                   op6_packing, op7_html, op8_toxicity, op9_warc, op10_decontaminate, op13_merkle)}
-ORACLES = {"op3_urlfilter": url_filter.ORACLE, "op13_merkle": merkle.ORACLE}
+                                   op6_packing, op7_html, op8_toxicity, op9_warc, op10_decontaminate,
+                                   op11_vectorcodes, op12_fingerprints, op13_merkle)}
+ORACLES = {"op3_urlfilter": url_filter.ORACLE, "op11_vectorcodes": vector_codes.ORACLE, "op13_merkle": merkle.ORACLE}
