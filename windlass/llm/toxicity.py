@@ -29,7 +29,7 @@ from .common import materialise, with_workers
 
 #: Bound of the training sample (labelled documents, drawn by a hash of the
 #: id; toxic ones may take half of it, or more if there are few others), the
-#: fewest labelled texts a word must be in, and grades 0..GRADES-1.
+#: fewest drawn texts a word must be in, and grades 0..GRADES-1.
 MAX_SAMPLE, MIN_TEXTS, MIN_Z, GRADES, ROUNDS = 12_000, 5, 4.0, 4, 400
 PREFIXES = (3, 4, 5, 6)
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -169,17 +169,17 @@ def _trained(z, options):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           max_sample: int = MAX_SAMPLE, **options) -> Model:
-    """Fit on labelled documents, at most about ``max_sample`` of them, drawn
-    by kind of label; words are counted in all labelled documents.  A
-    document labelled twice counts as toxic if one label says so; rows
-    without id or label teach nothing; without both kinds of label the model
-    finds nothing toxic."""
+    """Fit on labelled documents, about ``max_sample`` of them, drawn by kind
+    of label from the ids alone; words are counted in the drawn texts.  A
+    document labelled twice counts as toxic if one label says so; of rows with
+    one id the least text teaches; rows without id or label teach nothing;
+    without both kinds of label the model finds nothing toxic."""
     spark = with_workers(docs.sparkSession)
-    # Written first, so that Spark knows its size, like the ids drawn below.
-    marks = materialise(labels.where("doc_id is not null and toxic is not null")
-                        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "toxicity-labels")
+    marks = (labels.where("doc_id is not null and toxic is not null")
+             .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    labelled = d.join(marks, "doc_id")
+    # Ids only: no text moves for the labels.
+    labelled = materialise(marks.join(d.select("doc_id"), "doc_id", "left_semi"), "toxicity-labels")
     both = labelled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not both[0] or not both[1]:
         return Model({}, np.zeros(0), 1.0)
@@ -187,15 +187,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     want = min(n1, max(max_sample / 2, max_sample - n0))
     shares = (min(1.0, (max_sample - want) / n0), want / n1)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
-    drawn = materialise(marks.where(draw < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])),
-                        "toxicity-drawn")
-    sample = materialise(d.join(drawn, "doc_id").select("text", "toxic"), "toxicity-sample")
-    c = (labelled.select("text", "toxic").mapInArrow(_word_rows, "words array<string>, toxic int")
+    # About max_sample ids, however many labels there are: the texts stay
+    # where they are, and only the drawn ones leave their tasks.
+    drawn = labelled.where(draw < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]))
+    sample = materialise(d.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic")
+                         .agg(F.min("text").alias("text")).select("text", "toxic"), "toxicity-sample")
+    m1, m0 = (float(x or 0) for x in sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    if not m1 or not m0:
+        return Model({}, np.zeros(0), 1.0)
+    c = (sample.mapInArrow(_word_rows, "words array<string>, toxic int")
          .select(F.explode("words").alias("w"), "toxic").groupBy("w")
          .agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("n1")))
-    p = F.col("n") / (n1 + n0)
-    se = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / n0))
-    c = c.where(F.col("n") >= MIN_TEXTS).select("w", ((F.col("n1") / n1 - (F.col("n") - F.col("n1")) / n0) / se).alias("z"))
+    p = F.col("n") / (m1 + m0)
+    se = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / m1 + 1 / m0))
+    c = c.where(F.col("n") >= MIN_TEXTS).select("w", ((F.col("n1") / m1 - (F.col("n") - F.col("n1")) / m0) / se).alias("z"))
+    # Words of the sample only: bounded by it.
     z = spark.sparkContext.broadcast({r.w: r.z for r in c.where(F.abs("z") > MIN_Z).collect()})
     got = (sample.mapInArrow(_known_words(z), "words array<string>, toxic int")
            .repartition(1).mapInArrow(_trained(z, {"shares": shares, **options}), "model binary")
