@@ -212,3 +212,109 @@ def test_customer_buckets_add_up(spark, tmp):
     orders = orders_df(spark, f1_orders() + [make_order(None, "ELECTRONICS", "NORTH", 5.0, 2500)] * 2)
     want = sorted(map(tuple, order_metrics(orders).collect()))
     assert sorted(map(tuple, merge_buckets(order_metrics_buckets(orders, 3)).collect())) == want
+
+
+def _batches(spark, tmp, *batches):
+    """A file stream that reads each list of orders as one micro-batch."""
+    src = os.path.join(tmp, "src")
+    for i, orders in enumerate(batches):
+        path = write_lines(src, f"{i:03d}.json", [json.dumps(o) for o in orders])
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    return parse_orders(spark.readStream.option("maxFilesPerTrigger", 1).text(src))
+
+
+def test_a_customer_is_one_state_row(spark, tmp):
+    """Many orders of few customers over several batches: state holds a row
+    per window, key and customer, and no batch rewrites more than its own."""
+    from windlass.operators.windows import merge_customers, order_metrics_customers
+    batches = [[make_order(c, "FOOD", "EAST", 1.0 + i, 1000 * b + i + 1) for i in range(40) for c in (f"C{b}", "ALL", None)]
+               for b in range(5)]
+    batches.append([make_order("Z", "FOOD", "EAST", 1.0, 90_000)])
+    parts = order_metrics_customers(_batches(spark, tmp, *batches))
+    out, ck = os.path.join(tmp, "o"), os.path.join(tmp, "c")
+    run = run_available_now(parts, out, ck, state_partitions=2)
+    state = [op for p in run.progress for op in p["stateOperators"]]
+    assert max(int(op["numRowsTotal"]) for op in state) == 8            # C0..C4, ALL, null; Z
+    assert max(int(op["numRowsUpdated"]) for op in state) == 3
+    got = merge_customers(spark.read.schema(parts.schema).parquet(out)).collect()
+    assert [(r.windowStart, r.orderCount, r.uniqueCustomers, r.maxOrderValue) for r in got] == [(0, 600, 7, 40.0)]
+
+
+def test_replayed_batch_is_published_once(spark, tmp):
+    """The query fails after publishing, before its checkpoint commits: the
+    restart replays the batch and writes nothing twice."""
+    from windlass.operators.windows import merge_customers, order_metrics_customers
+    from windlass.streaming.jobs import publish_once
+    orders = _batches(spark, tmp, f1_orders(), [make_order("Z", "FOOD", "EAST", 1.0, 90_000)],
+                      [make_order("Y", "FOOD", "EAST", 1.0, 200_000)])
+    parts = order_metrics_customers(orders)
+    sink, ck = os.path.join(tmp, "sink"), os.path.join(tmp, "c")
+    publish = publish_once(f"{ck}/ledger", lambda df: df.write.mode("append").parquet(sink), merge_customers)
+    failed = []
+
+    def stops(batch, batch_id):
+        publish(batch, batch_id)
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("stopped between publish and commit")
+    with pytest.raises(Exception, match="stopped between"):
+        run_available_now(parts, "", ck, each_batch=stops, state_partitions=2)
+    once = [r[:5] for r in _result(spark, sink)]
+    assert once == [(0, 30000, "ELECTRONICS", "NORTH", 10)]
+    run_available_now(parts, "", ck, each_batch=publish, state_partitions=2)
+    assert [r[:5] for r in _result(spark, sink)] == [
+        (0, 30000, "ELECTRONICS", "NORTH", 10), (30000, 60000, "ELECTRONICS", "NORTH", 1), (90000, 120000, "FOOD", "EAST", 1)]
+    assert sorted(f for f in os.listdir(f"{ck}/ledger") if f[0] != ".") == [f"batch-{i}" for i in range(4)]
+
+
+def test_late_orders_are_the_dropped_ones(spark, tmp):
+    """Orders at the close of a window, in the same batch (never late) and in
+    the next one; a replayed batch keeps its late orders once."""
+    from windlass.streaming.jobs import keep_late_orders
+    late = [make_order("L", "FOOD", "EAST", 2.0, 29_999), make_order("OK", "FOOD", "EAST", 1.0, 30_000)]
+    batches = [[make_order("A", "FOOD", "EAST", 1.0, 35_000), make_order("same", "FOOD", "EAST", 1.0, 5)], late,
+               [make_order("B", "FOOD", "EAST", 1.0, 34_000)], [make_order("M", "FOOD", "EAST", 3.0, 1)]]
+    orders = _batches(spark, tmp, *batches)
+    out, ck = os.path.join(tmp, "late"), os.path.join(tmp, "c")
+    keep, failed = keep_late_orders(out, f"{ck}/ledger"), []
+
+    def stops(batch, batch_id):
+        keep(batch, batch_id)
+        if batch_id == 1 and not failed:
+            failed.append(1)
+            raise RuntimeError("stopped")
+    with pytest.raises(Exception, match="stopped"):
+        run_available_now(orders, "", ck, each_batch=stops)
+    run_available_now(orders, "", ck, each_batch=keep)
+    got = spark.read.parquet(out).select("customerId", "windowStart", "watermark", "batch").collect()
+    assert sorted(map(tuple, got)) == [("L", 0, 30_000, 1), ("M", 0, 30_000, 3)]
+    drop = run_available_now(order_metrics(orders), os.path.join(tmp, "o"), os.path.join(tmp, "c2"))
+    assert drop.rows_dropped_by_watermark() == 2
+    assert sum(r[4] for r in _result(spark, os.path.join(tmp, "o"))) == 1      # "same" only: the watermark is 30 s
+
+
+def test_stream_sessions_from_fragments(spark, tmp):
+    """A session is chained over customers and batches; it stays out while one
+    of its fragments, or one that touches it, is still open."""
+    from windlass.operators.windows import merge_fragments, session_fragments
+    from windlass.streaming.jobs import open_fragments
+    o = lambda c, t, cat="FOOD", **k: make_order(c, cat, "EAST", 1.0, t, **k)
+    batches = [[o("A", 1_000), o("B", 9_000), o(None, 11_000), o("A", 19_500)],
+               [o("C", 40_000), o("D", 50_000), o("X", 41_000, None)],
+               [o("D", 58_000), o("E", 71_000), o("N", 70_000, None)]]
+    parts = session_fragments(_batches(spark, tmp, *batches))
+    out, ck = os.path.join(tmp, "o"), os.path.join(tmp, "c")
+    run_available_now(parts, out, ck, state_partitions=3)
+    closed, still = spark.read.schema(parts.schema).parquet(out), open_fragments(spark, ck)
+    # Watermark 66 s: D's fragment [50, 68 s) is open, and C's [40, 50 s) touches it.
+    assert sorted((r.start, r.end) for r in still.collect()) == [(50_000, 68_000), (70_000, 80_000), (71_000, 81_000)]
+    cols = ("windowStart", "windowEnd", "category", "orderCount", "uniqueCustomers")
+    for bucket in ("1 hour", "11 seconds"):
+        got = merge_fragments(closed, still, bucket).select(*cols).collect()
+        assert sorted(map(tuple, got)) == [(1_000, 29_500, "FOOD", 4, 3), (41_000, 51_000, None, 1, 1)]
+    write_lines(os.path.join(tmp, "src"), "9.json", [json.dumps(o("Z", 300_000))])
+    run_available_now(parts, out, ck)
+    got = merge_fragments(spark.read.schema(parts.schema).parquet(out), open_fragments(spark, ck)).select(*cols).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([
+        (1_000, 29_500, "FOOD", 4, 3), (41_000, 51_000, None, 1, 1), (40_000, 68_000, "FOOD", 3, 2),
+        (70_000, 80_000, None, 1, 1), (71_000, 81_000, "FOOD", 1, 1)], key=str)

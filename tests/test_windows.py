@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import f1_orders, make_order, orders_df
@@ -220,3 +222,57 @@ def test_sessions_keep_null_keys_and_ties(spark):
         == sorted(((int(r.w.start.timestamp() * 1000), int(r.w.end.timestamp() * 1000), r.category, r.region, r.n)
                    for r in want.collect()), key=str)
     assert sum(r.orderCount for r in got.collect()) == 400
+
+
+def test_bitmap_partials_merge_like_the_orders(spark):
+    """Random orders incl. a null customer, cut into parts: pages united by OR
+    count every customer once, also over two roll-ups and many pages."""
+    from windlass.operators.windows import bitmap_partials, customer_dictionary
+    rnd = random.Random(5)
+    orders = [make_order(rnd.choice(["C%d" % rnd.randint(1, 60), None]), rnd.choice(["A", None]), "R",
+                         float(rnd.randint(-5, 50)), rnd.randint(1, 900_000)) for _ in range(500)]
+    df = orders_df(spark, orders)
+    numbers = customer_dictionary(df)
+    got = sorted(r.customerNo for r in numbers.collect())
+    assert got == list(range(1, len(got) + 1))
+    # The same customers on pages of their own.
+    spread = numbers.withColumn("customerNo", F.col("customerNo") * 40_000)
+    want = sorted(map(str, map(tuple, order_metrics(df, size="5 minutes").collect())))
+    for d in (numbers, spread):
+        parts = None
+        for k in range(3):
+            p = bitmap_partials(df.where(F.pmod(F.col("orderTimestamp"), F.lit(3)) == k), d)
+            parts = p if parts is None else parts.unionByName(p)
+        assert sorted(map(str, map(tuple, merge_metrics(parts, "5 minutes").collect()))) == want
+        twice = merge_metrics(merge_partials(parts, "1 minute"), "5 minutes")
+        assert sorted(map(str, map(tuple, twice.collect()))) == want
+        assert parts.select(F.max(F.octet_length("customerBits"))).first()[0] == 4096
+
+
+def test_dictionary_grows_and_keeps_its_numbers(spark):
+    from windlass.operators.windows import bitmap_partials, customer_dictionary
+    first = customer_dictionary(orders_df(spark, [make_order("B", "A", "R", 1.0, 1)] * 3 + [make_order("A", "A", "R", 1.0, 1)]))
+    assert sorted(map(tuple, first.collect())) == [("A", 2), ("B", 1)]
+    more = orders_df(spark, [make_order(c, "A", "R", 1.0, 1) for c in ("D", "B", "C", "C", None)])
+    both = customer_dictionary(more, first)
+    assert sorted(map(tuple, both.collect())) == [("A", 2), ("B", 1), ("C", 3), ("D", 4)]
+    with pytest.raises(Exception, match="without a number: D|without a number: C"):
+        bitmap_partials(more, first).collect()
+
+
+def test_islands_match_a_scan(spark):
+    from windlass.operators.ordering import islands
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "b", None]), s, s + rnd.choice([0, 5, 5, 40, 700])) for s in
+            (rnd.randint(0, 6000) for _ in range(300))]
+    df = spark.createDataFrame(rows, "k string, s long, e long").withColumn("g", F.struct("k"))
+    got = islands(df, "g", "s", "e", "i", 50)
+    want = []
+    for k in ("a", "b", None):
+        start = reach = None
+        for s, e in sorted((s, e) for kk, s, e in rows if kk == k):
+            if reach is None or s > reach:
+                start, reach = s, e
+            reach = max(reach, e)
+            want.append((k, s, e, start))
+    assert sorted(map(str, map(tuple, got.select("k", "s", "e", "i").collect()))) == sorted(map(str, want))

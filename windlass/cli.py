@@ -79,7 +79,8 @@ def main(argv=None, spark: SparkSession | None = None):
                    help="go on when retention removed unread records")
     j.add_argument("--state-partitions", type=int, default=None,
                    help="width of the state (default: spark.sql.shuffle.partitions)")
-    j.add_argument("--customer-buckets", type=int, default=1, help="parts of the exact customer sets")
+    j.add_argument("--customer-buckets", type=int, default=None,
+                   help="keep exact customers as sets in that many parts (default: a state row per customer)")
     j.add_argument("--rejects", default=None, help="write rejected records there")
     args = p.parse_args(argv)
     spark = spark or _session()

@@ -6,6 +6,9 @@
 * :func:`series_lag` gives each row its predecessor within a series while
   partitioning by series x time bucket, so one hot series is spread over
   many tasks; only one boundary row per bucket crosses buckets.
+* :func:`series_running` does the same for both neighbours, the position in
+  the series and the running sum of counter resets.
+* :func:`islands` chains overlapping intervals of a key in the same way.
 """
 
 from __future__ import annotations
@@ -91,3 +94,60 @@ def series_lag(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
     return d.select(*base, *[
         F.when(F.col("_first"), F.col(f"_ptail.{c}")).otherwise(F.col("_l_" + c)).alias(prefix + c)
         for c in carried])
+
+
+def series_running(df: DataFrame, keys: Sequence[str], ts: str = "ts_ms", value: str = "value",
+                   bucket_ms: int = 3_600_000) -> DataFrame:
+    """Add, in ``ts`` order within a series (``keys``): ``prev_ts`` and
+    ``next_ts``, ``pos`` (1, 2, ...) and ``resets``, the sum of the values
+    that were lost at resets so far (a value below its predecessor is a reset
+    and loses the predecessor).  One row per instant is expected.
+
+    Rows are windowed by series x time bucket; each bucket's summary (first and
+    last row, count, resets inside) is chained over the buckets of the series
+    and joined back once."""
+    base = list(df.columns)
+    d = df.select("*", F.floor(F.col(ts) / F.lit(bucket_ms)).cast("long").alias("_bkt"), F.struct(*keys).alias("_key"))
+    w = Window.partitionBy("_key", "_bkt").orderBy(ts)
+    lost = F.when(F.col(value) < F.lag(value).over(w), F.lag(value).over(w)).otherwise(F.lit(0.0))
+    d = d.select("*", F.lag(ts).over(w).alias("_pt"), F.lead(ts).over(w).alias("_nt"), lost.alias("_lost"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("*", F.row_number().over(w).cast("long").alias("_pos"), F.sum("_lost").over(upto).alias("_sum"))
+    # The last row of a bucket knows its count and sum: it and the first row
+    # are the summary.
+    ends = d.where("_pt is null or _nt is null").groupBy("_key", "_bkt").agg(
+        F.min(ts).alias("_ft"), F.max(ts).alias("_lt"), F.min_by(value, ts).alias("_fv"), F.max_by(value, ts).alias("_lv"),
+        F.max("_pos").alias("_n"), F.max_by("_sum", ts).alias("_s"))
+    wb = Window.partitionBy("_key").orderBy("_bkt")
+    pv = F.lag("_lv").over(wb)
+    ends = ends.select("*", F.lag("_lt").over(wb).alias("_pt0"), F.lead("_ft").over(wb).alias("_nt0"),
+                       F.when(F.col("_fv") < pv, pv).otherwise(F.lit(0.0)).alias("_edge"))
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_key", "_bkt", "_pt0", "_nt0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
+                       (F.coalesce(F.sum(F.col("_s") + F.col("_edge")).over(before), F.lit(0.0))
+                        + F.col("_edge")).alias("_s0"))
+    d = d.join(ends, ["_key", "_bkt"])
+    return d.select(*base, F.coalesce("_pt", "_pt0").alias("prev_ts"), F.coalesce("_nt", "_nt0").alias("next_ts"),
+                    (F.col("_pos") + F.col("_n0")).alias("pos"), (F.col("_sum") + F.col("_s0")).alias("resets"))
+
+
+def islands(df: DataFrame, key: str, start: str, end: str, out: str, bucket_ms: int) -> DataFrame:
+    """Add ``out``, the start of the island that each interval ``[start, end]``
+    (longs) belongs to: intervals of a ``key`` that overlap or touch, directly
+    or through others, are one island.
+
+    Windows are over key x time bucket of the start.  What came before a bucket
+    reaches it as two numbers, the furthest end and the last island's start,
+    chained over one summary row per bucket."""
+    base = list(df.columns)
+    d = df.withColumn("_bkt", F.floor(F.col(start) / F.lit(bucket_ms)).cast("long"))
+    keys, earlier = [key, "_bkt"], Window.partitionBy(key).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    reach = d.groupBy(*keys).agg(F.max(end).alias("_e")).select(*keys, F.max("_e").over(earlier).alias("_reach"))
+    w = Window.partitionBy(*keys).orderBy(start)
+    d = d.join(reach, keys)
+    seen = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_reach")
+    # The first of several equal starts decides; the others touch it.
+    d = d.select("*", F.when(F.coalesce(F.col(start) <= seen, F.lit(False)), None).otherwise(F.col(start)).alias("_new"))
+    last = d.groupBy(*keys).agg(F.max("_new").alias("_l")).select(*keys, F.max("_l").over(earlier).alias("_carried"))
+    d = d.select("*", F.max("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("_here")).join(last, keys)
+    return d.select(*base, F.coalesce("_here", "_carried").alias(out))

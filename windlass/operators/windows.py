@@ -2,8 +2,9 @@
 
 One function serves batch and Structured Streaming: on a streaming frame
 the watermark is applied and exact distinct customers are kept as a set in
-state; on a batch frame the watermark is a no-op and distinct customers use
-Spark's two-exchange distinct plan (partial de-duplication on
+state (:func:`order_metrics_customers` keeps a row per customer instead, which
+the jobs use); on a batch frame the watermark is a no-op and distinct customers
+use Spark's two-exchange distinct plan (partial de-duplication on
 window x key x customer first, so a hot key never funnels raw rows into
 one task).
 """
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import reported_max, reported_min, safe_div
+from .ordering import global_rank, islands
 from .parse import valid_orders, with_event_time
 
 KEYS = ("category", "region")
@@ -80,13 +82,39 @@ def order_metrics_buckets(orders: DataFrame, buckets: int, size: str = "30 secon
         *KEYS, "bucket", "orderCount", "totalRevenue", "_max", "_min", "uniqueCustomers")
 
 
+def order_metrics_customers(orders: DataFrame, size: str = "30 seconds",
+                            delay: str | None = "5 seconds") -> DataFrame:
+    """The window rows of :func:`order_metrics` in parts, one per customer (a
+    null customer is one): on a stream the first order of a customer in a
+    window adds a state row of fixed size, later ones update it, and no row
+    ever holds a set.  A micro-batch writes the rows of its own orders only.
+    All parts of a window close in the same micro-batch, when the watermark
+    passes its end; :func:`merge_customers` adds them up."""
+    df = _prepare(orders, delay)
+    amount = F.col("totalAmount")
+    g = df.groupBy(F.window("eventTime", size).alias("window"), *KEYS, "customerId")
+    return g.agg(F.count(F.lit(1)).alias("orderCount"), F.sum(amount).alias("totalRevenue"),
+                 F.max(amount).alias("_max"), F.min(amount).alias("_min")).select(
+        F.unix_millis("window.start").alias("windowStart"), F.unix_millis("window.end").alias("windowEnd"),
+        *KEYS, "customerId", "orderCount", "totalRevenue", "_max", "_min")
+
+
 def merge_buckets(parts: DataFrame) -> DataFrame:
     """Window rows (METRICS) from the disjoint parts of
     :func:`order_metrics_buckets`; a customer lies in one part only."""
+    return _merge_parts(parts, F.sum("uniqueCustomers"))
+
+
+def merge_customers(parts: DataFrame) -> DataFrame:
+    """Window rows (METRICS) from the parts of :func:`order_metrics_customers`,
+    each of them another customer: one map-side combined aggregate."""
+    return _merge_parts(parts, F.count(F.lit(1)))
+
+
+def _merge_parts(parts: DataFrame, customers: Column) -> DataFrame:
     agg = parts.groupBy("windowStart", "windowEnd", *KEYS).agg(
         F.sum("orderCount").alias("orderCount"), F.sum("totalRevenue").alias("totalRevenue"),
-        F.max("_max").alias("_max"), F.min("_min").alias("_min"),
-        F.sum("uniqueCustomers").alias("uniqueCustomers"))
+        F.max("_max").alias("_max"), F.min("_min").alias("_min"), customers.alias("uniqueCustomers"))
     return agg.select("windowStart", "windowEnd", *KEYS, "orderCount", "totalRevenue",
                       safe_div("totalRevenue", "orderCount").alias("avgOrderValue"),
                       reported_max("_max").alias("maxOrderValue"), reported_min("_min").alias("minOrderValue"),
@@ -115,16 +143,17 @@ def order_metrics_session(orders: DataFrame, gap: str = "10 seconds",
     its first order and ends ``gap`` after its last; an order no later than
     the current end joins the session.  Same aggregates as order_metrics.
 
-    Streams use ``session_window`` (state per key; micro-batches are
-    bounded).  Batch frames use :func:`_batch_sessions`, which never puts a
+    Streams use ``session_window`` (state per key, sessions emitted by the
+    query itself); :func:`session_fragments` is the form for hot keys.  Batch
+    frames use :func:`_batch_sessions`, which never puts a
     whole key into one task.
     """
     if orders.isStreaming:
         df = _prepare(orders, delay)
         g = df.groupBy(F.session_window("eventTime", gap).alias("window"), *KEYS)
         return _finish(g.agg(*_raw_aggs(True, exact)))
-    return _batch_sessions(valid_orders(orders), _interval_ms(gap),
-                           max(_interval_ms(bucket), 2 * _interval_ms(gap)), exact)
+    return _batch_sessions(valid_orders(orders), interval_ms(gap),
+                           max(interval_ms(bucket), 2 * interval_ms(gap)), exact)
 
 
 def _batch_sessions(orders: DataFrame, gap_ms: int, bucket_ms: int, exact: bool) -> DataFrame:
@@ -189,6 +218,102 @@ def _batch_sessions(orders: DataFrame, gap_ms: int, bucket_ms: int, exact: bool)
         "uniqueCustomers")
 
 
+def session_fragments(orders: DataFrame, gap: str = "10 seconds", delay: str | None = "5 seconds") -> DataFrame:
+    """WIN-5 on a stream, in parts: the sessions of each customer of a key on
+    their own.  State is one row of fixed size per open fragment, spread by
+    key and customer, so a hot key is as wide as its customers.  A fragment is
+    emitted when the watermark passes its end; :func:`merge_fragments` chains
+    fragments to the sessions of the key."""
+    df = _prepare(orders, delay)
+    amount = F.col("totalAmount")
+    g = df.groupBy(F.session_window("eventTime", gap).alias("window"), *KEYS, "customerId")
+    return g.agg(F.count(F.lit(1)).alias("orderCount"), F.sum(amount).alias("totalRevenue"),
+                 F.max(amount).alias("_max"), F.min(amount).alias("_min")).select(
+        F.unix_millis("window.start").alias("start"), F.unix_millis("window.end").alias("end"),
+        *KEYS, "customerId", "orderCount", "totalRevenue", "_max", "_min")
+
+
+def merge_fragments(closed: DataFrame, open_: DataFrame | None = None, bucket: str = "1 hour") -> DataFrame:
+    """Sessions (METRICS) from the fragments of :func:`session_fragments`.
+
+    Orders of a key lie within the gap of each other exactly if the fragments
+    they are in overlap or touch, so sessions are islands of fragments.  A
+    session that touches a fragment still ``open_`` (start, end, KEYS) is not
+    closed and gives no row yet."""
+    cols = ["start", "end", *KEYS, "customerId", "orderCount", "totalRevenue", "_max", "_min"]
+    f = closed.select(*cols, F.lit(False).alias("_open"))
+    if open_ is not None:
+        rest = [F.lit(None).cast(closed.schema[c].dataType).alias(c) for c in cols[4:]]
+        f = f.unionByName(open_.select("start", "end", *KEYS, *rest, F.lit(True).alias("_open")))
+    f = islands(f.withColumn("_k", F.struct(*KEYS)), "_k", "start", "end", "_sid", interval_ms(bucket))
+    agg = f.groupBy("_k", "_sid").agg(
+        F.max("end").alias("windowEnd"), F.sum("orderCount").alias("orderCount"),
+        F.sum("totalRevenue").alias("totalRevenue"), F.max("_max").alias("_max"), F.min("_min").alias("_min"),
+        (F.count_distinct("customerId") + F.max(F.col("customerId").isNull().cast("int"))).cast("long")
+        .alias("uniqueCustomers"), F.max("_open").alias("_open"))
+    return agg.where("not _open").select(
+        F.col("_sid").alias("windowStart"), "windowEnd", *[F.col(f"_k.{k}").alias(k) for k in KEYS],
+        "orderCount", "totalRevenue", safe_div("totalRevenue", "orderCount").alias("avgOrderValue"),
+        reported_max("_max").alias("maxOrderValue"), reported_min("_min").alias("minOrderValue"), "uniqueCustomers")
+
+
+def customer_dictionary(orders: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(customerId, customerNo): a number from 1 for every customer of
+    ``orders`` (null has none), the most frequent first, so that most orders
+    fall on the first pages of a bitmap.  With ``known``, an earlier
+    dictionary, its numbers stay as they are and new customers follow them:
+    partials made with it stay mergeable."""
+    seen = orders.where("customerId is not null").groupBy("customerId").agg((-F.count(F.lit(1))).alias("_n0"))
+    base = 0
+    if known is not None:
+        seen = seen.join(known, "customerId", "left_anti")
+        base = known.agg(F.max("customerNo")).first()[0] or 0
+    new = global_rank(seen, ["_n0", "customerId"], "_no").select(
+        "customerId", (F.col("_no") + F.lit(base + 1)).alias("customerNo"))
+    return new if known is None else known.select("customerId", "customerNo").unionByName(new)
+
+
+def bitmap_partials(orders: DataFrame, dictionary: DataFrame, size: str = "30 seconds") -> DataFrame:
+    """AGG-9 input with customers as bits: a row for each window, key and page
+    of 32,768 dictionary numbers that has orders; ``page`` is null in the row
+    of the null customer.  Its size is that of a page (4 KiB), whatever the
+    window.  Orders are first combined per customer, so a hot one meets its
+    number in few rows.  A customer that the dictionary lacks is an error.
+
+    Extremes stay raw, as in :func:`order_partials`."""
+    parts = order_metrics_customers(orders, size, None)
+    known = dictionary.select(F.col("customerId").alias("_id"), F.col("customerNo").alias("_no"))
+    p = parts.join(known, F.col("customerId") == F.col("_id"), "left")
+    no = F.coalesce("_no", F.when(F.col("customerId").isNotNull(), F.raise_error(
+        F.concat(F.lit("customer without a number: "), "customerId")).cast("long")))
+    p = p.withColumn("_no", no).withColumn("page", F.bitmap_bucket_number("_no"))
+    return p.groupBy("windowStart", "windowEnd", *KEYS, "page").agg(
+        F.sum("orderCount").alias("orderCount"), F.sum("totalRevenue").alias("totalRevenue"),
+        F.max("_max").alias("maxOrderValue"), F.min("_min").alias("minOrderValue"),
+        F.bitmap_construct_agg(F.bitmap_bit_position("_no")).alias("customerBits"))
+
+
+def _merge_bitmaps(p: DataFrame) -> DataFrame:
+    """Pages of one window and key united bit by bit, map-side first."""
+    return p.groupBy("windowStart", "windowEnd", *KEYS, "page").agg(
+        F.sum("orderCount").alias("orderCount"), F.sum("totalRevenue").alias("totalRevenue"),
+        F.max("maxOrderValue").alias("maxOrderValue"), F.min("minOrderValue").alias("minOrderValue"),
+        F.bitmap_or_agg("customerBits").alias("customerBits"))
+
+
+def _bitmap_metrics(p: DataFrame) -> DataFrame:
+    pages = _merge_bitmaps(p).withColumn("_customers", F.when(F.col("page").isNull(), F.lit(1).cast("long"))
+                                         .otherwise(F.bitmap_count("customerBits")))
+    agg = pages.groupBy("windowStart", "windowEnd", *KEYS).agg(
+        F.sum("orderCount").alias("orderCount"), F.sum("totalRevenue").alias("totalRevenue"),
+        F.max("maxOrderValue").alias("_max"), F.min("minOrderValue").alias("_min"),
+        F.sum("_customers").alias("uniqueCustomers"))
+    return agg.select("windowStart", "windowEnd", *KEYS, "orderCount", "totalRevenue",
+                      safe_div("totalRevenue", "orderCount").alias("avgOrderValue"),
+                      reported_max("_max").alias("maxOrderValue"), reported_min("_min").alias("minOrderValue"),
+                      "uniqueCustomers")
+
+
 def order_partials(orders: DataFrame, size: str = "30 seconds",
                    delay: str | None = "5 seconds", exact: bool = True,
                    buckets: int = 16) -> DataFrame:
@@ -226,7 +351,8 @@ def order_partials(orders: DataFrame, size: str = "30 seconds",
         *[c for c in ("customerIds", "bucket", "customerSketch", "nullCustomer") if c in agg.columns])
 
 
-def _interval_ms(size: str) -> int:
+def interval_ms(size: str) -> int:
+    """Milliseconds of an interval such as ``30 seconds``."""
     n, unit = size.split()
     mult = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000,
             "day": 86_400_000}
@@ -237,7 +363,7 @@ def _interval_ms(size: str) -> int:
 def _rewindow(partials: DataFrame, size: str | None) -> DataFrame:
     if size is None:
         return partials
-    ms = _interval_ms(size)
+    ms = interval_ms(size)
     start = F.col("windowStart") - F.pmod(F.col("windowStart"), F.lit(ms))
     return (partials.withColumn("windowStart", start)
             .withColumn("windowEnd", F.col("windowStart") + F.lit(ms)))
@@ -249,10 +375,13 @@ def merge_metrics(partials: DataFrame, size: str | None = None) -> DataFrame:
     With ``size`` the partials are rolled up into coarser epoch-aligned
     windows (the size must be a multiple of the partial window).  Counts
     and sums add, extremes combine, customer sets union without double
-    counting: the sets are exploded and counted with the skew-safe
-    distinct plan instead of being concatenated into one array per group.
+    counting: bitmap pages (:func:`bitmap_partials`) by OR; sets are exploded
+    and counted with the skew-safe distinct plan instead of being concatenated
+    into one array per group.
     """
     p = _rewindow(partials, size)
+    if "customerBits" in partials.columns:
+        return _bitmap_metrics(p)
     if "customerSketch" in partials.columns:
         return _merge_sketches(p)
     p = p.select("*", F.posexplode_outer("customerIds").alias("_pos", "_cid"))
@@ -294,9 +423,12 @@ def _merge_sketches(p: DataFrame) -> DataFrame:
 
 def merge_partials(partials: DataFrame, size: str | None = None) -> DataFrame:
     """AGG-9, partial -> partial: roll accumulators up and keep them
-    mergeable (e.g. 30 s panes -> 5 min -> 1 h).  Set elements are exploded
-    and re-collected as a set, so duplicates collapse map-side."""
+    mergeable (e.g. 30 s panes -> 5 min -> 1 h).  Bitmap pages are united by
+    OR; set elements are exploded and re-collected as a set, so duplicates
+    collapse map-side."""
     p = _rewindow(partials, size)
+    if "customerBits" in partials.columns:
+        return _merge_bitmaps(p)
     if "customerSketch" in partials.columns:
         return p.groupBy("windowStart", "windowEnd", *KEYS).agg(
             F.sum("orderCount").alias("orderCount"),

@@ -67,7 +67,7 @@ _STREAM = ("WITH " + O_CTE + _metrics_select(
     30000, having='HAVING ("orderTimestamp" // 30000) * 30000 + 30000 <= '
                   '(SELECT max("orderTimestamp") FROM O) - 5000'))
 
-_LATE = "WITH " + O_CTE + """,
+_ARRIVALS = "WITH " + O_CTE + """,
 A AS (
   SELECT *, ntile(10) OVER (ORDER BY arrival, event_id) AS b
   FROM (SELECT *, "orderTimestamp" + CASE WHEN event_id % 17 = 0 THEN 120000 ELSE 0 END AS arrival
@@ -75,7 +75,16 @@ A AS (
 ),
 BM AS (SELECT b, max("orderTimestamp") AS bmax FROM A GROUP BY b),
 WM AS (SELECT b, max(bmax) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5000 AS wm
-       FROM BM),
+       FROM BM)"""
+
+_LATE_ORDERS = _ARRIVALS + """
+SELECT ("orderTimestamp" // 30000) * 30000 AS "windowStart", category, region, count(*) AS "lateOrders",
+       round(sum("totalAmount"), 2) AS "lateRevenue", min("orderId") AS "minOrderId", max("orderId") AS "maxOrderId",
+       min(wm) AS "minWatermark", max(wm) AS "maxWatermark"
+FROM A JOIN WM USING (b) WHERE ("orderTimestamp" // 30000) * 30000 + 30000 <= wm
+GROUP BY 1, 2, 3"""
+
+_LATE = _ARRIVALS + """,
 K AS (
   SELECT A.* FROM A JOIN WM USING (b)
   WHERE wm IS NULL OR ("orderTimestamp" // 30000) * 30000 + 30000 > wm
@@ -158,6 +167,7 @@ ORACLES = {
     "order_metrics_1h": metrics_sql(3600000),
     "order_metrics_stream": _STREAM,
     "late_data_drop": _LATE,
+    "late_orders": _LATE_ORDERS,
     "order_sessions": _SESSIONS,
     "merge_partials_5m": metrics_sql(300000),
     "rollup_partials_10m": metrics_sql(600000),

@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 from ..operators.ordering import global_rank, ntile
 from ..operators.parse import encode_metrics, parse_metrics, parse_orders, rejected_orders
 from ..operators.reader import dedupe_metrics, format_metrics, metrics_summary
-from ..operators.windows import (merge_metrics, merge_partials, order_metrics,
-                                 merge_buckets, order_metrics_buckets, order_metrics_session,
-                                 order_partials, order_total_mismatch)
+from ..operators.windows import (bitmap_partials, customer_dictionary, merge_metrics, merge_partials,
+                                 order_metrics, order_metrics_session, order_total_mismatch)
 from ..functions.scalar import safe_div
 from ..schemas import ORDER_COLUMNS
 from ..session import configure, shared_dir
 from ..sources.files import write_json_lines
 from ..sources.fixtures import (arrival_order, corrupted_raw_orders, loose_raw_orders, orders_from_events,
                                 raw_orders_from_events, read_table)
-from ..streaming.jobs import CUSTOMER_BUCKETS, run_available_now, stream_order_metrics
+from ..streaming.jobs import (keep_late_orders, late_orders, run_available_now, stream_order_metrics,
+                              stream_order_sessions, window_parts)
 
 
 # State width of the replays below: they keep a few thousand groups.
@@ -77,57 +77,89 @@ def arrival_batches(orders_with_id: DataFrame, batches: int = 10) -> DataFrame:
     return ranked.withColumn("batch", ntile("_rank", "_n", batches)).drop("_rank", "_n")
 
 
-def q_late_data_drop(spark, sf_dir, batches: int = 10, files: int = 4):
-    """WIN-4: replay orders in a permuted arrival order, one micro-batch per
-    arrival batch: every batch is written as ``files`` files, later than the
-    one before, and one query reads that many at a time.  Orders whose
-    window closed before their batch are dropped."""
+def in_arrival_order(spark, path: str, batches: int) -> None:
+    """Give the files under ``path``/batch=b the modification times a source
+    sees them arrive by: those of a batch alike, a second after the last's."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    began = fs.getFileStatus(root).getModificationTime() - 1000 * (batches + 1)
+    for b in range(1, batches + 1):
+        files = fs.listFiles(jvm.org.apache.hadoop.fs.Path(f"{path}/batch={b}"), True)
+        while files.hasNext():
+            fs.setTimes(files.next().getPath(), began + 1000 * b, -1)
+
+
+def _arrivals(spark, sf_dir, batches: int, files: int) -> DataFrame:
+    """The orders as a file stream in a permuted arrival order: every arrival
+    batch is ``files`` files, later than the ones of the batch before, and a
+    query reads that many at a time."""
     events = read_table(spark, sf_dir, "events")
     configure(spark)
-    staged_at = shared_dir(spark, "arrival-staged")
-    o = orders_from_events(events, keep_event_id=True)
-    (arrival_batches(o, batches)
+    src = shared_dir(spark, "arrival-src")
+    (arrival_batches(orders_from_events(events, keep_event_id=True), batches)
      .select("batch", F.pmod("event_id", F.lit(files)).alias("file"),
              F.to_json(F.struct(*[F.col(c) for c in ORDER_COLUMNS])).alias("value"))
-     .write.partitionBy("batch").parquet(staged_at))
-    staged = spark.read.parquet(staged_at)
-    src, out, ckpt = (shared_dir(spark, "arrival-src"), shared_dir(spark, "late-out"),
-                      shared_dir(spark, "late-ckpt"))
-    for b in range(1, batches + 1):
-        (staged.where(F.col("batch") == b).select("file", "value").repartition(files, "file")
-         .write.mode("append").partitionBy("file").text(src))
-    raw = spark.readStream.schema("value string, file int").option("maxFilesPerTrigger", files).text(src)
-    parts = order_metrics_buckets(parse_orders(raw), CUSTOMER_BUCKETS)
+     .repartition("batch", "file").write.partitionBy("batch", "file").text(src))
+    in_arrival_order(spark, src, batches)
+    return (spark.readStream.schema("value string, batch int, file int")
+            .option("maxFilesPerTrigger", files).text(src))
+
+
+def q_late_data_drop(spark, sf_dir, batches: int = 10, files: int = 4):
+    """WIN-4: replay orders in a permuted arrival order, one micro-batch per
+    arrival batch (:func:`_arrivals`).  Orders whose window closed before their
+    batch are dropped."""
+    parts, merge = window_parts(parse_orders(_arrivals(spark, sf_dir, batches, files)))
+    out, ckpt = shared_dir(spark, "late-out"), shared_dir(spark, "late-ckpt")
     run_available_now(parts, out, ckpt, state_partitions=REPLAY_STATE_PARTITIONS)
-    return for_compare(merge_buckets(spark.read.schema(parts.schema).parquet(out)))
+    return for_compare(merge(spark.read.schema(parts.schema).parquet(out)))
+
+
+def q_late_orders(spark, sf_dir, batches: int = 10, files: int = 4):
+    """WIN-4: the orders that the replay of :func:`q_late_data_drop` drops,
+    kept and counted as orders: per window, how many and which came first and
+    last."""
+    orders = parse_orders(_arrivals(spark, sf_dir, batches, files))
+    out, ckpt = shared_dir(spark, "late-orders"), shared_dir(spark, "late-orders-ckpt")
+    run_available_now(orders, out, ckpt, each_batch=keep_late_orders(out, f"{ckpt}/ledger"))
+    late = spark.read.schema(late_orders(orders, 0).schema).parquet(out)
+    return late.groupBy("windowStart", "category", "region").agg(
+        F.count(F.lit(1)).alias("lateOrders"), F.round(F.sum("totalAmount"), 2).alias("lateRevenue"),
+        F.min("orderId").alias("minOrderId"), F.max("orderId").alias("maxOrderId"),
+        F.min("watermark").alias("minWatermark"), F.max("watermark").alias("maxWatermark"))
 
 
 def q_order_sessions(spark, sf_dir):
     return for_compare(order_metrics_session(_orders(spark, sf_dir), gap="10 seconds"))
 
 
+def _bitmap_parts(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    return bitmap_partials(o, customer_dictionary(o), size="30 seconds")
+
+
 def q_merge_partials_5m(spark, sf_dir):
-    parts = order_partials(_orders(spark, sf_dir), size="30 seconds")
+    """AGG-9: customers as dictionary numbers, bitmap pages united by OR."""
+    parts = _bitmap_parts(spark, sf_dir)
     return for_compare(merge_metrics(parts, size="5 minutes"))
 
 
 def q_rollup_partials_10m(spark, sf_dir):
     """AGG-9 twice: 30 s partials -> 5 min partials -> 10 min metrics."""
-    parts = order_partials(_orders(spark, sf_dir), size="30 seconds")
+    parts = _bitmap_parts(spark, sf_dir)
     return for_compare(merge_metrics(merge_partials(parts, size="5 minutes"), size="10 minutes"))
 
 
 def q_order_sessions_stream(spark, sf_dir):
-    """WIN-5 on a stream: session windows closed by the watermark."""
+    """WIN-5 on a stream: fragments per customer closed by the watermark,
+    chained to sessions; those that an open fragment may extend stay out."""
     events = read_table(spark, sf_dir, "events")
     configure(spark)
     src = shared_dir(spark, "orders-json")
     write_json_lines(raw_orders_from_events(events).select("value"), src)
-    out, ckpt = shared_dir(spark, "sessions-out"), shared_dir(spark, "sessions-ckpt")
-    raw = spark.readStream.format("text").load(src)
-    run_available_now(order_metrics_session(parse_orders(raw), gap="10 seconds"), out, ckpt,
-                      state_partitions=REPLAY_STATE_PARTITIONS)
-    return for_compare(spark.read.parquet(out))
+    out, _ = stream_order_sessions(spark, src, state_partitions=REPLAY_STATE_PARTITIONS)
+    return for_compare(out)
 
 
 def q_approx_customers(spark, sf_dir):
@@ -212,6 +244,7 @@ QUERIES = {
     "order_metrics_1h": q_order_metrics_1h,
     "order_metrics_stream": q_order_metrics_stream,
     "late_data_drop": q_late_data_drop,
+    "late_orders": q_late_orders,
     "order_sessions": q_order_sessions,
     "merge_partials_5m": q_merge_partials_5m,
     "rollup_partials_10m": q_rollup_partials_10m,
