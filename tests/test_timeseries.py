@@ -254,3 +254,70 @@ def test_spaced_points_follow_the_greedy_rule(spark):
     for bucket in (20_000, 3_600_000):
         got = spaced(df, 10_000, bucket).withColumn("labels", series_labels("_sk")).collect()
         assert len(got) == len(want) and {(r.labels.get("pod"), r.ts_ms) for r in got} == want
+
+
+def test_series_running_matches_a_scan(spark):
+    from windlass.operators.ordering import series_running
+    rng, rows, want = random.Random(4), [], []
+    for k in ("a", None):
+        t = total = 0
+        lost, ser = 0.0, []
+        for _ in range(200):
+            t += rng.choice([1, 300, 4_000, 30_000])
+            total = 0 if rng.random() < 0.1 else total + rng.randint(0, 9)
+            ser.append((t, float(total)))
+        for i, (t, v) in enumerate(ser):
+            if i and v < ser[i - 1][1]:
+                lost += ser[i - 1][1]
+            want.append((k, t, v, ser[i - 1][0] if i else None, ser[i + 1][0] if i + 1 < len(ser) else None, i + 1, lost))
+        rows += [(k, t, v) for t, v in ser]
+    df = spark.createDataFrame(rows, "k string, ts_ms long, value double")
+    for bucket in (5_000, 10_000_000):
+        got = series_running(df, ["k"], bucket_ms=bucket).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_rate_rows_do_not_grow_with_the_window(spark):
+    """Two rows per step and series reach the last aggregate."""
+    rows = [("m", {"pod": "a"}, 1000 * i, float(i)) for i in range(1, 3601)]
+    df = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts_ms long, value double")
+    for w in (60_000, 1_800_000):
+        plan = counter_rate(df, 3_600_000, 1_200_000, w)
+        assert plan.count() == 80
+        child = plan._jdf.queryExecution().optimizedPlan()
+        while "Generate" not in child.nodeName():
+            child = child.children().head()
+        assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, child).count() <= 2 * 80
+
+
+def test_a_thousand_broker_rules(spark):
+    """A rule table of a thousand rows, the real ones in the middle: the first
+    fully anchored match wins, whatever its form; no chain of rules in the plan."""
+    import re
+    from windlass.operators.broker import ALLOWLIST, RULES, normalise_broker_samples, rule_table
+    more = lambda k: (f"kafka.server<.*name=Meter{k}.*topic=([^,>]+).*><>Count", f"meter_{k}", {"topic": 1})
+    odd = [("kafka.network<.*name=(Total|Part)TimeMs.*><>(P50|P99)", "either", {"request": 1, "partition": 2}),
+           ("kafka.s[er]+ver<.*name=Lag?.*><>.*Rate", "lag_rate", {}), (".*name=AnyDomain.*", "any", {}),
+           ("kafka.server<(.*name=Maybe.*)?><>Max", "maybe", {}), ("kafka.server<.*name=.*><>Last", "last", {})]
+    rules = [more(k) for k in range(0, 1000, 2)] + list(RULES) + odd + [more(k) for k in range(1000)]
+    beans = [f"kafka.server<type=BrokerTopicMetrics, name=Meter{k}{tail}, topic=t{k}><>Count"
+             for k, tail in ((1, ""), (2, ""), (20, ""), (999, "x"), (77, "00"))]
+    beans += ["kafka.network<type=RequestMetrics, name=TotalTimeMs, request=Fetch><>P99",
+              "kafka.network<type=RequestMetrics, name=TotalTimeMs, request=Fetch><>Mean",
+              "kafka.server<type=ReplicaManager, name=La><>OneMinuteRate", "kafka.server<type=ReplicaManager, name=Lag><>Rate",
+              "kafka.server<type=ReplicaManager, name=name=AnyDomain><>x", "kafka.server<type=ReplicaManager><>Max",
+              "kafka.server<type=ReplicaManager, xname=Meter5 and more, topic=u><>Count", "kafka.other<type=ReplicaManager><>Max",
+              "kafka.server<type=Other, name=Meter1, topic=u><>Count", "kafka.server<type=ReplicaManager, name=q><>Last"]
+    df = spark.createDataFrame([(n, 1.0) for n in beans * 3 + [None]], "name string, value double").selectExpr(
+        "name", "timestamp_millis(0) ts", "value")
+
+    def brute(n):
+        ok = any(re.match(f"{re.escape(d)}<(?:[^>]*,)? *type={t} *[,>]", n) for d, t in ALLOWLIST)
+        for p, metric, groups in rules if ok else ():
+            if m := re.fullmatch(p, n):
+                return metric, sorted((k, m[g] or "") for k, g in groups.items())
+    want = sorted(str(brute(n)) for n in beans * 3 if brute(n))
+    got = normalise_broker_samples(df, rules)
+    assert sorted(str((r.metric, sorted(r.labels.items()))) for r in got.collect()) == want and len(want) == 36
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("meter_") == 0
+    assert normalise_broker_samples(df, rule_table(spark, rules)).count() == len(want)

@@ -12,9 +12,8 @@ grouping and join key.  Ranges are left-open ``(t - range, t]``.
 Scale notes: every per-series step is either a grouped aggregate with
 map-side partials, or a window whose partition holds at most one row per
 grid step of one series (bounded by range / step, not by sample density);
-the only per-sample ordering (counter deltas) uses
-:func:`windlass.operators.ordering.series_lag`, partitioned by
-series x time bucket.
+the only per-sample orderings (counter resets, neighbours) use
+:mod:`windlass.operators.ordering`, partitioned by series x time bucket.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import series_lag
+from .ordering import series_lag, series_running
 
 STEP_MS = 15_000
 LOOKBACK_MS = 300_000
@@ -182,13 +181,14 @@ def counter_rate(samples: DataFrame, at_ms: int, range_ms: int, window_ms: int |
     """TS-8: ``rate(x[window])`` at every aligned step of ``(at - range, at]``
     (``increase`` with ``is_rate=False``, ``delta`` with ``is_counter=False``).
 
-    Per sample: the delta to its predecessor (reset-aware: a drop counts the
-    new value).  Samples are first aggregated per (series, step bucket); the
-    buckets are copied to the ``window / step`` steps whose range
-    ``(s - window, s]`` contains them, and one grouped aggregate per
-    (series, step) gives count, first, last and the delta sum; the first
-    sample's own delta is excluded (its predecessor lies outside).  Steps
-    with fewer than two samples give no row.  Extrapolation follows the
+    Every sample knows its position in the series and the running sum of what
+    was lost at resets (:func:`series_running`), so a window ``(s - window, s]``
+    needs its first and its last sample only: the increase is the difference of
+    their values and of their running sums, the count that of their positions.
+    A sample is the last one of the steps until the next sample, and the first
+    one of the steps whose windows begin after the sample before it: two rows
+    per step of a series, however long the window, meet in one hash aggregate.
+    Steps with fewer than two samples give no row.  Extrapolation follows the
     Prometheus rule (to the range edge when within 1.1 x the mean sample
     gap, else half a gap; counters never extrapolate below zero).
 
@@ -203,36 +203,30 @@ def counter_rate(samples: DataFrame, at_ms: int, range_ms: int, window_ms: int |
         w, wmax = F.lit(int(window_ms)), int(window_ms)
     keys = ["metric", "_sk", *by]
     s = in_time_range(with_series(samples), first - wmax, last)
-    s = s.select(*keys, "ts_ms", "value", w.cast("long").alias("_w"))
-    s = series_lag(s, keys, "ts_ms", ["value"], bucket_ms=lag_bucket_ms)
-    v, pv = F.col("value"), F.col("prev_value")
+    s = series_running(s.select(*keys, "ts_ms", "value", w.cast("long").alias("_w")), [*keys, "_w"],
+                       bucket_ms=lag_bucket_ms)
+    ts, step = F.col("ts_ms"), F.lit(step_ms).cast("long")
+
+    def steps(low: Column, below: Column) -> Column:
+        """The steps from ``low`` on and before ``below``, within the grid."""
+        frm = F.greatest((F.ceil(low / F.lit(step_ms)) * step_ms).cast("long"), F.lit(first))
+        to = F.least(((F.ceil(below / F.lit(step_ms)) - 1) * step_ms).cast("long"), F.lit(last))
+        return F.coalesce(F.when(frm <= to, F.sequence(frm, to, step)), F.array().cast("array<bigint>"))
+    gone = ts + F.col("_w")                        # the first instant whose window has left the sample behind
+    as_last = steps(ts, F.least("next_ts", gone))
+    as_first = steps(F.greatest(F.col("prev_ts") + F.col("_w"), ts), gone)
+    tagged = lambda ss, is_last: F.transform(ss, lambda x: F.struct(
+        x.alias("step"), F.lit(is_last).alias("_is_last")))
+    g = s.select(*keys, "_w", "ts_ms", "value", "pos", "resets",
+                 F.inline(F.concat(tagged(as_last, True), tagged(as_first, False))))
+    end = lambda c, is_last: F.max(F.when(F.col("_is_last") == F.lit(is_last), F.col(c)))
+    g = g.groupBy(*keys, "_w", "step").agg(
+        (end("pos", True) - end("pos", False) + 1).alias("_n"), end("ts_ms", False).alias("_ft"),
+        end("ts_ms", True).alias("_lt"), end("value", False).alias("_fv"), end("value", True).alias("_lv"),
+        (end("resets", True) - end("resets", False)).alias("_lost"))
+    result = F.col("_lv") - F.col("_fv")
     if is_counter:
-        inc = F.when(pv.isNull(), F.lit(0.0)).when(v < pv, v).otherwise(v - pv)
-    else:
-        inc = F.when(pv.isNull(), F.lit(0.0)).otherwise(v - pv)
-    # One row per (series, step bucket, part) first.  A window ends on a step
-    # but may start inside a bucket: a bucket is cut where windows start, at
-    # the offset of -window modulo the step, so every part lies wholly in or
-    # out of each window.
-    bucket = (F.ceil(F.col("ts_ms") / F.lit(step_ms)) * step_ms).cast("long")
-    s = s.select(*keys, "_w", "ts_ms", "value", inc.alias("_inc"), bucket.alias("_b"))
-    s = s.withColumn("_late", F.col("ts_ms") > F.col("_b") - F.pmod(F.col("_w"), F.lit(step_ms)))
-    p = s.groupBy(*keys, "_w", "_b", "_late").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("ts_ms").alias("_ft"), F.max("ts_ms").alias("_lt"),
-        F.min_by("value", "ts_ms").alias("_fv"), F.max_by("value", "ts_ms").alias("_lv"),
-        F.min_by("_inc", "ts_ms").alias("_fi"), F.sum("_inc").alias("_si"))
-    frm = F.greatest(F.col("_b"), F.lit(first))
-    to = F.least((F.floor((F.col("_ft") + F.col("_w") - F.lit(1)) / F.lit(step_ms)) * step_ms).cast("long"),
-                 F.lit(last))
-    steps = F.when(frm <= to, F.sequence(frm, to, F.lit(step_ms).cast("long")))
-    g = p.select("*", F.explode(steps).alias("step")).groupBy(*keys, "_w", "step").agg(
-        F.sum("_n").alias("_n"), F.min("_ft").alias("_ft"), F.max("_lt").alias("_lt"),
-        F.min_by("_fv", "_ft").alias("_fv"), F.max_by("_lv", "_lt").alias("_lv"),
-        F.min_by("_fi", "_ft").alias("_fi"), F.sum("_si").alias("_si"))
-    if is_counter:
-        result = F.col("_si") - F.col("_fi")
-    else:
-        result = F.col("_lv") - F.col("_fv")
+        result = result + F.col("_lost")
     return g.where(F.col("_n") >= 2).select(
         *keys, "step",
         extrapolate(result, F.col("_ft"), F.col("_lt"), F.col("_fv"),

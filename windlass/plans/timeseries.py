@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import threshold_status, value_text
 from ..operators.broker import normalise_broker_samples
+from ..operators.series import select_samples, write_series
+from ..operators.tiers import append_tiers, increase, range_states
 from ..operators.timeseries import (across, binary_op, counter_rate, instant, latest_per_instant,
                                     minus_time,
                                     or_zero, over_time, progress_rate, reduce_panel,
@@ -63,13 +65,31 @@ def flat(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def q_select_series_regex(spark, sf_dir):
-    s = samples(spark, sf_dir)
-    sel = select_series(s, "records_per_second", eq={"topic": "orders"},
-                        ne={"phase": "Pending"}, regex={"pod": ".*worker-[01]"},
-                        not_regex={"pod": ".*-9"})
+    """TS-1/TS-2 on the series dictionary: matchers run on the label index,
+    the samples are read by number."""
+    configure(spark)
+    path = shared_dir(spark, "series")
+    write_series(ops_samples(read_table(spark, sf_dir, "events")), path)
+    sel = select_samples(spark, path, metric="records_per_second", eq={"topic": "orders"}, ne={"phase": "Pending"},
+                         regex={"pod": ".*worker-[01]"}, not_regex={"pod": ".*-9"})
     return flat(sel, "ts_ms", "value")
 
 
+def q_tier_summary(spark, sf_dir):
+    """Roll-up tiers, written in two appends: counts, extremes, sums, first and
+    last values and increases over the whole span, whose edges lie inside
+    steps; whole steps come from the tiers."""
+    configure(spark)
+    s = ops_samples(read_table(spark, sf_dir, "events"))
+    at, rng = event_bounds(spark, sf_dir)
+    path, half = shared_dir(spark, "tiers"), F.unix_millis("ts") <= at - rng // 2
+    append_tiers(s.where(half), path)
+    append_tiers(s.where(~half), path)
+    r = range_states(s, path, at, rng, ["records_per_second_total", "consumer_lag"])
+    return flat(r, "n", "low", "high", F.round("total", 2).alias("total"), "first_ts", "first_value", "last_ts",
+                "last_value", F.round(increase(), 2).alias("increase"))
+
+
 def q_instant_value(spark, sf_dir):
     s, at, rng = _ctx(spark, sf_dir)
     return flat(instant(s, at), "value")
@@ -221,6 +241,7 @@ QUERIES = {
     "resample_15s": q_resample_15s,
     "over_time": q_over_time,
     "counter_rate": q_counter_rate,
+    "tier_summary": q_tier_summary,
     "sum_by_pod": q_sum_by_pod,
     "count_by_phase": q_count_by_phase,
     "avg_pct": q_avg_pct,

@@ -141,6 +141,15 @@ SELECT metric, pod, phase, max(value) AS max_v, min(value) AS min_v,
        round(sum(value), 2) / count(value) AS avg_v, count(value) AS n
 FROM R GROUP BY metric, pod, phase"""
 
+ORACLES["tier_summary"] = with_samples() + """,
+L AS (SELECT S.*, lag(value) OVER (PARTITION BY metric, pod, phase ORDER BY ts_ms) AS pv FROM S
+      WHERE metric IN ('records_per_second_total', 'consumer_lag'))
+SELECT metric, pod, phase, count(*) AS n, min(value) AS low, max(value) AS high, round(sum(value), 2) AS total,
+       min(ts_ms) AS first_ts, arg_min(value, ts_ms) AS first_value, max(ts_ms) AS last_ts,
+       arg_max(value, ts_ms) AS last_value,
+       round(arg_max(value, ts_ms) - arg_min(value, ts_ms) + sum(CASE WHEN value < pv THEN pv ELSE 0.0 END), 2) AS increase
+FROM L GROUP BY metric, pod, phase"""
+
 ORACLES["counter_rate_1h"] = rate_sql("records_per_second_total", 3_600_000) + """
 SELECT metric, pod, phase, step, round(value, 9) AS value FROM RT"""
 
