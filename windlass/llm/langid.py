@@ -22,9 +22,10 @@ from .common import with_workers
 from .ftrl import Ftrl
 
 GRAMS, DIMS = (1, 2, 3), 1 << 15
-#: Bounds of the training sample (rows, about the same for each language)
-#: and of the number of languages learned (the most frequent ones).
-MAX_SAMPLE, MAX_LANGS = 6000, 200
+#: Bound of the training sample: so many rows, about the same for each
+#: language, or LEAST for each if there are more languages.  Every language is
+#: learned; training holds two numbers per language and n-gram of the sample.
+MAX_SAMPLE, LEAST = 6000, 20
 EPOCHS, CALIBRATION_SHARE = 3, 5       # one sample row in five calibrates
 UNKNOWN = "und"
 
@@ -61,32 +62,44 @@ def features(count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Model:
+    """The weights that the l1 penalty left, by feature: those of feature f
+    are ``weight[begin[f]:begin[f + 1]]``, for the languages in ``lang``."""
     langs: list[str]
     idf: np.ndarray
-    weights: np.ndarray                # DIMS x languages, sparse by the l1 penalty
+    begin: np.ndarray
+    lang: np.ndarray
+    weight: np.ndarray
     bias: np.ndarray
     temperature: float
 
+    @staticmethod
+    def empty() -> Model:
+        none = np.zeros(0)
+        return Model([], np.ones(DIMS), np.zeros(DIMS + 1, np.int64), none.astype(np.int64), none, none, 1.0)
+
     def dump(self) -> bytes:
-        out, (i, j) = io.BytesIO(), np.nonzero(self.weights)
+        out = io.BytesIO()
         np.savez_compressed(out, langs=np.array(self.langs, dtype=str), idf=self.idf.astype(np.float32),
-                            i=i, j=j, w=self.weights[i, j], bias=self.bias, t=self.temperature)
+                            begin=self.begin, lang=self.lang, w=self.weight, bias=self.bias, t=self.temperature)
         return out.getvalue()
 
     @staticmethod
     def load(raw: bytes) -> Model:
         m = np.load(io.BytesIO(raw))
-        langs = m["langs"].tolist()
-        w = np.zeros((DIMS, len(langs)))
-        w[m["i"], m["j"]] = m["w"]
-        return Model(langs, m["idf"].astype(float), w, m["bias"], float(m["t"]))
+        return Model(m["langs"].tolist(), m["idf"].astype(float), m["begin"], m["lang"], m["w"], m["bias"], float(m["t"]))
+
+    def scores(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        first, n = self.begin[at], self.begin[at + 1] - self.begin[at]
+        where = np.repeat(first - np.concatenate(([0], n.cumsum()[:-1])), n) + np.arange(n.sum())
+        return self.bias + np.bincount(self.lang[where], weights=self.weight[where] * np.repeat(v, n),
+                                       minlength=len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """(language, probability); of equally likely ones the first by name."""
         count = counts(text)
         if count is None or not self.langs:
             return UNKNOWN, 0.0
-        at, v = features(count, self.idf)
-        p = softmax((v @ self.weights[at] + self.bias) / self.temperature)
+        p = softmax(self.scores(*features(count, self.idf)) / self.temperature)
         k = int(p.argmax())
         return self.langs[k], float(p[k])
 
@@ -101,18 +114,23 @@ def fit(rows, langs: list[str], idf: np.ndarray, epochs: int = EPOCHS) -> Model:
     order = {lang: k for k, lang in enumerate(langs)}
     train = [r for r in rows if not r[3]] or rows
     hold = [r for r in rows if r[3]] or rows
-    ftrl = Ftrl(DIMS + 1, len(langs), alpha=1.0, beta=1.0, l1=0.05, l2=0.01)
+    # State for the n-grams of the sample only; the last feature is the bias.
+    used = np.unique(np.concatenate([r[0] for r in train])).astype(np.int64)
+    ftrl = Ftrl(len(used) + 1, len(langs), alpha=1.0, beta=1.0, l1=0.05, l2=0.01)
     rng = np.random.default_rng(0)
     for _ in range(epochs):
         for i in rng.permutation(len(train)):
             at, v, lang, _ = train[i]
-            at, v = np.append(at, DIMS), np.append(v, 1.0)     # the last feature is the bias
+            at, v = np.append(np.searchsorted(used, at), len(used)), np.append(v, 1.0)
             w = ftrl.weights(at)
             g = softmax(v @ w)
             g[order[lang]] -= 1.0
             ftrl.update(at, w, v[:, None] * g[None, :])
     w = ftrl.weights()
-    scores = np.array([v @ w[at] + w[DIMS] for at, v, _, _ in hold])
+    i, j = np.nonzero(w[:-1])
+    begin = np.searchsorted(used[i], np.arange(DIMS + 1))
+    model = Model(langs, idf, begin, j, w[i, j], w[-1], 1.0)
+    scores = np.array([model.scores(at.astype(np.int64), v) for at, v, _, _ in hold])
     right = np.array([order[r[2]] for r in hold])
     best, best_t = np.inf, 1.0
     for t in np.exp(np.linspace(np.log(0.02), np.log(20), 400)):
@@ -120,7 +138,8 @@ def fit(rows, langs: list[str], idf: np.ndarray, epochs: int = EPOCHS) -> Model:
         loss = -np.log(np.maximum(p, 1e-12)).mean()
         if loss < best:
             best, best_t = loss, float(t)
-    return Model(langs, idf, w[:DIMS], w[DIMS], best_t)
+    model.temperature = best_t
+    return model
 
 
 def _frequencies(batches):
@@ -169,37 +188,36 @@ def _trained(langs, idf_raw, epochs):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          learnable=None, max_sample: int = MAX_SAMPLE, max_langs: int = MAX_LANGS,
-          epochs: int = EPOCHS) -> Model:
+          learnable=None, max_sample: int = MAX_SAMPLE, epochs: int = EPOCHS) -> Model:
     """Fit a model on ``docs`` (rows where ``learnable`` holds).  Document
     frequencies cover all of them; the weights use at most about
-    ``max_sample`` rows, drawn by a hash of the id, evenly by language.  Rows
-    without a language or letter teach nothing; with none left the model
-    predicts ``und``."""
+    ``max_sample`` rows (or LEAST of each language), drawn by a hash of the
+    id, evenly by language.  Every language is learned.  Rows without a
+    language or letter teach nothing; with none left the model predicts
+    ``und``."""
     spark = with_workers(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
                     (F.lit(True) if learnable is None else learnable).alias("ok"))
     d = d.where("ok and lang is not null")
     per_lang = {r.lang: r.n for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-                .orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+                .collect()}                                # one row per language
     langs = sorted(per_lang)
-    empty = Model([], np.ones(DIMS), np.zeros((DIMS, 0)), np.zeros(0), 1.0)
     if not langs:
-        return empty
+        return Model.empty()
     df = d.select("text").mapInArrow(_frequencies, "dim int, n long").groupBy("dim").agg(
         F.sum("n").alias("n")).collect()                       # at most DIMS + 1 rows
     freq = np.zeros(DIMS + 1)
     for r in df:
         freq[r.dim] = r.n
     idf = spark.sparkContext.broadcast((np.log((1 + freq[DIMS]) / (1 + freq[:DIMS])) + 1).tobytes())
-    share = {lang: max_sample / len(langs) / n for lang, n in per_lang.items()}
+    share = {lang: max(max_sample / len(langs), LEAST) / n for lang, n in per_lang.items()}
     wanted = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
     draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
     sample = (d.where(draw < wanted).select(
         "text", "lang", (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(CALIBRATION_SHARE)) == 0).alias("holds"))
         .mapInArrow(_sample_features(idf), "at array<int>, v array<float>, lang string, holds boolean"))
     got = (sample.repartition(1).mapInArrow(_trained(langs, idf, epochs), "model binary").collect())
-    return Model.load(bytes(got[0].model)) if got else empty
+    return Model.load(bytes(got[0].model)) if got else Model.empty()
 
 
 def _predicted(raw):
