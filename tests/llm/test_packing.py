@@ -13,7 +13,6 @@ from windlass.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 OURS = packing.Tokens(PATH)
 
 
@@ -37,6 +36,22 @@ def test_ids_of_any_text(text):
     assert ours(text) == ids(text)
 
 
+ADDED = [t.content for t in PLAIN.get_added_tokens_decoder().values()]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*ADDED, *map(str.upper, ADDED), "hello", " ", "ü", "<|", "|>", "<", "世"]), max_size=9))
+def test_ids_with_added_tokens(parts):
+    text = "".join(parts)
+    assert ours(text) == ids(text)
+
+
+def test_added_tokens_are_one_id():
+    assert len(ADDED) >= 2
+    for t in ADDED:
+        assert len(ours(f"hello {t} world")) == 3
+
+
 def test_ids_of_documents(spark):
     from llm_helpers import SF
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():

@@ -50,14 +50,17 @@ class Tokens:
     """Ids of texts, as little-endian 32-bit bytes.
 
     Texts of Latin letters are cut into the tokenizer's own word pieces, and
-    each piece's ids are remembered; any other text goes through the
+    each piece's ids are remembered; any other text, and one that holds an
+    added token of the tokenizer (such as an end mark), goes through the
     tokenizer as a whole.  The ids are the same either way."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         model, byte = t.model, _byte_letters()
+        # In any case: an added token may be looked for after normalisation.
+        added = [re.escape(a.content) for a in t.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added), re.I) if added else None
 
         class Memory(dict):
             def __missing__(self, piece):
@@ -69,7 +72,7 @@ class Tokens:
         self.memory = Memory()
 
     def ids(self, text: str) -> bytes:
-        if _SAFE.fullmatch(text):
+        if _SAFE.fullmatch(text) and not (self.added and self.added.search(text)):
             return b"".join(map(self.memory.__getitem__, _PIECE.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
