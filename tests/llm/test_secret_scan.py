@@ -79,6 +79,55 @@ def test_ends_on_cycles_bombs_and_junk():
     assert s.find(t)[2] <= 402
 
 
+SECRET = "the key is password=hunter2secret, keep it"
+
+
+def wrapped(raw, width=76, end="\n"):
+    run = base64.b64encode(raw).decode()
+    return end.join(run[i:i + width] for i in range(0, len(run), width))
+
+
+def test_wrapped_base64():
+    """Lines of 64 or 76 letters are one run: a secret across a line end, and a
+    compressed payload whose secret is far behind its first line."""
+    for width, end in ((76, "\n"), (64, "\r\n"), (64, "\n  ")):
+        for shift in range(0, 60, 7):
+            run = wrapped(b"." * shift + SECRET.encode() * 3, width, end)
+            assert only(f"a {run} b")[0] == (2, 0, 2 + len(run))
+        for pack in (gzip.compress, bz2.compress, zlib.compress):
+            run = wrapped(pack(os.urandom(3000) + SECRET.encode()), width, end)
+            assert s.find(f"a {run}\n\nb")[3] == 0
+            run = wrapped(pack(b"words and more words " * 900 + os.urandom(900).hex().upper().encode() + SECRET.encode()), width, end)
+            assert only(f"a {run}\n\nb")[0] == (2, 0, 2 + len(run))
+
+
+def test_base64_after_other_letters():
+    for inner in (SECRET, SECRET + "?" * 40, "token=abc/def+ghi " * 3):
+        run = base64.b64encode(inner.encode()).decode().rstrip("=")
+        for before in ("session-", "/api/v1/x/", "a", "id_", "k-v-", "xy/", "q"):
+            (a, kind, b), *_ = only(f"see {before}{run} end")
+            assert kind == 0 and 4 <= a <= 4 + len(before) and b == 4 + len(before) + len(run)
+
+
+def test_other_charsets_and_damage():
+    for kind in ("utf-16-le", "utf-16-be", "utf-16"):
+        run = base64.b64encode(SECRET.encode(kind)).decode()
+        assert only(f"x {run}") == [(2, 0, 2 + len(run))]
+    raw = bytearray(SECRET.encode())
+    raw[3] = 0xE9
+    run = base64.b64encode(bytes(raw)).decode()
+    assert only(f"x {run}") == [(2, 0, 2 + len(run))]
+
+
+def test_large_layers_are_scanned_in_chunks():
+    """A secret behind 65 MiB, and one on the edge of two chunks."""
+    for size in (65 << 20, s.CHUNK - 9):
+        for pack in (gzip.compress, zstandard.ZstdCompressor().compress):
+            run = base64.b64encode(pack(b" " * size + SECRET.encode() + b"." * 99)).decode()
+            found = s.find(f"- {run}")
+            assert found[1] == [(2, 0, 2 + len(run))] and found[3] == 0
+
+
 def test_redaction_merges_overlaps():
     t = "a password=hunter22 b " + "0" * 30 + " c"
     assert s.redacted(t) == "a [assign] b [hex] c"

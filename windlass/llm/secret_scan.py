@@ -11,9 +11,9 @@ the original text it came from, and findings are reported there.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -29,9 +29,13 @@ from pyspark.sql.functions import pandas_udf
 from .common import with_workers
 
 KINDS = ("assign", "access", "hex")
-#: Bytes that the compressed layers of one text may open to (a guard against
-#: decompression bombs); layers beyond it are counted in n_unopened.
-MAX_INFLATED = 64 << 20
+#: A guard against decompression bombs: the compressed layers of a text may
+#: open to so many times its own length, LEAST bytes at least.  What lies beyond
+#: is counted in n_unopened.
+EXPANSION, LEAST = 4096, 256 << 20
+#: Opened payloads are scanned in chunks of so many bytes as they inflate, each
+#: with the end of the one before it.
+CHUNK, OVERLAP = 16 << 20, 1 << 20
 SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, "
           "spans string, n_layers long, n_unopened long")
 
@@ -46,6 +50,10 @@ _UNICODE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa
 _UNIT = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})"
                    r"|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);|([！-～])")
 _BASE64 = re.compile("[A-Za-z0-9+/_-]{16,}")
+_WRAPPED = re.compile("[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+")
+_BREAKS, _STANDARD = re.compile("[\r\n\t ]+"), str.maketrans("-_", "+/")
+#: Separators of a run after which base64 is tried to begin.
+STARTS = 16
 _MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x28\xb5\x2f\xfd", lambda: zstandard.ZstdDecompressor().decompressobj()),
           (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor),
           (b"\x78\x01", zlib.decompressobj), (b"\x78\x5e", zlib.decompressobj),
@@ -133,46 +141,163 @@ def _from_unicode(run):
 
 
 def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
+    """The text of a layer: UTF-8, also with some damaged bytes, or UTF-16; None
+    for what is no text."""
+    if len(raw) >= 8 and (zeros := raw.count(0)) * 4 > len(raw):
+        kind = "utf-16-be" if raw[::2].count(0) > zeros // 2 else "utf-16-le"
+        text = raw[:len(raw) & ~1].decode(kind, "replace").lstrip("\ufeff")
+    else:
+        text = raw.decode("utf-8", "replace")
+    if "\ufffd" not in text and text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable():
+        return text or None
+    odd = sum(c == "\ufffd" or not (c.isprintable() or c in "\t\n\r") for c in text)
     return text if text and 10 * odd <= len(text) else None
 
 
+class _Source:
+    """Pieces of bytes, which can be put back."""
+
+    def __init__(self, pieces):
+        self.pieces, self.back = iter(pieces), []
+
+    def next(self):
+        return self.back.pop() if self.back else memoryview(next(self.pieces, b""))
+
+    def put(self, piece) -> None:
+        if len(piece):
+            self.back.append(memoryview(piece))
+
+    def head(self, n: int = 6) -> bytes:
+        got = []
+        while sum(map(len, got)) < n and len(piece := self.next()):
+            got.append(piece)
+        for piece in reversed(got):
+            self.put(piece)
+        return b"".join(p[:n] for p in got)[:n]
+
+
 class _Budget:
     def __init__(self, left):
         self.left, self.unopened = left, 0
 
-    def inflate(self, raw: bytes) -> bytes | None:
-        """The payload of one compressed layer, or None if ``raw`` is none."""
-        for magic, opener in _MAGIC:
-            if not raw.startswith(magic):
-                continue
-            out, size, rest = [], 0, raw
-            # Members or frames one after the other are one payload; what
-            # cannot be opened after the first one is left.
-            while rest.startswith(magic):
-                d, pos, mine = opener(), 0, []
+    def _members(self, src: _Source, magic: bytes, opener):
+        """Pieces of what the members (or frames) at the front of ``src`` hold;
+        if nothing can be opened ``src`` is as before."""
+        used, some = [], False
+        while src.head().startswith(magic):
+            d = opener()
+            while not getattr(d, "eof", False) and len(piece := src.next()):
+                src.put(piece[1024:])
+                piece = piece[:1024]                  # little in, so never much out at once
+                if not some:
+                    used.append(piece)
                 try:
-                    while pos < len(rest) and not getattr(d, "eof", False):
-                        part = d.decompress(rest[pos:pos + 4096])
-                        pos, size = pos + 4096, size + len(part)
-                        mine.append(part)
-                        if size > self.left:
-                            self.unopened += 1
-                            return None
+                    part = d.decompress(piece)
                 except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-                    if not out:
-                        return None
-                    self.unopened += 1
+                    self.unopened += some
                     break
-                out += mine
-                rest = (d.unused_data + rest[pos:] if getattr(d, "eof", False) else b"").lstrip(b"\0")
-            self.left -= size
-            return b"".join(out) or None
-        return None
+                self.left -= len(part)
+                if self.left < 0:
+                    self.unopened += 1
+                    return
+                if part:
+                    some = True
+                    yield part
+            if not getattr(d, "eof", False):
+                break
+            src.put(d.unused_data)
+            while len(rest := src.next()) and not len(rest := bytes(rest).lstrip(b"\0") if not rest[0] else rest):
+                pass
+            src.put(rest)
+        if not some:
+            src.put(b"".join(used))
+
+    def payload(self, raw: bytes):
+        """The bytes inside a compressed layer in overlapping chunks, or None if
+        ``raw`` is none.  What is compressed more than once is opened through."""
+        src, opened = _Source([raw]), False
+        while found := next(((m, o) for m, o in _MAGIC if src.head().startswith(m)), None):
+            out = _Source(self._members(src, *found))
+            if not out.head(1):
+                break
+            src, opened = out, True
+        return self._chunks(src) if opened else None
+
+    @staticmethod
+    def _chunks(src: _Source):
+        held, size = [], 0
+        while len(piece := src.next()):
+            held.append(piece)
+            size += len(piece)
+            if size >= CHUNK:
+                whole = b"".join(held)
+                yield whole
+                held, size = [whole[-OVERLAP:]], min(OVERLAP, len(whole))
+                if not len(piece := src.next()):
+                    return
+                src.put(piece)
+        yield b"".join(held)
+
+
+def _decoded(run: str):
+    """What a run of base64 letters, of either alphabet, may stand for: it may
+    begin at any of its first four letters."""
+    run = run.translate(_STANDARD)
+    for k in range(4):
+        part = run[k:]
+        part = part[:len(part) - (len(part) % 4 == 1)]
+        yield base64.b64decode(part + "=" * (-len(part) % 4))
+
+
+def _texts(run: str, budget: _Budget):
+    """The texts of the first reading of ``run`` that has any."""
+    for raw in _decoded(run):
+        chunks = budget.payload(raw)
+        some = False
+        for chunk in (raw,) if chunks is None else chunks:
+            if (text := _readable(chunk)) is not None:
+                some = True
+                yield text
+        if some or chunks is not None:
+            return
+
+
+def _base64_layers(layer: Layer, budget: _Budget):
+    """Runs of base64 letters, those broken by line ends whole; of a run that
+    says nothing, its ends after separators and its pieces between them."""
+    text = layer.text
+
+    def span(a, b):
+        end = b
+        while end < len(text) and text[end] == "=" and end - b < 2:
+            end += 1
+        return layer.span(a, end)
+    wrapped = []
+    for m in _WRAPPED.finditer(text) if "\n" in text else ():
+        some = False
+        for new in _texts(_BREAKS.sub("", m[0]), budget):
+            some = True
+            yield Layer(new, span(m.start(), m.end()))
+        if some:
+            wrapped.append(m.span())
+    at = 0
+    for m in _BASE64.finditer(text):
+        while at < len(wrapped) and wrapped[at][1] <= m.start():
+            at += 1
+        if at < len(wrapped) and wrapped[at][0] <= m.start():
+            continue                                       # a line of an opened run
+        some = False
+        for new in _texts(m[0], budget):
+            some = True
+            yield Layer(new, span(m.start(), m.end()))
+        if some:
+            continue
+        parts = {(p.end(), len(m[0])) for p in itertools.islice(re.finditer("[/_-]+", m[0]), STARTS)}
+        parts |= {p.span() for seps in ("/", "_-") for p in re.finditer(f"[^{seps}]+", m[0])}
+        for a, b in sorted(parts - {(0, len(m[0]))}):
+            if b - a >= 16:
+                for new in _texts(m[0][a:b], budget):
+                    yield Layer(new, span(m.start() + a, m.start() + b))
 
 
 def _opened(layer: Layer, budget: _Budget):
@@ -182,41 +307,31 @@ def _opened(layer: Layer, budget: _Budget):
     if (not text.isascii() or "\\" in text or "&#" in text) and \
             (new := layer.replaced(_UNICODE, _from_unicode)):
         yield new
-    for m in _BASE64.finditer(text):
-        run = m[0]
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4),
-                                   altchars=b"-_" if "-" in run or "_" in run else None, validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        while (inner := budget.inflate(raw)) is not None:
-            raw = inner
-        if (new := _readable(raw)) is not None:
-            tail = m.end()
-            while tail < len(text) and text[tail] == "=" and tail - m.end() < 2:
-                tail += 1
-            yield Layer(new, layer.span(m.start(), tail))
+    yield from _base64_layers(layer, budget)
 
 
-def find(text: str | None, max_inflated: int = MAX_INFLATED):
+def find(text: str | None, max_inflated: int | None = None):
     """(base findings, all findings, layers, unopened layers) of one text;
-    findings are (start, kind number, end) in code points of the text."""
+    findings are (start, kind number, end) in code points of the text.
+
+    The worklist holds layers still to be opened, each as the rest of what its
+    parent opens to, so that of a large payload one chunk at a time is held."""
     root = Layer(text or "")
     base = scan(root.text)
-    found, budget, seen, todo, layers = set(base), _Budget(max_inflated), {root.key()}, [root], 0
+    budget = _Budget(max(LEAST, EXPANSION * len(root.text)) if max_inflated is None else max_inflated)
+    found, seen, layers = set(base), {root.key()}, 1
+    todo = [_opened(root, budget)]
     while todo:
-        layer = todo.pop()
-        layers += 1
-        if layer is not root:
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+        elif (key := layer.key()) not in seen:
+            seen.add(key)
+            layers += 1
             for start, kind, end in scan(layer.text):
                 a, b = layer.span(start, end)
                 found.add((a, kind, b))
-        for new in _opened(layer, budget):
-            if (key := new.key()) not in seen:
-                seen.add(key)
-                todo.append(new)
+            todo.append(_opened(layer, budget))
     return base, sorted(found), layers, budget.unopened
 
 
@@ -244,7 +359,7 @@ def _scanned(max_inflated):
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            max_inflated: int = MAX_INFLATED) -> DataFrame:
+            max_inflated: int | None = None) -> DataFrame:
     """One row per input row: counts of the base findings by kind, the digest
     of their spans, and the spans of all layers' findings.
 
@@ -256,7 +371,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .mapInArrow(_scanned(max_inflated), SCHEMA))
 
 
-def redacted(text: str | None, max_inflated: int = MAX_INFLATED) -> str | None:
+def redacted(text: str | None, max_inflated: int | None = None) -> str | None:
     """``text`` with every finding replaced by its kind; overlapping findings
     become one, named after the first."""
     if not text:
@@ -277,7 +392,7 @@ def redacted(text: str | None, max_inflated: int = MAX_INFLATED) -> str | None:
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars",
-           max_inflated: int = MAX_INFLATED) -> DataFrame:
+           max_inflated: int | None = None) -> DataFrame:
     """``docs`` with the secrets in the texts replaced by ``[kind]``, and the
     length column, if there is one, brought up to date in changed rows.  All
     rows and columns stay; a null text stays null."""
