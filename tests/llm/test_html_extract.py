@@ -3,6 +3,7 @@
 import html
 import re
 
+from windlass.llm import html_extract
 from windlass.llm.html_extract import Page, extract, templates
 
 
@@ -49,7 +50,41 @@ def test_templates_are_removed_per_host(spark):
     assert got[None] == got[500] == ""
     assert extract(pages(spark, rows)).count() == len(rows)
     assert extract(pages(spark, rows).limit(0)).count() == 0
-    assert templates(pages(spark, rows[:20]).selectExpr("split(url, '/')[2] host", "html")).count() == 1
+    nodes = pages(spark, rows[:20]).selectExpr("split(url, '/')[2] host", "page_id page", "html").mapInArrow(
+        html_extract._subtrees, html_extract._NODES)
+    assert {r.host for r in templates(nodes).collect()} == {"a.com"}
+
+
+BOX = "<div class=x7><h3>Join the club</h3><p>Members read more.</p><ul><li>Now</li></ul></div>"
+
+
+def site(host, pages_, article):
+    return [(i, f"http://{host}/{i}", f"<html><body><main>{article(i)}</main></body></html>") for i in range(pages_)]
+
+
+def test_boxes_inside_articles_are_templates(spark, monkeypatch):
+    """A box without a telling name that recurs in different articles goes, by
+    share of a small host, by count on a large one; prose that recurs stays, and
+    so does an article that stands on many pages, however it is wrapped."""
+    story = lambda i: f"<p>Story {i} goes on and on, long enough to be most of it.</p><p>Shared sentence.</p>"
+    rows = site("small.com", 8, lambda i: story(i) + BOX)
+    rows += site("large.com", 400, lambda i: story(i) + (BOX if i % 10 == 0 else "<div><p>x</p></div>" if i % 100 == 1 else ""))
+    rows += [(i, u, h) for i, u, h in site("copies.com", 40, lambda i: "<div><p>One article, on many pages.</p></div>")]
+    rows = [(k, u, h.replace("</body>", f"<p>{i}</p></body>") if "copies" in u else h) for k, (i, u, h) in enumerate(rows)]
+    rows += site("half.com", 40, lambda i: f"<h1>{i}</h1><div><p>The body of the story, the same under other titles.</p></div>")
+    df = pages(spark, rows)
+    want = []
+    for i, u, h in rows:
+        page = Page(h)
+        text = page.main_text()
+        if "small" in u or "large" in u:
+            text = text.replace("\n\nJoin the club\n\nMembers read more.\n\nNow", "")
+        want.append((i, text))
+    plain_texts = [(i, Page(h).main_text()) for i, _, h in rows]
+    assert sum(a != b for a, b in zip(want, plain_texts)) == 48
+    for bound in (html_extract.BROADCAST_TEMPLATES, 0):
+        monkeypatch.setattr(html_extract, "BROADCAST_TEMPLATES", bound)
+        assert sorted((r.page_id, r.text) for r in extract(df).collect()) == sorted(want)
 
 
 def plain(source):

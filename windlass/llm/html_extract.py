@@ -6,14 +6,18 @@ them are the site's template and are deleted.  What is left of the article
 (or of the body, if there is none) without menus, headers, footers, sidebars,
 notices, adverts, forms, scripts and reader comments is the main text.
 
-Prose inside an article is never a template: a sentence may well stand in
-many articles.  Copies of one page count as one page.
+Prose inside an article (paragraphs, headings, list items, quotes) is never a
+template by itself: a sentence may well stand in many articles.  Boxes, lists,
+tables and sections in an article are, if they recur in many different articles
+and are at most half of each.  Copies of one page, or of one article, count as
+one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import re
 
 import pyarrow as pa
@@ -24,8 +28,11 @@ from .common import ascii_lower, materialise, with_workers
 from .url_filter import HOST
 
 #: A subtree is a template if it stands on at least MIN_PAGES different pages
-#: of the host and on this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.3
+#: of the host and on this share of them, or on MANY_PAGES, however large the
+#: host is.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.3, 30
+#: So many template hashes are sent to every task; more are joined by page.
+BROADCAST_TEMPLATES = 200_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>"
                     r"|<[!?][^>]*(?:>|\Z)|<(?=[a-zA-Z/])[^<>]*\Z", re.S)
@@ -44,6 +51,7 @@ _NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|n
 _ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "alert", "alertdialog",
           "dialog", "menu", "menubar", "toolbar"}
 _ARTICLE = {"article", "main"}
+_PROSE = set("p h1 h2 h3 h4 h5 h6 li dt dd tr td th blockquote pre caption figcaption summary".split())
 # Start tags that end an open element of these kinds.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
          "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -51,11 +59,12 @@ _SCOPE = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body"
 
 
 class Node:
-    __slots__ = ("tag", "drop", "article", "start", "kids", "digest", "end")
+    __slots__ = ("tag", "drop", "article", "start", "kids", "digest", "end", "inside")
 
     def __init__(self, tag, drop, article, start):
         self.tag, self.drop, self.article, self.start = tag, drop, article, start
         self.kids, self.digest, self.end = hashlib.blake2b(tag.encode(), digest_size=8), 0, start
+        self.inside = None                 # the outermost article around it
 
 
 def _attributes(raw: str) -> tuple[str, str, bool]:
@@ -71,7 +80,8 @@ def _attributes(raw: str) -> tuple[str, str, bool]:
 
 class Page:
     """Blocks of a page, and its subtrees: ``blocks`` are (text, in article?,
-    dropped?), ``nodes`` the eligible subtrees with the blocks they span."""
+    dropped?), ``nodes`` the subtrees that may be templates, with the blocks
+    they span; what is dropped anyway is none."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, bool]] = []
@@ -104,6 +114,9 @@ class Page:
         while self.stack:
             self.pop()
         self.flush()
+        ends = [0, *itertools.accumulate(len(t) for t, _, _ in self.blocks)]
+        size = lambda x: ends[x.end] - ends[x.start]
+        self.nodes = [x for x in self.nodes if x.inside is None or 2 * size(x) <= size(x.inside)]
 
     def flush(self):
         if not self.text:
@@ -169,8 +182,10 @@ class Page:
         node.digest = int.from_bytes(raw, "little", signed=True)
         if self.stack:
             self.stack[-1].kids.update(raw)
-        prose = node.tag in ("html", "body", "head") or node.article or any(x.article for x in self.stack)
-        if node.end > node.start and not prose:
+        node.inside = next((x for x in self.stack if x.article), None)
+        whole = node.tag in ("html", "body", "head") or node.article
+        if node.end > node.start and not whole and not node.drop and not any(x.drop for x in self.stack) and not (
+                node.inside is not None and node.tag in _PROSE):
             self.nodes.append(node)
 
     def main_text(self, templates=frozenset()) -> str:
@@ -183,57 +198,78 @@ class Page:
 
 
 def _subtrees(batches):
-    """(host, page, subtree) of every eligible subtree, once per page; page
-    is the digest of the source, subtree null for the page itself."""
+    """(host, page, unit, subtree) of every subtree that may be a template,
+    once per page.  It is counted by its unit, the page or the article it
+    stands in (a hash of either); subtree is null for the page itself."""
     for batch in batches:
         out = set()
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            page = int.from_bytes(hashlib.blake2b(source.encode("utf-8", "surrogatepass"), digest_size=8).digest(),
-                                  "little", signed=True)
-            out.add((host, page, None))
-            out.update((host, page, node.digest) for node in Page(source).nodes)
+        for host, page, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out.add((host, page, page, None))
+            out.update((host, page, page if x.inside is None else x.inside.digest, x.digest) for x in Page(source).nodes)
         if out:
-            a, b, c = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64()),
-                                              pa.array(c, pa.int64())], ["host", "page", "subtree"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))],
+                ["host", "page", "unit", "subtree"])
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtrees) of ``pages`` (columns host, html): the hashes of the
-    host's template subtrees, at most 1 / ``min_share`` times those of a page."""
-    seen = (pages.mapInArrow(_subtrees, "host string, page long, subtree long").distinct()
+_NODES = "host string, page long, unit long, subtree long"
+
+
+def templates(nodes: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+              many_pages: int = MANY_PAGES) -> DataFrame:
+    """(host, subtree) of the template subtrees among ``nodes`` (host, page,
+    unit, subtree).  Units are counted by host and subtree, map-side first, so
+    a hot host is spread over its subtrees."""
+    seen = (nodes.select("host", "unit", "subtree").distinct()
             .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")))
-    seen = materialise(seen, "subtrees")
-    total = seen.where("subtree is null and n >= 1").select("host", F.col("n").alias("pages"))
-    often = (seen.where(f"subtree is not null and n >= {int(min_pages)}").join(total, "host")
-             .where(F.col("n") >= F.lit(min_share) * F.col("pages")))
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
+    seen = materialise(seen.where(f"n >= {int(min_pages)} or subtree is null"), "subtrees")
+    total = seen.where("subtree is null").select(F.col("host").alias("of"), F.col("n").alias("pages"))
+    enough = F.least(F.lit(min_share) * F.col("pages"), F.lit(many_pages))
+    often = seen.where(f"subtree is not null and n >= {int(min_pages)}")
+    # Beyond MANY_PAGES the size of the host does not matter.
+    return often.where(F.col("n") >= many_pages).select("host", "subtree").unionByName(
+        often.where(F.col("n") < many_pages).join(total, F.col("host") == F.col("of"))
+        .where(F.col("n") >= enough).select("host", "subtree"))
 
 
-def _texts(batches):
-    for batch in batches:
-        out = []
-        for source, known in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            out.append(Page(source).main_text(frozenset(known or ())))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(out, pa.string()),
-             pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _texts(known):
+    """The text of each page without the templates ``known`` of its host, or
+    those in a fourth column."""
+    def f(batches):
+        for batch in batches:
+            sources = batch.column(2).to_pylist()
+            of = ([known.value.get(h, ()) for h in batch.column(3).to_pylist()] if known is not None
+                  else [frozenset(x or ()) for x in batch.column(3).to_pylist()])
+            out = [Page(source).main_text(gone) for source, gone in zip(sources, of)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.string()),
+                 pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    return f
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars.
 
     A null or empty html gives an empty text; a null URL, or one without
     host, belongs to the host named by the empty string; repeated rows stay
     and count as one page, a null id stays null, no rows give none, other
     columns are ignored."""
-    with_workers(pages.sparkSession)
+    spark = with_workers(pages.sparkSession)
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                      F.coalesce(F.col(html_col), F.lit("")).alias("html"),
                      ascii_lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1)).alias("host"))
-    # Written first, so that Spark knows its size: a small table is sent to
-    # the pages, a large one is joined by host with skewed hosts split.
-    known = materialise(templates(p.select("host", "html"), min_pages, min_share), "templates")
-    return (p.join(known, "host", "left").select("page_id", "url", "html", "subtrees")
-            .mapInArrow(_texts, "page_id long, url string, text string, n_chars long"))
+    p = p.withColumn("page", F.xxhash64("html"))
+    nodes = p.select("host", "page", "html").mapInArrow(_subtrees, _NODES)
+    known = materialise(templates(nodes, min_pages, min_share, many_pages), "templates")
+    out = "page_id long, url string, text string, n_chars long"
+    if known.count() <= BROADCAST_TEMPLATES:
+        of: dict[str, set[int]] = {}
+        for r in known.collect():
+            of.setdefault(r.host, set()).add(r.subtree)
+        return p.select("page_id", "url", "html", "host").mapInArrow(_texts(spark.sparkContext.broadcast(of)), out)
+    # Each page's own templates: at most its subtrees.
+    mine = (nodes.where("subtree is not null").select("host", "page", "subtree").distinct().join(known, ["host", "subtree"])
+            .groupBy("host", "page").agg(F.collect_list("subtree").alias("subtrees")))
+    return (p.join(materialise(mine, "page-templates"), ["host", "page"], "left")
+            .select("page_id", "url", "html", "subtrees").mapInArrow(_texts(None), out))
