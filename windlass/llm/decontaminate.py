@@ -2,11 +2,14 @@
 
 Numbers, units and names of a text become typed placeholders, so that a
 question keeps its template when its parameters are changed.  Windows of
-template words are hash-joined between documents and benchmark items; hits
-on one alignment (document position minus item position) must be consistent:
-every name and unit of the item stands for exactly one value of the document.
-Different values may become equal, and equal numbers different, as they may
-have different roles.  Only DataFrame functions, no Python in tasks.
+template words are hash-joined between documents and benchmark items; the hits
+that count on one alignment (document position minus item position) must be
+consistent: every name and unit of the item stands for one value of the
+document, the one that most of the hits say; hits whose values are the item's
+own always count.  Different values may become equal, and equal numbers
+different, as they may have different roles.  Items of fewer than MIN_WORDS
+words have no template worth the name: they are matched as they are written.
+Only DataFrame functions, no Python in tasks.
 
 An item's first word may be a name inside a document's sentence, though it
 is a plain word at the start of the item.  So an item has a second form, as
@@ -14,9 +17,9 @@ if it stood inside a sentence; there the first word must be the same.
 
 Template words and windows are costly to make, so a first pass keeps the
 documents that can hold an item at all: every window of an item has two
-anchors, its literal words that are in the fewest items, and a document
+anchors, its literal words that are in the fewest documents, and a document
 without both anchors of enough windows cannot hold enough windows.  Nothing
-is lost by it.
+is lost by it, and since anchors are rare little is shuffled for it.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Words of a window; the share of an item's windows that must be found on
-#: one alignment; items of fewer words than MIN_WORDS are no evidence.
+#: one alignment; items of fewer template words are matched literally.
 WINDOW, SHARE, MIN_WORDS = 8, 0.3, 4
 #: A benchmark of at most so many windows is broadcast (about 100 bytes
 #: each), a larger one is shuffled.
@@ -77,7 +80,8 @@ def windows(df: DataFrame, words: Column, size: int, keep: list[str]) -> DataFra
     ``words``: w hashes the template, slots are hashes of the slot values (0:
     no slot; odd: a number; null: no slot in the text), n counts the windows.
 
-    A window of mostly slots says little, so its values are hashed too."""
+    A window of mostly slots says little, so its values are hashed too, and so
+    are those of windows shorter than MIN_WORDS."""
     is_slot = lambda w: _kind(w).isin(_NUM, _UNIT, _NAME)
     # No filter on t: it would go below the projection and make t twice.
     value = lambda w: F.when(_kind(w) == _NUM, F.xxhash64(w).bitwiseOR(F.lit(1))).otherwise(
@@ -94,7 +98,7 @@ def windows(df: DataFrame, words: Column, size: int, keep: list[str]) -> DataFra
 
     def slotted(i):
         s = F.slice("v", i + F.lit(1), F.lit(size))
-        return F.struct(F.when(literal(s) * 2 < size, F.xxhash64(every(i), s)).otherwise(every(i)).alias("w"),
+        return F.struct(F.when((literal(s) * 2 < size) | F.lit(size < MIN_WORDS), F.xxhash64(every(i), s)).otherwise(every(i)).alias("w"),
                         F.when(literal(s) < size, s).alias("s"))
     at = F.when(F.col("m") >= size, F.sequence(F.lit(0), F.col("m") - F.lit(size)))
     plain = F.transform(at, lambda i: F.struct(every(i).alias("w"),
@@ -113,18 +117,31 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_WINDOWS else df
 
 
-def anchors(items: DataFrame, size: int) -> DataFrame:
+def rarity(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(word, texts): in how many documents each literal word of the items is;
+    counted map-side, for the items' words only."""
+    words = (items.select(F.explode("t").alias("word")).where(~_kind(F.col("word")).isin(_NUM, _UNIT, _NAME)).distinct())
+    words = materialise(words, "item-words")
+    held = docs.select(F.explode(_distinct_words(F.col("text"))).alias("word"))
+    return held.join(_small(words, words.count()), "word").groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+
+
+def _distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(text), _BETWEEN))
+
+
+def anchors(items: DataFrame, rare: DataFrame, size: int) -> DataFrame:
     """(item_id, pair, word, words, weight, need): pair names the one or two
     anchor words of ``weight`` windows of the item; a document must hold all
     ``words`` of pairs whose weights add up to need.  need is not positive
     for items whose windows lack literal words."""
     t = (items.select("item_id", (F.size("t") - F.lit(size - 1)).alias("n"), F.posexplode("t").alias("p", "word")))
     word = t.where(~_kind(F.col("word")).isin(_NUM, _UNIT, _NAME))
-    shared = word.groupBy("word").agg(F.count_distinct("item_id").alias("shared"))
+    word = word.join(rare, "word", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
     q = F.explode(F.sequence(F.greatest(F.col("p") - F.lit(size - 1), F.lit(0)),
                              F.least("p", F.col("n") - 1))).alias("q")
-    rank = F.struct("shared", (-F.length("word")).alias("l"), "word")
-    best = (word.join(shared, "word").select("item_id", "n", "word", "shared", q).groupBy("item_id", "n", "q")
+    rank = F.struct("texts", (-F.length("word")).alias("l"), "word")
+    best = (word.select("item_id", "n", "word", "texts", q).groupBy("item_id", "n", "q")
             .agg(F.slice(F.array_sort(F.collect_set(rank)), 1, 2)["word"].alias("pick")))   # of ``size`` words
     weights = best.groupBy("item_id", "pick").agg(F.count(F.lit(1)).alias("weight"))
     held = weights.groupBy("item_id").agg(F.sum("weight").alias("held"))
@@ -134,13 +151,12 @@ def anchors(items: DataFrame, size: int) -> DataFrame:
                        (F.ceil(F.lit(SHARE) * F.col("n")) - F.col("n") + F.coalesce("held", F.lit(0))).alias("need"))
 
 
-def _candidates(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+def _candidates(docs: DataFrame, items: DataFrame, rare: DataFrame, size: int) -> DataFrame:
     """The rows of ``docs`` that hold the anchors of enough windows of an item."""
-    a = materialise(anchors(items, size), "anchors")
+    a = materialise(anchors(items, rare, size), "anchors")
     if not a.where("need <= 0").isEmpty():
         return docs
-    words = F.array_distinct(F.split(F.lower("text"), _BETWEEN))
-    rows = (docs.select("row", F.explode(words).alias("word")).join(_small(a, a.count()), "word")
+    rows = (docs.select("row", F.explode(_distinct_words(F.col("text"))).alias("word")).join(_small(a, a.count()), "word")
             .groupBy("row", "item_id", "pair").agg(F.count(F.lit(1)).alias("seen"), F.max("words").alias("words"),
                                                    F.max("weight").alias("weight"), F.max("need").alias("need"))
             .where("seen >= words").groupBy("row", "item_id")
@@ -151,12 +167,28 @@ def _candidates(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     return docs.join(materialise(rows, "candidates"), "row", "left_semi")
 
 
-def _hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+def _counted(found: Column) -> Column:
+    """How many of the windows ``found`` on one alignment, each an array of
+    (value of the item, value of the document), agree: those without changes,
+    and those in which every value of the item has the one that most of the
+    windows give it (of equally many the least)."""
+    every = F.flatten(found)
+    votes = F.transform(F.array_distinct(every), lambda d: F.struct(
+        d["a"].alias("a"), d["b"].alias("b"), F.size(F.filter(every, lambda x: x == d)).alias("n")))
+
+    def elected(v, d):
+        return ~F.exists(v, lambda e: (e["a"] == d["a"]) & ((e["n"] > d["n"]) | ((e["n"] == d["n"]) & (e["b"] < d["b"]))))
+    chosen = F.transform(F.filter(votes, lambda d: elected(votes, d)), lambda d: F.struct(d["a"].alias("a"), d["b"].alias("b")))
+    return F.size(F.filter(found, lambda w: F.forall(w, lambda p: p["a"] == p["b"])
+                           | F.forall(w, lambda p: F.array_contains(chosen, p))))
+
+
+def _hits(docs: DataFrame, items: DataFrame, rare: DataFrame, size: int) -> DataFrame:
     bench = (windows(items, F.col("t"), size, ["item_id"])
              .select(F.col("item_id"), F.col("n").alias("item_windows"), F.col("pos").alias("q"), "w",
                      F.col("slots").alias("item_slots")))
     bench = materialise(bench, "benchmark-windows")
-    hit = (windows(_candidates(docs, items, size), tokens(F.col("text")), size, ["row", "doc_id"]).drop("n")
+    hit = (windows(_candidates(docs, items, rare, size), tokens(F.col("text")), size, ["row", "doc_id"]).drop("n")
            .join(_small(bench, bench.count()), "w")
            .where((F.col("item_id.form") == 0) | (F.col("q") > 0)
                   | F.coalesce(F.col("item_slots")[0] == F.col("slots")[0], F.lit(True))))
@@ -165,17 +197,31 @@ def _hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
         F.filter(both, lambda p: (p["a"] != 0) & (p["a"].bitwiseAND(F.lit(1)) == 0)))
     # At most as many rows as the item has windows share one alignment.
     g = (hit.groupBy("row", "doc_id", "item_id", "item_windows", (F.col("pos") - F.col("q")).alias("shift"))
-         .agg(F.count(F.lit(1)).alias("found"),
-              F.array_distinct(F.flatten(F.collect_list(pairs))).alias("p")))
-    one_value = F.size("p") == F.size(F.array_distinct(F.col("p.a")))
-    return (g.where(one_value & (F.col("found") >= F.lit(SHARE) * F.col("item_windows")))
-            .groupBy("row", "doc_id", F.col("item_id.id").alias("item_id"))
-            .agg(F.max("found").alias("found_windows"), F.max("item_windows").alias("item_windows")))
+         .agg(F.count(F.lit(1)).alias("hits"), F.collect_list(F.array_distinct(pairs)).alias("found")))
+    enough = F.lit(SHARE) * F.col("item_windows")
+    g = g.where(F.col("hits") >= enough).withColumn("found", _counted(F.col("found")).cast("long"))
+    return (g.where(F.col("found") >= enough).groupBy("row", "doc_id", F.col("item_id.id").alias("item_id"))
+            .agg(F.max("found").alias("found_windows"), F.max(F.col("item_windows").cast("long")).alias("item_windows")))
+
+
+def _literal_hits(docs: DataFrame, items: DataFrame, rare: DataFrame, size: int) -> DataFrame:
+    """Hits of items of ``size`` < MIN_WORDS words: the same words with the same
+    values find the rows that may hold them; these must hold the item's text as
+    it is written, not as a part of longer words."""
+    bench = materialise(windows(items, F.col("t"), size, ["item_id", "text"]).select("item_id", F.col("text").alias("said"), "w"),
+                        "benchmark-windows")
+    rows = (windows(_candidates(docs, items, rare, size), tokens(F.col("text")), size, ["row"])
+            .join(_small(bench, bench.count()), "w").select("row", F.col("item_id.id").alias("item_id"), "said").distinct())
+    edge, quoted = "[\\p{L}\\p{M}\\p{N}]", F.replace(F.trim("said"), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    written = F.concat(F.lit(f"(?<!{edge})\\Q"), quoted, F.lit(f"\\E(?!{edge})"))
+    held = docs.join(materialise(rows, "literal-hits"), "row").where(F.regexp_like(F.col("text"), written))
+    one = F.lit(1).cast("long")
+    return held.select("row", "doc_id", "item_id", one.alias("found_windows"), one.alias("item_windows")).distinct()
 
 
 def _row_key(id_col: Column, text: Column) -> Column:
-    """Names a row by its content: equal rows have equal verdicts."""
-    return F.xxhash64(id_col, text)
+    """Names a row by 128 bits of its content: equal rows have equal verdicts."""
+    return F.struct(F.xxhash64(id_col, text).alias("a"), F.xxhash64(F.lit(1), text, id_col).alias("b"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
@@ -184,26 +230,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     that holds a benchmark item, as it is or with other parameters; row is
     the content key of the document's row.
 
-    Items with equal template words and values count as the one of the
-    smallest id; items shorter than a window are matched as a whole.  Null
+    Items with equal texts count as the one of the smallest id; items shorter
+    than a window are matched as a whole, those under MIN_WORDS words as they
+    are written; one without words or numbers matches nothing.  Null
     texts match nothing, a null id stays null, repeated rows give one row,
     empty tables give none, other columns are ignored."""
     items = (benchmark.select("item_id", "text").where("text is not null")
              .groupBy("text").agg(F.min("item_id").alias("item_id"))
-             .select("item_id", tokens(F.col("text")).alias("t"),
+             .select("item_id", "text", tokens(F.col("text")).alias("t"),
                      tokens(F.concat(F.lit("a "), F.regexp_replace("text", "^\\s+", ""))).alias("inside"))
-             .select("item_id", F.posexplode(F.array_distinct(F.array(
+             .select("item_id", "text", F.posexplode(F.array_distinct(F.array(
                  "t", F.slice("inside", F.lit(2), F.size("inside"))))).alias("form", "t"))
-             .select(F.struct(F.col("item_id").alias("id"), "form").alias("item_id"), "t",
+             .select(F.struct(F.col("item_id").alias("id"), "form").alias("item_id"), "text", "t",
                      F.least(F.size("t"), F.lit(window)).alias("size"))
-             .where(F.col("size") >= MIN_WORDS))
+             .where("size > 0"))
     items = materialise(items, "benchmark")
     sizes = [r.size for r in items.select("size").distinct().orderBy("size").collect()]   # at most ``window``
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("row", _row_key(F.col("doc_id"), F.col("text")))
+    rare = materialise(rarity(d, items), "rarity")
     out = None
     for size in sizes or [window]:
-        h = _hits(d, items.where(F.col("size") == size).select("item_id", "t"), size)
+        part = items.where(F.col("size") == size)
+        h = _literal_hits(d, part, rare, size) if size < MIN_WORDS else _hits(d, part.select("item_id", "t"), rare, size)
         out = h if out is None else out.unionByName(h)
     return out
 
@@ -217,7 +266,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; columns unchanged."""
+    """``docs`` without the rows that hold a benchmark item; columns unchanged.
+    A null text holds none, a null id is an id like others, repeated rows go or
+    stay together, empty tables change nothing."""
     # Written first, like the candidates: few rows do not move the documents.
     bad = materialise(matches(docs, benchmark, id_col, text_col).select("row").distinct(), "contaminated")
     names = docs.columns
