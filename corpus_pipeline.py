@@ -1,5 +1,13 @@
 """Training-corpus pipeline: toxicity, near-duplicates, benchmark leaks,
-secrets, packing.  Each stage works on all that its predecessor kept."""
+secrets, packing.  Each stage works on all that its predecessor kept.
+
+Rows are taken as they come: a null or empty text is never toxic, is a near
+duplicate of the others without words (one of them stays), holds no benchmark
+item and no secret, and is packed as its end id; a null id keeps its row, and
+loses to a row of its group that has one; of repeated rows one stays, in the
+second stage; no rows give none.  Other columns, whatever their names, are
+carried by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -43,7 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again: the pieces
+    of :func:`pack`.  What unusual rows come to is said at the top."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")

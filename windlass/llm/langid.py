@@ -235,8 +235,9 @@ def _predicted(raw):
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
             held_out=None) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.  A null
-    text or one without a letter is ``und`` with score 0; repeated rows stay,
-    a null id stays null, no rows give none, other columns are ignored."""
+    text or one without a letter is ``und`` with score 0; of equally likely
+    languages the first by name is taken; repeated rows stay, a null id stays
+    null, no rows give none, other columns are ignored."""
     spark = with_workers(docs.sparkSession)
     raw = spark.sparkContext.broadcast(model.dump())
     flag = F.lit(False) if held_out is None else held_out

@@ -60,7 +60,8 @@ class Model:
         return Model(dict(zip(m["v"].tolist(), m["w"].tolist())), m["t"], float(m["c"]))
 
     def predict(self, text: str | None) -> tuple[int, float, bool]:
-        """(grade, expected severity, toxic?)."""
+        """(grade, expected severity, toxic?); of equally likely grades the
+        lower one, and a probability at the cut is toxic."""
         if not len(self.thresholds):
             return 0, 0.0, False
         s = sum(self.vocabulary[w] for w in words(text) & self.vocabulary.keys())
@@ -234,7 +235,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows the model calls toxic; columns unchanged."""
+    """``docs`` without the rows the model calls toxic; columns unchanged.  A
+    null or empty text is judged by the thresholds alone, ids are not looked
+    at, repeated rows share their verdict, no rows give none."""
     raw = with_workers(docs.sparkSession).sparkContext.broadcast(model.dump())
 
     @pandas_udf("boolean")
