@@ -16,9 +16,9 @@ is a plain word at the start of the item.  So an item has a second form, as
 if it stood inside a sentence; there the first word must be the same.
 
 Template words and windows are costly to make, so a first pass keeps the
-documents that can hold an item at all: every window of an item has two
-anchors, its literal words that are in the fewest documents, and a document
-without both anchors of enough windows cannot hold enough windows.  Nothing
+documents that can hold an item at all: every window of an item has an
+anchor, its literal word that is in the fewest documents, and a document
+without the anchors of enough windows cannot hold enough windows.  Nothing
 is lost by it, and since anchors are rare little is shuffled for it.
 """
 
@@ -131,10 +131,9 @@ def _distinct_words(text: Column) -> Column:
 
 
 def anchors(items: DataFrame, rare: DataFrame, size: int) -> DataFrame:
-    """(item_id, pair, word, words, weight, need): pair names the one or two
-    anchor words of ``weight`` windows of the item; a document must hold all
-    ``words`` of pairs whose weights add up to need.  need is not positive
-    for items whose windows lack literal words."""
+    """(item_id, word, weight, need): the anchor ``word`` of ``weight`` windows
+    of the item; a document must hold anchors whose weights add up to need.
+    need is not positive for items whose windows lack literal words."""
     t = (items.select("item_id", (F.size("t") - F.lit(size - 1)).alias("n"), F.posexplode("t").alias("p", "word")))
     word = t.where(~_kind(F.col("word")).isin(_NUM, _UNIT, _NAME))
     word = word.join(rare, "word", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
@@ -142,12 +141,11 @@ def anchors(items: DataFrame, rare: DataFrame, size: int) -> DataFrame:
                              F.least("p", F.col("n") - 1))).alias("q")
     rank = F.struct("texts", (-F.length("word")).alias("l"), "word")
     best = (word.select("item_id", "n", "word", "texts", q).groupBy("item_id", "n", "q")
-            .agg(F.slice(F.array_sort(F.collect_set(rank)), 1, 2)["word"].alias("pick")))   # of ``size`` words
-    weights = best.groupBy("item_id", "pick").agg(F.count(F.lit(1)).alias("weight"))
+            .agg(F.min(rank)["word"].alias("word")))
+    weights = best.groupBy("item_id", "word").agg(F.count(F.lit(1)).alias("weight"))
     held = weights.groupBy("item_id").agg(F.sum("weight").alias("held"))
     have = (t.select("item_id", "n").distinct().join(weights, "item_id", "left").join(held, "item_id", "left"))
-    return have.select("item_id", F.xxhash64("item_id", "pick").alias("pair"),
-                       F.explode_outer("pick").alias("word"), F.size("pick").alias("words"), "weight",
+    return have.select("item_id", "word", "weight",
                        (F.ceil(F.lit(SHARE) * F.col("n")) - F.col("n") + F.coalesce("held", F.lit(0))).alias("need"))
 
 
@@ -157,10 +155,7 @@ def _candidates(docs: DataFrame, items: DataFrame, rare: DataFrame, size: int) -
     if not a.where("need <= 0").isEmpty():
         return docs
     rows = (docs.select("row", F.explode(_distinct_words(F.col("text"))).alias("word")).join(_small(a, a.count()), "word")
-            .groupBy("row", "item_id", "pair").agg(F.count(F.lit(1)).alias("seen"), F.max("words").alias("words"),
-                                                   F.max("weight").alias("weight"), F.max("need").alias("need"))
-            .where("seen >= words").groupBy("row", "item_id")
-            .agg(F.sum("weight").alias("got"), F.max("need").alias("need"))
+            .groupBy("row", "item_id").agg(F.sum("weight").alias("got"), F.max("need").alias("need"))
             .where("got >= need").select("row").distinct())
     # Written first, so that Spark knows its size: a small one is sent to the
     # documents, a large one is joined by row.
