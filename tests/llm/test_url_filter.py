@@ -1,5 +1,6 @@
 """URL filters: the index against every pattern on every URL, in SQL."""
 
+import random
 import re
 
 import duckdb
@@ -42,3 +43,28 @@ def test_patterns_without_token_and_empty_tables(spark):
     assert got == {1: "block", 2: "allow"}
     assert u.judge(pages, patterns=(), host_rules=()).where("verdict = 'allow' and rule is null").count() == 2
     assert u.judge(pages.limit(0)).count() == 0
+
+
+def test_thousands_of_patterns_from_a_file(spark, tmp_path):
+    """5,000 patterns, some without a token, read from a file, against every
+    pattern on every URL."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdeo") for _ in range(rnd.randint(2, 4)))
+    forms = ("^{a}^", "||{a}.{b}", "^{a}*{b}^", "/{a}/{b}|", "@@^{a}.{b}^", "{a}{b}{c}", "@@{a}{b}{c}{d}", "|http://{a}.{b}/",
+             "^{a}-{b}^{c}^", "{a}{b}*{c}{d}|")
+    patterns = [rnd.choice(forms).format(a=word(), b=word(), c=word(), d=word()) for _ in range(5000)]
+    path = tmp_path / "rules.txt"
+    path.write_text("! comment\n\n" + "\n".join(patterns) + "\n")
+    urls = [f"http://{word()}.{word()}/{word()}-{word()}/{word()}{word()}{word()}{rnd.choice(['', '/', '?q=' + word()])}"
+            for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.pattern) for r in
+           u.judge(pages, host_rules=(), patterns=u.read_patterns(spark, str(path))).collect()}
+    known = [(p, re.compile(u.to_regex(p.lower()))) for p in patterns]
+    want = {}
+    for i, url in enumerate(urls):
+        fits = [p for p, r in known if r.search(url.lower())]
+        first = next((p for p in fits if p.startswith("@@")), fits[0] if fits else None)
+        want[i] = ("block" if first and not first.startswith("@@") else "allow", first)
+    assert got == want and len({v for v, _ in want.values()}) == 2
+    assert sum(not u.safe_tokens(p) for p in patterns) > 500

@@ -5,17 +5,19 @@ character that is neither letter nor digit (or an end of the URL), ``|`` at
 an end anchors it there, and a leading ``@@`` makes it an exception.  Every
 pattern is filed under the one of its whole literal tokens that is rarest
 in the URLs at hand; a URL's tokens fetch candidate patterns, and only those
-run as regular expressions.
+run as regular expressions.  Patterns may be a list, a text file or a table of
+any length; the few that have no whole token are tried together.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, materialise, with_workers
 
 #: (verdict, host, path prefix): fits the host and its subdomains.
 HOST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
@@ -24,8 +26,9 @@ PATTERNS = tuple(f"^{w}^" for w in (
     "casino", "bets", "betting", "poker", "jackpot", "slots", "porn", "xxx", "viagra", "cialis", "warez",
     "keygen", "torrents", "phishing", "malware", "adserver", "doubleclick", "clickbait", "payday")) + (
     "^free-*-online^", "|javascript:", "@@^poker-strategy.org^")
-#: Pattern rows up to this many are broadcast (about 200 bytes each).
-BROADCAST_RULES = 50_000
+#: Pattern rows up to this many are broadcast (about 200 bytes each); patterns
+#: without a token are tried so many at once.
+BROADCAST_RULES, TOGETHER = 50_000, 100
 
 HOST = "(?s)^.*?://([^/?#]*)"
 PATH = "(?s)^.*?://[^/?#]*([^?#]*)"
@@ -60,16 +63,57 @@ def host_rule(host, path, rules):
     return (none, none) if text is None else (text, verdict)
 
 
+def read_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """(rule, pattern) of a text file with a pattern per line; empty lines and
+    those that begin with ``!`` are left out.  Rules are numbered by line."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("rule", "pattern"))
+    return lines.select(F.col("rule").cast("long"), F.trim("pattern").alias("pattern")).where("pattern <> '' and not startswith(pattern, '!')")
+
+
+def _read(batches):
+    for b in batches:
+        p = b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array([to_regex(x.lower()) for x in p], pa.string()),
+             pa.array(["allow" if x.startswith("@@") else "block" for x in p], pa.string()),
+             pa.array([safe_tokens(x) for x in p], pa.list_(pa.string()))],
+            ["rule", "pattern", "regex", "verdict", "tokens"])
+
+
+def pattern_table(spark: SparkSession, patterns) -> DataFrame:
+    """(rule, pattern, regex, verdict, tokens) of a list of patterns, or of a
+    table with columns rule and pattern; null patterns are left out."""
+    if not isinstance(patterns, DataFrame):
+        patterns = spark.createDataFrame(list(enumerate(patterns)), "rule long, pattern string")
+    with_workers(spark)
+    return (patterns.where("pattern is not null").select(F.col("rule").cast("long").alias("rule"), "pattern")
+            .mapInArrow(_read, "rule long, pattern string, regex string, verdict string, tokens array<string>"))
+
+
+def _without_token(urls: DataFrame, low, rules: DataFrame) -> DataFrame:
+    """Hits of the patterns without a token, which any URL may fit: TOGETHER of
+    them are one expression, and only a URL that fits it tries each."""
+    loose = [(i // TOGETHER, *r) for i, r in enumerate(
+        rules.where("size(tokens) = 0").select("rule", "pattern", "regex", "verdict").orderBy("rule").collect())]
+    if not loose:
+        return None
+    spark = urls.sparkSession
+    groups = [F.when(low.rlike("|".join(f"(?:{r[3]})" for r in loose if r[0] == g)), F.lit(g))
+              for g in range(loose[-1][0] + 1)]
+    table = spark.createDataFrame(loose, "g int, rule long, pattern string, regex string, verdict string")
+    return (urls.select("url", F.explode(F.array_compact(F.array(*groups))).alias("g")).join(F.broadcast(table), "g")
+            .where(F.expr("rlike(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), regex)"))
+            .select("url", "rule", "pattern", "verdict"))
+
+
 def pattern_verdicts(urls: DataFrame, patterns) -> DataFrame:
     """(url, pattern, verdict) of the distinct URLs that a pattern fits: an
     exception wins over a block, then the pattern that stands first."""
     spark = urls.sparkSession
     urls = materialise(urls.where("url is not null").select("url").distinct(), "urls")
     low = ascii_lower(F.col("url"))
-    rows = [(i, p, to_regex(p.lower()), "allow" if p.startswith("@@") else "block", safe_tokens(p))
-            for i, p in enumerate(patterns)]
-    rules = spark.createDataFrame(rows, "rule int, pattern string, regex string, verdict string, tokens array<string>")
-    small = F.broadcast if len(rows) <= BROADCAST_RULES else (lambda df: df)
+    rules = materialise(pattern_table(spark, patterns), "patterns")
+    small = F.broadcast if rules.count() <= BROADCAST_RULES else (lambda df: df)
     of_url = urls.select("url", F.explode(F.array_distinct(F.split(low, "[^a-z0-9]+"))).alias("token")).where("token <> ''")
     of_rule = rules.select("rule", F.explode("tokens").alias("token"))
     seen = (of_url.join(small(of_rule.select("token").distinct()), "token").groupBy("token")
@@ -81,11 +125,8 @@ def pattern_verdicts(urls: DataFrame, patterns) -> DataFrame:
     hits = (of_url.join(small(index), "token").where(F.expr(
         "rlike(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), regex)"))
         .select("url", "rule", "pattern", "verdict"))
-    # Patterns without a safe token are tried on every URL.
-    for i, p, regex, verdict, tokens in rows:
-        if not tokens:
-            hits = hits.unionByName(urls.where(low.rlike(regex)).select(
-                "url", F.lit(i).alias("rule"), F.lit(p).alias("pattern"), F.lit(verdict).alias("verdict")))
+    loose = _without_token(urls, low, rules)
+    hits = hits if loose is None else hits.unionByName(loose)
     best = F.min(F.struct(F.col("verdict"), "rule", "pattern")).alias("b")     # allow sorts before block
     return hits.groupBy("url").agg(best).select(F.col("url"), F.col("b.pattern").alias("pattern"),
                                                 F.col("b.verdict").alias("by_pattern"))
@@ -97,7 +138,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     A null URL, or one without ``://``, has empty host and path; what no rule
     and no pattern fits is allowed.  Repeated rows stay, a null id stays
-    null, no rows give none, other columns are ignored."""
+    null, no rows give none, other columns are ignored.  ``patterns`` is what
+    :func:`pattern_table` takes."""
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     found = pattern_verdicts(p, patterns)
     p = p.join(found, "url", "left")
