@@ -28,6 +28,8 @@ BITS = 64
 #: Rows of one bucket that a task compares at once; larger buckets are cut
 #: into blocks and every two blocks meet in a task of their own.
 BLOCK = 16384
+#: Places in which a component's members meet its id.
+SALTS = 32
 
 _WORDS = re.compile(WORD.encode())
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -204,11 +206,13 @@ def _with_fingerprint(docs: DataFrame, text: str, shingle: int, out: str) -> Dat
 
 
 def _roots(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, root) for every distinct fingerprint of ``fps``."""
+    """(fp, root, linked: has it any link?) for every distinct fingerprint of
+    ``fps``."""
     nodes = materialise(fps.select("fp").distinct(), "simhash-nodes")
     with batches_of(fps.sparkSession, 50_000):
         found = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
-    return nodes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"),
+                                                  F.col("root").isNotNull().alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -223,11 +227,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     fps = materialise(_with_fingerprint(d, "text", shingle, "fp").select("id", "fp"), "simhash")
     roots = materialise(_roots(fps, max_bits), "simhash-roots")
-    lowest = fps.groupBy("fp").agg(F.min("id").alias("low"))
-    # A root may own a third of all fingerprints: aggregate, then join back.
-    low = lowest.join(roots, "fp")
-    by_root = low.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = roots.join(by_root, "root").select("fp", "component_id")
+    low = materialise(fps.groupBy("fp").agg(F.min("id").alias("low")).join(roots, "fp"), "simhash-lowest")
+    # A fingerprint without links is its own component.  A root may own a third
+    # of the others: they are aggregated map-side and meet their component's id
+    # in SALTS places.
+    linked = low.where("linked").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    by_root = (linked.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("component_id"))
+               .withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    member = (linked.join(by_root, (F.col("root") == F.col("of")) & (F.col("salt") == F.col("at")))
+              .select("fp", "component_id")
+              .unionByName(low.where("not linked").select("fp", F.col("low").alias("component_id"))))
     return fps.join(member, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
