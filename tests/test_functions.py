@@ -27,3 +27,29 @@ def test_scalar_helpers(spark):
     assert [r.mapped for r in rows] == ["INACTIVE", "PEAK"]
     assert [r.mx for r in rows] == [0.0, 0.0]             # never above Double.MIN_VALUE
     assert [r.mn for r in rows] == [0.0, 0.0]             # untouched Double.MAX_VALUE seed
+
+
+def test_exact_sum_is_exact_in_any_order(spark):
+    """Money sums equal the rounded rational sum, for any partitioning, merged
+    or not; other doubles, infinities and nulls are added as usual."""
+    import random
+    from fractions import Fraction
+    from pyspark.sql import functions as F
+    from windlass.functions.scalar import exact_sum
+    rnd = random.Random(3)
+    money = [round(rnd.uniform(-1, 1) * 10 ** rnd.randint(0, 11), rnd.choice([0, 2, 4])) for _ in range(4000)] + [0.1] * 999
+    want = float(sum(Fraction(str(x)) for x in money))
+    rows = [(i % 7, x) for i, x in enumerate(money)]
+    got = set()
+    for parts in (1, 3, 11):
+        rnd.shuffle(rows)
+        df = spark.createDataFrame(rows, "k int, v double").repartition(parts)
+        got.add(df.agg(exact_sum("v").alias("s")).first().s)
+    assert got == {want}
+    small = [(k, round(v % 1000, 2)) for k, v in rows]
+    df = spark.createDataFrame(small, "k int, v double")
+    twice = df.groupBy("k").agg(exact_sum("v").alias("v")).agg(exact_sum("v").alias("s")).first().s
+    assert twice == float(sum(Fraction(str(v)) for _, v in small))
+    odd = lambda *vs: spark.createDataFrame([(v,) for v in vs], "v double").agg(exact_sum("v").alias("s")).first().s
+    assert odd(None) is None and odd(None, 1.5) == 1.5 and odd(1e300, 2.0, 1e-9) == 1e300 + 2.0
+    assert odd(float("inf"), 1.0) == float("inf") and odd(float("nan"), 1.0) != odd(1.0) and odd(-0.25, 1 / 3) == 1 / 3 - 0.25

@@ -318,3 +318,21 @@ def test_stream_sessions_from_fragments(spark, tmp):
     assert sorted(map(tuple, got), key=str) == sorted([
         (1_000, 29_500, "FOOD", 4, 3), (41_000, 51_000, None, 1, 1), (40_000, 68_000, "FOOD", 3, 2),
         (70_000, 80_000, None, 1, 1), (71_000, 81_000, "FOOD", 1, 1)], key=str)
+
+
+def test_dedupe_forgets_after_its_delay(spark, tmp):
+    """A duplicate within the delay is dropped as one; a row whose window ended
+    longer before the newest is dropped as late, and counted."""
+    from windlass.operators.parse import parse_metrics
+    from windlass.operators.reader import dedupe_metrics
+    src, out, ck = (os.path.join(tmp, d) for d in ("src", "out", "ck"))
+    row = lambda start, n: json.dumps({"windowStart": start, "windowEnd": start + 30_000, "category": "A",
+                                       "region": "R", "orderCount": n})
+    for i, rows in enumerate([[row(0, 1), row(0, 2)], [row(0, 3), row(600_000, 1)], [row(0, 4), row(570_000, 1)]]):
+        path = write_lines(src, f"{i}.json", rows)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    raw = spark.readStream.option("maxFilesPerTrigger", 1).text(src)
+    run = run_available_now(dedupe_metrics(parse_metrics(raw), delay="1 minute"), out, ck, state_partitions=2)
+    got = sorted(r.windowStart for r in spark.read.parquet(out).collect())
+    assert got == [0, 570_000, 600_000]
+    assert run.rows_dropped_by_watermark() == 1

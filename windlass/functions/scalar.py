@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +32,29 @@ def safe_div(num: Column | str, den: Column | str) -> Column:
     return F.when(col(den) > 0, col(num) / col(den)).otherwise(F.lit(0.0))
 
 
+# Steps of the fixed-point sum: ten-thousandths, in limbs of 20 bits and above.
+_PARTS, _LIMB = 10_000, 20
+
+
+def exact_sum(c: Column | str) -> Column:
+    """AGG-2: sum of doubles that does not depend on the order or grouping of
+    the rows.  Values that are ten-thousandths (money) below 9e11 are added as
+    integers, in two limbs of 64 bits that no real table overflows (about 1e9
+    rows of the largest such value), and the exact total is rounded once.  Any
+    other value is added as a double; NaN and infinities come out as they do
+    from ``sum``.  Null rows are ignored; null if there is no other."""
+    v = col(c)
+    k = F.rint(v * F.lit(float(_PARTS)))
+    ok = F.coalesce((F.abs(v) < F.lit(9e11)) & (k / F.lit(float(_PARTS)) == v), F.lit(False))
+    n = k.try_cast("long")
+    high = F.sum(F.when(ok, F.shiftright(n, _LIMB))).cast("decimal(38,0)")
+    low = F.sum(F.when(ok, n.bitwiseAND(F.lit((1 << _LIMB) - 1).cast("long")))).cast("decimal(38,0)")
+    unit = F.lit(Decimal(1) / _PARTS)
+    fixed = ((high * F.lit(1 << _LIMB).cast("decimal(8,0)") + low).cast("decimal(34,0)") * unit).cast("double")
+    rest = F.sum(F.when(~ok, v))
+    return F.when(rest.isNull(), fixed).otherwise(F.coalesce(fixed, F.lit(0.0)) + rest)
+
+
 def reported_max(raw_max: Column | str) -> Column:
     """Largest amount, or 0.0 when no amount beat Double.MIN_VALUE."""
     m = col(raw_max)

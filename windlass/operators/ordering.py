@@ -9,6 +9,9 @@
 * :func:`series_running` does the same for both neighbours, the position in
   the series and the running sum of counter resets.
 * :func:`islands` chains overlapping intervals of a key in the same way.
+* :func:`next_at` finds the next point after a gap, :func:`follow` what chains
+  of such pointers reach, in a number of joins that grows with the logarithm
+  of their length.
 """
 
 from __future__ import annotations
@@ -151,3 +154,41 @@ def islands(df: DataFrame, key: str, start: str, end: str, out: str, bucket_ms:
     last = d.groupBy(*keys).agg(F.max("_new").alias("_l")).select(*keys, F.max("_l").over(earlier).alias("_carried"))
     d = d.select("*", F.max("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("_here")).join(last, keys)
     return d.select(*base, F.coalesce("_here", "_carried").alias(out))
+
+
+def next_at(points: DataFrame, gap: int, bucket_ms: int = 3_600_000) -> DataFrame:
+    """(_key, at, to) for points (_key, at): ``to`` is the first point of the
+    key at ``at + gap`` or later, null if there is none.
+
+    Points and the instants asked for are read backwards together, per key x
+    time bucket; what lies after a bucket reaches it as one number."""
+    ask = points.select("_key", (F.col("at") + F.lit(gap)).alias("_t"), F.lit(1).alias("_ask"), "at")
+    d = points.select("_key", F.col("at").alias("_t"), F.lit(0).alias("_ask"), "at").unionByName(ask)
+    d = d.withColumn("_bkt", F.floor(F.col("_t") / F.lit(bucket_ms)).cast("long"))
+    point = F.when(F.col("_ask") == 0, F.col("_t"))
+    back = Window.partitionBy("_key", "_bkt").orderBy(F.desc("_t"), "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("_key").orderBy(F.desc("_bkt")).rowsBetween(Window.unboundedPreceding, -1)
+    after = (d.groupBy("_key", "_bkt").agg(F.min(point).alias("_f"))
+             .select("_key", "_bkt", F.min("_f").over(later).alias("_after")))
+    d = d.select("*", F.min(point).over(back).alias("_here")).join(after, ["_key", "_bkt"])
+    return d.where("_ask = 1").select("_key", "at", F.coalesce("_here", "_after").alias("to"))
+
+
+def follow(pointers: DataFrame, starts: DataFrame) -> DataFrame:
+    """(_key, at) of everything that chains of ``pointers`` (_key, at, to)
+    reach from ``starts`` (_key, at), these included.  Pointers must lead
+    forward, so that no chain meets itself.
+
+    Pointer doubling: after k rounds pointers lead 2**k links ahead, and what
+    is reached is complete up to there.  Each round is reliably checkpointed."""
+    from ..session import shared_dir
+    shared_dir(pointers.sparkSession, "follow")      # make sure a checkpoint folder is set
+    jump = pointers.where("to is not null").checkpoint()
+    reached = starts.select("_key", "at")
+    while not jump.isEmpty():
+        reached = reached.unionByName(
+            reached.join(jump, ["_key", "at"]).select("_key", F.col("to").alias("at"))).checkpoint()
+        ahead = jump.select(F.col("_key").alias("_k"), F.col("at").alias("_mid"), F.col("to").alias("_far"))
+        jump = (jump.join(ahead, (F.col("_key") == F.col("_k")) & (F.col("to") == F.col("_mid")))
+                .select("_key", "at", F.col("_far").alias("to")).checkpoint())
+    return reached

@@ -23,7 +23,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import series_lag, series_running
+from .ordering import follow, next_at, series_lag, series_running
 
 STEP_MS = 15_000
 LOOKBACK_MS = 300_000
@@ -358,40 +358,17 @@ def spaced(samples: DataFrame, min_interval_ms: int, bucket_ms: int = 3_600_000)
     keeps of each series: the first, then each first one at least that much
     later than the last kept.  One sample per instant is expected.
 
-    The choice is a chain, but a time bucket of it is a function from the
-    instant before which nothing may be kept to the same for the next bucket,
-    and only few entries differ: the points within ``min_interval_ms`` of the
-    bucket's start.  Buckets work these out independently, one small row per
-    bucket is chained per series, and each bucket then keeps its points."""
-    s, gap = with_series(samples), F.lit(min_interval_ms).cast("long")
-    start = F.floor(F.col("ts_ms") / F.lit(bucket_ms)).cast("long")
-    b = (s.select(F.struct("metric", "_sk").alias("_key"), start.alias("_bkt"), "ts_ms", "value")
-         .groupBy("_key", "_bkt")
-         .agg(F.array_sort(F.collect_list(F.struct("ts_ms", "value"))).alias("_p")))
-
-    def after(entry: Column) -> Column:
-        return F.aggregate("_p", entry, lambda e, x: F.when(x["ts_ms"] >= e, x["ts_ms"] + gap).otherwise(e))
-    edge = F.col("_bkt") * F.lit(bucket_ms) + gap
-    early = F.filter("_p", lambda x: x["ts_ms"] < edge)
-    later = F.slice(F.filter("_p", lambda x: x["ts_ms"] >= edge), 1, 1)
-    steps = F.transform(F.concat(early, later), lambda x: F.struct(
-        x["ts_ms"].alias("first"), after(x["ts_ms"]).alias("next")))
-    rows = b.select("_key", F.struct("_bkt", steps.alias("steps")).alias("r")).groupBy("_key").agg(
-        F.array_sort(F.collect_list("r")).alias("rs"))
-    begin = F.struct(F.lit(-(1 << 62)).cast("long").alias("e"),
-                     F.array().cast("array<struct<_bkt:bigint,entry:bigint>>").alias("done"))
-
-    def chain(acc, r):
-        hit = F.get(F.filter(r["steps"], lambda x: x["first"] >= acc["e"]), F.lit(0))
-        return F.struct(F.coalesce(hit["next"], acc["e"]).alias("e"), F.concat(acc["done"], F.array(F.struct(
-            r["_bkt"].alias("_bkt"), acc["e"].alias("entry")))).alias("done"))
-    entries = (rows.select("_key", F.inline(F.aggregate("rs", begin, chain)["done"])))
-    keep = F.aggregate("_p", F.struct(F.col("entry").alias("e"), F.slice("_p", 1, 0).alias("kept")),
-                       lambda acc, x: F.when(x["ts_ms"] >= acc["e"], F.struct(
-                           (x["ts_ms"] + gap).alias("e"), F.concat(acc["kept"], F.array(x)).alias("kept")))
-                       .otherwise(acc))["kept"]
-    return (b.join(entries, ["_key", "_bkt"]).select("_key", F.inline(keep))
-            .select("_key.metric", "_key._sk", "ts_ms", "value"))
+    Every point knows which one would be kept next (:func:`next_at`); the kept
+    ones are those reached from the first, found by pointer doubling
+    (:func:`follow`).  All of it is on rows, so neither a series nor a stretch
+    of it is ever gathered."""
+    s = with_series(samples).select("metric", "_sk", "ts_ms", "value").withColumn("_key", F.struct("metric", "_sk"))
+    points = s.select("_key", F.col("ts_ms").alias("at"))
+    pointers = next_at(points, min_interval_ms, bucket_ms)
+    kept = follow(pointers, points.groupBy("_key").agg(F.min("at").alias("at")))
+    kept = kept.select(F.col("_key").alias("_k"), "at")
+    return (s.join(kept, (F.col("_key") == F.col("_k")) & (F.col("ts_ms") == F.col("at")))
+            .select("metric", "_sk", "ts_ms", "value"))
 
 
 def progress_rate(samples: DataFrame, lag_bucket_ms: int = 3_600_000,

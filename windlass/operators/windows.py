@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import reported_max, reported_min, safe_div
+from ..functions.scalar import exact_sum, reported_max, reported_min, safe_div
 from .ordering import global_rank, islands
 from .parse import valid_orders, with_event_time
 
@@ -46,7 +46,7 @@ def _raw_aggs(streaming: bool, exact: bool) -> list[Column]:
     amount = F.col("totalAmount")
     return [
         F.count(F.lit(1)).alias("orderCount"),
-        F.sum(amount).alias("totalRevenue"),
+        exact_sum(amount).alias("totalRevenue"),
         F.max(amount).alias("_max"),
         F.min(amount).alias("_min"),
         _distinct_customers(streaming, exact).alias("uniqueCustomers"),
@@ -93,7 +93,7 @@ def order_metrics_customers(orders: DataFrame, size: str = "30 seconds",
     df = _prepare(orders, delay)
     amount = F.col("totalAmount")
     g = df.groupBy(F.window("eventTime", size).alias("window"), *KEYS, "customerId")
-    return g.agg(F.count(F.lit(1)).alias("orderCount"), F.sum(amount).alias("totalRevenue"),
+    return g.agg(F.count(F.lit(1)).alias("orderCount"), exact_sum(amount).alias("totalRevenue"),
                  F.max(amount).alias("_max"), F.min(amount).alias("_min")).select(
         F.unix_millis("window.start").alias("windowStart"), F.unix_millis("window.end").alias("windowEnd"),
         *KEYS, "customerId", "orderCount", "totalRevenue", "_max", "_min")
@@ -113,7 +113,7 @@ def merge_customers(parts: DataFrame) -> DataFrame:
 
 def _merge_parts(parts: DataFrame, customers: Column) -> DataFrame:
     agg = parts.groupBy("windowStart", "windowEnd", *KEYS).agg(
-        F.sum("orderCount").alias("orderCount"), F.sum("totalRevenue").alias("totalRevenue"),
+        F.sum("orderCount").alias("orderCount"), exact_sum("totalRevenue").alias("totalRevenue"),
         F.max("_max").alias("_max"), F.min("_min").alias("_min"), customers.alias("uniqueCustomers"))
     return agg.select("windowStart", "windowEnd", *KEYS, "orderCount", "totalRevenue",
                       safe_div("totalRevenue", "orderCount").alias("avgOrderValue"),
@@ -204,7 +204,7 @@ def _batch_sessions(orders: DataFrame, gap_ms: int, bucket_ms: int, exact: bool)
     agg = o.groupBy("_k", "_sid").agg(
         F.max("ts").alias("_lastTs"),
         F.count(F.lit(1)).alias("orderCount"),
-        F.sum(amount).alias("totalRevenue"),
+        exact_sum(amount).alias("totalRevenue"),
         F.max(amount).alias("_max"),
         F.min(amount).alias("_min"),
         _distinct_customers(False, exact).alias("uniqueCustomers"))
@@ -227,7 +227,7 @@ def session_fragments(orders: DataFrame, gap: str = "10 seconds", delay: str | N
     df = _prepare(orders, delay)
     amount = F.col("totalAmount")
     g = df.groupBy(F.session_window("eventTime", gap).alias("window"), *KEYS, "customerId")
-    return g.agg(F.count(F.lit(1)).alias("orderCount"), F.sum(amount).alias("totalRevenue"),
+    return g.agg(F.count(F.lit(1)).alias("orderCount"), exact_sum(amount).alias("totalRevenue"),
                  F.max(amount).alias("_max"), F.min(amount).alias("_min")).select(
         F.unix_millis("window.start").alias("start"), F.unix_millis("window.end").alias("end"),
         *KEYS, "customerId", "orderCount", "totalRevenue", "_max", "_min")
@@ -248,7 +248,7 @@ def merge_fragments(closed: DataFrame, open_: DataFrame | None = None, bucket: s
     f = islands(f.withColumn("_k", F.struct(*KEYS)), "_k", "start", "end", "_sid", interval_ms(bucket))
     agg = f.groupBy("_k", "_sid").agg(
         F.max("end").alias("windowEnd"), F.sum("orderCount").alias("orderCount"),
-        F.sum("totalRevenue").alias("totalRevenue"), F.max("_max").alias("_max"), F.min("_min").alias("_min"),
+        exact_sum("totalRevenue").alias("totalRevenue"), F.max("_max").alias("_max"), F.min("_min").alias("_min"),
         (F.count_distinct("customerId") + F.max(F.col("customerId").isNull().cast("int"))).cast("long")
         .alias("uniqueCustomers"), F.max("_open").alias("_open"))
     return agg.where("not _open").select(
@@ -288,7 +288,7 @@ def bitmap_partials(orders: DataFrame, dictionary: DataFrame, size: str = "30 se
         F.concat(F.lit("customer without a number: "), "customerId")).cast("long")))
     p = p.withColumn("_no", no).withColumn("page", F.bitmap_bucket_number("_no"))
     return p.groupBy("windowStart", "windowEnd", *KEYS, "page").agg(
-        F.sum("orderCount").alias("orderCount"), F.sum("totalRevenue").alias("totalRevenue"),
+        F.sum("orderCount").alias("orderCount"), exact_sum("totalRevenue").alias("totalRevenue"),
         F.max("_max").alias("maxOrderValue"), F.min("_min").alias("minOrderValue"),
         F.bitmap_construct_agg(F.bitmap_bit_position("_no")).alias("customerBits"))
 
@@ -296,7 +296,7 @@ def bitmap_partials(orders: DataFrame, dictionary: DataFrame, size: str = "30 se
 def _merge_bitmaps(p: DataFrame) -> DataFrame:
     """Pages of one window and key united bit by bit, map-side first."""
     return p.groupBy("windowStart", "windowEnd", *KEYS, "page").agg(
-        F.sum("orderCount").alias("orderCount"), F.sum("totalRevenue").alias("totalRevenue"),
+        F.sum("orderCount").alias("orderCount"), exact_sum("totalRevenue").alias("totalRevenue"),
         F.max("maxOrderValue").alias("maxOrderValue"), F.min("minOrderValue").alias("minOrderValue"),
         F.bitmap_or_agg("customerBits").alias("customerBits"))
 
@@ -305,7 +305,7 @@ def _bitmap_metrics(p: DataFrame) -> DataFrame:
     pages = _merge_bitmaps(p).withColumn("_customers", F.when(F.col("page").isNull(), F.lit(1).cast("long"))
                                          .otherwise(F.bitmap_count("customerBits")))
     agg = pages.groupBy("windowStart", "windowEnd", *KEYS).agg(
-        F.sum("orderCount").alias("orderCount"), F.sum("totalRevenue").alias("totalRevenue"),
+        F.sum("orderCount").alias("orderCount"), exact_sum("totalRevenue").alias("totalRevenue"),
         F.max("maxOrderValue").alias("_max"), F.min("minOrderValue").alias("_min"),
         F.sum("_customers").alias("uniqueCustomers"))
     return agg.select("windowStart", "windowEnd", *KEYS, "orderCount", "totalRevenue",
@@ -339,7 +339,7 @@ def order_partials(orders: DataFrame, size: str = "30 seconds",
                F.max(F.col("customerId").isNull()).alias("nullCustomer")]
     agg = g.agg(
         F.count(F.lit(1)).alias("orderCount"),
-        F.sum("totalAmount").alias("totalRevenue"),
+        exact_sum("totalAmount").alias("totalRevenue"),
         F.max("totalAmount").alias("maxOrderValue"),
         F.min("totalAmount").alias("minOrderValue"),
         *ids,
@@ -388,7 +388,7 @@ def merge_metrics(partials: DataFrame, size: str | None = None) -> DataFrame:
     once = F.col("_pos").isNull() | (F.col("_pos") == 0)
     agg = p.groupBy("windowStart", "windowEnd", *KEYS).agg(
         F.sum(F.when(once, F.col("orderCount"))).alias("orderCount"),
-        F.sum(F.when(once, F.col("totalRevenue"))).alias("totalRevenue"),
+        exact_sum(F.when(once, F.col("totalRevenue"))).alias("totalRevenue"),
         F.max("maxOrderValue").alias("_max"),
         F.min("minOrderValue").alias("_min"),
         (F.count_distinct("_cid")
@@ -407,7 +407,7 @@ def _merge_sketches(p: DataFrame) -> DataFrame:
     """Merge sketch partials: every aggregate combines map-side."""
     agg = p.groupBy("windowStart", "windowEnd", *KEYS).agg(
         F.sum("orderCount").alias("orderCount"),
-        F.sum("totalRevenue").alias("totalRevenue"),
+        exact_sum("totalRevenue").alias("totalRevenue"),
         F.max("maxOrderValue").alias("_max"),
         F.min("minOrderValue").alias("_min"),
         F.hll_union_agg("customerSketch").alias("customerSketch"),
@@ -432,7 +432,7 @@ def merge_partials(partials: DataFrame, size: str | None = None) -> DataFrame:
     if "customerSketch" in partials.columns:
         return p.groupBy("windowStart", "windowEnd", *KEYS).agg(
             F.sum("orderCount").alias("orderCount"),
-            F.sum("totalRevenue").alias("totalRevenue"),
+            exact_sum("totalRevenue").alias("totalRevenue"),
             F.max("maxOrderValue").alias("maxOrderValue"),
             F.min("minOrderValue").alias("minOrderValue"),
             F.hll_union_agg("customerSketch").alias("customerSketch"),
@@ -445,7 +445,7 @@ def merge_partials(partials: DataFrame, size: str | None = None) -> DataFrame:
     part = ["bucket"] if "bucket" in partials.columns else []
     return p.groupBy("windowStart", "windowEnd", *KEYS, *part).agg(
         F.sum(F.when(once, F.col("orderCount"))).alias("orderCount"),
-        F.sum(F.when(once, F.col("totalRevenue"))).alias("totalRevenue"),
+        exact_sum(F.when(once, F.col("totalRevenue"))).alias("totalRevenue"),
         F.max("maxOrderValue").alias("maxOrderValue"),
         F.min("minOrderValue").alias("minOrderValue"),
         F.transform(ids, lambda s: s["c"]).alias("customerIds"),

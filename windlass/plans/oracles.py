@@ -182,6 +182,7 @@ FROM O""",
     "order_total_mismatch": _MISMATCH,
     "encode_metrics": _ENCODE,
     "format_metrics": _FORMAT,
+    "log_lines_sink": _FORMAT,
     "metrics_summary": _SUMMARY,
     "dedupe_metrics": _DEDUPE,
     "dedupe_metrics_stream": _DEDUPE,

@@ -1,10 +1,9 @@
 """Registered order-stream queries over the driver's tables.
 
 Each query takes ``(spark, sf_dir)`` and returns a DataFrame whose column
-names match its oracle in :mod:`windlass.plans.oracles`.  Double sums
-depend on summation order, so compared outputs round the money sum to 2
-decimals (an exact sum of cents) and take the average from that rounded
-sum, identically on both sides (:func:`for_compare`).
+names match its oracle in :mod:`windlass.plans.oracles`.  Money sums are exact
+(``exact_sum``), so results are compared as they are, while the oracles round
+theirs to cents.
 """
 
 from __future__ import annotations
@@ -17,10 +16,10 @@ from ..operators.parse import encode_metrics, parse_metrics, parse_orders, rejec
 from ..operators.reader import dedupe_metrics, format_metrics, metrics_summary
 from ..operators.windows import (bitmap_partials, customer_dictionary, merge_metrics, merge_partials,
                                  order_metrics, order_metrics_session, order_total_mismatch)
-from ..functions.scalar import safe_div
+from ..functions.scalar import exact_sum
 from ..schemas import ORDER_COLUMNS
 from ..session import configure, shared_dir
-from ..sources.files import write_json_lines
+from ..sources.files import write_json_lines, write_log_lines
 from ..sources.fixtures import (arrival_order, corrupted_raw_orders, loose_raw_orders, orders_from_events,
                                 raw_orders_from_events, read_table)
 from ..streaming.jobs import (keep_late_orders, late_orders, run_available_now, stream_order_metrics,
@@ -28,7 +27,7 @@ from ..streaming.jobs import (keep_late_orders, late_orders, run_available_now,
 
 
 # State width of the replays below: they keep a few thousand groups.
-REPLAY_STATE_PARTITIONS = 8
+REPLAY_STATE_PARTITIONS = 4
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,27 +35,16 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_from_events(read_table(spark, sf_dir, "events"))
 
 
-def for_compare(m: DataFrame) -> DataFrame:
-    """Make order-dependent doubles engine-independent: the money sum is
-    rounded to 2 decimals (exact sums of cents), and an average that agrees
-    with that sum to 1e-6 is shown as the quotient both engines compute; any
-    other average stays as the operator gave it, and fails the comparison."""
-    total = F.round("totalRevenue", 2)
-    quotient = safe_div(total, "orderCount")
-    return m.withColumn("avgOrderValue", F.when(F.abs(F.col("avgOrderValue") - quotient) <= 1e-6, quotient)
-                        .otherwise(F.col("avgOrderValue"))).withColumn("totalRevenue", total)
-
-
 def q_order_metrics_30s(spark, sf_dir):
-    return for_compare(order_metrics(_orders(spark, sf_dir), size="30 seconds"))
+    return order_metrics(_orders(spark, sf_dir), size="30 seconds")
 
 
 def q_order_metrics_1m(spark, sf_dir):
-    return for_compare(order_metrics(_orders(spark, sf_dir), size="1 minute"))
+    return order_metrics(_orders(spark, sf_dir), size="1 minute")
 
 
 def q_order_metrics_1h(spark, sf_dir):
-    return for_compare(order_metrics(_orders(spark, sf_dir), size="1 hour"))
+    return order_metrics(_orders(spark, sf_dir), size="1 hour")
 
 
 def q_order_metrics_stream(spark, sf_dir):
@@ -66,7 +54,7 @@ def q_order_metrics_stream(spark, sf_dir):
     src = shared_dir(spark, "orders-json")
     write_json_lines(raw_orders_from_events(events).select("value"), src)
     out, _ = stream_order_metrics(spark, src, state_partitions=REPLAY_STATE_PARTITIONS)
-    return for_compare(out)
+    return out
 
 
 def arrival_batches(orders_with_id: DataFrame, batches: int = 10) -> DataFrame:
@@ -113,7 +101,7 @@ def q_late_data_drop(spark, sf_dir, batches: int = 10, files: int = 4):
     parts, merge = window_parts(parse_orders(_arrivals(spark, sf_dir, batches, files)))
     out, ckpt = shared_dir(spark, "late-out"), shared_dir(spark, "late-ckpt")
     run_available_now(parts, out, ckpt, state_partitions=REPLAY_STATE_PARTITIONS)
-    return for_compare(merge(spark.read.schema(parts.schema).parquet(out)))
+    return merge(spark.read.schema(parts.schema).parquet(out))
 
 
 def q_late_orders(spark, sf_dir, batches: int = 10, files: int = 4):
@@ -125,13 +113,13 @@ def q_late_orders(spark, sf_dir, batches: int = 10, files: int = 4):
     run_available_now(orders, out, ckpt, each_batch=keep_late_orders(out, f"{ckpt}/ledger"))
     late = spark.read.schema(late_orders(orders, 0).schema).parquet(out)
     return late.groupBy("windowStart", "category", "region").agg(
-        F.count(F.lit(1)).alias("lateOrders"), F.round(F.sum("totalAmount"), 2).alias("lateRevenue"),
+        F.count(F.lit(1)).alias("lateOrders"), exact_sum("totalAmount").alias("lateRevenue"),
         F.min("orderId").alias("minOrderId"), F.max("orderId").alias("maxOrderId"),
         F.min("watermark").alias("minWatermark"), F.max("watermark").alias("maxWatermark"))
 
 
 def q_order_sessions(spark, sf_dir):
-    return for_compare(order_metrics_session(_orders(spark, sf_dir), gap="10 seconds"))
+    return order_metrics_session(_orders(spark, sf_dir), gap="10 seconds")
 
 
 def _bitmap_parts(spark, sf_dir):
@@ -142,13 +130,13 @@ def _bitmap_parts(spark, sf_dir):
 def q_merge_partials_5m(spark, sf_dir):
     """AGG-9: customers as dictionary numbers, bitmap pages united by OR."""
     parts = _bitmap_parts(spark, sf_dir)
-    return for_compare(merge_metrics(parts, size="5 minutes"))
+    return merge_metrics(parts, size="5 minutes")
 
 
 def q_rollup_partials_10m(spark, sf_dir):
     """AGG-9 twice: 30 s partials -> 5 min partials -> 10 min metrics."""
     parts = _bitmap_parts(spark, sf_dir)
-    return for_compare(merge_metrics(merge_partials(parts, size="5 minutes"), size="10 minutes"))
+    return merge_metrics(merge_partials(parts, size="5 minutes"), size="10 minutes")
 
 
 def q_order_sessions_stream(spark, sf_dir):
@@ -159,7 +147,7 @@ def q_order_sessions_stream(spark, sf_dir):
     src = shared_dir(spark, "orders-json")
     write_json_lines(raw_orders_from_events(events).select("value"), src)
     out, _ = stream_order_sessions(spark, src, state_partitions=REPLAY_STATE_PARTITIONS)
-    return for_compare(out)
+    return out
 
 
 def q_approx_customers(spark, sf_dir):
@@ -167,7 +155,7 @@ def q_approx_customers(spark, sf_dir):
     of the exact one, in every window."""
     o, keys = _orders(spark, sf_dir), ["windowStart", "category", "region"]
     sketch = order_metrics(o, size="30 seconds", exact=False).select(*keys, F.col("uniqueCustomers").alias("sketch"))
-    m = for_compare(order_metrics(o, size="30 seconds")).join(sketch, keys)
+    m = order_metrics(o, size="30 seconds").join(sketch, keys)
     n = F.col("uniqueCustomers")
     return m.withColumn("within_bound", F.abs(F.col("sketch") - n) <= F.ceil(n * 0.2)).drop("sketch")
 
@@ -210,21 +198,28 @@ def q_encode_metrics(spark, sf_dir):
     text = F.col("value").cast("string")
     enc = enc.select(F.col("key").cast("string").alias("key"), text.alias("value"),
                      F.size(F.json_object_keys(text)).alias("json_fields"))
-    return for_compare(parse_metrics(enc, keep=("key", "json_fields")))
+    return parse_metrics(enc, keep=("key", "json_fields"))
 
 
 def q_format_metrics(spark, sf_dir):
-    enc = encode_metrics(for_compare(_metrics(spark, sf_dir)))
+    enc = encode_metrics(_metrics(spark, sf_dir))
     return format_metrics(parse_metrics(enc)).select("line")
 
 
+def q_log_lines_sink(spark, sf_dir):
+    """SNK-4: the log lines written by the reader's sink, read back."""
+    path = shared_dir(spark, "log-lines")
+    write_log_lines(q_format_metrics(spark, sf_dir), path)
+    return spark.read.schema("line string").text(path)
+
+
 def q_metrics_summary(spark, sf_dir):
     return metrics_summary(_metrics(spark, sf_dir))
 
 
 def q_dedupe_metrics(spark, sf_dir):
     m = _metrics(spark, sf_dir)
-    return for_compare(dedupe_metrics(m.unionByName(m)))
+    return dedupe_metrics(m.unionByName(m))
 
 
 def q_dedupe_metrics_stream(spark, sf_dir):
@@ -235,7 +230,7 @@ def q_dedupe_metrics_stream(spark, sf_dir):
     write_json_lines(m.unionByName(m).select("value"), src)
     once = dedupe_metrics(parse_metrics(spark.readStream.format("text").load(src)), delay="3650 days")
     run_available_now(once, out, ckpt, state_partitions=REPLAY_STATE_PARTITIONS)
-    return for_compare(spark.read.schema(once.schema).parquet(out))
+    return spark.read.schema(once.schema).parquet(out)
 
 
 QUERIES = {
@@ -256,6 +251,7 @@ QUERIES = {
     "order_total_mismatch": q_order_total_mismatch,
     "encode_metrics": q_encode_metrics,
     "format_metrics": q_format_metrics,
+    "log_lines_sink": q_log_lines_sink,
     "metrics_summary": q_metrics_summary,
     "dedupe_metrics": q_dedupe_metrics,
     "dedupe_metrics_stream": q_dedupe_metrics_stream,

@@ -161,3 +161,5 @@ ORACLES = {
     "dashboard_panels": panels_sql(),
     "panel_status": status_sql(),
 }
+
+ORACLES["report_csv_sink"] = ORACLES["report_csv_row"]

@@ -23,6 +23,7 @@ from ..session import configure, shared_dir
 from .report import (BACKPRESSURE_BANDS, PEAK_MAPPING, dashboard_panels, panel_status, report_csv_row,
                      scenario_report)
 from ..sources.fixtures import broker_beans_from_events, compressed_ms, ops_samples, read_table
+from ..sources.files import write_report_csv
 from ..sources.samples import read_samples, write_samples
 
 STEP_MS = 15_000
@@ -208,6 +209,13 @@ def q_report_csv_row(spark, sf_dir):
     return report_csv_row(_report(spark, sf_dir))
 
 
+def q_report_csv_sink(spark, sf_dir):
+    """SNK-5: the report row written as CSV with its header, read back."""
+    row, path = q_report_csv_row(spark, sf_dir), shared_dir(spark, "report-csv")
+    write_report_csv(row, path)
+    return spark.read.schema(row.schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
 def _panels(spark, sf_dir):
     d = dashboard_panels(stored_samples(spark, sf_dir), *event_bounds(spark, sf_dir))
     return d.withColumn("value", F.round("value", 6))
@@ -255,6 +263,7 @@ QUERIES = {
     "broker_consumer_lag": q_broker_consumer_lag,
     "scenario_report": q_scenario_report,
     "report_csv_row": q_report_csv_row,
+    "report_csv_sink": q_report_csv_sink,
     "dashboard_panels": q_dashboard_panels,
     "panel_status": q_panel_status,
     "counter_rate_1h": q_counter_rate_1h,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from ..schemas import SAMPLES
 
@@ -22,7 +23,8 @@ def write_samples(samples: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """The samples table with a fixed schema (partition columns included)."""
-    df = spark.read.parquet(path)
-    cols = [f.name for f in SAMPLES.fields]
-    return df.select(*cols, *[c for c in df.columns if c not in cols])
+    """The samples table with the schema SAMPLES and its ``date``: declared, so
+    no file is opened to infer it, and a metric or date that looks like a
+    number stays what it is."""
+    schema = StructType([*SAMPLES.fields, StructField("date", DateType())])
+    return spark.read.schema(schema).parquet(path).select(*[f.name for f in schema.fields])
