@@ -8,8 +8,9 @@ hashes are that low keeps its lowest one, so only texts without words have an
 empty sketch.
 
 Neighbours in id order are compared after one move of the texts: bounds taken
-from the ids cut the order into chunks, and the first row of a chunk also goes
-to the chunk before it, whose last row it follows.
+from the ids (a number of them set by the shuffle partitions, sent to every
+task) cut the order into chunks, and the first row of a chunk also goes to the
+chunk before it, whose last row it follows.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import with_workers
 
@@ -180,15 +183,17 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bounds = _bounds(d.select("nid"), chunks)
     if not bounds:
         return spark.createDataFrame([], _DDL)
-    lits, n = F.array(*[F.lit(x) for x in bounds]), len(bounds)
-    # Binary search for the last bound that is not above the id.
-    halves = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, (n - 1).bit_length())))])
-    place = F.aggregate(halves, F.lit(0), lambda at, step: F.when(
-        (at + step < n) & (F.element_at(lits, F.least(at + step, F.lit(n - 1)) + 1) <= F.col("nid")), at + step).otherwise(at))
-    d = d.withColumn("at", place)
-    here = F.struct(F.col("at").alias("chunk"), F.lit(False).alias("peek"))
-    before = F.struct(F.pmod(F.col("at") - 1, F.lit(n)).alias("chunk"), F.lit(True).alias("peek"))
-    begins = F.element_at(lits, F.col("at") + 1) == F.col("nid")
+    n, known = len(bounds), spark.sparkContext.broadcast(np.array(bounds, np.int64))
+
+    @pandas_udf("long")
+    def place(nid: pd.Series) -> pd.Series:
+        """Twice the chunk, and one more for a row that begins it."""
+        at = np.searchsorted(known.value, nid.to_numpy(), "right") - 1
+        return pd.Series(2 * at + (known.value[at] == nid.to_numpy()))
+    d = d.withColumn("at", place("nid"))
+    here = F.struct(F.shiftright("at", 1).alias("chunk"), F.lit(False).alias("peek"))
+    before = F.struct(F.pmod(F.shiftright("at", 1) - 1, F.lit(n)).alias("chunk"), F.lit(True).alias("peek"))
+    begins = F.col("at") % 2 == 1
     d = d.select("doc_id", "text", "nid", F.explode(F.when(begins, F.array(here, before)).otherwise(F.array(here))).alias("to"))
     d = d.select("to.*", "doc_id", "nid", F.col("doc_id").isNull().alias("unnamed"),
                  F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
