@@ -32,8 +32,8 @@ from .common import materialise
 #: Words of a window; the share of an item's windows that must be found on
 #: one alignment; items of fewer template words are matched literally.
 WINDOW, SHARE, MIN_WORDS = 8, 0.3, 4
-#: A benchmark of at most so many windows is broadcast (about 100 bytes
-#: each), a larger one is shuffled.
+#: So many benchmark windows (about 100 bytes each), anchors or keys of
+#: documents are broadcast; more are shuffled.
 BROADCAST_WINDOWS = 200_000
 
 # Placeholders: a control character for the type, then the value.
@@ -157,9 +157,10 @@ def _candidates(docs: DataFrame, items: DataFrame, rare: DataFrame, size: int) -
     rows = (docs.select("row", F.explode(_distinct_words(F.col("text"))).alias("word")).join(_small(a, a.count()), "word")
             .groupBy("row", "item_id").agg(F.sum("weight").alias("got"), F.max("need").alias("need"))
             .where("got >= need").select("row").distinct())
-    # Written first, so that Spark knows its size: a small one is sent to the
-    # documents, a large one is joined by row.
-    return docs.join(materialise(rows, "candidates"), "row", "left_semi")
+    # Written first and counted: a small one is sent to the documents (16 bytes
+    # a row), a large one is joined by row.
+    rows = materialise(rows, "candidates")
+    return docs.join(_small(rows, rows.count()), "row", "left_semi")
 
 
 def _counted(found: Column) -> Column:
@@ -269,4 +270,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     names = docs.columns
     safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key = _row_key(F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}"))
-    return safe.withColumn("row", key).join(bad, "row", "left_anti").drop("row").toDF(*names)
+    return safe.withColumn("row", key).join(_small(bad, bad.count()), "row", "left_anti").drop("row").toDF(*names)
